@@ -32,8 +32,8 @@ def query(name: str, oracle: str | None = None):
 
 
 def load_all() -> dict[str, Query]:
-    from . import (billing, documents, governance, operations, quality,  # noqa: F401
-                   relational, retrieval, watchlist)
+    from . import (billing, documents, governance, ledger, operations,  # noqa: F401
+                   quality, relational, retrieval, watchlist)
     return REGISTRY
 
 

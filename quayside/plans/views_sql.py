@@ -6,10 +6,14 @@ it needs become CTEs in dependency order in front of the body.
 
 from __future__ import annotations
 
+from ..sources.adapters import DISPUTE_TEXT
+
 K = "CAST(json_extract_string(props, '$.k') AS INTEGER)"
+DISPUTE = "CASE o.o_orderpriority " + " ".join(
+    f"WHEN '{k}' THEN '{v}'" for k, v in DISPUTE_TEXT) + " END"
 
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
-    "billing_events": ((), """
+    "billing_events": ((), f"""
     SELECT o.o_orderkey AS invoice_id, c.c_nationkey AS terminal_id,
            o.o_custkey AS container_id, c.c_mktsegment AS move_type,
            o.o_orderpriority AS tariff_code,
@@ -17,8 +21,8 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
            c.c_name AS customer_name,
            lower(replace(c.c_name, '#', '.')) || '@example.com' AS customer_email,
            o.o_orderstatus = 'P' AS dispute_flag,
-           CASE WHEN o.o_orderstatus = 'P' THEN 'Disputed ' || o.o_orderpriority
-                || ' charge on container ' || CAST(o.o_custkey AS VARCHAR) END AS dispute_reason,
+           CASE WHEN o.o_orderstatus = 'P' THEN {DISPUTE}
+                || ' (container ' || CAST(o.o_custkey AS VARCHAR) || ')' END AS dispute_reason,
            o.o_orderstatus AS order_status,
            o.o_orderdate AS created_ts
     FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey"""),

@@ -21,6 +21,14 @@ TERMINAL_BUCKET = 25                 # events: terminal = props.k div 25  (k in
 CRANES = 6                           # events: crane = props.k mod 6
 BERTHS = 8                           # berth calls: berth = orderkey mod 8
 ETD_DAYS = 365                       # berth calls: planned departure = arrival + 365 days
+# Dispute text of a disputed invoice, by its tariff (order priority).
+DISPUTE_TEXT = [
+    ("1-URGENT", "Demurrage billed although the container left within free time"),
+    ("2-HIGH", "We were charged twice for the same load move"),
+    ("3-MEDIUM", "Weighbridge reading does not match the VGM we declared"),
+    ("4-NOT SPECIFIED", "Container came back with a dented door, claiming the damage"),
+    ("5-LOW", "Please explain this invoice line"),
+]
 
 
 def usd(cents: Column | str) -> Column:
@@ -29,6 +37,13 @@ def usd(cents: Column | str) -> Column:
     return c / F.lit(100.0)
 
 
+def _dispute_text(priority: Column) -> Column:
+    out = None
+    for k, v in DISPUTE_TEXT:
+        out = (F.when(priority == k, v) if out is None else out.when(priority == k, v))
+    return out
+
+
 def billing_events(t: Tables) -> DataFrame:
     """billing_events = orders joined to customer on custkey."""
     o = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
@@ -48,9 +63,9 @@ def billing_events(t: Tables) -> DataFrame:
         F.concat(F.lower(F.replace(F.col("c_name"), F.lit("#"), F.lit("."))),
                  F.lit("@example.com")).alias("customer_email"),
         disputed.alias("dispute_flag"),
-        F.when(disputed, F.concat(F.lit("Disputed "), F.col("o_orderpriority"),
-                                  F.lit(" charge on container "),
-                                  F.col("o_custkey").cast("string"))).alias("dispute_reason"),
+        F.when(disputed, F.concat(_dispute_text(F.col("o_orderpriority")),
+                                  F.lit(" (container "), F.col("o_custkey").cast("string"),
+                                  F.lit(")"))).alias("dispute_reason"),
         F.col("o_orderstatus").alias("order_status"),
         F.col("o_orderdate").alias("created_ts"),
     )
