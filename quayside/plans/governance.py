@@ -1 +1,181 @@
-"""Registered queries."""
+"""Governance queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text as X
+from ..operators import billing as B
+from ..operators import governance as G
+from ..operators import relational as R
+from ..sources import adapters as A
+from .billing import _base
+from .registry import query
+from .views_sql import with_views
+
+MASK_SQL = """left(split_part({n}, ' ', 1), 1) || repeat('*', greatest(length(split_part({n}, ' ', 1)) - 1, 0))
+ || ' ' || left(split_part({n}, ' ', 2), 1) || repeat('*', greatest(length(split_part({n}, ' ', 2)) - 1, 0))
+ || '  <' || left(split_part({e}, '@', 1), 1) || repeat('*', greatest(length(split_part({e}, '@', 1)) - 1, 0))
+ || '@' || split_part({e}, '@', 2) || '>'"""
+
+
+def _mask_sql(n, e):
+    return MASK_SQL.format(n=n, e=e)
+
+
+@query("mask_contact", f"""
+SELECT 'customer' AS source, c_custkey AS id,
+       {_mask_sql('c_name', "lower(replace(c_name, '#', '.')) || '@example.com'")} AS masked
+FROM customer
+UNION ALL
+SELECT 'part', p_partkey, {_mask_sql('p_name', "lower(replace(p_name, ' ', '.')) || '@parts.example'")}
+FROM part""")
+def mask_contact(t):
+    """D12 + F1-F3: deterministic contact masking as one native expression."""
+    c = t.customer.select(
+        F.lit("customer").alias("source"), F.col("c_custkey").alias("id"),
+        X.mask_contact("c_name", F.concat(F.lower(F.replace("c_name", F.lit("#"), F.lit("."))),
+                                          F.lit("@example.com"))).alias("masked"))
+    p = t.part.select(
+        F.lit("part").alias("source"), F.col("p_partkey").alias("id"),
+        X.mask_contact("p_name", F.concat(F.lower(F.replace("p_name", F.lit(" "), F.lit("."))),
+                                          F.lit("@parts.example"))).alias("masked"))
+    return c.unionByName(p)
+
+
+@query("masked_view", with_views(f"""
+SELECT invoice_id, terminal_id, container_id, move_type, tariff_code,
+       CAST(amount_cents AS DOUBLE) / 100 AS amount_usd,
+       {_mask_sql('customer_name', 'customer_email')} AS customer_contact_masked,
+       dispute_flag, created_ts
+FROM billing_events""", "billing_events"))
+def masked_view(t):
+    """D13 + S11 + P12: the masked billing view (PII columns dropped)."""
+    v = G.masked_view(A.billing_events(t))
+    v.createOrReplaceTempView("billing_events_masked")
+    return t.spark.table("billing_events_masked")
+
+
+@query("restricted_view", with_views(f"""
+SELECT {', '.join(c if c != 'amount_usd' else 'CAST(amount_cents AS DOUBLE) / 100 AS amount_usd'
+                 for c in G.BILLING_ALLOW)}
+FROM billing_events WHERE dispute_flag""", "billing_events"))
+def restricted_view(t):
+    """Ad-hoc SQL sees only the allow-listed billing columns."""
+    be = A.billing_events(t).withColumn("amount_usd", A.usd("amount_cents"))
+    G.restricted_view(t.spark, be, "billing_restricted", G.BILLING_ALLOW)
+    return t.spark.sql("SELECT * FROM billing_restricted WHERE dispute_flag")
+
+
+@query("redact_pii", f"SELECT doc_id, {X.redact_sql('text')} AS redacted FROM documents")
+def redact_pii(t):
+    """Pattern redaction of e-mails, phones, money and percentages over
+    whole document texts (names need a model: see ``model_batch``)."""
+    return t.documents.select("doc_id", X.redact("text").alias("redacted"))
+
+
+def _triage_sql(text, amount):
+    cases = " ".join(f"WHEN regexp_matches({text}, '{pat}') THEN '{cat}'"
+                     for cat, pat in G.TRIAGE_RULES)
+    cat = f"CASE {cases} ELSE 'Other' END"
+    risk = (f"CASE WHEN {amount} >= {G.HIGH_CENTS} THEN 'High' "
+            f"WHEN {amount} >= {G.MEDIUM_CENTS} THEN 'Medium' ELSE 'Low' END")
+    return cat, risk
+
+
+_CAT, _RISK = _triage_sql("dispute_reason", "amount_cents")
+
+
+@query("dispute_triage", with_views(f"""
+SELECT invoice_id, {_CAT} AS dispute_category, {_RISK} AS dispute_risk,
+       'Rule triage: ' || {_CAT} || ' from the dispute text, ' || lower({_RISK}) || ' risk by amount.'
+         AS dispute_risk_rationale
+FROM billing_events WHERE dispute_flag""", "billing_events"))
+def dispute_triage(t):
+    """D11 + P4: every flagged, unclassified dispute gets category, risk and rationale."""
+    q = A.billing_events(t).filter(F.col("dispute_flag"))
+    return G.triage(q).select("invoice_id", "dispute_category", "dispute_risk",
+                              "dispute_risk_rationale")
+
+
+_FORBID = "|".join(X.FORBIDDEN_WORDS)
+
+
+@query("safe_select_guard", f"""
+SELECT conv_id, turn,
+       NOT regexp_matches(text, ';')
+       AND regexp_matches(text, '(?is)^\\s*(with\\b.*\\)\\s*)?select\\b')
+       AND NOT regexp_matches(text, '(?i)\\b({_FORBID})\\b') AS is_safe
+FROM conversations""")
+def safe_select_guard(t):
+    """G1 + P9: the read-only guard over a column of text (all conversation turns)."""
+    return t.conversations.select("conv_id", "turn", X.is_safe_select("text").alias("is_safe"))
+
+
+@query("extract_ddl", """
+SELECT conv_id, turn,
+       nullif(regexp_extract(text, '(?i)(CREATE\\s+(?:UNIQUE\\s+)?INDEX\\b[^;]*;)', 1), '') AS ddl,
+       regexp_matches(text, '(?i)^\\s*CREATE\\s+(UNIQUE\\s+)?INDEX\\b') AS is_index_ddl
+FROM conversations""")
+def extract_ddl(t):
+    """D18 + P10 + F6: first CREATE INDEX statement in each reply (NULL when
+    none) and the DDL guard on the reply itself."""
+    c = t.conversations
+    return c.select("conv_id", "turn", X.pg_substring("text", X.DDL_EXTRACT).alias("ddl"),
+                    X.is_index_ddl("text").alias("is_index_ddl"))
+
+
+GLOSSARY = """
+SELECT n.n_name AS term, 'Nation in region ' || r.r_name AS definition,
+       CASE WHEN n.n_name LIKE '% %' THEN 'two-word name' END AS note
+FROM nation n JOIN region r ON r.r_regionkey = n.n_regionkey"""
+
+
+@query("glossary_text", f"""
+SELECT string_agg('- ' || term || ': ' || definition || coalesce('  (Note: ' || note || ')', ''),
+                  chr(10) ORDER BY term) AS glossary
+FROM ({GLOSSARY}) g""")
+def glossary_text(t):
+    """D21 + A7: the glossary block of a prompt (nation x region as glossary)."""
+    g = t.nation.join(t.region, t.nation.n_regionkey == t.region.r_regionkey).select(
+        F.col("n_name").alias("term"),
+        F.concat(F.lit("Nation in region "), F.col("r_name")).alias("definition"),
+        F.when(F.col("n_name").like("% %"), "two-word name").alias("note"))
+    return G.glossary_text(g)
+
+
+@query("activity_trace", """
+SELECT conv_id, turn, role, left(text, 90) AS query FROM conversations
+WHERE role LIKE 'assist%' ORDER BY conv_id, turn""")
+def activity_trace(t):
+    """D23 + P5: entries with a prefix, text cut to 90 characters, ordered."""
+    return G.activity_trace(t.conversations, "role", "assist", "text", ["conv_id", "turn"])
+
+
+@query("rows_to_json")
+def rows_to_json(t):
+    """A8 + A9: the (bounded, top-10) scan result as one JSON array + length."""
+    return R.rows_to_json(B.billing_anomaly_scan(*_base(t)))
+
+
+# Statements for the guarded runner: two clean reads, one fenced read with a
+# trailing ';', and three the guard must refuse.
+GUARDED = [
+    ("disputes by tariff",
+     "SELECT tariff_code, count(*) AS n, sum(amount_usd) AS usd FROM billing_restricted "
+     "WHERE dispute_flag GROUP BY tariff_code"),
+    ("largest disputes", "```sql\nSELECT invoice_id, amount_usd FROM billing_restricted "
+                         "WHERE dispute_flag ORDER BY amount_usd DESC LIMIT 5;\n```"),
+    ("volume", "WITH b AS (SELECT * FROM billing_restricted) SELECT count(*) AS n FROM b"),
+    ("drop it", "SELECT 1; DROP TABLE billing_restricted"),
+    ("delete", "DELETE FROM billing_restricted"),
+    ("explain", "EXPLAIN SELECT 1"),
+]
+
+
+@query("guarded_sql")
+def guarded_sql(t):
+    """Clean -> guard -> run on restricted views -> JSON -> log."""
+    be = A.billing_events(t).withColumn("amount_usd", A.usd("amount_cents"))
+    G.restricted_view(t.spark, be, "billing_restricted", G.BILLING_ALLOW)
+    return G.run_guarded(t.spark, GUARDED)
