@@ -89,6 +89,9 @@ def with_views(body: str, *names: str, extra: tuple[tuple[str, str], ...] = ())
     """Prefix ``body`` with the adapter views (and extra CTEs) it uses."""
     ctes = [f"{n} AS ({VIEWS[n][1]}\n)" for n in _order(names)]
     ctes += [f"{n} AS ({sql}\n)" for n, sql in extra]
+    body = body.strip()
     if not ctes:
-        return body.strip()
-    return "WITH " + ",\n".join(ctes) + "\n" + body.strip()
+        return body
+    if body[:5].upper() == "WITH ":          # merge the body's own CTE list
+        return "WITH " + ",\n".join(ctes) + ",\n" + body[5:]
+    return "WITH " + ",\n".join(ctes) + "\n" + body
