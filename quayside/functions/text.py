@@ -28,6 +28,8 @@ REDACT_PATTERNS = [
     ("percent", r"[0-9]+(\.[0-9]+)? ?%"),
 ]
 REDACTED = "[REDACTED]"
+# Cheap necessary conditions for each pattern.
+REDACT_NEEDS = {"email": "@", "money": "[$€£]", "percent": "%"}
 
 
 def _c(x) -> Column:
@@ -112,7 +114,10 @@ def redact(x, kinds: list[str] | None = None) -> Column:
     out = _c(x)
     for kind, pat in REDACT_PATTERNS:
         if kinds is None or kind in kinds:
-            out = F.regexp_replace(out, pat, REDACTED)
+            # a literal pre-check skips the regex on texts that cannot match
+            need = REDACT_NEEDS.get(kind)
+            rep = F.regexp_replace(out, pat, REDACTED)
+            out = rep if need is None else F.when(out.rlike(need), rep).otherwise(out)
     return out
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 # after lower-casing; a token's bucket is the first four hex digits of its
 # MD5 read as an integer, modulo the dimension.
 TOKEN_SPLIT = "[^0-9a-z]+"
+TOKEN_RE = "[0-9a-z]+"
 DIM = 64
 
 

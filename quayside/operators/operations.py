@@ -120,10 +120,21 @@ def drift_levels(telemetry: DataFrame, baseline: str = "trailing", baseline_days
     tm = telemetry.withColumn("_us", epoch_micros(F.col("ts")))
     w_c = Window.partitionBy("crane_id").orderBy("_us", "reading_id")
     if baseline == "trailing":
-        fr = Window.partitionBy("crane_id").orderBy("_us") \
-            .rangeBetween(-baseline_days * MICROS_PER_DAY, -1)
-        tm = tm.withColumn("_base", F.avg("vibration_g").over(fr)) \
-               .withColumn("_tbase", F.avg("temperature_c").over(fr))
+        # mean over [t - days, t): difference of two prefix sums.  Both frames
+        # start at UNBOUNDED PRECEDING, which Spark evaluates incrementally
+        # (one pass), unlike a sliding range frame that re-aggregates the
+        # whole frame for every row.  Sums are exact decimals.
+        w_o = Window.partitionBy("crane_id").orderBy("_us")
+        upto = w_o.rangeBetween(Window.unboundedPreceding, -1)
+        before = w_o.rangeBetween(Window.unboundedPreceding, -baseline_days * MICROS_PER_DAY - 1)
+        dv = F.col("vibration_g").cast("decimal(30,6)")
+        dt = F.col("temperature_c").cast("decimal(30,6)")
+        cnt = F.count("vibration_g").over(upto) - F.count("vibration_g").over(before)
+        cnt_t = F.count("temperature_c").over(upto) - F.count("temperature_c").over(before)
+        sv = F.coalesce(F.sum(dv).over(upto), F.lit(0)) - F.coalesce(F.sum(dv).over(before), F.lit(0))
+        st = F.coalesce(F.sum(dt).over(upto), F.lit(0)) - F.coalesce(F.sum(dt).over(before), F.lit(0))
+        tm = tm.withColumn("_base", F.when(cnt > 0, sv.cast("double") / cnt)) \
+               .withColumn("_tbase", F.when(cnt_t > 0, st.cast("double") / cnt_t))
     else:
         cut = F.lit(frozen_before).cast("timestamp_ntz")
         b = telemetry.filter(F.col("ts") < cut).groupBy("crane_id").agg(
@@ -133,16 +144,19 @@ def drift_levels(telemetry: DataFrame, baseline: str = "trailing", baseline_days
               for name, ratio, hours in LEVELS]
     checks.append(("Inspect-temperature",
                    F.col("temperature_c") >= F.col("_tbase") + TEMP_RISE_C, TEMP_HOURS))
-    out = None
-    for name, cond, hours in checks:
-        x = tm.select("crane_id", "reading_id", "ts", "_us",
-                      F.coalesce(cond, F.lit(False)).alias("_hit"))
-        w_h = Window.partitionBy("crane_id", "_hit").orderBy("_us", "reading_id")
-        x = x.withColumn("_grp", F.row_number().over(w_c) - F.row_number().over(w_h))
-        runs = x.filter("_hit").withColumn(
-            "_start", F.min("_us").over(Window.partitionBy("crane_id", "_grp")))
-        fired = runs.filter(F.col("_us") - F.col("_start") >= F.lit(hours * MICROS_PER_HOUR))
-        r = fired.groupBy("crane_id").agg(F.min("ts").alias("first_fire_ts")) \
-            .withColumn("level", F.lit(name))
-        out = r if out is None else out.unionByName(r)
+    # all levels in one pass: one row per reading and level, then
+    # gaps-and-islands per (crane, level)
+    lv = F.explode(F.array(*[F.struct(F.lit(n).alias("level"),
+                                      F.coalesce(c, F.lit(False)).alias("hit"),
+                                      F.lit(h * MICROS_PER_HOUR).alias("span"))
+                             for n, c, h in checks]))
+    x = tm.select("crane_id", "reading_id", "ts", "_us", lv.alias("_l")).select(
+        "crane_id", "reading_id", "ts", "_us", "_l.*")
+    w_l = Window.partitionBy("crane_id", "level").orderBy("_us", "reading_id")
+    w_h = Window.partitionBy("crane_id", "level", "hit").orderBy("_us", "reading_id")
+    x = x.withColumn("_grp", F.row_number().over(w_l) - F.row_number().over(w_h))
+    runs = x.filter("hit").withColumn(
+        "_start", F.min("_us").over(Window.partitionBy("crane_id", "level", "_grp")))
+    fired = runs.filter(F.col("_us") - F.col("_start") >= F.col("span"))
+    out = fired.groupBy("crane_id", "level").agg(F.min("ts").alias("first_fire_ts"))
     return out.select("crane_id", "level", "first_fire_ts")

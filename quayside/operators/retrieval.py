@@ -21,36 +21,54 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import DIM, token_bucket, tokens
+from ..functions.vectors import DIM, TOKEN_RE
 
 MAX_BROADCAST_QUERIES = 20_000          # x dim x 8 bytes: 10 MB at 64 dims
 
 
-def _unit_counts(dim: int):
+def _hashed_embedder(dim: int):
+    """Arrow-batched embedder: tokenise (lower-case, runs of [0-9a-z]),
+    bucket each distinct token once by MD5 (a per-task cache: the
+    vocabulary is far smaller than the token stream), count with
+    ``np.bincount`` and L2-normalise."""
+    import hashlib
+    import re
+
+    split = re.compile(TOKEN_RE)
+
     @F.pandas_udf("array<double>")
-    def unit_counts(buckets: pd.Series) -> pd.Series:
+    def embed_text(texts: pd.Series) -> pd.Series:
+        cache: dict[str, int] = {}
         out = []
-        for a in buckets:
-            if a is None or len(a) == 0:
+        for txt in texts:
+            if txt is None:
+                out.append(None)
+                continue
+            toks = split.findall(txt.lower())
+            if not toks:
                 out.append(None)
                 continue
-            c = np.bincount(np.asarray(a, dtype=np.int64), minlength=dim).astype(np.float64)
+            b = np.empty(len(toks), dtype=np.int64)
+            for i, w in enumerate(toks):
+                v = cache.get(w)
+                if v is None:
+                    if len(cache) > 1_000_000:
+                        cache.clear()
+                    v = cache[w] = int(hashlib.md5(w.encode()).hexdigest()[:4], 16) % dim
+                b[i] = v
+            c = np.bincount(b, minlength=dim).astype(np.float64)
             out.append(c / np.sqrt((c * c).sum()))
         return pd.Series(out, dtype=object)
-    return unit_counts
+    return embed_text
 
 
 def embed(df: DataFrame, key: list[str], text_col: str, dim: int = DIM,
-          out_col: str = "embedding", model=None) -> DataFrame:
-    """One L2-normalised ``array<double>`` per row of ``df`` (by ``key``).
-    Tokens and their MD5 buckets are computed by built-in expressions; the
-    bucket counts and normalisation run per row in an Arrow-batched pandas
-    UDF (``np.bincount``).  One pass, no shuffle.  Rows without any token
-    get a NULL vector."""
-    if model is not None:
-        return df.select(*key, model(F.col(text_col)).alias(out_col))
-    buckets = F.transform(tokens(F.col(text_col)), lambda w: token_bucket(w, dim))
-    return df.select(*key, _unit_counts(dim)(buckets).alias(out_col))
+          out_col: str = "embedding", model=None, keep: list[str] | None = None) -> DataFrame:
+    """One L2-normalised ``array<double>`` per row of ``df`` (by ``key``),
+    computed in a single pass with no shuffle.  Rows without any token get a
+    NULL vector.  ``model`` may be any pandas UDF from text to vector."""
+    fn = model if model is not None else _hashed_embedder(dim)
+    return df.select(*key, *(keep or []), fn(F.col(text_col)).alias(out_col))
 
 
 def _partial_topk(q_ids: np.ndarray, q_mat: np.ndarray, k: int, id_col: str, vec_col: str,
