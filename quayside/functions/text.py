@@ -23,7 +23,7 @@ EXEC_TIME = r"Execution Time:\s*([0-9.]+) ms"
 # Redaction patterns (RE2- and Java-compatible: no look-around).
 REDACT_PATTERNS = [
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"),
-    ("phone", r"\+?[0-9][0-9().-]{6,}[0-9]"),
+    ("phone", r"\+?[0-9][0-9 ().-]{6,}[0-9]"),
     ("money", r"[$€£] ?[0-9][0-9,]*(\.[0-9]+)?"),
     ("percent", r"[0-9]+(\.[0-9]+)? ?%"),
 ]

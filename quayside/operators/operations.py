@@ -112,10 +112,11 @@ def drift_levels(telemetry: DataFrame, baseline: str = "trailing", baseline_days
     """First time each response level fires per crane.
 
     Baseline ``trailing``: mean vibration over the ``baseline_days`` before
-    each reading (range frame, current reading excluded); ``frozen``: mean of
-    the readings before ``frozen_before``.  A level fires at the first reading
-    that closes a run of consecutive readings, all at or above the level,
-    spanning at least the level's hours (gaps-and-islands).  The per-crane
+    each reading (current reading excluded); ``frozen``: mean of the readings
+    before ``frozen_before``.  A level fires at the first reading that closes a
+    run of consecutive readings, all strictly above the level, spanning more
+    than the level's hours (gaps-and-islands); the single-reading level fires
+    on the first reading above it.  The per-crane
     window is bounded by sample rate x retention of one sensor."""
     tm = telemetry.withColumn("_us", epoch_micros(F.col("ts")))
     w_c = Window.partitionBy("crane_id").orderBy("_us", "reading_id")
@@ -140,10 +141,10 @@ def drift_levels(telemetry: DataFrame, baseline: str = "trailing", baseline_days
         b = telemetry.filter(F.col("ts") < cut).groupBy("crane_id").agg(
             F.avg("vibration_g").alias("_base"), F.avg("temperature_c").alias("_tbase"))
         tm = tm.join(b, "crane_id", "left")
-    checks = [(name, F.col("vibration_g") >= F.col("_base") * ratio, hours)
+    checks = [(name, F.col("vibration_g") > F.col("_base") * ratio, hours)
               for name, ratio, hours in LEVELS]
     checks.append(("Inspect-temperature",
-                   F.col("temperature_c") >= F.col("_tbase") + TEMP_RISE_C, TEMP_HOURS))
+                   F.col("temperature_c") > F.col("_tbase") + TEMP_RISE_C, TEMP_HOURS))
     # all levels in one pass: one row per reading and level, then
     # gaps-and-islands per (crane, level)
     lv = F.explode(F.array(*[F.struct(F.lit(n).alias("level"),
@@ -157,6 +158,8 @@ def drift_levels(telemetry: DataFrame, baseline: str = "trailing", baseline_days
     x = x.withColumn("_grp", F.row_number().over(w_l) - F.row_number().over(w_h))
     runs = x.filter("hit").withColumn(
         "_start", F.min("_us").over(Window.partitionBy("crane_id", "level", "_grp")))
-    fired = runs.filter(F.col("_us") - F.col("_start") >= F.col("span"))
+    # "for more than N hours"; a single reading (N = 0) fires at once
+    held = F.col("_us") - F.col("_start")
+    fired = runs.filter(F.when(F.col("span") == 0, F.lit(True)).otherwise(held > F.col("span")))
     out = fired.groupBy("crane_id", "level").agg(F.min("ts").alias("first_fire_ts"))
     return out.select("crane_id", "level", "first_fire_ts")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import documents as D
 from ..operators import retrieval as RT
+from ..sources.tables import spread
 from .registry import query
 
 # The test documents have no blank lines: a single newline separates
@@ -55,7 +56,7 @@ policies AS (SELECT c.doc_id AS filename, c.chunk_index, c.content,
 
 
 def chunks(t, limit: int = D.MAX_CHARS):
-    docs = t.documents.select("doc_id", "text")
+    docs = spread(t.documents.select("doc_id", "text"))
     return D.chunk_documents(docs, key="doc_id", text="text", sep=SEP, limit=limit)
 
 
@@ -76,7 +77,8 @@ FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lam
                                  lambda x: x <> '') AS ps FROM documents) p""")
 def paragraphs(t):
     """T4: paragraph split, trimmed, empties dropped, numbered from 0."""
-    return t.documents.select("doc_id", F.posexplode(D.paragraphs(F.col("text"), SEP))
+    return spread(t.documents.select("doc_id", "text")).select(
+        "doc_id", F.posexplode(D.paragraphs(F.col("text"), SEP))
                               .alias("para_index", "paragraph"))
 
 
@@ -151,4 +153,4 @@ def html_strip_tags(t):
 @query("html_text")
 def html_text(t):
     """HTML to text with the standard-library parser inside the tasks."""
-    return D.html_text(t.pages.select("page_id", "html")).select("page_id", "text")
+    return D.html_text(spread(t.pages.select("page_id", "html"))).select("page_id", "text")

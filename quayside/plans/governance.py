@@ -10,6 +10,7 @@ from ..operators import governance as G
 from ..operators import relational as R
 from ..sources import adapters as A
 from .billing import _base
+from ..sources.tables import spread
 from .registry import query
 from .views_sql import with_views
 
@@ -71,7 +72,8 @@ def restricted_view(t):
 def redact_pii(t):
     """Pattern redaction of e-mails, phones, money and percentages over
     whole document texts (names need a model: see ``model_batch``)."""
-    return t.documents.select("doc_id", X.redact("text").alias("redacted"))
+    return spread(t.documents.select("doc_id", "text")).select(
+        "doc_id", X.redact("text").alias("redacted"))
 
 
 def _triage_sql(text, amount):

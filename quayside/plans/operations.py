@@ -8,6 +8,7 @@ from ..operators import operations as O
 from ..operators import retrieval as RT
 from ..sources import adapters as A
 from .documents import EMB_SQL
+from ..sources.tables import spread
 from .registry import query
 from .views_sql import with_views
 
@@ -93,8 +94,8 @@ def berth_productivity(t):
 
 
 def _drift_sql(base: str) -> str:
-    levels = [(n, f"vibration_g >= base * {r}", h) for n, r, h in O.LEVELS]
-    levels.append(("Inspect-temperature", f"temperature_c >= tbase + {O.TEMP_RISE_C}", O.TEMP_HOURS))
+    levels = [(n, f"vibration_g > base * {r}", h) for n, r, h in O.LEVELS]
+    levels.append(("Inspect-temperature", f"temperature_c > tbase + {O.TEMP_RISE_C}", O.TEMP_HOURS))
     lv = " UNION ALL ".join(
         f"SELECT crane_id, reading_id, ts, us, '{n}' AS level, coalesce({c}, false) AS hit, {h} AS hours FROM b"
         for n, c, h in levels)
@@ -106,7 +107,7 @@ g AS (SELECT *, row_number() OVER (PARTITION BY crane_id, level ORDER BY us, rea
               - row_number() OVER (PARTITION BY crane_id, level, hit ORDER BY us, reading_id) AS grp FROM lv),
 r AS (SELECT *, min(us) OVER (PARTITION BY crane_id, level, grp) AS start FROM g WHERE hit)
 SELECT crane_id, level, min(ts) AS first_fire_ts FROM r
-WHERE us - start >= hours * 3600000000 GROUP BY crane_id, level""", "crane_telemetry")
+WHERE hours = 0 OR us - start > hours * 3600000000 GROUP BY crane_id, level""", "crane_telemetry")
 
 
 TRAILING = """SELECT *, avg(vibration_g) OVER w AS base, avg(temperature_c) OVER w AS tbase FROM t
@@ -144,7 +145,7 @@ WHERE rank <= 3""")
 def similar_orders(t):
     """For each question, the 3 most similar whole documents of one
     source family (prefix filter on the source, then text top-k)."""
-    d = t.documents.filter(F.col("source").startswith("src1")).select("doc_id", "text")
+    d = spread(t.documents.filter(F.col("source").startswith("src1")).select("doc_id", "text"))
     corpus = RT.embed(d.withColumnRenamed("doc_id", "id"), ["id"], "text")
     q = RT.embed(t.benchmark.select(F.col("item_id").alias("query_id"), "text"),
                  ["query_id"], "text")

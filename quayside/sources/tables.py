@@ -49,3 +49,14 @@ class Tables:
         """Expose every base table as a temp view for SQL-written operators."""
         for n in TABLES:
             getattr(self, n).createOrReplaceTempView(n)
+
+
+def spread(df: DataFrame, factor: int = 2) -> DataFrame:
+    """Give CPU-heavy per-row work (chunking, embedding, parsing) at least
+    ``factor`` tasks per core.  A text table stored in few large row groups
+    scans as few partitions; on a cluster reading many files this is a
+    no-op, because the scan already has more splits than cores."""
+    target = df.sparkSession.sparkContext.defaultParallelism * factor
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
