@@ -37,6 +37,15 @@ class Tables:
         self.spark = spark
         self.sf_dir = sf_dir
         self._cache: dict[str, DataFrame] = {}
+        self._views: dict[str, DataFrame] = {}
+
+    def view(self, name: str, build, shared: bool = False) -> DataFrame:
+        """Memoised adapter view: built once per query; ``shared`` views
+        (read by several branches of one plan) are also materialised."""
+        if name not in self._views:
+            df = build()
+            self._views[name] = materialize(df) if shared else df
+        return self._views[name]
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or name not in TABLES:
@@ -60,3 +69,23 @@ def spread(df: DataFrame, factor: int = 2) -> DataFrame:
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target)
     return df
+
+
+MATERIALIZE_CONF = "quayside.materialize"
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute a DataFrame that several branches of one plan reuse only once.
+
+    ``quayside.materialize`` selects how: ``checkpoint`` writes it to the
+    shared ``spark.checkpoint.dir`` (cuts lineage, survives executor loss),
+    ``cache`` keeps it in executor memory/disk (recomputed from lineage if an
+    executor is lost), ``none`` leaves the plan as is.
+    """
+    mode = df.sparkSession.conf.get(MATERIALIZE_CONF, "cache")
+    if mode == "checkpoint":
+        return df.checkpoint(eager=True)
+    if mode == "cache":
+        from pyspark import StorageLevel
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+    return df
