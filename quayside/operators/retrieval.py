@@ -195,3 +195,21 @@ def recall_vs_exact(approx: DataFrame, exact: DataFrame) -> DataFrame:
     hit = exact.join(approx.select("query_id", "id", F.lit(1).alias("_h")), ["query_id", "id"], "left")
     return hit.groupBy("query_id").agg(
         (F.count("_h") / F.count(F.lit(1))).alias("recall"))
+
+
+def schema_catalog(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table, column, description) rows for the columns of the given tables."""
+    spark = next(iter(tables.values())).sparkSession
+    rows = [(n, f.name, f"{n}.{f.name} {f.dataType.simpleString()} {f.name.replace('_', ' ')}")
+            for n, df in tables.items() for f in df.schema.fields]
+    return spark.createDataFrame(rows, "table_name string, column_name string, description string")
+
+
+def schema_search(catalog: DataFrame, questions: DataFrame, min_sim: float = 0.3,
+                  k: int = 8) -> DataFrame:
+    """Catalog columns relevant to each question: T10 + O6 with the
+    catalog as corpus (similarity >= 0.3, best 8)."""
+    cat = catalog.select(F.concat_ws(".", "table_name", "column_name").alias("id"), "description")
+    corpus = embed(cat, ["id"], "description")
+    q = embed(questions, ["query_id"], "question")
+    return topk(corpus, q, k=k, min_sim=min_sim)

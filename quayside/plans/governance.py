@@ -181,3 +181,18 @@ def guarded_sql(t):
     be = A.billing_events(t).withColumn("amount_usd", A.usd("amount_cents"))
     G.restricted_view(t.spark, be, "billing_restricted", G.BILLING_ALLOW)
     return G.run_guarded(t.spark, GUARDED)
+
+
+@query("triage_model")
+def triage_model(t):
+    """D11, learned backend: tokenizer -> hashing TF -> logistic regression
+    fitted on the labelled documents (toxic flag), then applied to every
+    document.  Training and scoring are distributed ML jobs."""
+    from pyspark.ml.functions import vector_to_array
+
+    labelled = t.documents.select("doc_id", "text").join(
+        t.labels.select("doc_id", F.col("toxic").cast("double").alias("label")), "doc_id")
+    model = G.triage_model(labelled, text_col="text", label_col="label")
+    scored = model.transform(spread(t.documents.select("doc_id", "text")))
+    return scored.select("doc_id", F.col("prediction").cast("int").alias("predicted_toxic"),
+                         F.round(vector_to_array("probability")[1], 6).alias("p_toxic"))

@@ -52,3 +52,10 @@ def test_rag_prompt_no_context(spark):
     chunks = spark.createDataFrame([], "id string, content string")
     p = RT.rag_prompts(qs, hits, chunks).first().prompt
     assert p.endswith("Context:\n(no context retrieved)") and "Question: why?" in p
+
+
+def test_schema_search(spark, tables):
+    cat = RT.schema_catalog({"orders": tables.orders, "customer": tables.customer})
+    qs = spark.createDataFrame([(1, "customer name"), (2, "orders orderdate")], "query_id long, question string")
+    hits = {(r.query_id, r.id) for r in RT.schema_search(cat, qs).collect()}
+    assert (1, "customer.c_name") in hits and (2, "orders.o_orderdate") in hits
