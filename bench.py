@@ -39,9 +39,14 @@ def run(spark, q, d):
 
 
 def main():
+    extra = {"spark.sql.files.maxPartitionBytes": str(64 << 20)}
+    for kv in os.environ.get("BENCH_CONF", "").split(","):
+        if "=" in kv:
+            k, v = kv.split("=", 1)
+            extra[k] = v
     spark = get_spark(f"local[{CPUS}]", app="quayside-bench",
-                      shuffle_partitions=max(8, int(CPUS) * 2),
-                      extra={"spark.sql.files.maxPartitionBytes": str(64 << 20)})
+                      shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE", max(8, int(CPUS) * 2))),
+                      extra=extra)
     reg = load_all()
     names = [n for n in reg if not ONLY or n in ONLY]
     if os.path.isdir(WARM_DIR):

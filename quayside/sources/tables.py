@@ -82,7 +82,7 @@ def materialize(df: DataFrame) -> DataFrame:
     ``cache`` keeps it in executor memory/disk (recomputed from lineage if an
     executor is lost), ``none`` leaves the plan as is.
     """
-    mode = df.sparkSession.conf.get(MATERIALIZE_CONF, "cache")
+    mode = df.sparkSession.conf.get(MATERIALIZE_CONF, "none")
     if mode == "checkpoint":
         return df.checkpoint(eager=True)
     if mode == "cache":
