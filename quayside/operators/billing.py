@@ -103,16 +103,21 @@ def billing_anomaly_scan(billing: DataFrame, tariffs: DataFrame, filed: DataFram
                      F.asc("anomaly_type")).limit(limit)
 
 
-def earliest_twin(billing: DataFrame) -> DataFrame:
+def earliest_twin(billing: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """J10 made deterministic: for every invoice, the smallest invoice id among
     its twins on the four keys (no time bound), when smaller than its own.
     A grouped min (partially aggregated before the shuffle, so a hot key costs
-    one row per map task) joined back on the keys: no pairs are built."""
-    firsts = billing.groupBy(*DUP_KEYS).agg(F.min("invoice_id").alias("_first"))
+    one row per map task) joined back on the keys: no pairs are built.
+    ``carry`` columns of the earliest twin come along as ``twin_<col>``."""
+    carry = carry or []
+    first = F.min(F.struct("invoice_id", *carry)).alias("_first")
+    firsts = billing.groupBy(*DUP_KEYS).agg(first)
     j = billing.join(firsts, DUP_KEYS, "inner")
-    return j.withColumn("twin_invoice_id",
-                        F.when(F.col("_first") < F.col("invoice_id"), F.col("_first"))
-                        ).drop("_first")
+    earlier = F.col("_first.invoice_id") < F.col("invoice_id")
+    out = j.withColumn("twin_invoice_id", F.when(earlier, F.col("_first.invoice_id")))
+    for c in carry:
+        out = out.withColumn(f"twin_{c}", F.when(earlier, F.col(f"_first.{c}")))
+    return out.drop("_first")
 
 
 def diagnose(anomalies: DataFrame, billing: DataFrame, tariffs: DataFrame) -> DataFrame:
@@ -175,16 +180,15 @@ def rate_evidence(billing: DataFrame, tariffs: DataFrame,
 
 def duplicate_evidence(billing: DataFrame) -> DataFrame:
     """Every invoice that has an earlier twin (J3, no time bound), shown
-    next to that earliest twin with whole days apart (floor of |dt|)."""
-    t = earliest_twin(billing.select(*DUP_KEYS, "invoice_id", "amount_cents", "created_ts"))
+    next to that earliest twin with whole days apart (floor of |dt|).  The
+    twin's amount and time travel through the grouped min, so no join on the
+    (possibly hot) twin id is needed."""
+    t = earliest_twin(billing.select(*DUP_KEYS, "invoice_id", "amount_cents", "created_ts"),
+                      carry=["amount_cents", "created_ts"])
     later = t.filter(F.col("twin_invoice_id").isNotNull())
-    first = billing.select(F.col("invoice_id").alias("twin_invoice_id"),
-                           F.col("amount_cents").alias("twin_cents"),
-                           F.col("created_ts").alias("twin_ts"))
-    j = later.join(first, "twin_invoice_id", "inner")
     secs = F.abs(F.unix_micros(F.col("created_ts").cast("timestamp")) -
-                 F.unix_micros(F.col("twin_ts").cast("timestamp")))
-    return j.select(
+                 F.unix_micros(F.col("twin_created_ts").cast("timestamp")))
+    return later.select(
         "invoice_id", "twin_invoice_id", *DUP_KEYS,
-        usd("amount_cents").alias("billed_usd"), usd("twin_cents").alias("twin_billed_usd"),
+        usd("amount_cents").alias("billed_usd"), usd("twin_amount_cents").alias("twin_billed_usd"),
         F.floor(secs / F.lit(86_400_000_000)).cast("bigint").alias("days_apart"))

@@ -39,14 +39,21 @@ def exclude_window(df: DataFrame, ts_col: str, day: str, h_from: int, h_to: int)
 
 
 def insert_if_absent(target: DataFrame, batch: DataFrame, key: list[str],
-                     order: list[str] | None = None) -> DataFrame:
+                     order: list | None = None) -> DataFrame:
     """S8 ``ON CONFLICT DO NOTHING``: rows of ``batch`` to append.  In-batch
-    duplicates keep the first row by ``order`` (or by all columns), and keys
-    already in ``target`` are dropped with a left-anti join."""
-    order = order or [c for c in batch.columns if c not in key]
-    w = Window.partitionBy(*key).orderBy(*order)
-    first = batch.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
-    return first.join(target.select(*key), key, "left_anti")
+    duplicates keep the first row by ``order`` (column names, ascending, or
+    ``(name, ascending)`` pairs; descending only for numeric columns; by
+    default all non-key columns ascending), and keys already in ``target``
+    are dropped with a left-anti join.  The pick is a grouped ``min_by``,
+    aggregated partially before the shuffle, so a key with a huge number of
+    copies never sits in one sort."""
+    spec = [(o, True) if isinstance(o, str) else tuple(o)
+            for o in (order or [c for c in batch.columns if c not in key])]
+    rank = F.struct(*[(F.col(c) if asc else -F.col(c)).alias(f"_o{i}")
+                      for i, (c, asc) in enumerate(spec)])
+    row = F.struct(*[c for c in batch.columns if c not in key])
+    first = batch.groupBy(*key).agg(F.min_by(row, rank).alias("_r")).select(*key, "_r.*")
+    return first.select(*batch.columns).join(target.select(*key), key, "left_anti")
 
 
 def seed_if_empty(target: DataFrame, seed: DataFrame) -> DataFrame:

@@ -204,7 +204,7 @@ def insert_if_absent(t):
     batch = batch.select("invoice_id", "anomaly_type", "variance_usd")
     filed = A.filed_recommendations(be)
     return R.insert_if_absent(filed, batch, ["invoice_id"],
-                              order=[F.asc("anomaly_type"), F.desc("variance_usd")])
+                              order=[("anomaly_type", True), ("variance_usd", False)])
 
 
 @query("seed_if_empty", with_views("""
