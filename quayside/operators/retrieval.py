@@ -111,25 +111,30 @@ def topk(corpus: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "id",
          min_sim: float | None = None, block: int = MAX_BROADCAST_QUERIES) -> DataFrame:
     """Exact cosine top-k of ``corpus`` for every query, as
     (query_id, id, sim, rank).  Order: similarity desc, then id."""
-    n_q = queries.count()
-    if n_q == 0:
-        return corpus.sparkSession.createDataFrame(
-            [], "query_id long, id long, sim double, rank int")
     id_type = dict(corpus.dtypes)[id_col]
     qid_type = dict(queries.dtypes)[qid_col]
     schema = f"query_id {qid_type}, id {id_type}, sim double"
+    q = queries.select(qid_col, qvec_col)
+    head = q.limit(block + 1).collect()          # size check and shipment in one job
+    if len(head) <= block:
+        blocks = [head]
+    else:
+        # large query sets: hash blocks of about half the bound, each checked
+        n_blocks = -(-2 * q.count() // block)
+        qb = q.withColumn("_blk", F.pmod(F.hash(qid_col), F.lit(n_blocks)))
+        blocks = []
+        for b in range(n_blocks):
+            rows = qb.filter(F.col("_blk") == b).select(qid_col, qvec_col).limit(block + 1).collect()
+            if len(rows) > block:
+                raise ValueError("query block exceeds the broadcast bound; raise the block count")
+            blocks.append(rows)
     parts = []
-    # query blocks by hash: each block holds about half the broadcast bound
-    n_blocks = 1 if n_q <= block else -(-2 * n_q // block)
-    qblocks = queries.select(qid_col, qvec_col).withColumn(
-        "_blk", F.pmod(F.hash(qid_col), F.lit(n_blocks)) if n_blocks > 1 else F.lit(0))
-    for (b,) in qblocks.select("_blk").distinct().collect():   # one iteration per query block
-        blk = qblocks.filter(F.col("_blk") == b).select(qid_col, qvec_col)
-        if n_blocks > 1 and blk.count() > block:
-            raise ValueError("query block exceeds the broadcast bound; raise the block count")
-        rows = blk.collect()                                   # size-checked above
+    for rows in blocks:
+        rows = [r for r in rows if r[1] is not None]
+        if not rows:
+            continue
         ids = np.array([r[0] for r in rows])
-        mat = np.array([list(r[1]) if r[1] is not None else [0.0] for r in rows], dtype=np.float64)
+        mat = np.array([list(r[1]) for r in rows], dtype=np.float64)
         nrm = np.linalg.norm(mat, axis=1)
         keep = nrm > 0
         ids, mat = ids[keep], mat[keep] / nrm[keep, None]

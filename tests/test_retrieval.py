@@ -59,3 +59,11 @@ def test_schema_search(spark, tables):
     qs = spark.createDataFrame([(1, "customer name"), (2, "orders orderdate")], "query_id long, question string")
     hits = {(r.query_id, r.id) for r in RT.schema_search(cat, qs).collect()}
     assert (1, "customer.c_name") in hits and (2, "orders.o_orderdate") in hits
+
+
+def test_topk_query_blocks_equal_single_block(spark, tables):
+    emb = tables.embeddings.select(F.col("vec_id").alias("id"), "embedding")
+    q = emb.limit(12).withColumnRenamed("id", "query_id")
+    one = sorted(tuple(r) for r in RT.topk(emb, q, k=3).collect())
+    blocked = sorted(tuple(r) for r in RT.topk(emb, q, k=3, block=6).collect())
+    assert one == blocked and len(one) == 36

@@ -27,3 +27,38 @@ def test_drift_stream_fires_levels(spark):
     assert ("QC3", "Watch") in got
     assert ("QC1", "Stop") in got
     assert not any(c == "QC1" and lvl == "Watch" for c, lvl in got)
+
+
+def test_ledger_stream_matches_batch_fold(spark):
+    from quayside.operators import ledger as L
+    from quayside.streaming.ledger import ledger_stream
+    d = tempfile.mkdtemp(prefix="actions-")
+    t = dt.datetime(2026, 1, 1)
+    acts = [(1, "approve", "a", t, 1), (1, "reject", "b", t + dt.timedelta(days=1), 2),
+            (2, "reject", "c", t, 3), (9, "approve", "d", t, 4),
+            (2, "approve", "e", t + dt.timedelta(days=2), 5), (3, "approve", "f", t, 6)]
+    schema = "rec_id long, action string, reviewer string, action_ts timestamp, action_id long"
+    # two files: the later actions arrive in a second micro-batch
+    spark.createDataFrame(acts[:3], schema).coalesce(1).write.parquet(os.path.join(d, "a", "1"))
+    recs = spark.createDataFrame([(1, "pending"), (2, "pending"), (3, "pending")],
+                                 "rec_id long, status string")
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(
+        os.path.join(d, "a", "*"))
+    q = (ledger_stream(src, recs).writeStream.format("memory").queryName("ledger_out")
+         .outputMode("append").option("checkpointLocation", os.path.join(d, "ck")).start())
+    q.processAllAvailable()
+    spark.createDataFrame(acts[3:], schema).coalesce(1).write.parquet(os.path.join(d, "a", "2"))
+    q.processAllAvailable()
+    q.stop()
+    out = spark.sql("SELECT * FROM ledger_out").collect()
+    final = {}
+    for r in sorted(out, key=lambda r: (r.action_ts, r.action_id)):
+        if r.outcome == "applied":
+            final[r.rec_id] = r.status
+    bad = sorted((r.action_id, r.outcome.split(":")[1]) for r in out if r.outcome != "applied")
+    a = spark.createDataFrame(acts, schema)
+    batch_state = {r.rec_id: r.status for r in L.fold_ledger(recs, a).collect()
+                   if r.status != "pending"}
+    batch_viol = sorted((r.action_id, r.reason) for r in L.violations(recs, a).collect())
+    assert final == batch_state == {1: "approved", 2: "rejected", 3: "approved"}
+    assert bad == batch_viol == [(2, "not_pending"), (4, "unknown_id"), (5, "not_pending")]
