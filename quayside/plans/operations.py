@@ -30,10 +30,11 @@ def window_vs_baseline(t):
 
 
 @query("rehandle_spike", with_views(f"""
-WITH r AS (SELECT CAST(event_ts AS DATE) AS d, hour(event_ts) AS hour FROM container_moves WHERE is_rehandle),
+WITH r AS (SELECT CAST(event_ts AS DATE) AS d, CAST(hour(event_ts) AS INTEGER) AS hour
+           FROM container_moves WHERE is_rehandle),
 per AS (SELECT d, hour, count(*) AS n FROM r GROUP BY d, hour),
 days AS (SELECT count(DISTINCT d) AS other_days FROM r WHERE d <> DATE '{DAY}'),
-g AS (SELECT hour, sum(CASE WHEN d = DATE '{DAY}' THEN n ELSE 0 END) AS window_count,
+g AS (SELECT hour, CAST(sum(CASE WHEN d = DATE '{DAY}' THEN n ELSE 0 END) AS BIGINT) AS window_count,
              sum(CASE WHEN d <> DATE '{DAY}' THEN n ELSE 0 END) AS other FROM per GROUP BY hour)
 SELECT hour, window_count, round(other / other_days, 3) AS other_days_avg,
        CASE WHEN round(other / other_days, 3) > 0 THEN round(window_count / round(other / other_days, 3), 3) END AS ratio

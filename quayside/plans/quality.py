@@ -92,8 +92,8 @@ def dq_domain(t):
 
 
 @query("dq_row_counts", " UNION ALL ".join(
-    f"SELECT '{n}' AS table_name, count(*) AS row_count, {BOUNDS[n][0]} AS min_rows, "
-    f"{BOUNDS[n][1] if BOUNDS[n][1] is not None else 'CAST(NULL AS BIGINT)'} AS max_rows, "
+    f"SELECT '{n}' AS table_name, count(*) AS row_count, CAST({BOUNDS[n][0]} AS BIGINT) AS min_rows, "
+    f"CAST({BOUNDS[n][1] if BOUNDS[n][1] is not None else 'NULL'} AS BIGINT) AS max_rows, "
     f"count(*) >= {BOUNDS[n][0]}" + (f" AND count(*) <= {BOUNDS[n][1]}" if BOUNDS[n][1] else "") +
     f" AS ok FROM {n}" for n in TABLES))
 def dq_row_counts(t):

@@ -27,7 +27,8 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
            o.o_orderdate AS created_ts
     FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey"""),
     "tariff_rates": (("billing_events",), """
-    SELECT terminal_id, tariff_code, (2 * sum(amount_cents) + count(*)) // (2 * count(*)) AS rate_cents
+    SELECT terminal_id, tariff_code,
+           CAST((2 * sum(amount_cents) + count(*)) // (2 * count(*)) AS BIGINT) AS rate_cents
     FROM billing_events GROUP BY terminal_id, tariff_code"""),
     "filed_recommendations": (("billing_events",), """
     SELECT invoice_id AS rec_id, invoice_id, 'pending' AS status,
