@@ -82,3 +82,10 @@ def test_guarded_runner_logs_rejections(spark):
     assert '"s":30.0' in log[0].result_json
     assert log[1].accepted and log[1].status.startswith("error")   # column not in the allow-list
     assert not log[2].accepted and log[2].status == "rejected"
+
+
+def test_small_text_helpers(spark):
+    df = spark.createDataFrame([("a, b ,c", "1b2c3d4e-5f60-7182", None)], "l string, sid string, n string")
+    r = df.select(X.split_list("l").alias("parts"), X.short_id("sid").alias("short"),
+                  X.pg_text("n").alias("txt")).first()
+    assert list(r.parts) == ["a", "b", "c"] and r.short == "1b2c3d4e" and r.txt == ""
