@@ -1,30 +1,10 @@
-"""Vector column helpers."""
+"""Fixed values of the default embedder.
 
-from __future__ import annotations
+Tokens are maximal runs of [0-9a-z] after lower-casing; a token's bucket is
+the first four hex digits of its MD5 read as an integer, modulo the
+dimension; the vector is the L2-normalised bucket count.  The DuckDB twin
+(``plans/documents.EMB_SQL``) computes the same vector.
+"""
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-# Fixed values of the default embedder: tokens are maximal runs of [0-9a-z]
-# after lower-casing; a token's bucket is the first four hex digits of its
-# MD5 read as an integer, modulo the dimension.
-TOKEN_SPLIT = "[^0-9a-z]+"
 TOKEN_RE = "[0-9a-z]+"
 DIM = 64
-
-
-def tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), TOKEN_SPLIT), lambda t: t != F.lit(""))
-
-
-def token_bucket(tok: Column, dim: int = DIM) -> Column:
-    return (F.conv(F.substring(F.md5(tok), 1, 4), 16, 10).cast("int") % dim).cast("int")
-
-
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two numeric arrays, in DOUBLE (NULL for a zero vector)."""
-    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")),
-                      F.lit(0.0), lambda s, v: s + v)
-    na = F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")))
-    nb = F.sqrt(F.aggregate(b, F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")))
-    return F.when((na > 0) & (nb > 0), dot / (na * nb))

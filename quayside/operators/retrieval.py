@@ -1,10 +1,9 @@
 """Embedding and similarity retrieval.
 
-* ``embed``: hashed bag-of-tokens, built from built-in functions: tokens are
-  exploded, bucketed by MD5 and counted with a partial (map-side) aggregate;
-  each chunk then owns at most ``dim`` rows, which are folded back into an
-  L2-normalised vector.  A real model plugs in through ``model=`` (a pandas
-  UDF factory) instead.
+* ``embed``: hashed bag-of-tokens in one pass with no shuffle: an
+  Arrow-batched pandas UDF tokenises each text, buckets each distinct token
+  once per task by MD5 and counts with numpy.  A real model plugs in through
+  ``model=`` (any pandas UDF from text to vector) instead.
 * ``topk``: exact cosine top-k per query.  The query set is broadcast after
   its size is checked; each task scores its corpus rows with numpy and keeps
   only its own top k per query (Arrow batches via ``mapInPandas``), so the

@@ -6,9 +6,6 @@ Prints one line per query: rows (spark/oracle), schema match, value match.
 
 from __future__ import annotations
 
-import datetime as dt
-import decimal
-import math
 import os
 import sys
 import time
@@ -18,31 +15,12 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 import duckdb  # noqa: E402
 
+from quayside.plans.compare import norm  # noqa: E402
 from quayside.plans.registry import load_all  # noqa: E402
 from quayside.session import get_spark  # noqa: E402
 from quayside.sources.tables import TABLES, Tables  # noqa: E402
 
 
-def norm(v):
-    if v is None:
-        return None
-    if isinstance(v, float):
-        if math.isnan(v):
-            return None
-        return round(v, 6) + 0.0
-    if isinstance(v, decimal.Decimal):
-        return round(float(v), 6) + 0.0
-    if isinstance(v, (dt.datetime, dt.date)):
-        return v.isoformat()
-    if isinstance(v, (list, tuple)):
-        return tuple(norm(x) for x in v)
-    if isinstance(v, dict):
-        return tuple(sorted((k, norm(x)) for k, x in v.items()))
-    if hasattr(v, "asDict"):
-        return norm(v.asDict())
-    return v
-
-
 def main():
     args = sys.argv[1:]
     sf = args[0] if args and os.path.isdir(args[0]) else "/root/testdata/sf0.01"
