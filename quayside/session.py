@@ -52,9 +52,32 @@ def get_spark(master: str | None = None, app: str = "quayside",
                 pass
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make ``quayside`` importable in the Python workers (pandas UDFs and
+    ``mapInPandas`` functions are pickled by reference to their module):
+    zip the package's sources once per SparkContext and ``addPyFile`` it."""
+    import zipfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_quayside_shipped", False):
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    fd, path = tempfile.mkstemp(prefix="quayside-", suffix=".zip")
+    os.close(fd)
+    with zipfile.ZipFile(path, "w") as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(path)
+    sc._quayside_shipped = True
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
