@@ -30,6 +30,8 @@ class RuleBackend:
     """
 
     name = "rules"
+    DIAGNOSIS = ("Billed amount differs from the contracted position; correcting it "
+                 "avoids revenue leakage.")
     _mech = re.compile(r"Mechanical recommendation:\s*(.*)")
 
     def __call__(self, prompts: pd.Series) -> pd.Series:
@@ -41,9 +43,7 @@ class RuleBackend:
         m = self._mech.search(p)
         if m:
             act = m.group(1).strip()
-            return json.dumps({"diagnosis": "Billed amount differs from the contracted "
-                                            "position; correcting it avoids revenue leakage.",
-                               "recommended_action": act})
+            return json.dumps({"diagnosis": self.DIAGNOSIS, "recommended_action": act})
         return json.dumps({"reply": p.strip().split("\n", 1)[0]})
 
 

@@ -9,7 +9,7 @@ from ..operators import ledger as L
 from ..operators import model as M
 from ..operators import relational as R
 from ..sources import adapters as A
-from .billing import DUP_ARM, FIRSTS, RATE_ARM, _base
+from .billing import DIAG, DUP_ARM, FIRSTS, RATE_ARM, _base
 from .registry import query
 from .relational import BILLING_EXTRA
 from .views_sql import with_views
@@ -171,7 +171,12 @@ def diagnosis_prompts(t):
                     "recommended_action", prompt.alias("prompt"))
 
 
-@query("model_batch")
+@query("model_batch", with_views(f"""
+SELECT invoice_id, anomaly_type, billed_usd, expected_usd, variance_usd,
+       '{M.RuleBackend.DIAGNOSIS}' AS diagnosis, recommended_action, 'pending' AS status,
+       CAST(NULL AS VARCHAR) AS model_error
+FROM ({DIAG}) d""", "billing_events", "tariff_rates", "filed_recommendations",
+                                extra=(("firsts", FIRSTS),)))
 def model_batch(t):
     """T13 + D5: one batched model stage over every diagnosis prompt, reply
     parsed (fence stripped, JSON), mechanical action as the fallback."""
