@@ -18,6 +18,8 @@ BASE_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # text UDFs move whole documents: bound Arrow batches by bytes, not only rows
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20),
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
