@@ -77,6 +77,7 @@ def duplicate_charge(billing: DataFrame, filed: DataFrame,
 
 def duplicate_pairs_from(earlier: DataFrame, later: DataFrame,
                          within_days: int = DUP_WINDOW_DAYS) -> DataFrame:
+    """Band join of candidate earlier twins against candidate later invoices."""
     b1 = earlier.select(*DUP_KEYS, F.col("invoice_id").alias("first_invoice_id"),
                         F.col("created_ts").alias("first_ts"))
     b2 = later.select(*DUP_KEYS, "invoice_id", "amount_cents", "customer_name", "created_ts")

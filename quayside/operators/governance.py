@@ -72,7 +72,7 @@ def triage(queue: DataFrame, text_col: str = "dispute_reason",
 
 
 def triage_model(labelled: DataFrame, text_col: str = "text", label_col: str = "label",
-                 num_features: int = 1 << 16):
+                 num_features: int = 1 << 14, max_iter: int = 10):
     """D11, learned backend: tokenizer -> hashing TF -> logistic regression,
     fitted on a labelled text table.  Returns the fitted pipeline model."""
     from pyspark.ml import Pipeline
@@ -81,7 +81,7 @@ def triage_model(labelled: DataFrame, text_col: str = "text", label_col: str = "
 
     tok = RegexTokenizer(inputCol=text_col, outputCol="_tokens", pattern=r"\W+")
     tf = HashingTF(inputCol="_tokens", outputCol="_features", numFeatures=num_features)
-    lr = LogisticRegression(featuresCol="_features", labelCol=label_col, maxIter=20)
+    lr = LogisticRegression(featuresCol="_features", labelCol=label_col, maxIter=max_iter)
     return Pipeline(stages=[tok, tf, lr]).fit(labelled)
 
 
