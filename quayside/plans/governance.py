@@ -128,22 +128,36 @@ def extract_ddl(t):
 
 
 GLOSSARY = """
-SELECT n.n_name AS term, 'Nation in region ' || r.r_name AS definition,
-       CASE WHEN n.n_name LIKE '% %' THEN 'two-word name' END AS note
-FROM nation n JOIN region r ON r.r_regionkey = n.n_regionkey"""
+SELECT g.tariff_code AS term,
+       'tariff billed on ' || CAST(g.n AS VARCHAR) || ' invoices, mean charge '
+         || CAST((2 * g.s + g.n) // (2 * g.n) AS VARCHAR) || ' cents' AS definition,
+       CASE WHEN r.hi * 10 > r.lo * 11 THEN 'terminal rates range from ' || CAST(r.lo AS VARCHAR)
+            || ' to ' || CAST(r.hi AS VARCHAR) || ' cents' END AS note
+FROM (SELECT tariff_code, count(*) AS n, sum(amount_cents) AS s FROM billing_events GROUP BY tariff_code) g
+JOIN (SELECT tariff_code, min(rate_cents) AS lo, max(rate_cents) AS hi FROM tariff_rates
+      GROUP BY tariff_code) r ON r.tariff_code = g.tariff_code"""
 
 
-@query("glossary_text", f"""
+@query("glossary_text", with_views(f"""
 SELECT string_agg('- ' || term || ': ' || definition || coalesce('  (Note: ' || note || ')', ''),
                   chr(10) ORDER BY term) AS glossary
-FROM ({GLOSSARY}) g""")
+FROM ({GLOSSARY}) g""", "billing_events", "tariff_rates"))
 def glossary_text(t):
-    """D21 + A7: the glossary block of a prompt (nation x region as glossary)."""
-    g = t.nation.join(t.region, t.nation.n_regionkey == t.region.r_regionkey).select(
-        F.col("n_name").alias("term"),
-        F.concat(F.lit("Nation in region "), F.col("r_name")).alias("definition"),
-        F.when(F.col("n_name").like("% %"), "two-word name").alias("note"))
-    return G.glossary_text(g)
+    """D21 + A7: the glossary block of a prompt, one term per tariff code with
+    its usage and a terminal-variance note, aggregated from the billing fact
+    (the glossary itself is bounded by the number of tariff codes)."""
+    be = A.billing_events(t)
+    g = be.groupBy("tariff_code").agg(F.count(F.lit(1)).alias("n"), F.sum("amount_cents").alias("s"))
+    r = A.tariff_rates(be).groupBy("tariff_code").agg(F.min("rate_cents").alias("lo"),
+                                                      F.max("rate_cents").alias("hi"))
+    terms = g.join(r, "tariff_code").select(
+        F.col("tariff_code").alias("term"),
+        F.concat(F.lit("tariff billed on "), F.col("n").cast("string"), F.lit(" invoices, mean charge "),
+                 F.expr("(2 * s + n) div (2 * n)").cast("string"), F.lit(" cents")).alias("definition"),
+        F.when(F.col("hi") * 10 > F.col("lo") * 11,
+               F.concat(F.lit("terminal rates range from "), F.col("lo").cast("string"),
+                        F.lit(" to "), F.col("hi").cast("string"), F.lit(" cents"))).alias("note"))
+    return G.glossary_text(terms)
 
 
 @query("activity_trace", """
