@@ -1,27 +1,34 @@
 """N5 as a streaming job: crane telemetry drift with event-time state.
 
 Readings arrive as a stream (``ts`` with a watermark).  Per crane, an
-``applyInPandasWithState`` operator keeps a bounded state: hourly (sum,
-count) buckets of the last ``baseline_days`` days for the trailing
-baseline, and for each level the start of the current run above it.  It
-emits one row per level the first time the level fires.  Late readings
-beyond the watermark are dropped by Spark; the state times out after
-``baseline_days`` without data.
+``applyInPandasWithState`` operator keeps the readings of the last
+``baseline_days`` days (numpy arrays, stored as bytes: bounded by one
+sensor's sample rate x the window) and, per level, the start of the current
+run above it.  For in-order data this reproduces the batch job
+``operators.operations.drift_levels`` exactly: baseline = mean of the
+readings in [t - days, t), runs of consecutive readings strictly above the
+level, firing when a run lasts more than the level's hours (a single
+reading for the 3x level).  Each level is emitted once per crane, the first
+time it fires.  Readings later than the watermark are dropped by Spark.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators.operations import LEVELS, TEMP_HOURS, TEMP_RISE_C
 
-OUT_SCHEMA = "crane_id string, level string, first_fire_ts timestamp"
-STATE_SCHEMA = ("hours string, starts string, fired string")
+OUT_SCHEMA = "crane_id string, level string, first_fire_ts timestamp_ntz"
+STATE_SCHEMA = "us binary, vib binary, temp binary, runs string, fired string"
 HOUR_US = 3_600_000_000
+DAY_US = 24 * HOUR_US
 
 
 def _levels():
@@ -31,53 +38,57 @@ def _levels():
 
 def drift_stream(readings: DataFrame, baseline_days: int = 7,
                  watermark: str = "2 hours") -> DataFrame:
-    """readings: (crane_id string, ts timestamp, vibration_g double,
-    temperature_c double) as a streaming DataFrame."""
-    import json
-
+    """readings: streaming (crane_id, reading_id, ts timestamp_ntz,
+    vibration_g double, temperature_c double)."""
     levels = _levels()
-    keep_hours = baseline_days * 24
+    window = baseline_days * DAY_US
 
     def step(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         if state.exists:
-            h, s, f = state.get
-            hours = {int(k): v for k, v in json.loads(h).items()}
-            starts, fired = json.loads(s), set(json.loads(f))
+            b_us, b_v, b_t, runs, fired = state.get
+            us = np.frombuffer(b_us, dtype=np.int64)
+            vib = np.frombuffer(b_v, dtype=np.float64)
+            temp = np.frombuffer(b_t, dtype=np.float64)
+            runs, fired = json.loads(runs), set(json.loads(fired))
         else:
-            hours, starts, fired = {}, {}, set()
-        pdf = pd.concat(list(pdfs)).sort_values("ts")
+            us, vib, temp = (np.empty(0, np.int64), np.empty(0), np.empty(0))
+            runs, fired = {}, set()
+        pdf = pd.concat(list(pdfs))
+        pdf["t_us"] = pdf["ts"].astype("datetime64[us]").astype("int64")
+        pdf = pdf.sort_values(["t_us", "reading_id"])
         out = []
         for r in pdf.itertuples(index=False):
-            us = int(pd.Timestamp(r.ts).value // 1000)
-            hr = us // HOUR_US
-            prior = [v for k, v in hours.items() if hr - keep_hours <= k < hr]
-            n = sum(v[1] for v in prior)
-            base_v = sum(v[0] for v in prior) / n if n else None
-            base_t = sum(v[2] for v in prior) / n if n else None
+            t = int(r.t_us)
+            sel = (us >= t - window) & (us < t)
+            n = int(sel.sum())
+            base_v = float(vib[sel].sum()) / n if n else None
+            base_t = float(temp[sel].sum()) / n if n else None
             for name, kind, ratio, rise, span in levels:
                 base, x = (base_v, r.vibration_g) if kind == "v" else (base_t, r.temperature_c)
                 hit = base is not None and x is not None and x > base * ratio + rise
                 if not hit:
-                    starts.pop(name, None)
+                    runs.pop(name, None)
                     continue
-                st = starts.setdefault(name, us)
-                if name not in fired and (span == 0 or us - st > span * HOUR_US):
+                start = runs.setdefault(name, t)
+                if name not in fired and (span == 0 or t - start > span * HOUR_US):
                     fired.add(name)
                     out.append((key[0], name, r.ts))
-            b = hours.setdefault(hr, [0.0, 0, 0.0])
-            b[0] += r.vibration_g or 0.0
-            b[1] += 1
-            b[2] += r.temperature_c or 0.0
-            for k in [k for k in hours if k < hr - keep_hours]:
-                del hours[k]
-        state.update((json.dumps(hours), json.dumps(starts), json.dumps(sorted(fired))))
+            us = np.append(us, t)
+            vib = np.append(vib, r.vibration_g)
+            temp = np.append(temp, r.temperature_c)
+        keep = us >= (us.max() - window if len(us) else 0)
+        us, vib, temp = us[keep], vib[keep], temp[keep]
+        state.update((us.tobytes(), vib.tobytes(), temp.tobytes(), json.dumps(runs),
+                      json.dumps(sorted(fired))))
         state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + baseline_days * 86_400_000)
         if out:
             yield pd.DataFrame(out, columns=["crane_id", "level", "first_fire_ts"])
 
-    return (readings.withWatermark("ts", watermark).groupBy("crane_id")
+    # watermarks need TIMESTAMP; the session zone is UTC, so the cast keeps the instant
+    timed = readings.withColumn("_event_time", F.col("ts").cast("timestamp"))
+    return (timed.withWatermark("_event_time", watermark).groupBy("crane_id")
             .applyInPandasWithState(step, OUT_SCHEMA, STATE_SCHEMA, "append",
                                     GroupStateTimeout.EventTimeTimeout))

@@ -4,31 +4,57 @@ import tempfile
 
 from quayside.streaming.drift import drift_stream
 
-SCHEMA = "crane_id string, ts timestamp, vibration_g double, temperature_c double"
+SCHEMA = ("crane_id string, reading_id long, ts timestamp_ntz, vibration_g double, "
+          "temperature_c double")
 
 
-def test_drift_stream_fires_levels(spark):
+def _run_stream(spark, df, name, slices=4):
+    """Feed ``df`` as ``slices`` time-ordered files, one micro-batch each."""
+    import time
+    from pyspark.sql import functions as F
     d = tempfile.mkdtemp(prefix="telemetry-")
+    lo, hi = df.agg(F.min("ts"), F.max("ts")).first()
+    step = (hi - lo) / slices
+    for i in range(slices):
+        a, b = lo + step * i, (lo + step * (i + 1) if i < slices - 1 else hi + dt.timedelta(seconds=1))
+        part = df.filter((F.col("ts") >= F.lit(a)) & (F.col("ts") < F.lit(b)))
+        part.coalesce(1).write.parquet(os.path.join(d, "in", f"s{i:03d}"))
+        time.sleep(0.05)                      # distinct file modification times
+    src = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(
+        os.path.join(d, "in", "*"))
+    q = (drift_stream(src).writeStream.format("memory").queryName(name)
+         .outputMode("append").option("checkpointLocation", os.path.join(d, "ck")).start())
+    q.processAllAvailable()
+    q.stop()
+    return {(r.crane_id, r.level, r.first_fire_ts) for r in spark.sql(f"SELECT * FROM {name}").collect()}
+
+
+def test_drift_stream_fires_levels(spark):
     t0 = dt.datetime(2026, 6, 1)
-    rows = []
+    rows, rid = [], 0
     for h in range(24 * 10):                       # 10 days hourly, steady then drifting
         t = t0 + dt.timedelta(hours=h)
         v = 0.36 if h < 24 * 7 else 0.36 * 1.8
-        rows.append(("QC3", t, v, 55.0))
-        rows.append(("QC1", t, 0.35, 55.0))
-    rows.append(("QC1", t0 + dt.timedelta(days=9, hours=1), 2.0, 55.0))   # single spike > 3x
-    spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(os.path.join(d, "p"))
-    src = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(os.path.join(d, "p"))
-    q = (drift_stream(src).writeStream.format("memory").queryName("drift_out")
-         .outputMode("append").option("checkpointLocation", os.path.join(d, "ck")).start())
-    q.processAllAvailable()
-    q.stop()
-    got = {(r.crane_id, r.level) for r in spark.sql("SELECT * FROM drift_out").collect()}
+        rows += [("QC3", rid, t, v, 55.0), ("QC1", rid + 1, t, 0.35, 55.0)]
+        rid += 2
+    rows.append(("QC1", rid, t0 + dt.timedelta(days=9, minutes=30), 2.0, 55.0))  # single spike > 3x
+    got = {(c, lvl) for c, lvl, _ in _run_stream(spark, spark.createDataFrame(rows, SCHEMA), "drift_a")}
     assert ("QC3", "Watch") in got
     assert ("QC1", "Stop") in got
     assert not any(c == "QC1" and lvl == "Watch" for c, lvl in got)
 
 
+def test_drift_stream_equals_batch(spark, tables):
+    """In-order stream over the adapter telemetry == the batch job."""
+    from quayside.operators import operations as O
+    from quayside.sources import adapters as A
+    tel = A.crane_telemetry(tables).select("crane_id", "reading_id", "ts", "vibration_g",
+                                           "temperature_c")
+    batch = {(r.crane_id, r.level, r.first_fire_ts) for r in O.drift_levels(tel).collect()}
+    stream = _run_stream(spark, tel, "drift_b")
+    assert stream == batch and len(batch) > 0
+
+
 def test_ledger_stream_matches_batch_fold(spark):
     from quayside.operators import ledger as L
     from quayside.streaming.ledger import ledger_stream
