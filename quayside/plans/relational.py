@@ -228,10 +228,11 @@ def assign_ids(t):
     """Dense ids continuing after the largest filed id, in invoice order."""
     be = A.billing_events(t)
     filed = A.filed_recommendations(be)
-    start = filed.agg(F.max("rec_id")).first()[0] or 0
     new = be.select("invoice_id").join(filed.select("invoice_id"), "invoice_id",
                                        "left_anti").distinct()
-    return R.assign_ids(new, ["invoice_id"], start=start)
+    start = filed.agg(F.coalesce(F.max("rec_id"), F.lit(0)).alias("_start"))   # one row
+    ids = R.assign_ids(new, ["invoice_id"], start=0)
+    return ids.crossJoin(start).select("invoice_id", (F.col("id") + F.col("_start")).alias("id"))
 
 
 BILLING_EXTRA = T.StructType([
