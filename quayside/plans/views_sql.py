@@ -6,7 +6,7 @@ it needs become CTEs in dependency order in front of the body.
 
 from __future__ import annotations
 
-from ..sources.adapters import DISPUTE_TEXT
+from ..sources.adapters import BERTHS, CRANES, DISPUTE_TEXT, ETD_DAYS, FILED_BEFORE, TERMINAL_BUCKET
 
 K = "CAST(json_extract_string(props, '$.k') AS INTEGER)"
 DISPUTE = "CASE o.o_orderpriority " + " ".join(
@@ -30,41 +30,41 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     SELECT terminal_id, tariff_code,
            CAST((2 * sum(amount_cents) + count(*)) // (2 * count(*)) AS BIGINT) AS rate_cents
     FROM billing_events GROUP BY terminal_id, tariff_code"""),
-    "filed_recommendations": (("billing_events",), """
+    "filed_recommendations": (("billing_events",), f"""
     SELECT invoice_id AS rec_id, invoice_id, 'pending' AS status,
            created_ts + INTERVAL 1 DAY AS detected_at
-    FROM billing_events WHERE created_ts < TIMESTAMP '1996-01-01'"""),
-    "review_actions": (("billing_events",), """
+    FROM billing_events WHERE created_ts < TIMESTAMP '{FILED_BEFORE}'"""),
+    "review_actions": (("billing_events",), f"""
     SELECT rec_id, action, reviewer, action_ts, rec_id * 10 + seq AS action_id FROM (
       SELECT invoice_id AS rec_id,
              CASE WHEN order_status = 'F' THEN 'approve' ELSE 'reject' END AS action,
              'reviewer-' || CAST(terminal_id AS VARCHAR) AS reviewer,
              created_ts + INTERVAL 2 DAY AS action_ts, 1 AS seq
       FROM billing_events
-      WHERE created_ts < TIMESTAMP '1996-01-01' AND order_status IN ('F', 'O')
+      WHERE created_ts < TIMESTAMP '{FILED_BEFORE}' AND order_status IN ('F', 'O')
       UNION ALL
       SELECT invoice_id, CASE WHEN order_status = 'F' THEN 'reject' ELSE 'approve' END,
              'reviewer-late', created_ts + INTERVAL 3 DAY, 2
       FROM billing_events
-      WHERE created_ts < TIMESTAMP '1996-01-01' AND tariff_code = '1-URGENT') a"""),
+      WHERE created_ts < TIMESTAMP '{FILED_BEFORE}' AND tariff_code = '1-URGENT') a"""),
     "container_moves": ((), f"""
-    SELECT event_id AS move_id, CAST(floor({K} / 25) AS INTEGER) AS terminal_id,
+    SELECT event_id AS move_id, CAST(floor({K} / {TERMINAL_BUCKET}) AS INTEGER) AS terminal_id,
            user_id AS container_id, event_type AS move_type, ts AS event_ts,
-           'QC' || CAST({K} % 6 AS VARCHAR) AS crane_id, event_type = 'error' AS is_rehandle
+           'QC' || CAST({K} % {CRANES} AS VARCHAR) AS crane_id, event_type = 'error' AS is_rehandle
     FROM events"""),
     "gate_transactions": ((), f"""
-    SELECT event_id AS txn_id, CAST(floor({K} / 25) AS INTEGER) AS terminal_id,
+    SELECT event_id AS txn_id, CAST(floor({K} / {TERMINAL_BUCKET}) AS INTEGER) AS terminal_id,
            user_id AS truck_id, ts AS gate_in_ts, value AS turn_time_minutes,
            event_type AS move_type
     FROM events"""),
     "crane_telemetry": ((), f"""
-    SELECT event_id AS reading_id, 'QC' || CAST(user_id % 6 AS VARCHAR) AS crane_id, ts,
+    SELECT event_id AS reading_id, 'QC' || CAST(user_id % {CRANES} AS VARCHAR) AS crane_id, ts,
            value AS vibration_g, CAST(40 AS DOUBLE) + CAST({K} AS DOUBLE) / 10 AS temperature_c
     FROM events"""),
-    "berth_calls": ((), """
-    SELECT l_orderkey AS call_id, 'B' || CAST(l_orderkey % 8 AS VARCHAR) AS berth_id,
+    "berth_calls": ((), f"""
+    SELECT l_orderkey AS call_id, 'B' || CAST(l_orderkey % {BERTHS} AS VARCHAR) AS berth_id,
            min(l_shipdate) AS actual_arrival,
-           min(l_shipdate) + INTERVAL 365 DAY AS etd,
+           min(l_shipdate) + INTERVAL {ETD_DAYS} DAY AS etd,
            max(l_shipdate) AS actual_departure,
            sum(l_quantity) AS moves, count(*) AS n_lines
     FROM lineitem GROUP BY l_orderkey"""),
