@@ -76,7 +76,7 @@ def leakage(state: DataFrame) -> DataFrame:
 def audit_rows(state: DataFrame, actions: DataFrame) -> DataFrame:
     """One audit row per diagnosis (model call) and per applied review."""
     diag = state.select(
-        F.col("detected_at").alias("called_at"), F.lit("app_intel_diagnose").alias("function_name"),
+        F.col("detected_at").alias("called_at"), F.lit("diagnose").alias("function_name"),
         F.lit("rules").alias("model_name"), F.col("invoice_id").cast("string").alias("subject_id"),
         F.col("recommended_action").alias("input_summary"),
         F.col("recommended_action").alias("output_summary"))
@@ -87,7 +87,7 @@ def audit_rows(state: DataFrame, actions: DataFrame) -> DataFrame:
     money = lambda c: F.format_string("%.2f", F.col(c))
     rows = rv.select(
         F.col("action_ts").alias("called_at"),
-        F.when(ap, "app_intel_approve").otherwise("app_intel_reject").alias("function_name"),
+        F.when(ap, "approve").otherwise("reject").alias("function_name"),
         F.lit("system").alias("model_name"), F.col("invoice_id").cast("string").alias("subject_id"),
         F.when(ap, F.format_string("billed $%s vs. expected $%s (reviewer: %s)",
                                    money("billed_usd"), money("expected_usd"), F.col("reviewer")))

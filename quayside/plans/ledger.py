@@ -103,7 +103,7 @@ def apply_updates(t):
 
 
 AUDIT = """
-SELECT detected_at AS called_at, 'app_intel_diagnose' AS function_name, 'rules' AS model_name,
+SELECT detected_at AS called_at, 'diagnose' AS function_name, 'rules' AS model_name,
        CAST(invoice_id AS VARCHAR) AS subject_id, action AS input_summary, action AS output_summary
 FROM (SELECT s.*, CASE WHEN s.anomaly_type = 'duplicate_charge' THEN
               printf('Void %s as a duplicate of %s and credit the customer $%s.',
@@ -119,7 +119,7 @@ FROM (SELECT s.*, CASE WHEN s.anomaly_type = 'duplicate_charge' THEN
       JOIN firsts fi ON fi.terminal_id = be.terminal_id AND fi.container_id = be.container_id
        AND fi.move_type = be.move_type AND fi.tariff_code = be.tariff_code) d
 UNION ALL
-SELECT fa.action_ts, CASE WHEN fa.action = 'approve' THEN 'app_intel_approve' ELSE 'app_intel_reject' END,
+SELECT fa.action_ts, CASE WHEN fa.action = 'approve' THEN 'approve' ELSE 'reject' END,
        'system', CAST(r.invoice_id AS VARCHAR),
        CASE WHEN fa.action = 'approve' THEN printf('billed $%s vs. expected $%s (reviewer: %s)',
                  printf('%.2f', r.billed_usd), printf('%.2f', r.expected_usd), fa.reviewer)
