@@ -16,6 +16,11 @@ from .joins import MICROS_PER_DAY, band_join
 #   duplicates are rows equal on terminal, container, move type and tariff code
 #   whose created times are less than 14 days apart; the later invoice id is the
 #   duplicate; the scan keeps the 10 largest variances.
+#   the mechanical recommendation sentences of the diagnosis step.
+ACTION_VOID = "Void %s as a duplicate of %s and credit the customer $%s."
+ACTION_OVER = "Overbilled by $%s vs. the standard %s rate ($%s) -- issue a credit down to $%s."
+ACTION_UNDER = ("Underbilled by $%s vs. the standard %s rate ($%s) -- recover the shortfall, "
+                "correcting the invoice to $%s.")
 ABS_FLOOR_CENTS = 5000
 REL_PCT = 15
 DUP_WINDOW_DAYS = 14
@@ -140,15 +145,14 @@ def diagnose(anomalies: DataFrame, billing: DataFrame, tariffs: DataFrame) -> Da
     j = j.withColumn("expected_cents", expected).withColumn("variance_cents", variance)
     money = lambda c: F.format_string("%.2f", usd(c))
     action = (
-        F.when(dup, F.format_string("Void %s as a duplicate of %s and credit the customer $%s.",
+        F.when(dup, F.format_string(ACTION_VOID,
                                     F.col("invoice_id").cast("string"),
                                     F.col("twin_invoice_id").cast("string"), money("amount_cents")))
         .when(F.col("variance_cents") > 0, F.format_string(
-            "Overbilled by $%s vs. the standard %s rate ($%s) -- issue a credit down to $%s.",
+            ACTION_OVER,
             money("variance_cents"), F.col("tariff_code"), money("rate_cents"), money("rate_cents")))
         .when(F.col("rate_cents").isNotNull(), F.format_string(
-            "Underbilled by $%s vs. the standard %s rate ($%s) -- recover the shortfall, "
-            "correcting the invoice to $%s.",
+            ACTION_UNDER,
             money(F.abs(F.col("variance_cents"))), F.col("tariff_code"),
             money("rate_cents"), money("rate_cents"))))
     return j.select(

@@ -16,6 +16,12 @@ from pyspark.sql import functions as F
 
 _FIRST = "first_action"
 
+# Audit summaries of a review (reference wording).
+AUDIT_APPROVE_IN = "billed $%s vs. expected $%s (reviewer: %s)"
+AUDIT_APPROVE_OUT = "approved -- $%s benefit realized"
+AUDIT_REJECT_IN = "human reviewer %s rejected the recommendation"
+AUDIT_REJECT_OUT = "no change made to billing_events"
+
 
 def first_actions(actions: DataFrame) -> DataFrame:
     """The applying action per recommendation: min over (ts, id).  A grouped
@@ -89,12 +95,12 @@ def audit_rows(state: DataFrame, actions: DataFrame) -> DataFrame:
         F.col("action_ts").alias("called_at"),
         F.when(ap, "approve").otherwise("reject").alias("function_name"),
         F.lit("system").alias("model_name"), F.col("invoice_id").cast("string").alias("subject_id"),
-        F.when(ap, F.format_string("billed $%s vs. expected $%s (reviewer: %s)",
+        F.when(ap, F.format_string(AUDIT_APPROVE_IN,
                                    money("billed_usd"), money("expected_usd"), F.col("reviewer")))
-        .otherwise(F.format_string("human reviewer %s rejected the recommendation",
+        .otherwise(F.format_string(AUDIT_REJECT_IN,
                                    F.col("reviewer"))).alias("input_summary"),
-        F.when(ap, F.format_string("approved -- $%s benefit realized", money("variance_usd")))
-        .otherwise(F.lit("no change made to billing_events")).alias("output_summary"))
+        F.when(ap, F.format_string(AUDIT_APPROVE_OUT, money("variance_usd")))
+        .otherwise(F.lit(AUDIT_REJECT_OUT)).alias("output_summary"))
     return diag.unionByName(rows)
 
 

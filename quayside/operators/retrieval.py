@@ -23,6 +23,10 @@ from pyspark.sql import functions as F
 from ..functions.vectors import DIM, TOKEN_RE
 
 MAX_BROADCAST_QUERIES = 20_000          # x dim x 8 bytes: 10 MB at 64 dims
+# The answer-prompt instruction; retrieved texts are joined
+# with a line holding "---" (see ``rag_prompts``).
+RAG_INSTRUCTION = ("Answer the question using only the context below. If the context does not "
+                   "contain the answer, say so.")
 
 
 def _hashed_embedder(dim: int):
@@ -162,8 +166,7 @@ def rag_prompts(questions: DataFrame, hits: DataFrame, chunks: DataFrame,
         "string_agg(_txt, '\\n---\\n') WITHIN GROUP (ORDER BY rank)").alias("context"))
     q = questions.select(F.col(qid_col), F.col(qtext_col).alias("_q")).join(ctx, qid_col, "left")
     prompt = F.concat(
-        F.lit("Answer the question using only the context below. If the context does not "
-              "contain the answer, say so.\n\nQuestion: "), F.col("_q"),
+        F.lit(RAG_INSTRUCTION + "\n\nQuestion: "), F.col("_q"),
         F.lit("\n\nContext:\n"), F.coalesce(F.col("context"), F.lit("(no context retrieved)")))
     return q.select(qid_col, prompt.alias("prompt"))
 

@@ -102,17 +102,17 @@ def apply_updates(t):
                       "corrected_usd", "correction_status")
 
 
-AUDIT = """
+AUDIT = f"""
 SELECT detected_at AS called_at, 'diagnose' AS function_name, 'rules' AS model_name,
        CAST(invoice_id AS VARCHAR) AS subject_id, action AS input_summary, action AS output_summary
 FROM (SELECT s.*, CASE WHEN s.anomaly_type = 'duplicate_charge' THEN
-              printf('Void %s as a duplicate of %s and credit the customer $%s.',
+              printf('{B.ACTION_VOID}',
                      CAST(s.invoice_id AS VARCHAR), CAST(fi.first_id AS VARCHAR), printf('%.2f', s.billed_usd))
             WHEN s.variance_usd > 0 THEN
-              printf('Overbilled by $%s vs. the standard %s rate ($%s) -- issue a credit down to $%s.',
+              printf('{B.ACTION_OVER}',
                      printf('%.2f', s.variance_usd), be.tariff_code, printf('%.2f', s.expected_usd), printf('%.2f', s.expected_usd))
             ELSE
-              printf('Underbilled by $%s vs. the standard %s rate ($%s) -- recover the shortfall, correcting the invoice to $%s.',
+              printf('{B.ACTION_UNDER}',
                      printf('%.2f', abs(s.variance_usd)), be.tariff_code, printf('%.2f', s.expected_usd), printf('%.2f', s.expected_usd))
        END AS action
       FROM state s JOIN billing_events be ON be.invoice_id = s.invoice_id
@@ -121,11 +121,11 @@ FROM (SELECT s.*, CASE WHEN s.anomaly_type = 'duplicate_charge' THEN
 UNION ALL
 SELECT fa.action_ts, CASE WHEN fa.action = 'approve' THEN 'approve' ELSE 'reject' END,
        'system', CAST(r.invoice_id AS VARCHAR),
-       CASE WHEN fa.action = 'approve' THEN printf('billed $%s vs. expected $%s (reviewer: %s)',
+       CASE WHEN fa.action = 'approve' THEN printf('{L.AUDIT_APPROVE_IN}',
                  printf('%.2f', r.billed_usd), printf('%.2f', r.expected_usd), fa.reviewer)
-            ELSE printf('human reviewer %s rejected the recommendation', fa.reviewer) END,
-       CASE WHEN fa.action = 'approve' THEN printf('approved -- $%s benefit realized', printf('%.2f', r.variance_usd))
-            ELSE 'no change made to billing_events' END
+            ELSE printf('{L.AUDIT_REJECT_IN}', fa.reviewer) END,
+       CASE WHEN fa.action = 'approve' THEN printf('{L.AUDIT_APPROVE_OUT}', printf('%.2f', r.variance_usd))
+            ELSE '{L.AUDIT_REJECT_OUT}' END
 FROM fa JOIN recs r ON r.rec_id = fa.rec_id"""
 
 

@@ -69,9 +69,9 @@ def chunk_hits(t, k, min_sim=None):
     return corpus, RT.topk(emb, q, k=k, min_sim=min_sim)
 
 
-@query("rag_prompt", rec("""
+@query("rag_prompt", rec(f"""
 SELECT q.item_id AS query_id,
-       'Answer the question using only the context below. If the context does not contain the answer, say so.'
+       '{RT.RAG_INSTRUCTION}'
        || chr(10) || chr(10) || 'Question: ' || q.text || chr(10) || chr(10) || 'Context:' || chr(10)
        || coalesce(h.context, '(no context retrieved)') AS prompt
 FROM benchmark q LEFT JOIN (
