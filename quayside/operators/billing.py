@@ -126,13 +126,16 @@ def earliest_twin(billing: DataFrame, carry: list[str] | None = None) -> DataFra
     return out.drop("_first")
 
 
-def diagnose(anomalies: DataFrame, billing: DataFrame, tariffs: DataFrame) -> DataFrame:
+def diagnose(anomalies: DataFrame, billing: DataFrame, tariffs: DataFrame,
+             keep: list[str] | None = None) -> DataFrame:
     """Re-diagnose each scanned invoice.  Duplicate when any earlier twin
     exists (no time bound); else rate deviation with a signed variance.  The
     action sentence follows the sign.  Rows with no tariff keep a NULL
     expected amount and are flagged ``rejected_reason`` (the reference's
-    NOT NULL insert would fail on them)."""
-    inv = anomalies.select("invoice_id", F.col("anomaly_type").alias("scan_type")).distinct()
+    NOT NULL insert would fail on them).  ``keep`` columns of ``anomalies``
+    are passed through."""
+    keep = keep or []
+    inv = anomalies.select("invoice_id", F.col("anomaly_type").alias("scan_type"), *keep).distinct()
     twins = earliest_twin(billing.select(*DUP_KEYS, "invoice_id", "amount_cents",
                                          "customer_name"))
     j = inv.join(twins, "invoice_id", "inner").join(
@@ -156,7 +159,7 @@ def diagnose(anomalies: DataFrame, billing: DataFrame, tariffs: DataFrame) -> Da
             money(F.abs(F.col("variance_cents"))), F.col("tariff_code"),
             money("rate_cents"), money("rate_cents"))))
     return j.select(
-        "invoice_id", "scan_type",
+        "invoice_id", "scan_type", *keep,
         F.when(dup, "duplicate_charge").otherwise("rate_deviation").alias("anomaly_type"),
         "twin_invoice_id",
         usd("amount_cents").alias("billed_usd"), usd("expected_cents").alias("expected_usd"),

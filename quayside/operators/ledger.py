@@ -32,8 +32,9 @@ def first_actions(actions: DataFrame) -> DataFrame:
 
 
 def fold_ledger(recs: DataFrame, actions: DataFrame) -> DataFrame:
-    """Current state per recommendation: status, reviewer, resolved time."""
-    first = first_actions(actions.join(recs.select("rec_id"), "rec_id", "left_semi"))
+    """Current state per recommendation: status, reviewer, resolved time.
+    Actions on unknown ids fall away in the left join (they are violations)."""
+    first = first_actions(actions)
     j = recs.join(first, "rec_id", "left")
     a = F.col(f"{_FIRST}.action")
     status = F.when(a == "approve", "approved").when(a == "reject", "rejected") \
@@ -79,29 +80,25 @@ def leakage(state: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("approved"))
 
 
-def audit_rows(state: DataFrame, actions: DataFrame) -> DataFrame:
-    """One audit row per diagnosis (model call) and per applied review."""
+def audit_rows(state: DataFrame) -> DataFrame:
+    """One audit row per diagnosis (model call) and per applied review;
+    the applied reviews are read off the folded state (status, reviewer,
+    resolution time), so the actions are not folded a second time."""
     diag = state.select(
         F.col("detected_at").alias("called_at"), F.lit("diagnose").alias("function_name"),
         F.lit("rules").alias("model_name"), F.col("invoice_id").cast("string").alias("subject_id"),
         F.col("recommended_action").alias("input_summary"),
         F.col("recommended_action").alias("output_summary"))
-    first = first_actions(actions).select("rec_id", F.col(f"{_FIRST}.*"))
-    rv = first.join(state.select("rec_id", "invoice_id", "billed_usd", "expected_usd",
-                                 "variance_usd"), "rec_id")
-    ap = F.col("action") == "approve"
+    rv = state.filter(F.col("status") != "pending")
+    ap = F.col("status") == "approved"
     money = lambda c: F.format_string("%.2f", F.col(c))
     rows = rv.select(
-        F.col("action_ts").alias("called_at"),
+        F.col("resolved_at").alias("called_at"),
         F.when(ap, "approve").otherwise("reject").alias("function_name"),
         F.lit("system").alias("model_name"), F.col("invoice_id").cast("string").alias("subject_id"),
-        F.when(ap, F.format_string(AUDIT_APPROVE_IN,
-                                   money("billed_usd"), money("expected_usd"), F.col("reviewer")))
-        .otherwise(F.format_string(AUDIT_REJECT_IN,
-                                   F.col("reviewer"))).alias("input_summary"),
+        F.when(ap, F.format_string(AUDIT_APPROVE_IN, money("billed_usd"), money("expected_usd"),
+                                   F.col("reviewed_by")))
+        .otherwise(F.format_string(AUDIT_REJECT_IN, F.col("reviewed_by"))).alias("input_summary"),
         F.when(ap, F.format_string(AUDIT_APPROVE_OUT, money("variance_usd")))
         .otherwise(F.lit(AUDIT_REJECT_OUT)).alias("output_summary"))
     return diag.unionByName(rows)
-
-
-

@@ -44,8 +44,9 @@ CTES = (("firsts", FIRSTS), ("recs", RECS), ("fa", FIRST_ACTIONS), ("state", STA
 
 def recs(t):
     be, tr, filed = _base(t)
-    d = B.diagnose(filed.select("invoice_id", F.lit("filed").alias("anomaly_type")), be, tr)
-    return filed.join(d.drop("scan_type"), "invoice_id")
+    filed = filed.withColumn("anomaly_type", F.lit("filed"))
+    d = B.diagnose(filed, be, tr, keep=["rec_id", "status", "detected_at"])
+    return d.drop("scan_type")
 
 
 def state(t):
@@ -132,7 +133,7 @@ FROM fa JOIN recs r ON r.rec_id = fa.rec_id"""
 @query("audit_log", with_views(AUDIT, *VIEWS, extra=CTES))
 def audit_log(t):
     """One audit row per diagnosis and per applied review."""
-    return L.audit_rows(state(t), A.review_actions(A.billing_events(t)))
+    return L.audit_rows(state(t))
 
 
 @query("open_disputes", with_views("""
