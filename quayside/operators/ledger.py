@@ -81,24 +81,26 @@ def leakage(state: DataFrame) -> DataFrame:
 
 
 def audit_rows(state: DataFrame) -> DataFrame:
-    """One audit row per diagnosis (model call) and per applied review;
-    the applied reviews are read off the folded state (status, reviewer,
-    resolution time), so the actions are not folded a second time."""
-    diag = state.select(
+    """One audit row per diagnosis (model call) and per applied review.
+    Both come from one pass over the folded state (status, reviewer,
+    resolution time): each recommendation yields its diagnosis row and, when
+    reviewed, its review row, through ``explode``."""
+    ap = F.col("status") == "approved"
+    money = lambda c: F.format_string("%.2f", F.col(c))
+    subject = F.col("invoice_id").cast("string")
+    diag = F.struct(
         F.col("detected_at").alias("called_at"), F.lit("diagnose").alias("function_name"),
-        F.lit("rules").alias("model_name"), F.col("invoice_id").cast("string").alias("subject_id"),
+        F.lit("rules").alias("model_name"), subject.alias("subject_id"),
         F.col("recommended_action").alias("input_summary"),
         F.col("recommended_action").alias("output_summary"))
-    rv = state.filter(F.col("status") != "pending")
-    ap = F.col("status") == "approved"
-    money = lambda c: F.format_string("%.2f", F.col(c))
-    rows = rv.select(
+    review = F.struct(
         F.col("resolved_at").alias("called_at"),
         F.when(ap, "approve").otherwise("reject").alias("function_name"),
-        F.lit("system").alias("model_name"), F.col("invoice_id").cast("string").alias("subject_id"),
+        F.lit("system").alias("model_name"), subject.alias("subject_id"),
         F.when(ap, F.format_string(AUDIT_APPROVE_IN, money("billed_usd"), money("expected_usd"),
                                    F.col("reviewed_by")))
         .otherwise(F.format_string(AUDIT_REJECT_IN, F.col("reviewed_by"))).alias("input_summary"),
         F.when(ap, F.format_string(AUDIT_APPROVE_OUT, money("variance_usd")))
         .otherwise(F.lit(AUDIT_REJECT_OUT)).alias("output_summary"))
-    return diag.unionByName(rows)
+    rows = F.when(F.col("status") != "pending", F.array(diag, review)).otherwise(F.array(diag))
+    return state.select(F.explode(rows).alias("a")).select("a.*")
