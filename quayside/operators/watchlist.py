@@ -66,3 +66,36 @@ def rewrite_clustered(fact: DataFrame, column: str, out_path: str, files: int) -
     so min/max statistics let equality filters skip files."""
     (fact.repartitionByRange(files, column).sortWithinPartitions(column)
      .write.mode("overwrite").parquet(out_path))
+
+
+def scan_rows_read(df: DataFrame) -> tuple[int, int]:
+    """Run ``df`` (a distributed count of its own plan; no rows to the
+    driver) and return (rows read, files listed) summed over its file scans,
+    from the scans' SQL metrics.  Row groups skipped by min/max statistics
+    are not read, so a layout clustered on the filter column reads fewer."""
+    qe = df._jdf.queryExecution()
+    qe.toRdd().count()
+    plan = qe.executedPlan()
+    if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        plan = plan.executedPlan()
+    rows = files = 0
+    it = plan.collectLeaves().iterator()
+    while it.hasNext():
+        node = it.next()
+        m = node.metrics()
+        if m.contains("numOutputRows") and "Scan" in node.getClass().getSimpleName():
+            rows += int(m.get("numOutputRows").get().value())
+            if m.contains("numFiles"):
+                files += int(m.get("numFiles").get().value())
+    return rows, files
+
+
+def compare_layouts(spark, before_path: str, after_path: str, column: str, value) -> DataFrame:
+    """D20 after approval: rows read by the same equality filter on the old
+    and the clustered copy.  One row per layout."""
+    out = []
+    for name, path in (("before", before_path), ("after", after_path)):
+        df = spark.read.parquet(path).filter(F.col(column) == F.lit(value))
+        rows, files = scan_rows_read(df)
+        out.append((name, rows, files))
+    return spark.createDataFrame(out, "layout string, rows_read long, files long")
