@@ -136,11 +136,14 @@ def diagnose(anomalies: DataFrame, billing: DataFrame, tariffs: DataFrame,
     are passed through."""
     keep = keep or []
     inv = anomalies.select("invoice_id", F.col("anomaly_type").alias("scan_type"), *keep).distinct()
-    twins = earliest_twin(billing.select(*DUP_KEYS, "invoice_id", "amount_cents",
-                                         "customer_name"))
-    j = inv.join(twins, "invoice_id", "inner").join(
-        tariffs.select("terminal_id", "tariff_code", "rate_cents"),
-        ["terminal_id", "tariff_code"], "left")
+    # narrow to the scanned invoices first, then look up their keys' first invoice:
+    # the keys join is as large as the anomaly set, not the fact
+    rows = inv.join(billing.select(*DUP_KEYS, "invoice_id", "amount_cents"), "invoice_id")
+    firsts = billing.groupBy(*DUP_KEYS).agg(F.min("invoice_id").alias("_first"))
+    j = rows.join(firsts, DUP_KEYS).withColumn(
+        "twin_invoice_id", F.when(F.col("_first") < F.col("invoice_id"), F.col("_first")))
+    j = j.join(tariffs.select("terminal_id", "tariff_code", "rate_cents"),
+               ["terminal_id", "tariff_code"], "left")
     dup = F.col("twin_invoice_id").isNotNull()
     expected = F.when(dup, F.lit(0)).otherwise(F.col("rate_cents"))
     variance = F.when(dup, F.col("amount_cents")).otherwise(
