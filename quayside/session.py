@@ -59,13 +59,15 @@ def get_spark(master: str | None = None, app: str = "quayside",
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make ``quayside`` importable in the Python workers (pandas UDFs and
-    ``mapInPandas`` functions are pickled by reference to their module):
-    zip the package's sources once per SparkContext and ``addPyFile`` it."""
+    """Make ``quayside`` importable in the Python workers of a local session
+    (pandas UDFs and ``mapInPandas`` functions are pickled by reference to
+    their module): zip the package's sources once per SparkContext and
+    ``addPyFile`` it.  On a cluster the package is shipped at submit time
+    (``--py-files quayside.zip`` or installed on the executors) instead."""
     import zipfile
 
     sc = spark.sparkContext
-    if getattr(sc, "_quayside_shipped", False):
+    if getattr(sc, "_quayside_shipped", False) or not sc.master.startswith("local"):
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
     fd, path = tempfile.mkstemp(prefix="quayside-", suffix=".zip")
