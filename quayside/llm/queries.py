@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, token_files
+from . import (factor_quality, host_rules, interpolation, language_codes, packing, spaced_seeds,
+               token_files, warc)
 from .common import prepare, table
 
 
@@ -13,6 +14,28 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return spaced_seeds.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op2_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return host_rules.judge(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "rules_failed", "host_docs", "host_failures", "host_verdict", "kept")
+
+
+def op4_warc_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return warc.archive(table(spark, sf_dir, "pages"), least=100)
+
+
+def op5_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return interpolation.interpolated_scores(table(spark, sf_dir, "documents"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     manifest = token_files.write_token_files(table(spark, sf_dir, "documents"),
@@ -20,15 +43,34 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(manifest)
 
 
+def op7_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return language_codes.identify(table(spark, sf_dir, "documents"))
+
+
 def op9_first_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return packing.pack(table(spark, sf_dir, "documents"),
                         tokenizer_file("word_bpe_49k.json"), end_id=1, capacity=2048)
 
 
+def op10_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return factor_quality.quality_scores(table(spark, sf_dir, "documents"),
+                                         table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
+    "op1_spaced_seed_decontamination": op1_spaced_seed_decontamination,
+    "op2_host_rules": op2_host_rules,
+    "op4_warc_members": op4_warc_members,
+    "op5_deleted_interpolation": op5_deleted_interpolation,
     "op6_token_files": op6_token_files,
+    "op7_language_codes": op7_language_codes,
     "op9_first_fit_packing": op9_first_fit_packing,
+    "op10_factorisation_machine": op10_factorisation_machine,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_host_rules": host_rules.ORACLE,
+}

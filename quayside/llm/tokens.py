@@ -13,8 +13,8 @@ import os
 import re
 import struct
 
-#: Words kept per generation of the cache (two generations are alive at most).
-CACHE_WORDS = 300_000
+#: Words whose ids a worker keeps; beyond that it starts afresh.
+CACHE_WORDS = 800_000
 
 #: Both vocabularies also split between a letter or digit and the ASCII signs after it.
 TAIL = re.compile(r"(.*[^\W_])([.,;:!?*$%&|#<>]+)", re.DOTALL)
@@ -33,7 +33,9 @@ class WordTokenizer:
     """``ids(texts)`` gives, per text, its ids as little-endian uint32 bytes.
 
     ``blanks`` says whether the vocabulary encodes blanks (byte-level) or drops
-    them (word ends).  NULL counts as the empty text.
+    them (word ends).  NULL counts as the empty text.  The cache maps a word to its
+    ids; with ``blanks`` these are the ids of the word after a blank, and a word with
+    a line feed before it stands for both.  ``None`` marks what is not a plain word.
     """
 
     def __init__(self, path: str, blanks: bool):
@@ -42,63 +44,76 @@ class WordTokenizer:
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.blanks = blanks
-        self.fresh: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.cache: dict[str, bytes | None] = {}
         self.line_feed = self.encode(["\n"])[0] if blanks else b""
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return [struct.pack(f"<{len(e.ids)}I", *e.ids)
                 for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def find(self, piece: str) -> bytes | None:
-        known = self.fresh.get(piece)
-        if known is None:
-            known = self.old.get(piece)
-            if known is not None:
-                self.fresh[piece] = known
-        return known
-
-    def learn(self, pieces: set[str]) -> dict[str, bytes]:
-        """Make the cache hold every piece, and give it."""
-        if len(self.fresh) > CACHE_WORDS:
-            self.old, self.fresh = self.fresh, {}
-        split, missing = [], set()
-        for p in pieces:
-            if self.find(p) is None:
-                m = TAIL.fullmatch(p)
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words with their marks: a line feed before, or the blank left out."""
+        if not self.blanks:
+            return self.encode(words)
+        found = self.encode([w[1:] if w[0] == "\n" else " " + w for w in words])
+        return [self.line_feed + x if w[0] == "\n" else x for w, x in zip(words, found)]
+
+    def learn(self, words: set[str]) -> None:
+        """Put every word into the cache."""
+        stems, split = set(), []
+        tails = set()
+        for w in words:
+            bare = w[1:] if self.blanks and w[0:1] == "\n" else w
+            if not bare and not self.blanks:
+                self.cache[w] = b""
+            elif len(bare.split()) != 1 or bare.strip() != bare:
+                self.cache[w] = None
+            else:
+                m = TAIL.fullmatch(w)
                 if m:
-                    split.append((p, *m.groups()))
-                missing.update(x for x in (m.groups() if m else (p,)) if self.find(x) is None)
-        todo = list(missing)
+                    split.append((w, *m.groups()))
+                    tails.add(m.group(2))
+                stem = m.group(1) if m else w
+                if self.cache.get(stem) is None:
+                    stems.add(stem)
+        todo, ends = list(stems), list(tails)
         for at in range(0, len(todo), 5000):
             part = todo[at:at + 5000]
-            self.fresh.update(zip(part, self.encode(part)))
-        for p, stem, tail in split:
-            self.fresh[p] = self.fresh[stem] + self.fresh[tail]
-        return self.fresh
+            self.cache.update(zip(part, self.encode_words(part)))
+        after = dict(zip(ends, self.encode(ends)))
+        for w, stem, tail in split:
+            self.cache[w] = self.cache[stem] + after[tail]
+
+    def words(self, text: str) -> list[str]:
+        if self.blanks:
+            return text.replace("\n", " \n").split(" ")
+        return text.replace("\n", " ").split(" ")
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(texts)
-        plain, whole, pieces = [], [], set()
+        if len(self.cache) > CACHE_WORDS:
+            self.cache.clear()
+        out: list[bytes] = []
+        later, missing = [], set()
         for i, text in enumerate(texts):
+            out.append(b"")
             if not text:
                 continue
-            if len(text.split()) != 1 + text.count(" ") + text.count("\n"):
-                whole.append(i)
-                continue
-            if self.blanks:
-                lines = [("\n" + line).replace(" ", "\n ").split("\n")[1:]
-                         for line in text.split("\n")]
-                for line in lines:
-                    pieces.update(line)
-            else:
-                lines = text.split()
-                pieces.update(lines)
-            plain.append((i, lines))
-        get = self.learn(pieces).__getitem__
-        for i, lines in plain:
-            out[i] = (self.line_feed.join([b"".join(map(get, line)) for line in lines])
-                      if self.blanks else b"".join(map(get, lines)))
-        for i in whole:
-            out[i] = self.encode([texts[i]])[0]
+            words = self.words("\n" + text if self.blanks else text)[self.blanks:]
+            found = list(map(self.cache.get, words))
+            try:
+                out[i] = b"".join(found)
+            except TypeError:
+                missing.update(w for w, x in zip(words, found) if x is None)
+                later.append((i, words))
+        if missing:
+            self.learn(missing)
+        for i, words in later:
+            try:
+                out[i] = b"".join(map(self.cache.get, words))
+            except TypeError:  # white space that is not a single blank or line feed
+                whole = self.encode([texts[i]])[0]
+                out[i] = self.line_feed + whole
+        if self.blanks:
+            cut = len(self.line_feed)
+            out = [x[cut:] for x in out]
         return out
