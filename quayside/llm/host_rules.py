@@ -136,8 +136,8 @@ WITH d AS (
          row_number() OVER () AS r
   FROM documents),
 w AS (
-  SELECT r, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), s -> s <> '') AS w,
-         list_filter(string_split(t, chr(10)), s -> regexp_matches(s, '[^\x20\x09-\x0D]')) AS l
+  SELECT r, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda s: s <> '') AS w,
+         list_filter(string_split(t, chr(10)), lambda s: regexp_matches(s, '[^\x20\x09-\x0D]')) AS l
   FROM d),
 win AS (
   SELECT r, i, array_to_string(w[i:i + 7], ' ') AS s
