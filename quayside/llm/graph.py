@@ -10,6 +10,13 @@ from .common import stored
 SALTS = 16
 
 
+def join_stored(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Join many rows per key (``left``) with one row per key (``right``).  The right side
+    is stored first: both sides then come from an exchange of their own, and adaptive
+    execution can split the rows of a frequent key over tasks."""
+    return left.join(stored(right, "join-side"), key, how)
+
+
 def salted_join(left: DataFrame, right: DataFrame, key: str, spread: str, how: str = "inner",
                 salts: int = SALTS) -> DataFrame:
     """Join many rows per key (``left``) with one row per key (``right``): the left rows of

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (factor_quality, host_rules, interpolation, language_codes, packing, spaced_seeds,
-               token_files, warc)
+from . import (factor_quality, host_rules, interpolation, language_codes, line_join, packing,
+               signature_trees, spaced_seeds, token_files, warc)
 from .common import prepare, table
 
 
@@ -26,6 +26,11 @@ def op2_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_failed", "rules_failed", "host_docs", "host_failures", "host_verdict", "kept")
 
 
+def op3_line_similarity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return line_join.line_verdicts(table(spark, sf_dir, "documents"))
+
+
 def op4_warc_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return warc.archive(table(spark, sf_dir, "pages"), least=100)
@@ -48,6 +53,12 @@ def op7_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_codes.identify(table(spark, sf_dir, "documents"))
 
 
+def op8_signature_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return signature_trees.similar_groups(table(spark, sf_dir, "documents"), size=3, num=90, den=100) \
+        .drop("first")
+
+
 def op9_first_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return packing.pack(table(spark, sf_dir, "documents"),
@@ -63,10 +74,12 @@ def op10_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_spaced_seed_decontamination": op1_spaced_seed_decontamination,
     "op2_host_rules": op2_host_rules,
+    "op3_line_similarity_join": op3_line_similarity_join,
     "op4_warc_members": op4_warc_members,
     "op5_deleted_interpolation": op5_deleted_interpolation,
     "op6_token_files": op6_token_files,
     "op7_language_codes": op7_language_codes,
+    "op8_signature_tree_join": op8_signature_tree_join,
     "op9_first_fit_packing": op9_first_fit_packing,
     "op10_factorisation_machine": op10_factorisation_machine,
 }

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import partitions, prepare, shared_folder, stored
-from .graph import components, salted_join
+from .graph import components, join_stored
 from .text_arrays import mix, pack, unpack
 from .word_blocks import read_block, write_blocks
 
@@ -256,7 +256,7 @@ def open_cells(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
         .withColumn("label", F.coalesce("label", "k"))
     cells = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("lo"),
                                     F.max("label").alias("hi")).filter("lo <> hi")
-    return salted_join(rows, cells.select("key", "size"), "key", "k")
+    return join_stored(rows, cells.select("key", "size"), "key")
 
 
 def star_edges(cells: DataFrame, turn: int, num: int, den: int) -> DataFrame:
@@ -267,7 +267,7 @@ def star_edges(cells: DataFrame, turn: int, num: int, den: int) -> DataFrame:
         "m", F.xxhash64("key", "k", F.lit(turn)).alias("x"), "k", "n", "label")).alias("centre")) \
         .select("key", F.col("centre.k").alias("a"), F.col("centre.n").alias("an"),
                 F.col("centre.label").alias("al"))
-    met = salted_join(cells, centre, "key", "k").filter(
+    met = join_stored(cells, centre, "key").filter(
         (F.col("label") != F.col("al")) & (den * F.col("n") >= num * F.col("an"))
         & (den * F.col("an") >= num * F.col("n")))
     return met.groupBy("k", "a").agg(F.count(F.lit(1)).alias("times")) \
@@ -368,7 +368,7 @@ def tree_edges(cells: DataFrame, homes: DataFrame, size: int, num: int, den: int
         .select("k", "n", "label",
                 F.xxhash64("key", F.least("page", "other"), F.greatest("page", "other")).alias("cell"),
                 F.when(F.col("page") <= F.col("other"), 0).otherwise(1).alias("side"))
-    rows = salted_join(dealt, bitmaps, "k", "cell").withColumn("task", F.pmod("cell", F.lit(tasks)))
+    rows = join_stored(dealt, bitmaps, "k").withColumn("task", F.pmod("cell", F.lit(tasks)))
 
     def work(pdf):
         import pandas as pd
@@ -390,8 +390,8 @@ def grown(labels: DataFrame | None, links: DataFrame) -> DataFrame:
         return stored(components(links), "labels")
     named = links
     for side in ("a", "b"):
-        named = salted_join(named, labels.select(F.col("node").alias(side), F.col("label").alias("l")),
-                            side, "b" if side == "a" else "a", "left") \
+        named = named.join(labels.select(F.col("node").alias(side), F.col("label").alias("l")),
+                           side, "left") \
             .withColumn(side, F.coalesce("l", side)).drop("l")
     merged = components(named)
     old = labels.join(merged.select(F.col("node").alias("label"), F.col("label").alias("to")),
@@ -430,8 +430,8 @@ def similar_groups(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100
     named = classes.select("c", "k", "m", "rep").join(
         labels.withColumnRenamed("node", "k"), "k", "left").withColumn("label", F.coalesce("label", "k"))
     leader = named.groupBy("label").agg(F.min("rep").alias("lead"))
-    by_class = salted_join(named, leader, "label", "k").select("c", "m", "lead")
-    grouped = salted_join(full, by_class, "c", "row").select(
+    by_class = join_stored(named, leader, "label").select("c", "m", "lead")
+    grouped = join_stored(full, by_class, "c").select(
         "doc_id", F.col("n").alias("n_shingles"), F.col("lead.doc_id").alias("component_id"),
         F.col("m").alias("copies"),
         ((F.col("lead.block") == F.col("block")) & (F.col("lead.row") == F.col("row"))).alias("first"))
