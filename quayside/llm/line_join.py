@@ -199,9 +199,9 @@ def line_verdicts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
         F.col("like.line_no").cast("long").alias("like_line_no"))
 
 
-def kept_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, kept, dropped): per document that loses a line, the numbers of the lines to
-    drop, and whether any line with a word stays."""
+def cut_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per document that loses a line: doc, dropped (numbers of the lines that go) and
+    some_left (whether any line with a word stays)."""
     lines, first = similar_lines(docs, doc_id, text)
     slim = lines.select(F.xxhash64("line").alias("id"), "doc", "line_no")
     verdict = first.select("id", F.struct("doc", "line_no").alias("place"), F.col("of").isNotNull().alias("bad"))
