@@ -199,7 +199,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id",
                         (F.pmod(id_crc(F.col(doc_id)), F.lit(FOLDS)) == HELD_OUT).alias("held_out"))
     rows, label = sample_rows(plain, labels)
     share = float(label.mean()) if len(label) else 0.5
-    machine = Machine().fit(rows, label) if 0 < share < 1 else None
+    machine = Machine().fit(rows, label) if len(label) and 0 < share < 1 else None
 
     def predict(batches):
         import pyarrow as pa

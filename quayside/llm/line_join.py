@@ -113,7 +113,7 @@ def central_pairs(lines: DataFrame) -> DataFrame:
                           F.explode(F.array("g1", "g2")).alias("g"))
     centre = groups.groupBy("g").agg(
         F.count(F.lit(1)).alias("size"), F.max(F.struct(
-            "copies", (-F.col("doc")).alias("x"), "id", "doc", "line_no", "n", "bits")).alias("c")) \
+            "copies", F.bitwise_not("doc").alias("x"), "id", "doc", "line_no", "n", "bits")).alias("c")) \
         .filter("size > 1").select("g", "c.id", "c.doc", "c.line_no", "c.n", "c.bits")
     packed = centre.select("g", F.struct("id", "doc", "line_no", "n", "bits").alias("x"))
     met = join_stored(groups.select("g", F.struct("id", "doc", "line_no", "n", "bits").alias("y")),
