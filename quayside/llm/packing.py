@@ -74,7 +74,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int,
         tok, end = loaded(tokenizer_path, blanks=False), struct.pack("<I", end_id)
         for batch in batches:
             found = []
-            for i, raw in zip(batch.column(0).to_pylist(), tok.ids(batch.column(1).to_pylist())):
+            for i, raw in zip(batch.column(0).to_pylist(), tok.ids(batch.column(1))):
                 raw += end
                 total = len(raw) // 4
                 for start in range(0, total, capacity):

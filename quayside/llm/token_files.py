@@ -126,7 +126,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 0,
                 fs, path = open_fs(uri)
                 fs.create_dir(path.rpartition("/")[0], recursive=True)
                 out = FrameWriter(fs.open_output_stream(path, compression=None))
-            for i, raw in zip(batch.column(0).to_pylist(), tok.ids(batch.column(1).to_pylist())):
+            for i, raw in zip(batch.column(0).to_pylist(), tok.ids(batch.column(1))):
                 out.add(i, raw + end)
                 n += len(raw) // 4 + 1
         if out is not None:

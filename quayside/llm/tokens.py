@@ -1,42 +1,61 @@
-"""Exact tokenisation with the ``tokenizers`` library, with a bounded word cache.
-
-Both vocabularies split a text at white space before any merge, so the ids of a
-text are the ids of its words one after the other.  Words recur far more often
-than they are new; a worker therefore keeps the ids of recent words.  Texts whose
-white space is anything but single blanks and line feeds between words go to the
-library whole, so the result never depends on the cache.
+"""Exact tokenisation with the ``tokenizers`` library, with a bounded cache of pieces.
+
+Both vocabularies split a text at white space, and after a letter or digit at certain
+ASCII signs, before any merge; so the ids of a text are the ids of such pieces one after
+the other.  Pieces recur far more often than they are new: the pieces of many texts are
+found with numpy (as spans and 64-bit hashes), the different ones looked up, and only
+unknown ones go to the library.  Texts with any other white space than the vocabulary's
+rule allows for go to the library whole.
 """
 
 from __future__ import annotations
 
 import os
-import re
-import struct
+from array import array
+from itertools import repeat
+
+import numpy as np
+
+from .text_arrays import FOLD, KEEP, SEPARATOR, chunks, mix, powers, raw_rows
 
-#: Words whose ids a worker keeps; beyond that it starts afresh.
-CACHE_WORDS = 800_000
+#: Pieces whose ids a worker keeps; beyond that it starts afresh.
+CACHE_PIECES = 1_000_000
 
-#: Both vocabularies also split between a letter or digit and the ASCII signs after it.
-TAIL = re.compile(r"(.*[^\W_])([.,;:!?*$%&|#<>]+)", re.DOTALL)
+#: ASCII signs that part from a letter or digit before them.
+SIGNS = np.zeros(256, bool)
+SIGNS[[ord(c) for c in ".,;:!?*$%&|#<>"]] = True
+ALNUM = np.array([b < 128 and chr(b).isalnum() for b in range(256)])
 
-_LOADED: dict[tuple[str, bool], "WordTokenizer"] = {}
+_LOADED: dict[tuple[str, bool], "PieceTokenizer"] = {}
 
 
-def loaded(path: str, blanks: bool) -> "WordTokenizer":
-    """The worker's tokenizer for a file, so that later tasks find its words."""
+def loaded(path: str, blanks: bool) -> "PieceTokenizer":
+    """The worker's tokenizer for a file, so that later tasks find its pieces."""
     if (path, blanks) not in _LOADED:
-        _LOADED[path, blanks] = WordTokenizer(path, blanks)
+        _LOADED[path, blanks] = PieceTokenizer(path, blanks)
     return _LOADED[path, blanks]
 
 
-class WordTokenizer:
-    """``ids(texts)`` gives, per text, its ids as little-endian uint32 bytes.
+def wide_blanks(data: np.ndarray) -> np.ndarray:
+    """Places of white space beyond ASCII, and of the separators 0x1C to 0x1F."""
+    at = [np.flatnonzero((data >= 0x1C) & (data <= 0x1F))]
+    lead = np.flatnonzero((data == 0xC2) | (data == 0xE1) | (data == 0xE2) | (data == 0xE3))
+    if len(lead):
+        padded = np.append(data, [0, 0]).astype(np.int64)
+        a, b, c = padded[lead], padded[lead + 1], padded[lead + 2]
+        found = (a == 0xC2) & ((b == 0x85) | (b == 0xA0))
+        found |= (a == 0xE1) & (b == 0x9A) & (c == 0x80)
+        found |= (a == 0xE2) & (b == 0x80) & ((c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF))
+        found |= (a == 0xE2) & (b == 0x81) & (c == 0x9F)
+        found |= (a == 0xE3) & (b == 0x80) & (c == 0x80)
+        at.append(lead[found])
+    return np.concatenate(at)
 
-    ``blanks`` says whether the vocabulary encodes blanks (byte-level) or drops
-    them (word ends).  NULL counts as the empty text.  The cache maps a word to its
-    ids; with ``blanks`` these are the ids of the word after a blank, and a word with
-    a line feed before it stands for both.  ``None`` marks what is not a plain word.
-    """
+
+class PieceTokenizer:
+    """``ids(array)`` yields, per text of an Arrow array, its ids as little-endian uint32
+    bytes.  ``blanks`` says whether the vocabulary encodes white space (byte-level) or
+    drops it and folds case (word ends).  NULL counts as the empty text."""
 
     def __init__(self, path: str, blanks: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -44,76 +63,97 @@ class WordTokenizer:
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.blanks = blanks
-        self.cache: dict[str, bytes | None] = {}
-        self.line_feed = self.encode(["\n"])[0] if blanks else b""
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return [struct.pack(f"<{len(e.ids)}I", *e.ids)
-                for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode_words(self, words: list[str]) -> list[bytes]:
-        """Ids of words with their marks: a line feed before, or the blank left out."""
-        if not self.blanks:
-            return self.encode(words)
-        found = self.encode([w[1:] if w[0] == "\n" else " " + w for w in words])
-        return [self.line_feed + x if w[0] == "\n" else x for w, x in zip(words, found)]
-
-    def learn(self, words: set[str]) -> None:
-        """Put every word into the cache."""
-        stems, split = set(), []
-        tails = set()
-        for w in words:
-            bare = w[1:] if self.blanks and w[0:1] == "\n" else w
-            if not bare and not self.blanks:
-                self.cache[w] = b""
-            elif len(bare.split()) != 1 or bare.strip() != bare:
-                self.cache[w] = None
-            else:
-                m = TAIL.fullmatch(w)
-                if m:
-                    split.append((w, *m.groups()))
-                    tails.add(m.group(2))
-                stem = m.group(1) if m else w
-                if self.cache.get(stem) is None:
-                    stems.add(stem)
-        todo, ends = list(stems), list(tails)
-        for at in range(0, len(todo), 5000):
-            part = todo[at:at + 5000]
-            self.cache.update(zip(part, self.encode_words(part)))
-        after = dict(zip(ends, self.encode(ends)))
-        for w, stem, tail in split:
-            self.cache[w] = self.cache[stem] + after[tail]
-
-    def words(self, text: str) -> list[str]:
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[int, int] = {}
+        self.flat, self.start = array("I"), array("q", [0])
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def pieces(self, data: np.ndarray, bounds: np.ndarray):
+        """Spans and keys of the pieces, and the rows that are not plain."""
+        n = len(data)
+        apart = SEPARATOR[data]
+        edge = np.zeros(n + 1, bool)
+        edge[bounds] = True
+        before, after = np.empty(n, bool), np.empty(n, bool)
+        before[0], after[-1] = True, True
+        before[1:], after[:-1] = apart[:-1], apart[1:]
+        before |= edge[:-1]
+        after |= edge[1:]
+        odd = wide_blanks(data)
         if self.blanks:
-            return text.replace("\n", " \n").split(" ")
-        return text.replace("\n", " ").split(" ")
-
-    def ids(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        out: list[bytes] = []
-        later, missing = [], set()
-        for i, text in enumerate(texts):
-            out.append(b"")
-            if not text:
-                continue
-            words = self.words("\n" + text if self.blanks else text)[self.blanks:]
-            found = list(map(self.cache.get, words))
-            try:
-                out[i] = b"".join(found)
-            except TypeError:
-                missing.update(w for w, x in zip(words, found) if x is None)
-                later.append((i, words))
-        if missing:
-            self.learn(missing)
-        for i, words in later:
-            try:
-                out[i] = b"".join(map(self.cache.get, words))
-            except TypeError:  # white space that is not a single blank or line feed
-                whole = self.encode([texts[i]])[0]
-                out[i] = self.line_feed + whole
+            wrong = apart & (before | after | ((data != 0x20) & (data != 0x0A)))
+            odd = np.concatenate([odd, np.flatnonzero(wrong)])
+        # a sign after an ASCII letter or digit, or after a letter U+00C0 to U+00FF
+        letter = ALNUM[data]
+        latin = np.zeros(n, bool)
+        latin[1:] = (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+        sign = np.zeros(n, bool)
+        sign[1:] = SIGNS[data[1:]] & (letter | latin)[:-1]
+        sign &= ~edge[:-1]
+        first = ~apart & (before | sign)
+        last = ~apart & after
+        last[:-1] |= sign[1:]
+        if self.blanks:  # a line feed is a piece of its own
+            feed = data == 0x0A
+            first, last = first | feed, last | feed
+        starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+        fold = KEEP if self.blanks else FOLD
+        power, inverse = powers(n)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum((fold[data].astype(np.uint64) + np.uint64(1)) * power, out=sums[1:])
+        keys = mix((sums[ends] - sums[starts]) * inverse[starts])
+        spaced = np.zeros(len(starts), bool)
         if self.blanks:
-            cut = len(self.line_feed)
-            out = [x[cut:] for x in out]
-        return out
+            spaced = (starts > 0) & (data[starts - 1] == 0x20) & ~edge[starts]
+            keys = np.where(spaced, mix(keys, 1), keys)
+        rows = np.unique(np.searchsorted(bounds, odd, "right") - 1)
+        return starts, ends, keys, spaced, rows
+
+    def look_up(self, data, starts, ends, keys, spaced):
+        """(ids, ids per piece)."""
+        if len(self.known) > CACHE_PIECES:
+            self.forget()
+        different, which = np.unique(keys, return_inverse=True)
+        place = np.fromiter(map(self.known.get, different.tolist(), repeat(-1)), np.int64, len(different))
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            some = np.empty(len(different), np.int64)
+            some[which] = np.arange(len(which))
+            raw, at = data.tobytes(), some[new]
+            texts = [(" " if s else "") + raw[a:b].decode() for a, b, s in
+                     zip(starts[at].tolist(), ends[at].tolist(), spaced[at].tolist())]
+            place[new] = len(self.known) + np.arange(len(new))
+            self.known.update(zip(different[new].tolist(), place[new].tolist()))
+            for k in range(0, len(texts), 5000):
+                for ids in self.encode(texts[k:k + 5000]):
+                    self.flat.extend(ids)
+                    self.start.append(len(self.flat))
+        start = np.frombuffer(self.start, np.int64)
+        begin = start[place][which]
+        size = start[place + 1][which] - begin
+        total = np.cumsum(size)
+        flat = np.frombuffer(self.flat, np.uint32) if len(self.flat) else np.zeros(0, np.uint32)
+        take = np.repeat(begin - (total - size), size) + np.arange(total[-1] if len(total) else 0)
+        return flat[take], size
+
+    def ids(self, texts):
+        data, bounds = raw_rows(texts)
+        for at, to in chunks(bounds):
+            part, own = data[bounds[at]:bounds[to]], bounds[at:to + 1] - bounds[at]
+            if not len(part):
+                yield from repeat(b"", to - at)
+                continue
+            starts, ends, keys, spaced, odd = self.pieces(part, own)
+            ids, size = self.look_up(part, starts, ends, keys, spaced)
+            ends_of = np.concatenate([[0], np.cumsum(size)])[np.searchsorted(starts, own)]
+            whole = set(odd.tolist())
+            for row in range(to - at):
+                if row in whole:
+                    text = part[own[row]:own[row + 1]].tobytes().decode()
+                    yield np.array(self.encode([text])[0], np.uint32).tobytes()
+                else:
+                    yield ids[ends_of[row]:ends_of[row + 1]].tobytes()
