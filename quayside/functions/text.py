@@ -23,7 +23,11 @@ EXEC_TIME = r"Execution Time:\s*([0-9.]+) ms"
 # Redaction patterns (RE2- and Java-compatible: no look-around).
 REDACT_PATTERNS = [
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"),
-    ("phone", r"\+?[0-9][0-9 ().-]{6,}[0-9]"),
+    # a country code or an area code in brackets before the groups, or three groups of
+    # 3, 3 and 4 digits: plain digit runs and dotted quads are not phone numbers
+    ("phone", r"\+[0-9]{1,3}[ .-]?(\([0-9]{1,4}\)|[0-9]{1,4})([ .-]?[0-9]{2,4}){1,4}\b"
+              r"|\([0-9]{2,4}\) ?[0-9]{3,4}[ .-]?[0-9]{3,4}\b"
+              r"|\b[0-9]{3}[ -][0-9]{3}[ -][0-9]{4}\b"),
     ("money", r"[$€£] ?[0-9][0-9,]*(\.[0-9]+)?"),
     ("percent", r"[0-9]+(\.[0-9]+)? ?%"),
 ]

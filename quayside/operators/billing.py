@@ -44,7 +44,12 @@ def tariff_join(billing: DataFrame, tariffs: DataFrame) -> DataFrame:
     return billing.join(tariffs, ["terminal_id", "tariff_code"], "inner")
 
 
-def rate_deviation(billing: DataFrame, tariffs: DataFrame, filed: DataFrame,
+def not_filed(billing: DataFrame, filed: DataFrame | None) -> DataFrame:
+    """Invoices without a recommendation on file (all, if no set is given)."""
+    return billing if filed is None else billing.join(filed.select("invoice_id"), "invoice_id", "left_anti")
+
+
+def rate_deviation(billing: DataFrame, tariffs: DataFrame, filed: DataFrame | None,
                    abs_floor_cents: int = ABS_FLOOR_CENTS, rel_pct: int = REL_PCT) -> DataFrame:
     """Undisputed invoices off their tariff by more than the threshold and
     not already filed.  Variance is absolute."""
@@ -52,7 +57,7 @@ def rate_deviation(billing: DataFrame, tariffs: DataFrame, filed: DataFrame,
         "invoice_id", "terminal_id", "tariff_code", "amount_cents", "customer_name")
     j = tariff_join(b, tariffs.select("terminal_id", "tariff_code", "rate_cents"))
     j = j.filter(deviation_condition(abs_floor_cents=abs_floor_cents, rel_pct=rel_pct))
-    j = j.join(filed.select("invoice_id"), "invoice_id", "left_anti")
+    j = not_filed(j, filed)
     return j.select(
         "invoice_id", F.lit("rate_deviation").alias("anomaly_type"),
         usd("amount_cents").alias("billed_usd"), usd("rate_cents").alias("expected_usd"),
@@ -66,12 +71,11 @@ def duplicate_pairs(billing: DataFrame, within_days: int = DUP_WINDOW_DAYS) -> D
     return duplicate_pairs_from(billing, billing, within_days)
 
 
-def duplicate_charge(billing: DataFrame, filed: DataFrame,
+def duplicate_charge(billing: DataFrame, filed: DataFrame | None,
                      within_days: int = DUP_WINDOW_DAYS) -> DataFrame:
     """One row per (earlier twin, later invoice) pair; only the later
     row's dispute flag is tested; expected 0, variance = full amount."""
-    later = billing.filter(~F.col("dispute_flag")).join(
-        filed.select("invoice_id"), "invoice_id", "left_anti")
+    later = not_filed(billing.filter(~F.col("dispute_flag")), filed)
     p = duplicate_pairs_from(billing, later, within_days)
     return p.select(
         "invoice_id", F.lit("duplicate_charge").alias("anomaly_type"),
@@ -91,12 +95,45 @@ def duplicate_pairs_from(earlier: DataFrame, later: DataFrame,
                      extra=F.col("first_invoice_id") < F.col("invoice_id"))
 
 
-def anomaly_union(billing: DataFrame, tariffs: DataFrame, filed: DataFrame,
+def anomalies_wide(billing: DataFrame, tariffs: DataFrame, filed: DataFrame | None,
+                   abs_floor_cents: int = ABS_FLOOR_CENTS, rel_pct: int = REL_PCT,
+                   within_days: int = DUP_WINDOW_DAYS) -> DataFrame:
+    """Both arms in one pass: new undisputed invoices get their rate (left join) and their
+    earlier twins (band join that keeps every invoice), and each resulting row yields a
+    rate deviation, a duplicate, both or nothing.  An invoice with several twins repeats
+    its rate deviation, so rows are made distinct per twin; only anomalies are shuffled.
+    Readers of the fact: new invoices, the filed set, the tariffs and the earlier twins."""
+    new = not_filed(billing.filter(~F.col("dispute_flag")), filed).select(
+        *DUP_KEYS, "invoice_id", "amount_cents", "customer_name", "created_ts")
+    rated = new.join(tariffs.select("terminal_id", "tariff_code", "rate_cents"),
+                     ["terminal_id", "tariff_code"], "left")
+    earlier = billing.select(*DUP_KEYS, F.col("invoice_id").alias("first_invoice_id"),
+                             F.col("created_ts").alias("first_ts"))
+    pairs = band_join(earlier, rated, DUP_KEYS, "first_ts", "created_ts",
+                      within_days * MICROS_PER_DAY, how="right",
+                      extra=F.col("first_invoice_id") < F.col("invoice_id"))
+    id_type = dict(billing.dtypes)["invoice_id"]
+    arm = "struct<anomaly_type:string,expected_cents:bigint,variance_cents:bigint,twin:" + id_type + ">"
+    off = F.abs(F.col("amount_cents") - F.col("rate_cents"))
+    rate = F.struct(F.lit("rate_deviation"), F.col("rate_cents").cast("bigint"), off.cast("bigint"),
+                    F.lit(None).cast(id_type)).cast(arm)
+    dup = F.struct(F.lit("duplicate_charge"), F.lit(0).cast("bigint"), F.col("amount_cents").cast("bigint"),
+                   F.col("first_invoice_id")).cast(arm)
+    arms = F.array_compact(F.array(
+        F.when(deviation_condition(abs_floor_cents=abs_floor_cents, rel_pct=rel_pct), rate),
+        F.when(F.col("first_invoice_id").isNotNull(), dup)))
+    keep = [*DUP_KEYS, "invoice_id", "amount_cents", "rate_cents", "customer_name"]
+    return pairs.select(*keep, F.explode(arms).alias("a")).select(*keep, "a.*").distinct()
+
+
+def anomaly_union(billing: DataFrame, tariffs: DataFrame, filed: DataFrame | None,
                   abs_floor_cents: int = ABS_FLOOR_CENTS, rel_pct: int = REL_PCT,
                   within_days: int = DUP_WINDOW_DAYS) -> DataFrame:
-    """UNION ALL of both arms, no dedup."""
-    return rate_deviation(billing, tariffs, filed, abs_floor_cents, rel_pct).unionByName(
-        duplicate_charge(billing, filed, within_days))
+    """The rows of both arms, one per deviation and one per (twin, invoice) pair."""
+    return anomalies_wide(billing, tariffs, filed, abs_floor_cents, rel_pct, within_days).select(
+        "invoice_id", "anomaly_type", usd("amount_cents").alias("billed_usd"),
+        usd("expected_cents").alias("expected_usd"), usd("variance_cents").alias("variance_usd"),
+        "terminal_id", "tariff_code", "customer_name")
 
 
 def billing_anomaly_scan(billing: DataFrame, tariffs: DataFrame, filed: DataFrame,
@@ -133,17 +170,21 @@ def diagnose(anomalies: DataFrame, billing: DataFrame, tariffs: DataFrame,
     action sentence follows the sign.  Rows with no tariff keep a NULL
     expected amount and are flagged ``rejected_reason`` (the reference's
     NOT NULL insert would fail on them).  ``keep`` columns of ``anomalies``
-    are passed through."""
+    are passed through; anomalies that carry keys, amount and rate (``anomalies_wide``)
+    are not looked up in the fact again."""
     keep = keep or []
-    inv = anomalies.select("invoice_id", F.col("anomaly_type").alias("scan_type"), *keep).distinct()
-    # narrow to the scanned invoices first, then look up their keys' first invoice:
-    # the keys join is as large as the anomaly set, not the fact
-    rows = inv.join(billing.select(*DUP_KEYS, "invoice_id", "amount_cents"), "invoice_id")
+    facts = [*DUP_KEYS, "amount_cents", "rate_cents"]
+    carried = set(facts) <= set(anomalies.columns)
+    inv = anomalies.select("invoice_id", F.col("anomaly_type").alias("scan_type"), *keep,
+                           *(facts if carried else [])).distinct()
+    if not carried:
+        # narrow to the scanned invoices first, then look up their keys' first invoice:
+        # the keys join is as large as the anomaly set, not the fact
+        inv = inv.join(billing.select(*DUP_KEYS, "invoice_id", "amount_cents"), "invoice_id").join(
+            tariffs.select("terminal_id", "tariff_code", "rate_cents"), ["terminal_id", "tariff_code"], "left")
     firsts = billing.groupBy(*DUP_KEYS).agg(F.min("invoice_id").alias("_first"))
-    j = rows.join(firsts, DUP_KEYS).withColumn(
+    j = inv.join(firsts, DUP_KEYS).withColumn(
         "twin_invoice_id", F.when(F.col("_first") < F.col("invoice_id"), F.col("_first")))
-    j = j.join(tariffs.select("terminal_id", "tariff_code", "rate_cents"),
-               ["terminal_id", "tariff_code"], "left")
     dup = F.col("twin_invoice_id").isNotNull()
     expected = F.when(dup, F.lit(0)).otherwise(F.col("rate_cents"))
     variance = F.when(dup, F.col("amount_cents")).otherwise(

@@ -4,17 +4,21 @@ P12, P13, G1)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..session import ensure_checkpoint_dir
 from ..sources.adapters import usd
+from .model import RuleBackend, parse_reply, run_model
+from .relational import apply_updates
 
 # Triage categories and risk levels of the reference, and our
 # rule backend's keyword chain (first match wins) and amount bands.
 CATEGORIES = ["Demurrage Dispute", "Duplicate Charge", "Weighbridge Discrepancy",
               "Damage Claim", "Other"]
-RISKS = ["Low", "Medium", "High"]
 TRIAGE_RULES = [
     ("Demurrage Dispute", r"(?i)demurrage|free time|storage|detention"),
     ("Duplicate Charge", r"(?i)duplicate|twice|double"),
@@ -27,26 +31,60 @@ MEDIUM_CENTS = 10_000_000    # 100,000.00 USD and above
 # Columns of billing_events that ad-hoc SQL may see (no customer name or
 # e-mail, no corrections), as listed to the SQL generator in the reference.
 BILLING_ALLOW = ["invoice_id", "terminal_id", "container_id", "move_type", "tariff_code",
-                 "amount_usd", "dispute_flag", "dispute_reason", "created_ts"]
+                 "amount_usd", "dispute_flag", "dispute_reason", "dispute_category",
+                 "dispute_risk", "created_ts"]
 
 
 def masked_view(billing: DataFrame) -> DataFrame:
-    """Billing without PII columns, contact masked."""
+    """Billing without PII columns, contact masked, triage columns shown."""
     return billing.select(
         "invoice_id", "terminal_id", "container_id", "move_type", "tariff_code",
         usd("amount_cents").alias("amount_usd"),
         X.mask_contact("customer_name", "customer_email").alias("customer_contact_masked"),
-        "dispute_flag", "created_ts")
+        "dispute_flag", "dispute_category", "dispute_risk", "dispute_risk_rationale", "created_ts")
 
 
 def restricted_view(spark: SparkSession, df: DataFrame, name: str, allow: list[str]) -> DataFrame:
-    """Expose only an allow-list of columns under ``name``; SQL run
-    against the session's views cannot reach the others."""
+    """An allow-list of columns under ``name``.  As a boundary for foreign SQL use
+    :func:`run_guarded`, whose session holds nothing but such views."""
     v = df.select(*allow)
     v.createOrReplaceTempView(name)
     return spark.table(name)
 
 
+TRIAGE_COLS = ["dispute_category", "dispute_risk", "dispute_risk_rationale"]
+
+
+def triage_queue(billing: DataFrame) -> DataFrame:
+    """Flagged disputes that no run has classified yet."""
+    return billing.filter(F.col("dispute_flag") & F.col("dispute_category").isNull())
+
+
+def triage_write_back(billing: DataFrame, triaged: DataFrame) -> DataFrame:
+    """The billing snapshot with the new classifications; earlier ones stay."""
+    return apply_updates(billing, triaged, ["invoice_id"], TRIAGE_COLS)
+
+
+def triage_audit(triaged: DataFrame) -> DataFrame:
+    """One audit row per classified dispute; the output is the whole reply."""
+    reply = F.to_json(F.struct(F.col("dispute_category").alias("category"),
+                               F.col("dispute_risk").alias("risk"),
+                               F.col("dispute_risk_rationale").alias("rationale")))
+    return triaged.select(
+        F.col("created_ts").alias("called_at"), F.lit("classify_dispute").alias("function_name"),
+        F.lit("rules").alias("model_name"), F.col("invoice_id").cast("string").alias("subject_id"),
+        F.col("dispute_reason").alias("input_summary"), reply.alias("output_summary"))
+
+
+def redact_names(df: DataFrame, text_col: str, names_col: str, out_col: str = "redacted") -> DataFrame:
+    """D14, names: each text with its list of names goes through the model interface
+    (T13); a failing prompt leaves NULL and its error."""
+    prompt = F.concat(F.lit(RuleBackend.REDACT), F.to_json(F.col(names_col)), F.lit("\n"), F.col(text_col))
+    done = run_model(df.withColumn("prompt", prompt), "prompt")
+    return done.withColumn(out_col, parse_reply("reply", "reply string").getField("reply")) \
+        .drop("prompt", "reply")
+
+
 def triage_category(text: Column) -> Column:
     out = None
     for cat, pat in TRIAGE_RULES:
@@ -65,7 +103,7 @@ def triage(queue: DataFrame, text_col: str = "dispute_reason",
     and a one-sentence rationale.  Native expressions, one pass."""
     cat = triage_category(F.col(text_col))
     risk = triage_risk(F.col(amount_col))
-    return queue.select(
+    return queue.drop(*TRIAGE_COLS).select(
         "*", cat.alias("dispute_category"), risk.alias("dispute_risk"),
         F.concat(F.lit("Rule triage: "), cat, F.lit(" from the dispute text, "),
                  F.lower(risk), F.lit(" risk by amount.")).alias("dispute_risk_rationale"))
@@ -104,33 +142,70 @@ def activity_trace(log: DataFrame, prefix_col: str, prefix: str, text_col: str,
         .orderBy(*order)
 
 
+# Functions that reach beyond the data, and name spaces beyond the session's views.
+OUTSIDE = r"(?i)\b(reflect|java_method|try_reflect|input_file_name|global_temp|read_files)\b"
+GUARD_CONF = {"spark.sql.runSQLOnFiles": "false", "spark.sql.session.timeZone": "UTC",
+              "spark.sql.ansi.enabled": "true"}
+
+
+def guarded_session(spark: SparkSession, views: dict[str, DataFrame]) -> tuple[SparkSession, set[str]]:
+    """A session of its own in which only ``views`` can be named, with SQL on files off;
+    and the files that the views read.  The views are written to the shared folder with
+    their listed columns only, so the hidden columns are not even in the files read."""
+    own = spark.newSession()
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/views-{uuid.uuid4().hex}"
+    for k, v in GUARD_CONF.items():
+        own.conf.set(k, v)
+    files: set[str] = set()
+    for name, df in views.items():
+        stored = f"{folder}/{name}"
+        df.write.parquet(stored)
+        view = own.read.schema(df.schema).parquet(stored)
+        view.createOrReplaceTempView(name)
+        files |= set(view.inputFiles())
+    return own, files
+
+
 def run_guarded(spark: SparkSession, statements: list[tuple[str, str]],
-                max_json_rows: int = 1000) -> DataFrame:
-    """For each (question, raw SQL): clean (fence, trailing ';'), guard,
-    run on the session's (restricted) views, count rows on the cluster, and
-    log.  Rejected statements are logged too (the reference leaves no row).
-    The JSON rendering of a result is built only for results up to
-    ``max_json_rows`` rows; larger results stay DataFrames and the log says so.
-    The loop runs on the driver over the *statements*, never over data."""
+                views: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """For each (question, raw SQL): clean (fence, trailing ';'), guard, and run in a
+    session that holds only ``views``.  Returns (results, log).
+
+    results: (question, row_json), every row of every accepted statement, however many;
+    they stay distributed.  log: (question, generated_sql, status, row_count) for every
+    statement, refused ones included.  A statement is refused if the guard rejects it, if
+    it names a function that reaches beyond the data, if it cannot be resolved against
+    the views, or if its plan would read a file that no view reads.  The loop runs over
+    the statements; only their texts are on the driver."""
     cleaned = spark.createDataFrame(statements, "question string, raw_sql string").select(
         "question", X.clean_sql("raw_sql").alias("sql"),
-        X.is_safe_select(X.clean_sql("raw_sql")).alias("accepted"))
-    rows = []
-    for r in cleaned.collect():  # one row per statement: bounded by the request list
-        n, js, status = None, None, "rejected"
-        if r["accepted"]:
+        X.is_safe_select(X.clean_sql("raw_sql")).alias("safe"),
+        X.clean_sql("raw_sql").rlike(OUTSIDE).alias("outside"))
+    own, files = guarded_session(spark, views)
+    notes, parts = [], []
+    for r in cleaned.collect():  # one row per statement
+        status = "ok"
+        if not r["safe"]:
+            status = "rejected: not a plain SELECT"
+        elif r["outside"]:
+            status = "rejected: reaches beyond the views"
+        else:
             try:
-                res = spark.sql(r["sql"])
-                n = res.count()
-                status = "ok"
-                if n <= max_json_rows:
-                    from .relational import rows_to_json
-                    js = rows_to_json(res).first()["result_json"]
-                else:
-                    status = "ok_too_large_for_json"
-            except Exception as e:  # noqa: BLE001
+                res = own.sql(r["sql"])
+                if set(res.inputFiles()) - files:
+                    status = "rejected: reads other files"
+            except Exception as e:  # noqa: BLE001 - analysis errors are logged
                 status = f"error: {type(e).__name__}"
-        rows.append((r["question"], r["sql"], bool(r["accepted"]), status, n, js))
-    return spark.createDataFrame(
-        rows, "question string, generated_sql string, accepted boolean, status string, "
-              "row_count long, result_json string")
+        notes.append((r["question"], r["sql"], status))
+        if status == "ok":
+            row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in res.columns]), {"ignoreNullFields": "false"})
+            parts.append(res.select(F.lit(r["question"]).alias("question"), row.alias("row_json")))
+    results = spark.createDataFrame([], "question string, row_json string")
+    for p in parts:
+        results = results.unionByName(p)
+    counts = results.groupBy("question").agg(F.count(F.lit(1)).alias("n"))
+    log = spark.createDataFrame(notes, "question string, generated_sql string, status string") \
+        .join(counts, "question", "left").select(
+            "question", "generated_sql", "status",
+            F.when(F.col("status") == "ok", F.coalesce("n", F.lit(0))).alias("row_count"))
+    return results, log

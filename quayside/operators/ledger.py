@@ -9,10 +9,10 @@ tuning ledger a reject on a non-pending row is a silent no-op instead.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
+from .model import RuleBackend
 
 _FIRST = "first_action"
 
@@ -80,6 +80,12 @@ def leakage(state: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("approved"))
 
 
+def diagnosis_reply(action: str = "recommended_action") -> Column:
+    """The raw reply of the rule backend to a diagnosis prompt, as the model stage gets it."""
+    head = f'{{"diagnosis": "{RuleBackend.DIAGNOSIS}", "recommended_action": "'
+    return F.concat(F.lit(head), F.col(action), F.lit('"}'))
+
+
 def audit_rows(state: DataFrame) -> DataFrame:
     """One audit row per diagnosis (model call) and per applied review.
     Both come from one pass over the folded state (status, reviewer,
@@ -91,8 +97,7 @@ def audit_rows(state: DataFrame) -> DataFrame:
     diag = F.struct(
         F.col("detected_at").alias("called_at"), F.lit("diagnose").alias("function_name"),
         F.lit("rules").alias("model_name"), subject.alias("subject_id"),
-        F.col("recommended_action").alias("input_summary"),
-        F.col("recommended_action").alias("output_summary"))
+        F.col("recommended_action").alias("input_summary"), diagnosis_reply().alias("output_summary"))
     review = F.struct(
         F.col("resolved_at").alias("called_at"),
         F.when(ap, "approve").otherwise("reject").alias("function_name"),

@@ -24,6 +24,8 @@ from ..functions.text import strip_fence
 class RuleBackend:
     """Deterministic stand-in for a text model.
 
+    * prompts that begin with ``Redact names:`` get the text with every known name (the
+      quoted list in the first line) replaced;
     * prompts containing a ``Mechanical recommendation:`` line get a JSON
       reply ``{"diagnosis", "recommended_action"}`` built from that line;
     * other prompts get ``{"reply": <first line of the prompt>}``.
@@ -32,6 +34,7 @@ class RuleBackend:
     name = "rules"
     DIAGNOSIS = ("Billed amount differs from the contracted position; correcting it "
                  "avoids revenue leakage.")
+    REDACT = "Redact names: "
     _mech = re.compile(r"Mechanical recommendation:\s*(.*)")
 
     def __call__(self, prompts: pd.Series) -> pd.Series:
@@ -40,6 +43,11 @@ class RuleBackend:
     def _one(self, p):
         if p is None:
             return None
+        if p.startswith(self.REDACT):
+            first, _, text = p.partition("\n")
+            for name in sorted(json.loads(first[len(self.REDACT):]), key=len, reverse=True):
+                text = text.replace(name, "[REDACTED]")
+            return json.dumps({"reply": text})
         m = self._mech.search(p)
         if m:
             act = m.group(1).strip()
@@ -47,6 +55,14 @@ class RuleBackend:
         return json.dumps({"reply": p.strip().split("\n", 1)[0]})
 
 
+def _one_reply(model, prompt) -> tuple[str | None, str | None]:
+    """(reply, error) for a single prompt."""
+    try:
+        return model(pd.Series([prompt], dtype=object)).iloc[0], None
+    except Exception as e:  # noqa: BLE001 - reported in the row
+        return None, f"{type(e).__name__}: {e}"
+
+
 def run_model(df: DataFrame, prompt_col: str = "prompt",
               backend: Callable[[], Callable[[pd.Series], pd.Series]] = RuleBackend,
               out_col: str = "reply") -> DataFrame:
@@ -58,11 +74,11 @@ def run_model(df: DataFrame, prompt_col: str = "prompt",
         model = backend()
         for pdf in batches:
             try:
-                pdf[out_col] = model(pdf[prompt_col])
-                pdf["model_error"] = None
-            except Exception as e:  # noqa: BLE001 - a failed batch is reported, not fatal
-                pdf[out_col] = None
-                pdf["model_error"] = f"{type(e).__name__}: {e}"
+                pdf[out_col], pdf["model_error"] = model(pdf[prompt_col]), None
+            except Exception:  # noqa: BLE001 - find the prompts that fail, one by one
+                answers = [_one_reply(model, p) for p in pdf[prompt_col]]
+                pdf[out_col] = pd.Series([a for a, _ in answers], index=pdf.index, dtype=object)
+                pdf["model_error"] = pd.Series([e for _, e in answers], index=pdf.index, dtype=object)
             yield pdf
 
     return df.mapInPandas(call, schema)

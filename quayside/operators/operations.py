@@ -107,6 +107,42 @@ def berth_productivity(calls: DataFrame) -> DataFrame:
                                             F.round(F.avg("_p"), 3).alias("avg_moves_per_hr"))
 
 
+def trailing_baseline(readings: DataFrame, days: int) -> DataFrame:
+    """Mean vibration and temperature of each crane over [t - days, t), per reading, as
+    ``_base`` and ``_tbase``.
+
+    The sum is that of the whole days in between, plus the part of the reading's own day
+    before it, less the part of the first day before t - days.  Whole days come from daily
+    totals; the two parts are running sums inside one (crane, day), into which the readings
+    of ``days`` days earlier are copied with their time moved on.  So no group is larger
+    than two days of one crane.  Sums are exact decimals."""
+    shift = days * MICROS_PER_DAY
+    dec = "decimal(30,6)"
+    own = readings.select("*", F.floor(F.col("_us") / MICROS_PER_DAY).alias("_day"), F.lit(True).alias("_own"),
+                          F.col("vibration_g").cast(dec).alias("_v"), F.col("temperature_c").cast(dec).alias("_t"))
+    old = own.withColumns({"_us": F.col("_us") + shift, "_day": F.col("_day") + days, "_own": F.lit(False)})
+    before = Window.partitionBy("crane_id", "_day").orderBy("_us") \
+        .rangeBetween(Window.unboundedPreceding, -1)
+    sign = F.when(F.col("_own"), 1).otherwise(-1)
+    parts = own.unionByName(old).select(
+        "*", *[F.coalesce(F.sum(F.col(c) * sign).over(before), F.lit(0)).alias(f"{c}_sum") for c in ("_v", "_t")],
+        *[F.coalesce(F.sum(F.when(F.col(c).isNotNull(), sign)).over(before), F.lit(0)).alias(f"{c}_n")
+          for c in ("_v", "_t")]).filter("_own")
+    between = Window.partitionBy("crane_id").orderBy("_day").rangeBetween(-days, -1)   # rows are days
+    daily = own.groupBy("crane_id", "_day").agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(f"{c}_day") for c in ("_v", "_t")],
+        *[F.count(c).alias(f"{c}_dayn") for c in ("_v", "_t")])
+    whole = daily.select("crane_id", "_day", *[
+        F.coalesce(F.sum(f"{c}_{k}").over(between), F.lit(0)).alias(f"{c}_{k}") for c in ("_v", "_t") for k in ("day", "dayn")])
+    j = parts.join(whole, ["crane_id", "_day"])
+
+    def mean(c):
+        n = F.col(f"{c}_n") + F.col(f"{c}_dayn")
+        return F.when(n > 0, (F.col(f"{c}_sum") + F.col(f"{c}_day")).cast("double") / n)
+
+    return j.select(*readings.columns, "_day", mean("_v").alias("_base"), mean("_t").alias("_tbase"))
+
+
 def drift_levels(telemetry: DataFrame, baseline: str = "trailing", baseline_days: int = 7,
                  frozen_before: str | None = None) -> DataFrame:
     """First time each response level fires per crane.
@@ -115,51 +151,49 @@ def drift_levels(telemetry: DataFrame, baseline: str = "trailing", baseline_days
     each reading (current reading excluded); ``frozen``: mean of the readings
     before ``frozen_before``.  A level fires at the first reading that closes a
     run of consecutive readings, all strictly above the level, spanning more
-    than the level's hours (gaps-and-islands); the single-reading level fires
-    on the first reading above it.  The per-crane
-    window is bounded by sample rate x retention of one sensor."""
-    tm = telemetry.withColumn("_us", epoch_micros(F.col("ts")))
-    w_c = Window.partitionBy("crane_id").orderBy("_us", "reading_id")
+    than the level's hours; the single-reading level fires on the first reading
+    above it.  Runs are found inside each (crane, day); a run that is open at the
+    end of a day is carried into the next one through a table of days."""
+    tm = telemetry.select("crane_id", "reading_id", "ts", "vibration_g", "temperature_c") \
+        .withColumn("_us", epoch_micros(F.col("ts")))
     if baseline == "trailing":
-        # mean over [t - days, t): difference of two prefix sums.  Both frames
-        # start at UNBOUNDED PRECEDING, which Spark evaluates incrementally
-        # (one pass), unlike a sliding range frame that re-aggregates the
-        # whole frame for every row.  Sums are exact decimals.
-        w_o = Window.partitionBy("crane_id").orderBy("_us")
-        upto = w_o.rangeBetween(Window.unboundedPreceding, -1)
-        before = w_o.rangeBetween(Window.unboundedPreceding, -baseline_days * MICROS_PER_DAY - 1)
-        dv = F.col("vibration_g").cast("decimal(30,6)")
-        dt = F.col("temperature_c").cast("decimal(30,6)")
-        cnt = F.count("vibration_g").over(upto) - F.count("vibration_g").over(before)
-        cnt_t = F.count("temperature_c").over(upto) - F.count("temperature_c").over(before)
-        sv = F.coalesce(F.sum(dv).over(upto), F.lit(0)) - F.coalesce(F.sum(dv).over(before), F.lit(0))
-        st = F.coalesce(F.sum(dt).over(upto), F.lit(0)) - F.coalesce(F.sum(dt).over(before), F.lit(0))
-        tm = tm.withColumn("_base", F.when(cnt > 0, sv.cast("double") / cnt)) \
-               .withColumn("_tbase", F.when(cnt_t > 0, st.cast("double") / cnt_t))
+        tm = trailing_baseline(tm, baseline_days)
     else:
         cut = F.lit(frozen_before).cast("timestamp_ntz")
         b = telemetry.filter(F.col("ts") < cut).groupBy("crane_id").agg(
             F.avg("vibration_g").alias("_base"), F.avg("temperature_c").alias("_tbase"))
-        tm = tm.join(b, "crane_id", "left")
+        tm = tm.join(b, "crane_id", "left").withColumn("_day", F.floor(F.col("_us") / MICROS_PER_DAY))
     checks = [(name, F.col("vibration_g") > F.col("_base") * ratio, hours)
               for name, ratio, hours in LEVELS]
     checks.append(("Inspect-temperature",
                    F.col("temperature_c") > F.col("_tbase") + TEMP_RISE_C, TEMP_HOURS))
-    # all levels in one pass: one row per reading and level, then
-    # gaps-and-islands per (crane, level)
     lv = F.explode(F.array(*[F.struct(F.lit(n).alias("level"),
                                       F.coalesce(c, F.lit(False)).alias("hit"),
                                       F.lit(h * MICROS_PER_HOUR).alias("span"))
                              for n, c, h in checks]))
-    x = tm.select("crane_id", "reading_id", "ts", "_us", lv.alias("_l")).select(
-        "crane_id", "reading_id", "ts", "_us", "_l.*")
-    w_l = Window.partitionBy("crane_id", "level").orderBy("_us", "reading_id")
-    w_h = Window.partitionBy("crane_id", "level", "hit").orderBy("_us", "reading_id")
-    x = x.withColumn("_grp", F.row_number().over(w_l) - F.row_number().over(w_h))
-    runs = x.filter("hit").withColumn(
-        "_start", F.min("_us").over(Window.partitionBy("crane_id", "level", "_grp")))
+    x = tm.select("crane_id", "_day", "reading_id", "ts", "_us", lv.alias("_l")).select(
+        "crane_id", "_day", "reading_id", "ts", "_us", "_l.*")
+    key = ["crane_id", "level", "_day"]
+    order = Window.partitionBy(*key).orderBy("_us", "reading_id")
+    # number of misses so far today: the hits between two misses are one run
+    x = x.withColumn("_run", F.sum(F.when(F.col("hit"), 0).otherwise(1)).over(
+        order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    x = x.withColumn("_start", F.min(F.when(F.col("hit"), F.col("_us"))).over(Window.partitionBy(*key, "_run")))
+    end = F.max(F.struct("_us", "reading_id", "hit", "_start"))
+    days = x.groupBy(*key).agg(F.bool_or(~F.col("hit")).alias("_miss"), F.min("_us").alias("_first"), end.alias("_end")) \
+        .withColumn("_tail", F.when(F.col("_end.hit"), F.col("_end._start")))
+    by_day = Window.partitionBy("crane_id", "level").orderBy("_day")                    # rows are days
+    days = days.withColumns({
+        "_prev": F.lag("_tail").over(by_day),
+        "_block": F.coalesce(F.sum(F.when(F.col("_miss"), 1).otherwise(0)).over(
+            by_day.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
+    in_block = Window.partitionBy("crane_id", "level", "_block").orderBy("_day")
+    # a block is the days after one with a miss, up to the next such day
+    carried = days.select(*key, F.when(F.row_number().over(in_block) == 1, F.col("_prev")).otherwise(
+        F.coalesce(F.first("_prev").over(in_block), F.first("_first").over(in_block))).alias("_carry"))
+    j = x.filter("hit").join(carried, key)
+    start = F.when(F.col("_run") == 0, F.coalesce("_carry", "_start")).otherwise(F.col("_start"))
     # "for more than N hours"; a single reading (N = 0) fires at once
-    held = F.col("_us") - F.col("_start")
-    fired = runs.filter(F.when(F.col("span") == 0, F.lit(True)).otherwise(held > F.col("span")))
-    out = fired.groupBy("crane_id", "level").agg(F.min("ts").alias("first_fire_ts"))
-    return out.select("crane_id", "level", "first_fire_ts")
+    fired = j.filter((F.col("span") == 0) | (F.col("_us") - start > F.col("span")))
+    return fired.groupBy("crane_id", "level").agg(F.min("ts").alias("first_fire_ts")) \
+        .select("crane_id", "level", "first_fire_ts")

@@ -103,12 +103,13 @@ def assign_ids(df: DataFrame, order_cols: list[str], start: int = 0,
     ``order_cols`` (which must be unique), without funnelling all rows into
     one task.  Rows are range-partitioned and sorted; every partition numbers
     its own rows (Arrow batches, no shuffle); partition sizes become offsets
-    through a tiny prefix sum joined back by partition id."""
+    through a tiny prefix sum joined back by partition id.  The numbered rows are
+    checkpointed, so rows and sizes come from one sampling of the range bounds."""
     n = partitions or df.sparkSession.sparkContext.defaultParallelism
     s = df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
     s = s.withColumn("_part", F.spark_partition_id())
     schema = T.StructType(s.schema.fields + [T.StructField("_local", T.LongType(), False)])
-    numbered = s.mapInPandas(_local_index, schema)
+    numbered = s.mapInPandas(_local_index, schema).checkpoint()
     sizes = numbered.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
     w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(w), F.lit(0)).alias("_off"))

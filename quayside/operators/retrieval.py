@@ -4,15 +4,15 @@
   Arrow-batched pandas UDF tokenises each text, buckets each distinct token
   once per task by MD5 and counts with numpy.  A real model plugs in through
   ``model=`` (any pandas UDF from text to vector) instead.
-* ``topk``: exact cosine top-k per query.  The query set is broadcast after
-  its size is checked; each task scores its corpus rows with numpy and keeps
-  only its own top k per query (Arrow batches via ``mapInPandas``), so the
-  shuffle carries ``k x tasks`` rows per query, never query x corpus pairs.
-  Query sets beyond the broadcast bound are processed in bounded blocks.
+* ``topk``: exact cosine top-k per query.  The query vectors are stored as tiles of
+  bounded size; each task scores blocks of its corpus rows against one tile at a time
+  (Arrow batches via ``mapInPandas``) and passes on k rows per query and block, never
+  query x corpus pairs.  The path is the same for any number of queries.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,8 +21,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import DIM, TOKEN_RE
+from ..session import ensure_checkpoint_dir
 
-MAX_BROADCAST_QUERIES = 20_000          # x dim x 8 bytes: 10 MB at 64 dims
+TILE_QUERIES = 1000                     # query vectors scored at once
+BLOCK_ROWS = 4096                       # corpus rows scored at once
+HELD_TILES = 16                         # tiles that a task keeps in memory
 # The answer-prompt instruction; retrieved texts are joined
 # with a line holding "---" (see ``rag_prompts``).
 RAG_INSTRUCTION = ("Answer the question using only the context below. If the context does not "
@@ -74,82 +77,87 @@ def embed(df: DataFrame, key: list[str], text_col: str, dim: int = DIM,
     return df.select(*key, *(keep or []), fn(F.col(text_col)).alias(out_col))
 
 
-def _partial_topk(q_ids: np.ndarray, q_mat: np.ndarray, k: int, id_col: str, vec_col: str,
-                  min_sim: float | None):
+def query_tiles(queries: DataFrame, qid_col: str, qvec_col: str, family_col: str | None,
+                tile: int = TILE_QUERIES) -> list[str]:
+    """Write the query vectors (unit length, NULL and zero vectors left out) as tiles of
+    at most ``tile`` rows to the shared checkpoint folder, each a Parquet file of its
+    own; the driver keeps the file names only.  Rows are sorted by family, so a tile
+    holds few of them."""
+    spark = queries.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/queries-{uuid.uuid4().hex}"
+    q = queries.select(F.col(qid_col).alias("query_id"), F.col(qvec_col).cast("array<double>").alias("v"),
+                       (F.col(family_col) if family_col else F.lit("")).cast("string").alias("family"))
+    q = q.filter(F.col("v").isNotNull()).sortWithinPartitions("family")
+    q.write.option("maxRecordsPerFile", tile).parquet(path)
+    return sorted(spark.read.parquet(path).inputFiles())
+
+
+def _read_tile(path: str):
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    store, name = fs.FileSystem.from_uri(path)
+    t = pq.read_table(name, filesystem=store)
+    m = np.array(t.column("v").to_pylist(), dtype=np.float64)
+    norm = np.linalg.norm(m, axis=1) if len(m) else np.zeros(0)
+    keep = norm > 0
+    ids = np.array(t.column("query_id").to_pylist(), dtype=object)[keep]
+    fam = np.array(t.column("family").to_pylist(), dtype=object)[keep]
+    return ids, fam, (m[keep] / norm[keep, None] if len(m) else m)
+
+
+def _partial_topk(tiles: list[str], k: int, min_sim: float | None):
+    """Per task: score blocks of corpus rows against one tile of queries at a time, and
+    pass on the k best rows of each block per query (ties at the k-th place by id)."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: list[pd.DataFrame] = []
+        loaded: dict[str, tuple] = {}
         for pdf in batches:
-            pdf = pdf[pdf[vec_col].notna()]
-            if pdf.empty:
-                continue
-            m = np.vstack(pdf[vec_col].to_numpy()).astype(np.float64)
-            norms = np.linalg.norm(m, axis=1)
-            ok = norms > 0
-            m, ids = m[ok] / norms[ok, None], pdf[id_col].to_numpy()[ok]
-            # rounded to 12 places so that equal vectors tie exactly and the
-            # (sim desc, id) order does not depend on BLAS summation order
-            sims = np.round(m @ q_mat.T, 12)                     # rows x queries
-            for j, qid in enumerate(q_ids):
-                s = sims[:, j]
-                sel = np.arange(len(s)) if min_sim is None else np.nonzero(s >= min_sim)[0]
-                if len(sel) > k:
-                    # keep ties at the k-th value so the final order by (sim, id) is exact
-                    kth = np.partition(s[sel], len(sel) - k)[len(sel) - k]
-                    sel = sel[s[sel] >= kth]
-                best.append(pd.DataFrame({"query_id": qid, "id": ids[sel], "sim": s[sel]}))
-            if best and sum(len(b) for b in best) > 64 * k * len(q_ids):
-                best = [_shrink(pd.concat(best), k)]
-        if best:
-            yield _shrink(pd.concat(best), k)
+            pdf = pdf[pdf["v"].notna()]
+            for at in range(0, len(pdf), BLOCK_ROWS):
+                part = pdf.iloc[at:at + BLOCK_ROWS]
+                m = np.vstack(part["v"].to_numpy()).astype(np.float64)
+                norm = np.linalg.norm(m, axis=1)
+                part, m = part[norm > 0], m[norm > 0] / norm[norm > 0, None]
+                by_id = np.argsort(part["id"].to_numpy(), kind="stable")
+                m, ids, family = m[by_id], part["id"].to_numpy()[by_id], part["family"].to_numpy()[by_id]
+                for path in tiles:
+                    if path not in loaded:
+                        if len(loaded) >= HELD_TILES:
+                            loaded.clear()
+                        loaded[path] = _read_tile(path)
+                    q_ids, q_family, q = loaded[path]
+                    if not len(ids) or set(family).isdisjoint(q_family):
+                        continue
+                    # rounded to 12 places so that equal vectors tie exactly
+                    sims = np.round(q @ m.T, 12)
+                    sims[q_family[:, None] != family[None, :]] = -np.inf
+                    best = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+                    value = np.take_along_axis(sims, best, 1)
+                    keep = value > -np.inf if min_sim is None else value >= min_sim
+                    row, col = np.nonzero(keep)
+                    if len(row):
+                        yield pd.DataFrame({"query_id": q_ids[row], "id": ids[best[row, col]],
+                                            "sim": value[row, col]})
     return run
 
 
-def _shrink(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
-    pdf = pdf.sort_values(["query_id", "sim", "id"], ascending=[True, False, True])
-    return pdf.groupby("query_id", sort=False).head(k)
-
-
 def topk(corpus: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "id",
          vec_col: str = "embedding", qid_col: str = "query_id", qvec_col: str = "embedding",
-         min_sim: float | None = None, block: int = MAX_BROADCAST_QUERIES) -> DataFrame:
+         min_sim: float | None = None, family: tuple[str, str] | None = None) -> DataFrame:
     """Exact cosine top-k of ``corpus`` for every query, as
-    (query_id, id, sim, rank).  Order: similarity desc, then id."""
+    (query_id, id, sim, rank).  Order: similarity desc, then id.  ``family`` names a
+    column of the corpus and one of the queries that must be equal.
+
+    One path for any number of queries: they are stored as tiles, every task scores its
+    corpus rows tile by tile, and k rows per query and block go to the final ranking."""
     id_type = dict(corpus.dtypes)[id_col]
     qid_type = dict(queries.dtypes)[qid_col]
-    schema = f"query_id {qid_type}, id {id_type}, sim double"
-    q = queries.select(qid_col, qvec_col)
-    head = q.limit(block + 1).collect()          # size check and shipment in one job
-    if len(head) <= block:
-        blocks = [head]
-    else:
-        # large query sets: hash blocks of about half the bound, each checked
-        n_blocks = -(-2 * q.count() // block)
-        qb = q.withColumn("_blk", F.pmod(F.hash(qid_col), F.lit(n_blocks)))
-        blocks = []
-        for b in range(n_blocks):
-            rows = qb.filter(F.col("_blk") == b).select(qid_col, qvec_col).limit(block + 1).collect()
-            if len(rows) > block:
-                raise ValueError("query block exceeds the broadcast bound; raise the block count")
-            blocks.append(rows)
-    parts = []
-    for rows in blocks:
-        rows = [r for r in rows if r[1] is not None]
-        if not rows:
-            continue
-        ids = np.array([r[0] for r in rows])
-        mat = np.array([list(r[1]) for r in rows], dtype=np.float64)
-        nrm = np.linalg.norm(mat, axis=1)
-        keep = nrm > 0
-        ids, mat = ids[keep], mat[keep] / nrm[keep, None]
-        if len(ids) == 0:
-            continue
-        fn = _partial_topk(ids, mat, k, id_col, vec_col, min_sim)
-        parts.append(corpus.select(id_col, vec_col).mapInPandas(fn, schema))
-    if not parts:
-        return corpus.sparkSession.createDataFrame([], schema + ", rank int")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    tiles = query_tiles(queries, qid_col, qvec_col, family[1] if family else None)
+    rows = corpus.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"),
+                         (F.col(family[0]) if family else F.lit("")).cast("string").alias("family"))
+    out = rows.mapInPandas(_partial_topk(tiles, k, min_sim),
+                           f"query_id {qid_type}, id {id_type}, sim double")
     w = Window.partitionBy("query_id").orderBy(F.desc("sim"), F.asc("id"))
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
@@ -171,30 +179,71 @@ def rag_prompts(questions: DataFrame, hits: DataFrame, chunks: DataFrame,
     return q.select(qid_col, prompt.alias("prompt"))
 
 
+def sign_codes(bits: int, tables: int, dim: int, seed: int) -> np.ndarray:
+    """Random hyperplanes (tables x bits x dim)."""
+    return np.random.default_rng(seed).standard_normal((tables, bits, dim))
+
+
+def _bucket_rows(planes: np.ndarray, probes: int):
+    """Rows (id, v, bucket) of each vector: its cell in every table and, with probes, the
+    cells that differ in the bits whose hyperplanes lie nearest."""
+    tables, bits, _ = planes.shape
+    weight = 1 << np.arange(bits, dtype=np.int64)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            m = np.vstack(pdf["v"].to_numpy()).astype(np.float64)
+            out = []
+            for t in range(tables):
+                side = m @ planes[t].T
+                code = (side > 0) @ weight
+                out.append((np.arange(len(m)), code + (t << bits)))
+                near = np.argsort(np.abs(side), axis=1)[:, :probes]
+                for p in range(near.shape[1]):
+                    out.append((np.arange(len(m)), (code ^ weight[near[:, p]]) + (t << bits)))
+            row = np.concatenate([r for r, _ in out])
+            yield pdf.iloc[row].assign(bucket=np.concatenate([c for _, c in out]))
+    return run
+
+
 def topk_approx(corpus: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "id",
                 vec_col: str = "embedding", qid_col: str = "query_id",
-                qvec_col: str = "embedding", bucket_length: float = 0.5,
-                num_tables: int = 4, max_distance: float = 1.0, seed: int = 7) -> DataFrame:
-    """Approximate top-k with random-projection LSH on unit vectors
-    (Euclidean distance d relates to cosine by cos = 1 - d^2 / 2).  Only
-    candidate pairs sharing a hash bucket within ``max_distance`` are scored."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    def unit(df, idc, vc):
-        n = F.sqrt(F.aggregate(vc, F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")))
-        return df.select(F.col(idc).alias("_id"), array_to_vector(
-            F.transform(F.col(vc), lambda v: v.cast("double") / n)).alias("_v"))
-
-    a = unit(corpus.filter(F.col(vec_col).isNotNull()), id_col, vec_col)
-    b = unit(queries.filter(F.col(qvec_col).isNotNull()), qid_col, qvec_col)
-    lsh = BucketedRandomProjectionLSH(inputCol="_v", outputCol="_h", bucketLength=bucket_length,
-                                      numHashTables=num_tables, seed=seed).fit(a)
-    pairs = lsh.approxSimilarityJoin(b, a, max_distance, distCol="_d")
-    res = pairs.select(F.col("datasetA._id").alias("query_id"), F.col("datasetB._id").alias("id"),
-                       (F.lit(1.0) - F.col("_d") * F.col("_d") / 2).alias("sim"))
+                qvec_col: str = "embedding", bits: int = 8, tables: int = 8,
+                probes: int = 4, dim: int = DIM, seed: int = 7) -> DataFrame:
+    """Approximate top-k over sign codes: (query_id, id, sim, rank, candidates).
+
+    A vector's cell in a table is the side it lies on of ``bits`` random hyperplanes;
+    a query also looks into the cells across its nearest hyperplanes.  Candidates are the
+    rows that share a cell, joined on it, each pair scored once.  A query with fewer than
+    k candidates is answered by the exact search, so none is lost."""
+    planes = sign_codes(bits, tables, dim, seed)
+    dot = F.aggregate(F.zip_with("v", "qv", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+    def unit(df, id_, vec, name):
+        v = F.transform(F.col(vec), lambda x: x.cast("double"))
+        norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+        return df.filter(F.col(vec).isNotNull()).select(F.col(id_).alias(name), v.alias("v"), norm.alias("n")) \
+            .filter("n > 0").select(name, F.transform("v", lambda x: x / F.col("n")).alias("v"))
+
+    rows, asked = unit(corpus, id_col, vec_col, "id"), unit(queries, qid_col, qvec_col, "query_id")
+    c = rows.mapInPandas(_bucket_rows(planes, 0), f"id {dict(rows.dtypes)['id']}, v array<double>, bucket long")
+    q = asked.mapInPandas(_bucket_rows(planes, probes),
+                          f"query_id {dict(asked.dtypes)['query_id']}, v array<double>, bucket long") \
+        .withColumnRenamed("v", "qv")
+    pairs = c.select("id", "bucket").join(q.select("query_id", "bucket"), "bucket") \
+        .select("query_id", "id").distinct()
+    scored = pairs.join(rows, "id").join(asked.withColumnRenamed("v", "qv"), "query_id") \
+        .select("query_id", "id", F.round(dot, 12).alias("sim"))
     w = Window.partitionBy("query_id").orderBy(F.desc("sim"), F.asc("id"))
-    return res.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    found = scored.withColumn("rank", F.row_number().over(w)) \
+        .withColumn("candidates", F.count(F.lit(1)).over(Window.partitionBy("query_id")))
+    enough = found.filter((F.col("rank") <= k) & (F.col("candidates") >= k))
+    short = queries.select(F.col(qid_col).alias("query_id"), F.col(qvec_col).alias("embedding")) \
+        .join(enough.select("query_id").distinct(), "query_id", "left_anti")
+    exact = topk(corpus, short, k, id_col, vec_col).withColumn("candidates", F.lit(None).cast("long"))
+    return enough.select("query_id", "id", "sim", "rank", "candidates").unionByName(exact)
 
 
 def recall_vs_exact(approx: DataFrame, exact: DataFrame) -> DataFrame:
@@ -207,7 +256,7 @@ def recall_vs_exact(approx: DataFrame, exact: DataFrame) -> DataFrame:
 def schema_catalog(tables: dict[str, DataFrame]) -> DataFrame:
     """(table, column, description) rows for the columns of the given tables."""
     spark = next(iter(tables.values())).sparkSession
-    rows = [(n, f.name, f"{n}.{f.name} {f.dataType.simpleString()} {f.name.replace('_', ' ')}")
+    rows = [(n, f.name, f"{n}.{f.name} {f.name.replace('_', ' ')}")
             for n, df in tables.items() for f in df.schema.fields]
     return spark.createDataFrame(rows, "table_name string, column_name string, description string")
 

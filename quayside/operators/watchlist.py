@@ -47,17 +47,14 @@ def layout_advice(fact: DataFrame, filter_cols: list[str]) -> DataFrame:
     suggested partition/sort key.  One row per column."""
     n = F.count(F.lit(1))
     aggs = [n.alias("_rows")] + [F.approx_count_distinct(c, 0.02).alias(c) for c in filter_cols]
-    row = fact.agg(*aggs)
-    st = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"),
-                                      F.col(c).alias("approx_distinct")) for c in filter_cols]))
-    out = row.select("_rows", st.alias("s")).select(
+    row = fact.agg(*aggs).select("_rows", F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.col(c).alias("approx_distinct")) for c in filter_cols]).alias("s"))
+    most = F.array_max(F.transform("s", lambda x: x["approx_distinct"]))
+    best = F.array_min(F.transform(F.filter("s", lambda x: x["approx_distinct"] == most), lambda x: x["column_name"]))
+    return row.select("_rows", best.alias("_best"), F.explode("s").alias("s")).select(
         "s.column_name", "s.approx_distinct", F.col("_rows").alias("rows"),
-        (F.lit(1.0) / F.col("s.approx_distinct")).alias("eq_selectivity"))
-    best = out.orderBy(F.desc("approx_distinct"), "column_name").limit(1) \
-        .select("column_name", F.lit(True).alias("_b"))
-    return out.join(best, "column_name", "left").select(
-        "column_name", "approx_distinct", "rows", "eq_selectivity",
-        F.when(F.col("_b"), "sort and bucket by this column").otherwise("keep")
+        (F.lit(1.0) / F.col("s.approx_distinct")).alias("eq_selectivity"),
+        F.when(F.col("s.column_name") == F.col("_best"), "sort and bucket by this column").otherwise("keep")
         .alias("advice"))
 
 
@@ -68,34 +65,17 @@ def rewrite_clustered(fact: DataFrame, column: str, out_path: str, files: int) -
      .write.mode("overwrite").parquet(out_path))
 
 
-def scan_rows_read(df: DataFrame) -> tuple[int, int]:
-    """Run ``df`` (a distributed count of its own plan; no rows to the
-    driver) and return (rows read, files listed) summed over its file scans,
-    from the scans' SQL metrics.  Row groups skipped by min/max statistics
-    are not read, so a layout clustered on the filter column reads fewer."""
-    qe = df._jdf.queryExecution()
-    qe.toRdd().count()
-    plan = qe.executedPlan()
-    if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
-        plan = plan.executedPlan()
-    rows = files = 0
-    it = plan.collectLeaves().iterator()
-    while it.hasNext():
-        node = it.next()
-        m = node.metrics()
-        if m.contains("numOutputRows") and "Scan" in node.getClass().getSimpleName():
-            rows += int(m.get("numOutputRows").get().value())
-            if m.contains("numFiles"):
-                files += int(m.get("numFiles").get().value())
-    return rows, files
-
-
 def compare_layouts(spark, before_path: str, after_path: str, column: str, value) -> DataFrame:
-    """D20 after approval: rows read by the same equality filter on the old
-    and the clustered copy.  One row per layout."""
-    out = []
+    """D20 after approval: what an equality filter has to read on the old and on the
+    clustered copy, if files without the value are skipped.  One row per layout: files
+    with a match of all files, and the rows in them."""
+    parts = []
     for name, path in (("before", before_path), ("after", after_path)):
-        df = spark.read.parquet(path).filter(F.col(column) == F.lit(value))
-        rows, files = scan_rows_read(df)
-        out.append((name, rows, files))
-    return spark.createDataFrame(out, "layout string, rows_read long, files long")
+        files = spark.read.parquet(path).groupBy(F.col("_metadata.file_path").alias("file")).agg(
+            F.count(F.lit(1)).alias("n"), F.count_if(F.col(column) == F.lit(value)).alias("hits"))
+        hit = F.col("hits") > 0
+        parts.append(files.agg(
+            F.lit(name).alias("layout"), F.count_if(hit).alias("files_read"), F.count(F.lit(1)).alias("files"),
+            F.coalesce(F.sum(F.when(hit, F.col("n"))), F.lit(0)).alias("rows_read"),
+            F.coalesce(F.sum("hits"), F.lit(0)).alias("rows_found")))
+    return parts[0].unionByName(parts[1])

@@ -9,19 +9,25 @@ from ..operators import billing as B
 from ..operators import governance as G
 from ..operators import relational as R
 from ..sources import adapters as A
-from .billing import _base
+from .billing import BASE, DUP_ARM, RATE_ARM, _base
 from ..sources.tables import spread
-from .registry import query
+from .registry import query, set_oracle
 from .views_sql import with_views
 
-MASK_SQL = """left(split_part({n}, ' ', 1), 1) || repeat('*', greatest(length(split_part({n}, ' ', 1)) - 1, 0))
- || ' ' || left(split_part({n}, ' ', 2), 1) || repeat('*', greatest(length(split_part({n}, ' ', 2)) - 1, 0))
- || '  <' || left(split_part({e}, '@', 1), 1) || repeat('*', greatest(length(split_part({e}, '@', 1)) - 1, 0))
- || '@' || split_part({e}, '@', 2) || '>'"""
+def _star(x):
+    """First character, then one star per further character."""
+    return f"(substr({x}, 1, 1) || rpad('', CAST(greatest(length({x}), 1) - 1 AS INTEGER), '*'))"
 
 
 def _mask_sql(n, e):
-    return MASK_SQL.format(n=n, e=e)
+    """The rule in words: two words of the name and the part before the @ keep their
+    first letter; missing parts are empty; NULL gives NULL."""
+    def word(k):
+        return f"coalesce(string_split({n}, ' ')[{k}], '')"
+    local = f"string_split({e}, '@')[1]"
+    shown = f"concat_ws('', {_star(word(1))}, ' ', {_star(word(2))}, '  <', {_star(local)}, '@', " \
+            f"string_split({e}, '@')[2], '>')"
+    return f"CASE WHEN {n} IS NOT NULL AND {e} IS NOT NULL THEN {shown} END"
 
 
 @query("mask_contact", f"""
@@ -44,26 +50,24 @@ def mask_contact(t):
     return c.unionByName(p)
 
 
-@query("masked_view", with_views(f"""
-SELECT invoice_id, terminal_id, container_id, move_type, tariff_code,
-       CAST(amount_cents AS DOUBLE) / 100 AS amount_usd,
-       {_mask_sql('customer_name', 'customer_email')} AS customer_contact_masked,
-       dispute_flag, created_ts
-FROM billing_events""", "billing_events"))
+def triaged(t):
+    """Billing with the triage of all open disputes written back."""
+    be = A.billing_triage(t)
+    return G.triage_write_back(be, G.triage(G.triage_queue(be)))
+
+
+@query("masked_view", None)
 def masked_view(t):
     """D13 + S11 + P12: the masked billing view (PII columns dropped)."""
-    v = G.masked_view(A.billing_events(t))
+    v = G.masked_view(triaged(t))
     v.createOrReplaceTempView("billing_events_masked")
     return t.spark.table("billing_events_masked")
 
 
-@query("restricted_view", with_views(f"""
-SELECT {', '.join(c if c != 'amount_usd' else 'CAST(amount_cents AS DOUBLE) / 100 AS amount_usd'
-                 for c in G.BILLING_ALLOW)}
-FROM billing_events WHERE dispute_flag""", "billing_events"))
+@query("restricted_view", None)
 def restricted_view(t):
-    """Ad-hoc SQL sees only the allow-listed billing columns."""
-    be = A.billing_events(t).withColumn("amount_usd", A.usd("amount_cents"))
+    """The allow-listed billing columns of disputed invoices."""
+    be = triaged(t).withColumn("amount_usd", A.usd("amount_cents"))
     G.restricted_view(t.spark, be, "billing_restricted", G.BILLING_ALLOW)
     return t.spark.sql("SELECT * FROM billing_restricted WHERE dispute_flag")
 
@@ -71,7 +75,7 @@ def restricted_view(t):
 @query("redact_pii", f"SELECT doc_id, {X.redact_sql('text')} AS redacted FROM documents")
 def redact_pii(t):
     """Pattern redaction of e-mails, phones, money and percentages over
-    whole document texts (names need a model: see ``model_batch``)."""
+    whole document texts (names: ``redact_names``)."""
     return spread(t.documents.select("doc_id", "text")).select(
         "doc_id", X.redact("text").alias("redacted"))
 
@@ -88,16 +92,66 @@ def _triage_sql(text, amount):
 _CAT, _RISK = _triage_sql("dispute_reason", "amount_cents")
 
 
-@query("dispute_triage", with_views(f"""
-SELECT invoice_id, {_CAT} AS dispute_category, {_RISK} AS dispute_risk,
-       'Rule triage: ' || {_CAT} || ' from the dispute text, ' || lower({_RISK}) || ' risk by amount.'
-         AS dispute_risk_rationale
-FROM billing_events WHERE dispute_flag""", "billing_events"))
+TRIAGED = f"""
+SELECT * EXCLUDE (dispute_category, dispute_risk, dispute_risk_rationale, c, r),
+       coalesce(dispute_category, c) AS dispute_category, coalesce(dispute_risk, r) AS dispute_risk,
+       coalesce(dispute_risk_rationale, 'Rule triage: ' || c || ' from the dispute text, ' || lower(r)
+                || ' risk by amount.') AS dispute_risk_rationale,
+       c IS NOT NULL AS is_new
+FROM (SELECT *, CASE WHEN open THEN {_CAT} END AS c, CASE WHEN open THEN {_RISK} END AS r
+      FROM (SELECT *, dispute_flag AND dispute_category IS NULL AS open FROM billing_triage) q) x"""
+
+
+def with_triage(body):
+    return with_views(body, "billing_triage", extra=(("triaged", TRIAGED),))
+
+
+_COLS = ", ".join(c if c != "amount_usd" else "CAST(amount_cents AS DOUBLE) / 100 AS amount_usd"
+                  for c in G.BILLING_ALLOW)
+set_oracle("masked_view", with_triage(f"""
+SELECT invoice_id, terminal_id, container_id, move_type, tariff_code,
+       CAST(amount_cents AS DOUBLE) / 100 AS amount_usd,
+       {_mask_sql('customer_name', 'customer_email')} AS customer_contact_masked,
+       dispute_flag, dispute_category, dispute_risk, dispute_risk_rationale, created_ts
+FROM triaged"""))
+set_oracle("restricted_view", with_triage(f"SELECT {_COLS} FROM triaged WHERE dispute_flag"))
+
+
+@query("dispute_triage", with_triage("""
+SELECT invoice_id, dispute_category, dispute_risk, dispute_risk_rationale FROM triaged WHERE is_new"""))
 def dispute_triage(t):
     """D11 + P4: every flagged, unclassified dispute gets category, risk and rationale."""
-    q = A.billing_events(t).filter(F.col("dispute_flag"))
-    return G.triage(q).select("invoice_id", "dispute_category", "dispute_risk",
-                              "dispute_risk_rationale")
+    return G.triage(G.triage_queue(A.billing_triage(t))).select("invoice_id", *G.TRIAGE_COLS)
+
+
+@query("triage_write_back", with_triage("""
+SELECT invoice_id, dispute_flag, dispute_category, dispute_risk, dispute_risk_rationale FROM triaged"""))
+def triage_write_back(t):
+    """The whole billing snapshot after triage; earlier classifications stay."""
+    return triaged(t).select("invoice_id", "dispute_flag", *G.TRIAGE_COLS)
+
+
+@query("triage_audit", with_triage("""
+SELECT created_ts AS called_at, 'classify_dispute' AS function_name, 'rules' AS model_name,
+       CAST(invoice_id AS VARCHAR) AS subject_id, dispute_reason AS input_summary,
+       '{"category":"' || dispute_category || '","risk":"' || dispute_risk || '","rationale":"'
+         || dispute_risk_rationale || '"}' AS output_summary
+FROM triaged WHERE is_new"""))
+def triage_audit(t):
+    """The audit row of every classified dispute, with the whole reply."""
+    return G.triage_audit(G.triage(G.triage_queue(A.billing_triage(t))))
+
+
+@query("redact_names", with_views("""
+SELECT invoice_id, replace('Dispute of ' || customer_name || ': ' || dispute_reason, customer_name, '[REDACTED]')
+       AS redacted, CAST(NULL AS VARCHAR) AS model_error
+FROM billing_events WHERE dispute_flag""", "billing_events"))
+def redact_names(t):
+    """Customer names taken out of dispute texts through the model interface."""
+    be = A.billing_events(t).filter("dispute_flag")
+    texts = be.select("invoice_id", F.array("customer_name").alias("names"), F.concat(
+        F.lit("Dispute of "), F.col("customer_name"), F.lit(": "), F.col("dispute_reason")).alias("text"))
+    return G.redact_names(texts, "text", "names").select("invoice_id", "redacted", "model_error")
 
 
 _FORBID = "|".join(X.FORBIDDEN_WORDS)
@@ -127,6 +181,38 @@ def extract_ddl(t):
                     X.is_index_ddl("text").alias("is_index_ddl"))
 
 
+# Statements over the order keys: each form that the guard must accept or refuse, fenced
+# and unfenced, and DDL in several places.
+FORMS = ["SELECT * FROM invoices WHERE id = #", "WITH b AS (SELECT # AS n)\nSELECT n FROM b",
+         "SELECT #; DROP TABLE invoices", "delete from invoices where id = #",
+         "```sql\nSELECT # AS n;\n```", "Sure:\n```sql\nCREATE INDEX idx_# ON moves (container_id);\n```",
+         "create unique index u_# on moves (id);", "EXPLAIN SELECT #", "  no statement for #  "]
+
+
+@query("statement_checks", rf"""
+WITH s AS (SELECT o_orderkey AS id, replace([{', '.join("'" + f.replace(chr(10), "' || chr(10) || '") + "'" for f in FORMS)}]
+             [1 + CAST(o_orderkey % {len(FORMS)} AS INTEGER)], '#', CAST(o_orderkey AS VARCHAR)) AS raw FROM orders),
+c AS (SELECT id, raw, regexp_replace(trim(regexp_replace(trim(raw), '(?i)^```(json|sql)?\s*|\s*```$', '', 'g')),
+                                     ';\s*$', '') AS clean FROM s),
+d AS (SELECT *, nullif(regexp_extract(raw, '(?i)(CREATE\s+(?:UNIQUE\s+)?INDEX\b[^;]*;)', 1), '') AS found FROM c)
+SELECT id, clean, NOT contains(clean, ';') AND regexp_matches(clean, '(?is)^\s*(with\b.*\)\s*)?select\b')
+       AND NOT regexp_matches(clean, '(?i)\b({_FORBID})\b') AS is_safe,
+       found IS NOT NULL AS has_ddl, coalesce(found, trim(raw)) AS ddl,
+       regexp_matches(coalesce(found, trim(raw)), '(?i)^\s*CREATE\s+(UNIQUE\s+)?INDEX\b') AS is_index_ddl
+FROM d""")
+def statement_checks(t):
+    """Cleaning, guard and DDL extraction over statements of
+    every form (fenced, stacked, read-only, DDL, none)."""
+    forms = F.array(*[F.lit(f) for f in FORMS])
+    key = F.col("o_orderkey")
+    s = t.orders.select(key.alias("id"), F.replace(
+        F.element_at(forms, (key % len(FORMS)).cast("int") + 1), F.lit("#"), key.cast("string")).alias("raw"))
+    ddl = X.extract_ddl("raw")
+    return s.select("id", X.clean_sql("raw").alias("clean"), X.is_safe_select(X.clean_sql("raw")).alias("is_safe"),
+                    X.pg_substring("raw", X.DDL_EXTRACT).isNotNull().alias("has_ddl"), ddl.alias("ddl"),
+                    X.is_index_ddl(ddl).alias("is_index_ddl"))
+
+
 GLOSSARY = """
 SELECT g.tariff_code AS term,
        'tariff billed on ' || CAST(g.n AS VARCHAR) || ' invoices, mean charge '
@@ -168,33 +254,118 @@ def activity_trace(t):
     return G.activity_trace(t.conversations, "role", "assist", "text", ["conv_id", "turn"])
 
 
-@query("rows_to_json")
+@query("rows_to_json", with_views(f"""
+SELECT row_number() OVER (ORDER BY variance_usd DESC, invoice_id, anomaly_type) AS place,
+       '{{"invoice_id":' || invoice_id || ',"anomaly_type":"' || anomaly_type || '","tariff_code":"' || tariff_code
+       || '","customer_name":"' || customer_name || '"}}' AS row_json, 10 AS row_count
+FROM (SELECT * FROM ({RATE_ARM} UNION ALL {DUP_ARM}) u
+      ORDER BY variance_usd DESC, invoice_id, anomaly_type LIMIT 10) x""", *BASE))
 def rows_to_json(t):
-    """A8 + A9: the (bounded, top-10) scan result as one JSON array + length."""
-    return R.rows_to_json(B.billing_anomaly_scan(*_base(t)))
-
-
-# Statements for the guarded runner: two clean reads, one fenced read with a
-# trailing ';', and three the guard must refuse.
+    """A8 + A9: the (bounded, top-10) scan result as one JSON array and its length, then
+    read back element by element."""
+    scan = B.billing_anomaly_scan(*_base(t)).select("invoice_id", "anomaly_type", "tariff_code", "customer_name")
+    packed = R.rows_to_json(scan)
+    item = "struct<invoice_id:bigint,anomaly_type:string,tariff_code:string,customer_name:string>"
+    return packed.select(F.posexplode(F.from_json("result_json", f"array<{item}>")).alias("place", "r"), "row_count") \
+        .select((F.col("place") + 1).cast("long").alias("place"), F.to_json("r").alias("row_json"), "row_count")
+
+
+# Columns that generated SQL may see, table by table (fixed values).
+VISIBLE = {
+    "terminals": ["terminal_id", "terminal_name", "region_id"],
+    "gate_transactions": ["txn_id", "terminal_id", "truck_id", "gate_in_ts", "turn_time_minutes", "move_type"],
+    "berth_calls": ["call_id", "berth_id", "actual_arrival", "etd", "actual_departure", "moves"],
+    "container_moves": ["move_id", "terminal_id", "container_id", "move_type", "event_ts", "crane_id", "is_rehandle"],
+    "crane_telemetry": ["reading_id", "crane_id", "ts", "vibration_g", "temperature_c"],
+    "work_orders": ["work_order_id", "family", "language", "n_chars"],
+    "billing_events": G.BILLING_ALLOW,
+}
+
+
+def visible_tables(t):
+    """The seven tables of the text-to-SQL step with their listed columns."""
+    frames = {
+        "terminals": t.nation.select(F.col("n_nationkey").alias("terminal_id"), F.col("n_name").alias("terminal_name"),
+                                     F.col("n_regionkey").alias("region_id")),
+        "gate_transactions": A.gate_transactions(t), "berth_calls": A.berth_calls(t),
+        "container_moves": A.container_moves(t), "crane_telemetry": A.crane_telemetry(t),
+        "work_orders": t.documents.select(F.col("doc_id").alias("work_order_id"), F.col("source").alias("family"),
+                                          F.col("lang").alias("language"), "n_chars"),
+        "billing_events": triaged(t).withColumn("amount_usd", A.usd("amount_cents")),
+    }
+    return {name: df.select(*VISIBLE[name]) for name, df in frames.items()}
+
+
+# Statements for the guarded runner: reads of every table, one of them fenced with a
+# trailing ';', and statements that must be refused or fail.
 GUARDED = [
-    ("disputes by tariff",
-     "SELECT tariff_code, count(*) AS n, sum(amount_usd) AS usd FROM billing_restricted "
-     "WHERE dispute_flag GROUP BY tariff_code"),
-    ("largest disputes", "```sql\nSELECT invoice_id, amount_usd FROM billing_restricted "
-                         "WHERE dispute_flag ORDER BY amount_usd DESC LIMIT 5;\n```"),
-    ("volume", "WITH b AS (SELECT * FROM billing_restricted) SELECT count(*) AS n FROM b"),
-    ("drop it", "SELECT 1; DROP TABLE billing_restricted"),
-    ("delete", "DELETE FROM billing_restricted"),
+    ("disputes by tariff", "SELECT tariff_code, count(*) AS n FROM billing_events WHERE dispute_flag "
+                           "GROUP BY tariff_code"),
+    ("all invoices", "```sql\nSELECT invoice_id, dispute_category FROM billing_events;\n```"),
+    ("volume", "WITH m AS (SELECT * FROM container_moves) SELECT count(*) AS n FROM m"),
+    ("gates and names", "SELECT t.terminal_name, count(*) AS n FROM gate_transactions g JOIN terminals t "
+                        "ON t.terminal_id = g.terminal_id GROUP BY t.terminal_name"),
+    ("calls", "SELECT berth_id, count(*) AS n FROM berth_calls GROUP BY berth_id"),
+    ("readings", "SELECT crane_id, count(*) AS n FROM crane_telemetry GROUP BY crane_id"),
+    ("orders by family", "SELECT family, count(*) AS n FROM work_orders GROUP BY family"),
+    ("nothing", "SELECT invoice_id FROM billing_events WHERE invoice_id < 0"),
+    ("drop it", "SELECT 1; DROP TABLE billing_events"),
+    ("delete", "DELETE FROM billing_events"),
     ("explain", "EXPLAIN SELECT 1"),
+    ("hidden column", "SELECT customer_name FROM billing_events"),
+    ("other table", "SELECT c_name FROM customer"),
+    ("file", "SELECT c_name FROM parquet.`/root/testdata/sf0.001/customer.parquet`"),
+    ("machine", "SELECT reflect('java.lang.System', 'getProperty', 'user.dir')"),
 ]
 
 
-@query("guarded_sql")
+def _json_sql(*cols):
+    """Row object of (name, SQL text of the JSON value) pairs."""
+    inner = " || ',' || ".join(f"'\"{n}\":' || {v}" for n, v in cols)
+    return "'{' || " + inner + " || '}'"
+
+
+def _quoted(c):
+    return f"coalesce('\"' || {c} || '\"', 'null')"
+
+
+_RESULTS = " UNION ALL ".join(f"SELECT '{q}' AS question, {js} AS row_json FROM ({body}) x" for q, js, body in [
+    ("disputes by tariff", _json_sql(("tariff_code", _quoted("tariff_code")), ("n", "n")),
+     "SELECT tariff_code, count(*) AS n FROM triaged WHERE dispute_flag GROUP BY tariff_code"),
+    ("all invoices", _json_sql(("invoice_id", "invoice_id"), ("dispute_category", _quoted("dispute_category"))),
+     "SELECT * FROM triaged"),
+    ("volume", _json_sql(("n", "n")), "SELECT count(*) AS n FROM events"),
+    ("gates and names", _json_sql(("terminal_name", _quoted("n_name")), ("n", "n")),
+     "SELECT n_name, count(*) AS n FROM gate_transactions g JOIN nation ON n_nationkey = g.terminal_id GROUP BY n_name"),
+    ("calls", _json_sql(("berth_id", _quoted("berth_id")), ("n", "n")),
+     "SELECT berth_id, count(*) AS n FROM berth_calls GROUP BY berth_id"),
+    ("readings", _json_sql(("crane_id", _quoted("crane_id")), ("n", "n")),
+     "SELECT crane_id, count(*) AS n FROM crane_telemetry GROUP BY crane_id"),
+    ("orders by family", _json_sql(("family", _quoted("source")), ("n", "n")),
+     "SELECT source, count(*) AS n FROM documents GROUP BY source"),
+])
+_STATUS = {"drop it": "rejected: not a plain SELECT", "delete": "rejected: not a plain SELECT",
+           "explain": "rejected: not a plain SELECT", "hidden column": "error: AnalysisException",
+           "other table": "error: AnalysisException", "file": "error: AnalysisException",
+           "machine": "rejected: reaches beyond the views"}
+_GUARD_VIEWS = ("billing_triage", "gate_transactions", "berth_calls", "crane_telemetry")
+
+
+@query("guarded_sql", with_views(_RESULTS, *_GUARD_VIEWS, extra=(("triaged", TRIAGED),)))
 def guarded_sql(t):
-    """Clean -> guard -> run on restricted views -> JSON -> log."""
-    be = A.billing_events(t).withColumn("amount_usd", A.usd("amount_cents"))
-    G.restricted_view(t.spark, be, "billing_restricted", G.BILLING_ALLOW)
-    return G.run_guarded(t.spark, GUARDED)
+    """Clean -> guard -> run in a session of restricted views -> one JSON row per
+    result row, of any number."""
+    return G.run_guarded(t.spark, GUARDED, visible_tables(t))[0]
+
+
+@query("guarded_log", with_views(
+    "SELECT s.question, s.status, CASE WHEN s.status = 'ok' THEN coalesce(c.n, 0) END AS row_count FROM (VALUES "
+    + ", ".join(f"('{q}', '{_STATUS.get(q, 'ok')}')" for q, _ in GUARDED)
+    + f") s(question, status) LEFT JOIN (SELECT question, count(*) AS n FROM ({_RESULTS}) u GROUP BY question) c "
+      "ON c.question = s.question", *_GUARD_VIEWS, extra=(("triaged", TRIAGED),)))
+def guarded_log(t):
+    """The log of the same run: every statement with its fate and its row count."""
+    return G.run_guarded(t.spark, GUARDED, visible_tables(t))[1].drop("generated_sql")
 
 
 @query("triage_model")

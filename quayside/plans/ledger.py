@@ -9,7 +9,7 @@ from ..operators import ledger as L
 from ..operators import model as M
 from ..operators import relational as R
 from ..sources import adapters as A
-from .billing import DIAG, DUP_ARM, FIRSTS, RATE_ARM, _base
+from .billing import DIAG, FIRSTS, _base, dup_arm, rate_arm
 from .registry import query
 from .relational import BILLING_EXTRA
 from .views_sql import with_views
@@ -73,6 +73,18 @@ def ledger_violations(t):
     return L.violations(recs(t), A.review_actions(A.billing_events(t)))
 
 
+@query("tuning_violations", with_views("""
+SELECT a.action_id, a.rec_id, a.action, a.reviewer, a.action_ts,
+       CASE WHEN r.rec_id IS NULL THEN 'unknown_id' ELSE 'not_pending' END AS reason
+FROM review_actions a LEFT JOIN recs r ON r.rec_id = a.rec_id
+LEFT JOIN fa ON fa.rec_id = a.rec_id
+WHERE r.rec_id IS NULL OR (a.action_id <> fa.action_id AND a.action <> 'reject')""", *VIEWS, extra=CTES))
+def tuning_violations(t):
+    """D19, review half: an approval of a settled tuning item is an error, a rejection of
+    one passes in silence."""
+    return L.violations(recs(t), A.review_actions(A.billing_events(t)), silent_reject=True)
+
+
 @query("leakage_total", with_views("""
 SELECT round(coalesce(sum(variance_usd), 0), 2) AS signed_total_usd,
        round(coalesce(sum(abs(variance_usd)), 0), 2) AS abs_total_usd,
@@ -105,7 +117,8 @@ def apply_updates(t):
 
 AUDIT = f"""
 SELECT detected_at AS called_at, 'diagnose' AS function_name, 'rules' AS model_name,
-       CAST(invoice_id AS VARCHAR) AS subject_id, action AS input_summary, action AS output_summary
+       CAST(invoice_id AS VARCHAR) AS subject_id, action AS input_summary,
+       '{{"diagnosis": "{M.RuleBackend.DIAGNOSIS}", "recommended_action": "' || action || '"}}' AS output_summary
 FROM (SELECT s.*, CASE WHEN s.anomaly_type = 'duplicate_charge' THEN
               printf('{B.ACTION_VOID}',
                      CAST(s.invoice_id AS VARCHAR), CAST(fi.first_id AS VARCHAR), printf('%.2f', s.billed_usd))
@@ -148,21 +161,20 @@ def open_disputes(t):
 
 @query("scan_with_status", with_views(f"""
 SELECT u.invoice_id, u.anomaly_type, u.variance_usd, s.status
-FROM ({RATE_ARM.replace('AND NOT EXISTS (SELECT 1 FROM filed_recommendations r WHERE r.invoice_id = be.invoice_id)', '')}
-      UNION ALL {DUP_ARM.replace('AND NOT EXISTS (SELECT 1 FROM filed_recommendations r WHERE r.invoice_id = b2.invoice_id)', '')}) u
-LEFT JOIN state s ON s.invoice_id = u.invoice_id""", *VIEWS, extra=CTES))
+FROM ({rate_arm('undisputed')} UNION ALL {dup_arm('undisputed')}) u
+LEFT JOIN state s ON s.invoice_id = u.invoice_id""", *VIEWS, "undisputed", extra=CTES))
 def scan_with_status(t):
     """Every finding (filed or not) with its ledger status: one left join
     instead of one lookup per row."""
-    be, tr, filed = _base(t)
-    u = B.anomaly_union(be, tr, filed.limit(0))
+    be, tr, _ = _base(t)
+    u = B.anomaly_union(be, tr, None)
     return u.select("invoice_id", "anomaly_type", "variance_usd").join(
         state(t).select("invoice_id", "status"), "invoice_id", "left")
 
 
 def diagnosis_prompts(t):
     be, tr, filed = _base(t)
-    d = B.diagnose(B.anomaly_union(be, tr, filed), be, tr)
+    d = B.diagnose(B.anomalies_wide(be, tr, filed), be, tr)
     prompt = F.concat_ws(
         "\n", F.lit("Review this invoice anomaly."),
         F.concat(F.lit("Invoice: "), F.col("invoice_id").cast("string")),
@@ -177,7 +189,7 @@ SELECT invoice_id, anomaly_type, billed_usd, expected_usd, variance_usd,
        '{M.RuleBackend.DIAGNOSIS}' AS diagnosis, recommended_action, 'pending' AS status,
        CAST(NULL AS VARCHAR) AS model_error
 FROM ({DIAG}) d""", "billing_events", "tariff_rates", "filed_recommendations",
-                                extra=(("firsts", FIRSTS),)))
+                                "new_undisputed", extra=(("firsts", FIRSTS),)))
 def model_batch(t):
     """T13 + D5: one batched model stage over every diagnosis prompt, reply
     parsed (fence stripped, JSON), mechanical action as the fallback."""

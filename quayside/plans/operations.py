@@ -131,23 +131,28 @@ def drift_levels_frozen(t):
     return O.drift_levels(A.crane_telemetry(t), baseline="frozen", frozen_before="2024-01-08")
 
 
+FAMILIES = 20
+
+
 @query("similar_orders", "WITH " + """
-d_emb AS (""" + EMB_SQL.format(key="doc_id", text="text",
-                                src="(SELECT doc_id, text FROM documents WHERE source LIKE 'src1%')") + """),
-q_emb AS (""" + EMB_SQL.format(key="item_id", text="text", src="benchmark") + """),
-s AS (SELECT q.item_id AS query_id, d.doc_id AS id,
+d_emb AS (""" + EMB_SQL.format(key="doc_id, source", text="text", src="documents") + """),
+q_emb AS (""" + EMB_SQL.format(key="item_id", text="text", src="benchmark") + f"""),
+s AS (SELECT q.item_id AS query_id, d.source AS family, d.doc_id AS id,
              round(list_dot_product(q.embedding, d.embedding)
                    / (sqrt(list_dot_product(q.embedding, q.embedding))
                       * sqrt(list_dot_product(d.embedding, d.embedding))), 12) AS sim
-      FROM q_emb q, d_emb d WHERE q.embedding IS NOT NULL AND d.embedding IS NOT NULL)
+      FROM q_emb q JOIN d_emb d ON d.source = 'src' || CAST(q.item_id % {FAMILIES} AS VARCHAR)
+      WHERE q.embedding IS NOT NULL AND d.embedding IS NOT NULL)
 SELECT query_id, id, sim, rank FROM (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS INTEGER) AS rank FROM s) r
 WHERE rank <= 3""")
 def similar_orders(t):
-    """For each question, the 3 most similar whole documents of one
-    source family (prefix filter on the source, then text top-k)."""
-    d = spread(t.documents.filter(F.col("source").startswith("src1")).select("doc_id", "text"))
-    corpus = RT.embed(d.withColumnRenamed("doc_id", "id"), ["id"], "text")
-    q = RT.embed(t.benchmark.select(F.col("item_id").alias("query_id"), "text"),
-                 ["query_id"], "text")
-    return RT.topk(corpus, q, k=3)
+    """For each question, the 3 most similar whole documents of the question's own
+    fault family (documents: their source; questions: dealt over the families by id)."""
+    d = spread(t.documents.select(F.col("doc_id").alias("id"), "text", F.col("source").alias("family")))
+    corpus = RT.embed(d, ["id"], "text", keep=["family"])
+    q = t.benchmark.select(
+        F.col("item_id").alias("query_id"), "text",
+        F.concat(F.lit("src"), (F.col("item_id") % FAMILIES).cast("string")).alias("family"))
+    return RT.topk(corpus, RT.embed(q, ["query_id"], "text", keep=["family"]), k=3,
+                   family=("family", "family"))

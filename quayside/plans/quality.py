@@ -16,7 +16,10 @@ FKS = [("lineitem", "l_orderkey", "orders", "o_orderkey"),
        ("lineitem", "l_suppkey", "supplier", "s_suppkey"),
        ("orders", "o_custkey", "customer", "c_custkey"),
        ("customer", "c_nationkey", "nation", "n_nationkey"),
-       ("labels", "doc_id", "documents", "doc_id")]
+       ("labels", "doc_id", "documents", "doc_id"),
+       # broken on purpose: not every document carries a label, not every part has a document
+       ("documents", "doc_id", "labels", "doc_id"),
+       ("part", "p_partkey", "documents", "doc_id")]
 NOT_NULL = {"orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
                        "o_orderdate", "o_orderpriority"],
             "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
@@ -28,7 +31,10 @@ DOMAINS = [("orders", "o_orderstatus", ["F", "O", "P"]),
                                           "4-NOT SPECIFIED", "5-LOW"]),
            ("events", "event_type", ["view", "click", "purchase", "signup", "error"]),
            ("labels", "quality", [0, 1]),
-           ("conversations", "role", ["system", "user", "assistant"])]
+           ("conversations", "role", ["system", "user", "assistant"]),
+           # broken on purpose: events that are no container move, documents in other languages
+           ("events", "event_type", ["view", "click", "purchase", "signup"]),
+           ("documents", "lang", ["en", "de"])]
 # Row-count expectations: fixed dimensions exactly, the rest at least one row.
 BOUNDS = {n: (1, None) for n in TABLES}
 BOUNDS.update({"region": (5, 5), "nation": (25, 25)})

@@ -31,6 +31,11 @@ def query(name: str, oracle: str | None = None):
     return deco
 
 
+def set_oracle(name: str, oracle: str) -> None:
+    """Give a registered query its SQL twin (for twins that need a later definition)."""
+    REGISTRY[name].oracle = oracle
+
+
 def load_all() -> dict[str, Query]:
     from . import (billing, documents, governance, ledger, operations,  # noqa: F401
                    quality, relational, retrieval, watchlist)

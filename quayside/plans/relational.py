@@ -9,6 +9,7 @@ from ..operators import billing as B
 from ..operators import relational as R
 from ..sources import adapters as A
 from ..sources.tables import TABLES
+from .billing import dup_arm, rate_arm
 from .registry import query
 from .views_sql import with_views
 
@@ -143,7 +144,7 @@ def cyclic_pick(t):
 
 # Event type -> move type mapping used as an inline VALUES relation.
 EVENT_MOVES = [("view", "discharge"), ("click", "load"), ("purchase", "yard_shift"),
-               ("signup", "gate_in")]
+               ("signup", "gate_in"), ("error", "rehandle")]
 
 
 @query("inline_values", "SELECT v.move_type, count(*) AS n FROM events e JOIN (VALUES " +
@@ -174,29 +175,15 @@ def status_snapshot(t):
 def _unfiltered_batch(t):
     be = A.billing_events(t)
     tr = A.tariff_rates(be)
-    nothing = A.filed_recommendations(be).limit(0)
-    return be, tr, B.anomaly_union(be, tr, nothing)
+    return be, tr, B.anomaly_union(be, tr, None)
 
 
-@query("insert_if_absent", with_views("""
+@query("insert_if_absent", with_views(f"""
 SELECT invoice_id, anomaly_type, variance_usd FROM (
   SELECT *, row_number() OVER (PARTITION BY invoice_id ORDER BY anomaly_type, variance_usd DESC) AS rn
-  FROM (SELECT be.invoice_id, 'rate_deviation' AS anomaly_type,
-               CAST(abs(be.amount_cents - tr.rate_cents) AS DOUBLE) / 100 AS variance_usd
-        FROM billing_events be JOIN tariff_rates tr
-          ON tr.terminal_id = be.terminal_id AND tr.tariff_code = be.tariff_code
-        WHERE NOT be.dispute_flag
-          AND abs(be.amount_cents - tr.rate_cents) * 100 > greatest(500000, tr.rate_cents * 15)
-        UNION ALL
-        SELECT b2.invoice_id, 'duplicate_charge', CAST(b2.amount_cents AS DOUBLE) / 100
-        FROM billing_events b1 JOIN billing_events b2
-          ON b1.terminal_id = b2.terminal_id AND b1.container_id = b2.container_id
-         AND b1.move_type = b2.move_type AND b1.tariff_code = b2.tariff_code
-         AND b1.invoice_id < b2.invoice_id
-         AND abs(epoch_us(b2.created_ts) - epoch_us(b1.created_ts)) < 14 * 86400000000
-        WHERE NOT b2.dispute_flag) u) d
-WHERE rn = 1 AND NOT EXISTS (SELECT 1 FROM filed_recommendations f WHERE f.invoice_id = d.invoice_id)""",
-                                     "billing_events", "tariff_rates", "filed_recommendations"))
+  FROM ({rate_arm('undisputed')} UNION ALL {dup_arm('undisputed')}) u) d
+WHERE rn = 1 AND invoice_id NOT IN (SELECT invoice_id FROM filed_recommendations)""",
+                                     "billing_events", "tariff_rates", "filed_recommendations", "undisputed"))
 def insert_if_absent(t):
     """S8 + T7: file new findings, skipping keys already on file (in-batch
     dedup by key, then left anti join against the target)."""
@@ -208,14 +195,30 @@ def insert_if_absent(t):
 
 
 @query("seed_if_empty", with_views("""
-SELECT terminal_id, tariff_code, rate_cents FROM tariff_rates
-WHERE NOT EXISTS (SELECT 1 FROM billing_events WHERE created_ts > TIMESTAMP '2100-01-01')""",
-                                  "billing_events", "tariff_rates"))
+SELECT 'empty' AS target, terminal_id, tariff_code, rate_cents FROM tariff_rates
+WHERE NOT EXISTS (SELECT 1 FROM billing_events WHERE created_ts > TIMESTAMP '2100-01-01')
+UNION ALL
+SELECT 'filled', terminal_id, tariff_code, rate_cents FROM tariff_rates
+WHERE NOT EXISTS (SELECT 1 FROM billing_events)""", "billing_events", "tariff_rates"))
 def seed_if_empty(t):
-    """Seed the tariff table only while the (future) ledger is empty."""
+    """The tariff rates seed an empty ledger (no invoice lies in the future) and
+    leave a filled one alone."""
     be = A.billing_events(t)
-    target = be.filter(F.col("created_ts") > F.lit("2100-01-01").cast("timestamp_ntz"))
-    return R.seed_if_empty(target, A.tariff_rates(be))
+    empty = be.filter(F.col("created_ts") > F.lit("2100-01-01").cast("timestamp_ntz"))
+    return R.seed_if_empty(empty, A.tariff_rates(be).select(F.lit("empty").alias("target"), "*")).unionByName(
+        R.seed_if_empty(be, A.tariff_rates(be).select(F.lit("filled").alias("target"), "*")))
+
+
+@query("padded_ids", """
+SELECT o_orderkey, 'WO-' || lpad(CAST(o_orderkey AS VARCHAR), 8, '0') AS work_order,
+       'QC-' || lpad(CAST(o_orderkey % 6 + 1 AS VARCHAR), 2, '0') AS crane FROM orders""")
+def padded_ids(t):
+    """zero-padded identifiers built from numeric keys."""
+    def padded(prefix, c, n):
+        return F.concat(F.lit(prefix), F.lpad(c.cast("string"), n, "0"))
+    key = F.col("o_orderkey")
+    return t.orders.select("o_orderkey", padded("WO-", key, 8).alias("work_order"),
+                           padded("QC-", key % 6 + 1, 2).alias("crane"))
 
 
 @query("assign_ids", with_views("""
@@ -246,12 +249,11 @@ BILLING_EXTRA = T.StructType([
 
 @query("open_queue", with_views("""
 SELECT invoice_id, CAST(amount_cents AS DOUBLE) / 100 AS amount_usd, dispute_reason,
-       CAST(NULL AS VARCHAR) AS dispute_category
-FROM billing_events WHERE dispute_flag""", "billing_events"))
+       CAST(NULL AS DOUBLE) AS corrected_usd
+FROM billing_triage WHERE dispute_flag AND dispute_category IS NULL""", "billing_triage"))
 def open_queue(t):
-    """P4 + S13: evolve the schema (add the triage columns if missing), then
-    the work queue = flagged disputes with no category yet."""
-    be = R.evolve_schema(A.billing_events(t), BILLING_EXTRA)
+    """P4 + S13: evolve the schema (add missing columns as typed NULLs), then the work
+    queue = flagged disputes with no category yet."""
+    be = R.evolve_schema(A.billing_triage(t), BILLING_EXTRA)
     q = be.filter(F.col("dispute_flag") & F.col("dispute_category").isNull())
-    return q.select("invoice_id", A.usd("amount_cents").alias("amount_usd"),
-                    "dispute_reason", "dispute_category")
+    return q.select("invoice_id", A.usd("amount_cents").alias("amount_usd"), "dispute_reason", "corrected_usd")

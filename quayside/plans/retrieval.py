@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import retrieval as RT
 from .documents import EMB_SQL, chunks, rec
+from ..sources.tables import TABLES
 from .registry import query
 
 CENTROIDS = """
@@ -62,7 +63,8 @@ def chunk_corpus(t):
 
 
 def chunk_hits(t, k, min_sim=None):
-    corpus = chunk_corpus(t)
+    # chunked once: the texts of the hits are looked up in the stored chunks
+    corpus = chunk_corpus(t).checkpoint()
     emb = RT.embed(corpus, ["id"], "content")
     q = RT.embed(t.benchmark.select(F.col("item_id").alias("query_id"), "text"),
                  ["query_id"], "text")
@@ -99,9 +101,36 @@ def vector_threshold(t):
 
 @query("vector_topk_approx")
 def vector_topk_approx(t):
-    """LSH top-5 for the label centroids, with recall against T10."""
+    """Sign-code top-5 for the label centroids, with recall against T10 and the share
+    of the corpus that was scored."""
     corpus = t.embeddings.select(F.col("vec_id").alias("id"), "embedding")
     q = centroids(t)
-    approx = RT.topk_approx(corpus, q, k=5, max_distance=1.5)
+    approx = RT.topk_approx(corpus, q, k=5)
     recall = RT.recall_vs_exact(approx, RT.topk(corpus, q, k=5))
-    return approx.join(recall, "query_id", "left")
+    rows = corpus.agg(F.count(F.lit(1)).alias("corpus_rows"))           # one row
+    return approx.join(recall, "query_id", "left").crossJoin(F.broadcast(rows)).select(
+        "query_id", "id", "sim", "rank", "recall",
+        F.coalesce(F.col("candidates") / F.col("corpus_rows"), F.lit(1.0)).alias("candidate_share"))
+
+
+@query("schema_search", "WITH " + """
+cat AS (SELECT table_name || '.' || column_name AS id,
+               table_name || '.' || column_name || ' ' || replace(column_name, '_', ' ') AS description
+        FROM information_schema.columns WHERE table_name IN (""" + ", ".join(f"'{n}'" for n in TABLES) + """)),
+c_emb AS (""" + EMB_SQL.format(key="id", text="description", src="cat") + """),
+q_emb AS (""" + EMB_SQL.format(key="conv_id, turn", text="text", src="conversations") + """),
+s AS (SELECT q.conv_id * 100 + q.turn AS query_id, c.id,
+             round(list_dot_product(q.embedding, c.embedding)
+                   / (sqrt(list_dot_product(q.embedding, q.embedding))
+                      * sqrt(list_dot_product(c.embedding, c.embedding))), 12) AS sim
+      FROM q_emb q, c_emb c WHERE q.embedding IS NOT NULL AND c.embedding IS NOT NULL)
+SELECT query_id, id, sim, rank FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS INTEGER) AS rank
+  FROM s WHERE sim >= 0.3) r WHERE rank <= 8""")
+def schema_search(t):
+    """The catalog columns that fit each conversation turn (similarity at least 0.3,
+    best 8)."""
+    catalog = RT.schema_catalog({n: getattr(t, n) for n in TABLES})
+    asked = t.conversations.select((F.col("conv_id") * 100 + F.col("turn")).alias("query_id"),
+                                   F.col("text").alias("question"))
+    return RT.schema_search(catalog, asked)

@@ -6,7 +6,8 @@ it needs become CTEs in dependency order in front of the body.
 
 from __future__ import annotations
 
-from ..sources.adapters import BERTHS, CRANES, DISPUTE_TEXT, ETD_DAYS, FILED_BEFORE, TERMINAL_BUCKET
+from ..sources.adapters import (BERTHS, CRANES, DISPUTE_TEXT, EARLIER_RATIONALE, ETD_DAYS,
+                                FILED_BEFORE, LOST_REVIEWS, TERMINAL_BUCKET)
 
 K = "CAST(json_extract_string(props, '$.k') AS INTEGER)"
 DISPUTE = "CASE o.o_orderpriority " + " ".join(
@@ -34,6 +35,15 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     SELECT invoice_id AS rec_id, invoice_id, 'pending' AS status,
            created_ts + INTERVAL 1 DAY AS detected_at
     FROM billing_events WHERE created_ts < TIMESTAMP '{FILED_BEFORE}'"""),
+    "undisputed": (("billing_events",), "SELECT * FROM billing_events WHERE NOT dispute_flag"),
+    "new_undisputed": (("undisputed", "filed_recommendations"), """
+    SELECT u.* FROM undisputed u LEFT JOIN filed_recommendations f USING (invoice_id)
+    WHERE f.invoice_id IS NULL"""),
+    "billing_triage": (("billing_events",), f"""
+    SELECT *, CASE WHEN known THEN 'Other' END AS dispute_category,
+           CASE WHEN known THEN 'Low' END AS dispute_risk,
+           CASE WHEN known THEN '{EARLIER_RATIONALE}' END AS dispute_risk_rationale
+    FROM (SELECT *, dispute_flag AND created_ts < TIMESTAMP '{FILED_BEFORE}' AS known FROM billing_events) k"""),
     "review_actions": (("billing_events",), f"""
     SELECT rec_id, action, reviewer, action_ts, rec_id * 10 + seq AS action_id FROM (
       SELECT invoice_id AS rec_id,
@@ -46,7 +56,11 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
       SELECT invoice_id, CASE WHEN order_status = 'F' THEN 'reject' ELSE 'approve' END,
              'reviewer-late', created_ts + INTERVAL 3 DAY, 2
       FROM billing_events
-      WHERE created_ts < TIMESTAMP '{FILED_BEFORE}' AND tariff_code = '1-URGENT') a"""),
+      WHERE created_ts < TIMESTAMP '{FILED_BEFORE}' AND tariff_code = '1-URGENT'
+      UNION ALL
+      SELECT -invoice_id, 'approve', 'reviewer-lost', created_ts + INTERVAL 4 DAY, -3
+      FROM billing_events
+      WHERE created_ts < TIMESTAMP '{FILED_BEFORE}' AND container_id % {LOST_REVIEWS} = 0) a"""),
     "container_moves": ((), f"""
     SELECT event_id AS move_id, CAST(floor({K} / {TERMINAL_BUCKET}) AS INTEGER) AS terminal_id,
            user_id AS container_id, event_type AS move_type, ts AS event_ts,

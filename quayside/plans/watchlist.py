@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import watchlist as W
+from ..session import ensure_checkpoint_dir
 from ..sources import adapters as A
 from .registry import query
 
 
+LAYOUT_FILES = 16
+
 QUERY_LOG_SQL = """
 SELECT event_id AS run_id, ts AS run_ts, event_type AS label,
        'Seq Scan on container_moves (actual rows=' || CAST(user_id AS VARCHAR) || ')' || chr(10)
@@ -61,4 +66,15 @@ def layout_advice(t):
                                                   "move_type"])
 
 
+@query("layout_compare")
+def layout_compare(t):
+    """D20, approve step: a copy clustered by the advised column, and what the same filter
+    reads on the moves as they come and on the copy."""
+    folder = f"{ensure_checkpoint_dir(t.spark).rstrip('/')}/layout-{uuid.uuid4().hex}"
+    moves = A.container_moves(t).select("move_id", "container_id", "event_ts")
+    moves.repartition(LAYOUT_FILES).write.parquet(f"{folder}/before")
+    W.rewrite_clustered(moves, "container_id", f"{folder}/after", LAYOUT_FILES)
+    return W.compare_layouts(t.spark, f"{folder}/before", f"{folder}/after", "container_id", 8)
+
+
 

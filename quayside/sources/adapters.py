@@ -21,6 +21,8 @@ TERMINAL_BUCKET = 25                 # events: terminal = props.k div 25  (k in
 CRANES = 6                           # events: crane = props.k mod 6
 BERTHS = 8                           # berth calls: berth = orderkey mod 8
 ETD_DAYS = 365                       # berth calls: planned departure = arrival + 365 days
+LOST_REVIEWS = 50                    # review actions: every 50th container also has one on an unknown id
+EARLIER_RATIONALE = "Classified by an earlier run."
 # Dispute text of a disputed invoice, by its tariff (order priority).
 DISPUTE_TEXT = [
     ("1-URGENT", "Demurrage billed although the container left within free time"),
@@ -45,9 +47,8 @@ def _dispute_text(priority: Column) -> Column:
 
 
 def billing_events(t: Tables) -> DataFrame:
-    """billing_events = orders joined to customer on custkey.  Built once per
-    query and materialised: the scan, its arms, the tariff aggregate and the
-    filed set all read it, so the fact join runs once, not once per branch."""
+    """billing_events = orders joined to customer on custkey.  One plan per query; it is
+    stored first when ``quayside.materialize`` says so (default: not)."""
     return t.view("billing_events", lambda: _billing_events(t), shared=True)
 
 
@@ -77,6 +78,15 @@ def _billing_events(t: Tables) -> DataFrame:
     )
 
 
+def billing_triage(t: Tables) -> DataFrame:
+    """billing_events with the triage columns: disputes filed before FILED_BEFORE were
+    classified by an earlier run, the others not yet (NULL)."""
+    known = F.col("dispute_flag") & (F.col("created_ts") < F.lit(FILED_BEFORE).cast("timestamp_ntz"))
+    return billing_events(t).withColumns({
+        "dispute_category": F.when(known, "Other"), "dispute_risk": F.when(known, "Low"),
+        "dispute_risk_rationale": F.when(known, EARLIER_RATIONALE)})
+
+
 def tariff_rates(billing: DataFrame) -> DataFrame:
     """Standard rate per (terminal, tariff) = mean billed amount, rounded half
     up to the cent with integer arithmetic.  One row per key pair: its size is
@@ -100,7 +110,8 @@ def filed_recommendations(billing: DataFrame) -> DataFrame:
 def review_actions(billing: DataFrame) -> DataFrame:
     """Review actions on filed recommendations, derived from the order status:
     'F' -> approve, 'O' -> reject (one day after filing); urgent orders get a
-    second, conflicting review one day later (a ledger violation)."""
+    second, conflicting review one day later (a ledger violation), and some reviews name
+    a recommendation that does not exist (another one)."""
     recs = billing.filter(F.col("created_ts") < F.lit(FILED_BEFORE).cast("timestamp_ntz"))
     first = recs.filter(F.col("order_status").isin("F", "O")).select(
         F.col("invoice_id").alias("rec_id"),
@@ -114,7 +125,11 @@ def review_actions(billing: DataFrame) -> DataFrame:
         F.lit("reviewer-late").alias("reviewer"),
         (F.col("created_ts") + F.expr("INTERVAL 3 DAYS")).alias("action_ts"),
         F.lit(2).alias("seq"))
-    a = first.unionByName(second)
+    lost = recs.filter(F.col("container_id") % LOST_REVIEWS == 0).select(
+        (-F.col("invoice_id")).alias("rec_id"), F.lit("approve").alias("action"),
+        F.lit("reviewer-lost").alias("reviewer"),
+        (F.col("created_ts") + F.expr("INTERVAL 4 DAYS")).alias("action_ts"), F.lit(-3).alias("seq"))
+    a = first.unionByName(second).unionByName(lost)
     return a.withColumn("action_id", F.col("rec_id") * 10 + F.col("seq")).drop("seq")
 
 

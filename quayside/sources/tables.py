@@ -54,11 +54,6 @@ class Tables:
             self._cache[name] = load(self.spark, self.sf_dir, name)
         return self._cache[name]
 
-    def register_views(self) -> None:
-        """Expose every base table as a temp view for SQL-written operators."""
-        for n in TABLES:
-            getattr(self, n).createOrReplaceTempView(n)
-
 
 def spread(df: DataFrame, factor: int = 2) -> DataFrame:
     """Give CPU-heavy per-row work (chunking, embedding, parsing) at least

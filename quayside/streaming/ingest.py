@@ -10,8 +10,7 @@ is chunked and registered into the chunk table with insert-if-absent on
 
 from __future__ import annotations
 
-import os
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +28,17 @@ def _html_or_text(df: DataFrame) -> DataFrame:
     return html.unionByName(other)
 
 
+def existing_chunks(spark: SparkSession, path: str) -> DataFrame:
+    """The chunk table at ``path`` on any file system that Spark reads, or S14: an empty
+    one of the same schema if there is none yet."""
+    try:
+        return spark.read.schema(CHUNK_SCHEMA).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], CHUNK_SCHEMA)
+
+
 def ingest_stream(spark: SparkSession, path: str, checkpoint: str, out: str,
                   max_chars: int = D.MAX_CHARS, sep: str = D.PARA_SEP):
     """Start the ingest query and return it (already finished when
@@ -45,10 +55,7 @@ def ingest_stream(spark: SparkSession, path: str, checkpoint: str, out: str,
             D.pack(D.paragraphs(F.col("text"), sep), max_chars)).alias("chunk_index", "content"))
         chunks = chunks.select("filename", "chunk_index", "title", "content",
                                F.lit("pending").alias("status"))
-        if os.path.exists(out) and any(n.endswith(".parquet") for n in os.listdir(out)):
-            target = spark.read.parquet(out)
-        else:
-            target = spark.createDataFrame([], CHUNK_SCHEMA)
+        target = existing_chunks(spark, out)
         new = insert_if_absent(target, chunks, ["filename", "chunk_index"],
                                order=["title", "content"])
         new.write.mode("append").parquet(out)

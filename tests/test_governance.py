@@ -54,6 +54,8 @@ def test_pg_substring_null_on_no_match(spark):
     ("mail me at jo.doe@corp.example now", "mail me at [REDACTED] now"),
     ("call +1 555-010-9999 today", "call [REDACTED] today"),
     ("we paid $1,250.00 and 15% off", "we paid [REDACTED] and [REDACTED] off"),
+    ("at +1 (293) 555-9179, or (293) 555 9179", "at [REDACTED], or [REDACTED]"),
+    ("card 4467920212765298 from 141.168.246.231", "card 4467920212765298 from 141.168.246.231"),
     ("nothing to hide", "nothing to hide"),
 ])
 def test_redact(spark, text, expected):
@@ -71,17 +73,77 @@ def test_triage_rules(spark):
     assert {c for c, _ in got} <= set(G.CATEGORIES)
 
 
-def test_guarded_runner_logs_rejections(spark):
+def _guarded(spark, statements):
     from quayside.operators import governance as G
-    df = spark.createDataFrame([(1, "a", 10.0), (2, "b", 20.0)], "id long, k string, v double")
-    G.restricted_view(spark, df, "tiny_view", ["id", "v"])
-    log = G.run_guarded(spark, [("sum", "```sql\nSELECT sum(v) AS s FROM tiny_view;\n```"),
-                                ("hidden", "SELECT k FROM tiny_view"),
-                                ("bad", "DROP TABLE tiny_view")]).collect()
-    assert log[0].accepted and log[0].status == "ok" and log[0].row_count == 1
-    assert '"s":30.0' in log[0].result_json
-    assert log[1].accepted and log[1].status.startswith("error")   # column not in the allow-list
-    assert not log[2].accepted and log[2].status == "rejected"
+    df = spark.createDataFrame([(i, f"k{i}", i / 2) for i in range(3000)], "id long, k string, v double")
+    results, log = G.run_guarded(spark, statements, {"tiny_view": df.select("id", "v")})
+    return results, {r.question: r for r in log.collect()}
+
+
+def test_guarded_runner_returns_every_row(spark):
+    results, log = _guarded(spark, [
+        ("sum", "```sql\nSELECT sum(v) AS s FROM tiny_view;\n```"), ("all", "SELECT id FROM tiny_view"),
+        ("none", "SELECT id FROM tiny_view WHERE id < 0")])
+    rows = results.collect()
+    assert [r.row_json for r in rows if r.question == "sum"] == ['{"s":2249250.0}']
+    assert {r.row_json for r in rows if r.question == "all"} == {f'{{"id":{i}}}' for i in range(3000)}
+    assert {q: (r.status, r.row_count) for q, r in log.items()} == {
+        "sum": ("ok", 1), "all": ("ok", 3000), "none": ("ok", 0)}
+
+
+@pytest.mark.parametrize("sql", [
+    "DROP TABLE tiny_view", "SELECT 1; SELECT 2", "SELECT k FROM tiny_view", "SELECT * FROM customer_view",
+    "SELECT c_name FROM parquet.`/root/testdata/sf0.001/customer.parquet`",
+    "SELECT * FROM `parquet`.`file:///root/testdata/sf0.001/customer.parquet`",
+    "SELECT reflect('java.lang.System', 'getProperty', 'user.dir')",
+    "SELECT java_method('java.lang.System', 'getProperty', 'user.dir')",
+    "SELECT try_reflect('java.lang.System', 'getProperty', 'user.dir')",
+    "SELECT * FROM global_temp.shared_view", "WITH x AS (SELECT 1) SELECT c_name FROM customer_view"])
+def test_guarded_runner_is_a_boundary(spark, tables, sql):
+    tables.customer.createOrReplaceTempView("customer_view")
+    tables.customer.createOrReplaceGlobalTempView("shared_view")
+    results, log = _guarded(spark, [("q", sql)])
+    assert results.count() == 0 and log["q"].status.startswith(("rejected", "error")) and log["q"].row_count is None
+
+
+def test_triage_keeps_earlier_classes_and_logs_replies(spark):
+    import datetime as dt
+    import json
+
+    from quayside.operators import governance as G
+    cols = ("invoice_id long, dispute_flag boolean, dispute_reason string, amount_cents long, created_ts timestamp_ntz, "
+            "dispute_category string, dispute_risk string, dispute_risk_rationale string")
+    day = dt.datetime(2026, 1, 1)
+    be = spark.createDataFrame([
+        (1, True, "billed twice", 40_000_000, day, None, None, None),
+        (2, True, "billed twice", 1, day, "Other", "Low", "by hand"),
+        (3, False, None, 1, day, None, None, None)], cols)
+    new = G.triage(G.triage_queue(be))
+    assert [r.invoice_id for r in new.collect()] == [1]
+    after = {r.invoice_id: (r.dispute_category, r.dispute_risk) for r in G.triage_write_back(be, new).collect()}
+    assert after == {1: ("Duplicate Charge", "High"), 2: ("Other", "Low"), 3: (None, None)}
+    row = G.triage_audit(new).first()
+    assert row.subject_id == "1" and json.loads(row.output_summary)["category"] == "Duplicate Charge"
+
+
+def test_names_are_redacted_and_one_bad_prompt_costs_one_row(spark):
+    from quayside.operators import governance as G
+    from quayside.operators import model as M
+    df = spark.createDataFrame([(1, "Ann Lee and Bo wrote", ["Ann Lee", "Bo"]), (2, "nobody", []), (3, None, ["Bo"])],
+                               "id long, text string, names array<string>")
+    got = {r.id: r.redacted for r in G.redact_names(df, "text", "names").collect()}
+    assert got == {1: "[REDACTED] and [REDACTED] wrote", 2: "nobody", 3: None}
+
+    class Fragile(M.RuleBackend):
+        def _one(self, p):
+            if p == "bad":
+                raise ValueError("no answer")
+            return super()._one(p)
+
+    rows = M.run_model(spark.createDataFrame([("good",), ("bad",), ("fine",)], "prompt string").coalesce(1),
+                       backend=Fragile).collect()
+    assert [(r.reply is None, r.model_error) for r in rows] == [
+        (False, None), (True, "ValueError: no answer"), (False, None)]
 
 
 def test_small_text_helpers(spark):

@@ -48,3 +48,11 @@ def test_grouped_operators_use_partial_aggregation_not_key_windows(q, name):
     p = plan(q(name))
     assert "HashAggregate" in p or "ObjectHashAggregate" in p or "SortAggregate" in p
     assert "Window [row_number()" not in p
+
+
+@pytest.mark.parametrize("name,most", [("billing_anomaly_scan", 4), ("diagnose_anomalies", 5)])
+def test_the_fact_is_scanned_once_per_role(q, name, most):
+    df = q(name)
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert 0 < final.count("orders.parquet") <= most

@@ -76,3 +76,17 @@ def test_layout_advice_and_clustered_rewrite(spark, tables):
     moves.repartition(4).write.parquet(before)
     cmp = {r.layout: r.rows_read for r in W.compare_layouts(spark, before, out, "container_id", 8).collect()}
     assert cmp["after"] < cmp["before"] == moves.count()
+
+
+def test_assign_ids_do_not_hang_on_exchange_reuse(spark):
+    from pyspark.sql import functions as F
+
+    from quayside.operators import relational as R
+    orders = spark.read.parquet("/root/testdata/sf0.01/orders.parquet").select("o_orderkey").distinct()
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        r = R.assign_ids(orders, ["o_orderkey"]).agg(
+            F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("d"), F.max("id").alias("top")).first()
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    assert r.n == r.d == r.top

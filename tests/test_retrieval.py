@@ -61,9 +61,33 @@ def test_schema_search(spark, tables):
     assert (1, "customer.c_name") in hits and (2, "orders.o_orderdate") in hits
 
 
-def test_topk_query_blocks_equal_single_block(spark, tables):
-    emb = tables.embeddings.select(F.col("vec_id").alias("id"), "embedding")
-    q = emb.limit(12).withColumnRenamed("id", "query_id")
-    one = sorted(tuple(r) for r in RT.topk(emb, q, k=3).collect())
-    blocked = sorted(tuple(r) for r in RT.topk(emb, q, k=3, block=6).collect())
-    assert one == blocked and len(one) == 36
+def test_topk_with_many_tiles_and_families(spark, tables, monkeypatch):
+    """Several tiles and blocks give what one matrix gives, inside each family."""
+    monkeypatch.setattr(RT, "BLOCK_ROWS", 37)
+    monkeypatch.setattr(RT, "HELD_TILES", 2)
+    emb = tables.embeddings.select(F.col("vec_id").alias("id"), "embedding", (F.col("vec_id") % 3).alias("fam"))
+    q = emb.filter("id % 5 = 0").select(F.col("id").alias("query_id"), "embedding", "fam")
+    monkeypatch.setattr(RT, "query_tiles", lambda *a, _f=RT.query_tiles: _f(*a, tile=7))
+    got = {(r.query_id, r.rank): r.id for r in RT.topk(emb, q, k=3, family=("fam", "fam")).collect()}
+    rows = emb.collect()
+    m = np.array([r.embedding for r in rows], float)
+    m /= np.linalg.norm(m, axis=1)[:, None]
+    for i, r in enumerate(rows):
+        if r.id % 5 == 0:
+            s = np.round(m @ m[i], 12)
+            order = sorted((j for j in range(len(rows)) if rows[j].fam == r.fam), key=lambda j: (-s[j], rows[j].id))[:3]
+            assert [got[r.id, k] for k in (1, 2, 3)] == [rows[j].id for j in order]
+
+
+def test_sign_codes_prune_and_lose_no_query(spark):
+    emb = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
+    q = emb.filter("id % 40 = 0").withColumnRenamed("id", "query_id")
+    n, exact = emb.count(), RT.topk(emb, q, k=5)
+    got = RT.topk_approx(emb, q, k=5)
+    rows = got.collect()
+    assert {r.query_id for r in rows} == {r.query_id for r in q.collect()}
+    assert all(sum(r.query_id == i for r in rows) == 5 for i in {r.query_id for r in rows})
+    shares = [r.candidates / n for r in rows if r.candidates is not None]
+    assert sum(shares) / len(shares) < 0.2
+    recall = [r.recall for r in RT.recall_vs_exact(got, exact).collect()]
+    assert sum(recall) / len(recall) > 0.5

@@ -54,3 +54,20 @@ def test_grouped_ops_exact_under_hot_key(spark):
     hot_rows = [r for r in batch.collect() if r.k == "HOT"]
     best = sorted(hot_rows, key=lambda r: (-r.amount_cents, r.invoice_id))[0]
     assert first["HOT"] == best.invoice_id
+
+
+def test_key_dense_in_one_band(spark):
+    """Four hundred equal charges inside one window: every pair is a duplicate once, and
+    an invoice with many twins still has one rate deviation."""
+    import datetime as dt
+
+    from quayside.operators import billing as B
+    t0, n = dt.datetime(2026, 1, 1), 400
+    rows = [(i, 1, 7, "load", "STD", 100_000 if i else 900_000, "c", False, t0 + dt.timedelta(minutes=i)) for i in range(n)]
+    be = spark.createDataFrame(rows, "invoice_id long, terminal_id long, container_id long, move_type string, "
+                                     "tariff_code string, amount_cents long, customer_name string, "
+                                     "dispute_flag boolean, created_ts timestamp_ntz")
+    tariffs = spark.createDataFrame([(1, "STD", 20_000)], "terminal_id long, tariff_code string, rate_cents long")
+    got = {r.anomaly_type: r.n for r in B.anomaly_union(be, tariffs, None).groupBy("anomaly_type")
+           .agg({"*": "count"}).withColumnRenamed("count(1)", "n").collect()}
+    assert got == {"duplicate_charge": n * (n - 1) // 2, "rate_deviation": n}

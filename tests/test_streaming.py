@@ -44,6 +44,58 @@ def test_drift_stream_fires_levels(spark):
     assert not any(c == "QC1" and lvl == "Watch" for c, lvl in got)
 
 
+def test_drift_stream_passes_over_missing_values(spark):
+    from quayside.operators import operations as O
+    t0 = dt.datetime(2026, 6, 1)
+    rows = [("QC1", h, t0 + dt.timedelta(hours=h), None if h == 10 else (3.6 if h == 70 else 0.36), 55.0)
+            for h in range(72)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    batch = {(r.crane_id, r.level, r.first_fire_ts) for r in O.drift_levels(df).collect()}
+    assert _run_stream(spark, df, "drift_c") == batch == {("QC1", "Stop", t0 + dt.timedelta(hours=70))}
+
+
+def test_drift_stream_fires_once_across_a_pause(spark):
+    t0 = dt.datetime(2026, 6, 1)
+    hours = [*range(24), *range(24 * 30, 24 * 31)]           # a day, a month of silence, a day
+    rows = [("QC1", h, t0 + dt.timedelta(hours=h), 3.6 if h % 24 == 20 else 0.36, 55.0) for h in hours]
+    rows += [("QC2", 10_000 + h, t0 + dt.timedelta(hours=h), 0.36, 55.0) for h in range(24 * 31)]
+    got = _run_stream(spark, spark.createDataFrame(rows, SCHEMA), "drift_d", slices=8)
+    assert {x for x in got if x[0] == "QC1"} == {("QC1", "Stop", t0 + dt.timedelta(hours=20))}
+
+
+def test_drift_runs_cross_days(spark):
+    """Runs over midnight, over several days and over days without readings."""
+    import random
+
+    from quayside.operators import operations as O
+    rng = random.Random(4)
+    t0, rows = dt.datetime(2026, 6, 1), []
+    for crane in range(8):
+        t, v = t0, 0.36
+        for i in range(200):
+            t += dt.timedelta(hours=rng.choice([1, 2, 5, 30]))
+            v = rng.choice([0.36, 0.6, 0.9]) if rng.random() < 0.15 else v
+            rows.append((f"QC{crane}", crane * 1000 + i, t, None if rng.random() < 0.05 else v, 50 + 12 * (v > 0.5)))
+    levels = [(n, r, h) for n, r, h in O.LEVELS]
+    want = set()
+    for crane in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == crane]
+        for name, ratio, span in levels + [("Inspect-temperature", None, O.TEMP_HOURS)]:
+            start = None
+            for _, _, t, v, temp in own:
+                past = [(r[3], r[4]) for r in own if t - dt.timedelta(days=7) <= r[2] < t]
+                xs = [p[0] for p in past if p[0] is not None] if ratio else [p[1] for p in past]
+                base = sum(xs) / len(xs) if xs else None
+                x = v if ratio else temp
+                hit = base is not None and x is not None and x > (base * ratio if ratio else base + O.TEMP_RISE_C)
+                start = (start or t) if hit else None
+                if hit and (span == 0 or t - start > dt.timedelta(hours=span)):
+                    want.add((crane, name, t))
+                    break
+    df = spark.createDataFrame([(c, i, t, v, float(p)) for c, i, t, v, p in rows], SCHEMA)
+    assert {(r.crane_id, r.level, r.first_fire_ts) for r in O.drift_levels(df).collect()} == want and want
+
+
 def test_drift_stream_equals_batch(spark, tables):
     """In-order stream over the adapter telemetry == the batch job."""
     from quayside.operators import operations as O
