@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,9 @@ SEPARATORS = r"[\x20\x09-\x0D]+"
 BATCH_CONF = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+    # operators work in steps with stored tables between them: a step's shuffle files are
+    # of no use once its table is written
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
 }
 
 
@@ -37,14 +41,36 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, fixes
     row order and ids, and outlives lost executors."""
-    path = shared_folder(df.sparkSession, name)
+    path = f"{folder}/{name}" if folder else shared_folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_by(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Like ``stored``, in buckets of ``key``: later joins on it do not shuffle this side.
+    The catalog's entry is dropped at once; the files stay."""
+    spark = df.sparkSession
+    entry = f"{name}_{uuid.uuid4().hex}".replace("-", "_")
+    df.write.bucketBy(partitions(spark), key).option("compression", "zstd") \
+        .option("path", shared_folder(spark, name)).saveAsTable(entry)
+    table_ = spark.table(entry)
+    spark.sql(f"DROP TABLE {entry}")
+    return table_
+
+
+@contextmanager
+def temporary(spark: SparkSession, name: str):
+    """A folder for tables that one step alone needs; it is gone after the step, so the
+    step's result must be stored elsewhere before."""
+    folder = shared_folder(spark, name)
+    yield folder
+    fs, path = open_fs(folder)
+    fs.delete_dir_contents(path, missing_dir_ok=True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -1,8 +1,9 @@
 """N-gram Jaccard join with signature trees (op8).
 
 Documents are sets of word n-grams; two documents link when their Jaccard similarity
-reaches ``num / den``.  Equal sets form one class.  Of each class the rarest n-grams
-are published, as many as any partner must share one of.  Classes that published the
+reaches ``num / den``.  Equal sets form one class.  The classes that have each n-gram are
+counted exactly, and of each class the rarest n-grams are published, as many as any
+partner must share one of.  Classes that published the
 same n-gram form a cell, and the cells are searched by signature trees: leaves hold a
 class's bitmap of hashed n-grams, inner nodes the OR of the bitmaps below them, the
 range of sizes, and the most n-grams that fell on a taken bit.  A traversal of two
@@ -29,13 +30,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, prepare, shared_folder, stored
+from .common import partitions, prepare, shared_folder, stored, temporary
 from .graph import components, join_stored
 from .text_arrays import mix, pack, unpack
 from .word_blocks import read_block, write_blocks
 
-#: Buckets of the table of n-gram frequencies, and slices in which it is summed.
-SKETCH, SLICES = 1 << 20, 64
 #: 64-bit words of a bitmap, and children of a tree node.
 BITMAP_WORDS, FANOUT = 32, 8
 #: Members of a cell that one task holds; larger cells are dealt out as pairs of pages.
@@ -43,10 +42,12 @@ PAGE = 4096
 #: Rows that a task of the tree search gets, on average.
 TASK_ROWS = 20_000
 STAR_ROUNDS = 2
+#: Words of a stored block: its sets, sorted, are what a task holds at once.
+BLOCK_WORDS = 1 << 19
 
-SUMMARY = "block long, row int, doc_id long, n long, c long, slice int, counts binary"
+SUMMARY = "block long, row int, doc_id long, n long, c long"
 POSTINGS = "part int, data binary"
-SHARED = "key long, k long, n long, m long"
+SHARED = "key long, k long, n long, m long, size long"
 
 
 def sets_of(block: dict, size: int, only: np.ndarray | None = None):
@@ -85,23 +86,17 @@ def sets_of(block: dict, size: int, only: np.ndarray | None = None):
     return doc[first], h[first]
 
 
-def slot(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(44)).astype(np.int64)
-
-
 def summaries(blocks: DataFrame, size: int) -> DataFrame:
-    """Per document its set's size and identity; per task its n-gram frequencies."""
+    """Per document its set's size and identity."""
 
     def work(batches):
         import pyarrow as pa
-        types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
         names = [x.split()[0] for x in SUMMARY.split(", ")]
-        seen = np.zeros(SKETCH, np.int64)
         for batch in batches:
             for number, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 block = read_block(path)
                 doc, h = sets_of(block, size)
-                seen += np.bincount(slot(h), minlength=SKETCH)
                 n = len(block["id"])
                 sizes = np.bincount(doc, minlength=n)
                 identity = np.zeros(n, np.uint64)
@@ -111,88 +106,113 @@ def summaries(blocks: DataFrame, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((
                     np.full(n, number), np.arange(n, dtype=np.int32),
                     pa.array(block["id"], mask=block["null"] == 1), sizes,
-                    identity.view(np.int64)), types)] + [pa.nulls(n, types[5]), pa.nulls(n, types[6])],
-                    names=names)
-        if seen.any():
-            parts = [pack({"n": x.astype(np.uint32 if x.max() < 1 << 32 else np.uint64)})
-                     for x in np.split(seen, SLICES)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(SLICES, t) for t in types[:5]]
-                + [pa.array(range(SLICES), types[5]), pa.array(parts, types[6])], names=names)
+                    identity.view(np.int64)), types)], names=names)
 
     return blocks.select("block", "path").repartition(partitions(blocks.sparkSession)) \
         .mapInArrow(work, SUMMARY)
 
 
-def frequency_classes(summary: DataFrame) -> np.ndarray:
-    """Frequency of every bucket as a power of two (one byte each, a fixed size)."""
-
-    def add(key, pdf):
-        import pandas as pd
-        total = np.zeros(SKETCH // SLICES, np.int64)
-        for x in pdf["counts"]:
-            total += unpack(x)["n"].astype(np.int64)
-        level = np.floor(np.log2(np.maximum(total, 1))).astype(np.uint8)
-        return pd.DataFrame({"slice": [key[0]], "level": [level.tobytes()]})
-
-    out = np.zeros(SKETCH, np.uint8)
-    width = SKETCH // SLICES
-    for r in summary.filter("slice IS NOT NULL").select("slice", "counts").groupBy("slice") \
-            .applyInPandas(add, "slice int, level binary").collect():
-        out[r["slice"] * width:(r["slice"] + 1) * width] = np.frombuffer(bytes(r["level"]), np.uint8)
-    return out
-
-
 def at_home(classes: DataFrame, blocks: DataFrame) -> DataFrame:
     """Classes with the path of the block that holds their first document."""
     return classes.join(blocks.select("block", "path"), "block").select(
         "path", "row", "k", "n", "m")
 
 
-def publish(homes: DataFrame, size: int, num: int, den: int, level: np.ndarray, parts: int) -> DataFrame:
-    """Each class's rarest n-grams, in packed runs by hash range."""
+def home_sets(pdf, size: int):
+    """The rows of a block's classes in order, and (position among them, n-gram)."""
+    pdf = pdf.sort_values("row")
+    rows = pdf["row"].to_numpy()
+    doc, h = sets_of(read_block(pdf["path"].iloc[0]), size, rows)
+    return pdf, np.searchsorted(rows, doc), h
+
+
+def hash_ranges(keys: np.ndarray, parts: int):
+    """(part, first, last) of the runs of sorted keys that fall into each hash range."""
+    cut = [0, *np.searchsorted(keys, np.array([(x << 64) // parts for x in range(1, parts)], np.uint64)), len(keys)]
+    return [(part, a, b) for part, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if a < b]
+
+
+def gram_counts(homes: DataFrame, size: int, parts: int) -> DataFrame:
+    """Every block's distinct n-grams with the number of its classes that have them, in
+    packed runs by hash range."""
 
     def work(pdf):
         import pandas as pd
-        pdf = pdf.sort_values("row")
-        rows = pdf["row"].to_numpy()
-        doc, h = sets_of(read_block(pdf["path"].iloc[0]), size, rows)
-        of = np.searchsorted(rows, doc)
-        order = np.lexsort((h, level[slot(h)], of))
+        path = pdf["path"].iloc[0]
+        grams, n = np.unique(home_sets(pdf, size)[2], return_counts=True)
+        return pd.DataFrame([(part, path, pack({"gap": np.diff(grams[a:b], prepend=np.uint64(0)),
+                                                "n": n[a:b].astype(np.uint32)}))
+                             for part, a, b in hash_ranges(grams, parts)], columns=["part", "path", "data"])
+
+    # few rows, much work: one task per partition, however small
+    return homes.repartition(parts, "path").groupBy("path").applyInPandas(work, "part int, path string, data binary")
+
+
+def gram_totals(counts: DataFrame) -> DataFrame:
+    """The number of classes that have each n-gram (at most 65535 is told), for every block
+    in the order of its own list."""
+
+    def work(pdf):
+        import pandas as pd
+        given = [unpack(x) for x in pdf["data"]]
+        grams = [np.cumsum(g["gap"], dtype=np.uint64) for g in given]
+        _, index = np.unique(np.concatenate(grams), return_inverse=True)
+        total = np.minimum(np.bincount(index, np.concatenate([g["n"] for g in given])), 65535).astype(np.uint16)
+        ends = np.cumsum([len(g) for g in grams])
+        return pd.DataFrame({"part": pdf["part"], "path": pdf["path"],
+                             "data": [pack({"n": total[i]}) for i in np.split(index, ends[:-1])]})
+
+    return counts.groupBy("part").applyInPandas(work, "part int, path string, data binary")
+
+
+def publish(homes: DataFrame, totals: DataFrame, size: int, num: int, den: int, parts: int) -> DataFrame:
+    """Each class's rarest n-grams, in packed runs by hash range."""
+
+    def work(pdf, answers):
+        import pandas as pd
+        if not len(pdf):
+            return pd.DataFrame({"part": pd.Series(dtype="int32"), "data": pd.Series(dtype=object)})
+        pdf, of, h = home_sets(pdf, size)
+        grams, which = np.unique(h, return_inverse=True)
+        total = np.concatenate([unpack(x)["n"] for x in answers.sort_values("part")["data"]])
+        if len(total) != len(grams):
+            raise ValueError("a block's totals do not match its list")
+        order = np.lexsort((h, total[which], of))
         of, h = of[order], h[order]
-        n = np.bincount(of, minlength=len(rows))
+        n = np.bincount(of, minlength=len(pdf))
         place = np.arange(len(of)) - (np.cumsum(n) - n)[of]
-        keep = place < (n - (num * n + den - 1) // den + 1)[of]
+        # n-grams of one class alone meet nothing
+        keep = (place < (n - (num * n + den - 1) // den + 1)[of]) & (total[which][order] > 1)
         of, h = of[keep], h[keep]
         order = np.argsort(h)
         of, h = of[order], h[order]
-        cut = [0, *np.searchsorted(h, np.array([(x << 64) // parts for x in range(1, parts)], np.uint64)),
-               len(h)]
-        out = []
-        for part, (a, b) in enumerate(zip(cut[:-1], cut[1:])):
-            if a < b:
-                x = of[a:b]
-                out.append((part, pack({
-                    "gap": np.diff(h[a:b], prepend=np.uint64(0)), "k": pdf["k"].to_numpy()[x],
-                    "n": n[x].astype(np.uint32), "m": pdf["m"].to_numpy()[x]})))
-        return pd.DataFrame(out, columns=["part", "data"])
+        k, m = pdf["k"].to_numpy(), pdf["m"].to_numpy()
+        return pd.DataFrame([(part, pack({"gap": np.diff(h[a:b], prepend=np.uint64(0)), "k": k[of[a:b]],
+                                          "n": n[of[a:b]].astype(np.uint32), "m": m[of[a:b]]}))
+                             for part, a, b in hash_ranges(h, parts)], columns=["part", "data"])
 
-    return homes.groupBy("path").applyInPandas(work, POSTINGS)
+    return homes.groupBy("path").cogroup(totals.groupBy("path")).applyInPandas(work, POSTINGS)
 
 
-def shared_grams(postings: DataFrame) -> DataFrame:
-    """Published n-grams that two classes or more have in common."""
+def shared_grams(postings: DataFrame, num: int, den: int) -> DataFrame:
+    """Cells: classes that published the same n-gram, cut wherever the next larger size is
+    too large for a link across the cut.  Only cells of two classes or more are given."""
 
     def work(pdf):
         import pandas as pd
         given = [unpack(x) for x in pdf["data"]]
         key = np.concatenate([np.cumsum(g["gap"], dtype=np.uint64) for g in given])
         k, n, m = (np.concatenate([g[x] for g in given]).astype(np.int64) for x in ("k", "n", "m"))
-        order = np.argsort(key, kind="stable")
+        order = np.lexsort((n, key))
         key, k, n, m = key[order], k[order], n[order], m[order]
-        same = key[1:] == key[:-1]
-        keep = np.append(same, False) | np.append(False, same)
-        return pd.DataFrame({"key": key[keep].view(np.int64), "k": k[keep], "n": n[keep], "m": m[keep]})
+        cut = (key[1:] != key[:-1]) | (den * n[:-1] < num * n[1:])
+        first = np.flatnonzero(np.append(True, cut))[:len(key)]
+        size = np.diff(np.append(first, len(key)))
+        cell = np.repeat(mix(key[first] + n[first].astype(np.uint64)), size)
+        size = np.repeat(size, size)
+        keep = size > 1
+        return pd.DataFrame({"key": cell[keep].view(np.int64), "k": k[keep], "n": n[keep], "m": m[keep],
+                             "size": size[keep]})
 
     return postings.groupBy("part").applyInPandas(work, SHARED)
 
@@ -210,17 +230,15 @@ def fetch(homes: DataFrame, nodes: DataFrame, size: int, bitmaps: bool) -> DataF
 
     def work(pdf):
         import pandas as pd
-        pdf = pdf.sort_values("row")
-        rows = pdf["row"].to_numpy()
-        doc, h = sets_of(read_block(pdf["path"].iloc[0]), size, rows)
-        of = np.searchsorted(rows, doc)
+        pdf, of, h = home_sets(pdf, size)
         if bitmaps:
-            data = [x.tobytes() for x in bitmap_of(of, h, len(rows))]
+            data = [x.tobytes() for x in bitmap_of(of, h, len(pdf))]
         else:
-            data = [x.tobytes() for x in np.split(h, np.cumsum(np.bincount(of, minlength=len(rows)))[:-1])]
+            data = [x.tobytes() for x in np.split(h, np.cumsum(np.bincount(of, minlength=len(pdf)))[:-1])]
         return pd.DataFrame({"k": pdf["k"].to_numpy(), "data": data})
 
-    return homes.join(nodes.distinct(), "k").groupBy("path").applyInPandas(work, "k long, data binary")
+    wanted = homes.join(nodes.distinct(), "k").repartition(partitions(homes.sparkSession), "path")
+    return wanted.groupBy("path").applyInPandas(work, "k long, data binary")
 
 
 def verified(edges: DataFrame, homes: DataFrame, size: int, num: int, den: int) -> DataFrame:
@@ -241,28 +259,28 @@ def verified(edges: DataFrame, homes: DataFrame, size: int, num: int, den: int)
                 [batch.column(0).filter(pa.array(good, pa.bool_())),
                  batch.column(1).filter(pa.array(good, pa.bool_()))], names=["a", "b"])
 
-    edges = stored(edges, "candidates")
-    nodes = edges.select(F.col("a").alias("k")).union(edges.select(F.col("b").alias("k")))
-    sets = stored(fetch(homes, nodes, size, bitmaps=False), "sets")
-    return edges.join(sets.select(F.col("k").alias("a"), F.col("data").alias("x")), "a") \
-        .join(sets.select(F.col("k").alias("b"), F.col("data").alias("y")), "b") \
-        .select("a", "b", "x", "y").mapInArrow(work, "a long, b long")
+    with temporary(edges.sparkSession, "verification") as folder:
+        edges = stored(edges, "candidates", folder)
+        nodes = edges.select(F.col("a").alias("k")).union(edges.select(F.col("b").alias("k")))
+        sets = stored(fetch(homes, nodes, size, bitmaps=False), "sets", folder)
+        return stored(edges.join(sets.select(F.col("k").alias("a"), F.col("data").alias("x")), "a")
+                      .join(sets.select(F.col("k").alias("b"), F.col("data").alias("y")), "b")
+                      .select("a", "b", "x", "y").mapInArrow(work, "a long, b long"), "links")
 
 
-def open_cells(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Rows (key, k, n, m, label, size) of the cells that span several components."""
-    rows = shared.withColumn("label", F.col("k")) if labels is None else \
-        shared.join(labels.withColumnRenamed("node", "k"), "k", "left") \
+def open_cells(cells: DataFrame, labels: DataFrame) -> DataFrame:
+    """The ``cells`` that still span several components, with the members' labels."""
+    rows = cells.drop("label").join(labels.withColumnRenamed("node", "k"), "k", "left") \
         .withColumn("label", F.coalesce("label", "k"))
-    cells = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("lo"),
-                                    F.max("label").alias("hi")).filter("lo <> hi")
-    return join_stored(rows, cells.select("key", "size"), "key")
+    several = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
+    return stored(join_stored(rows, several.select("key"), "key"), "cells")
 
 
 def star_edges(cells: DataFrame, turn: int, num: int, den: int) -> DataFrame:
-    """For every class one candidate partner: among the central classes of its cells
-    that lie in another component, the one it meets most often.  Central is the class
-    with the most copies; equal ones are drawn by a hash."""
+    """For every class one likely partner: among the central classes of its cells that lie
+    in another component, the one it meets most often, if that is in a quarter of the
+    n-grams it published.  Central is the class with the most copies; equal ones are drawn
+    by a hash.  Pairs that are passed over here are left to the trees."""
     centre = cells.groupBy("key").agg(F.max(F.struct(
         "m", F.xxhash64("key", "k", F.lit(turn)).alias("x"), "k", "n", "label")).alias("centre")) \
         .select("key", F.col("centre.k").alias("a"), F.col("centre.n").alias("an"),
@@ -270,8 +288,9 @@ def star_edges(cells: DataFrame, turn: int, num: int, den: int) -> DataFrame:
     met = join_stored(cells, centre, "key").filter(
         (F.col("label") != F.col("al")) & (den * F.col("n") >= num * F.col("an"))
         & (den * F.col("an") >= num * F.col("n")))
-    return met.groupBy("k", "a").agg(F.count(F.lit(1)).alias("times")) \
-        .groupBy("k").agg(F.max(F.struct("times", "a")).alias("best")) \
+    published = F.col("n") - F.ceil(num * F.col("n") / den) + 1
+    return met.groupBy("k", "a", "n").agg(F.count(F.lit(1)).alias("times")) \
+        .filter(4 * F.col("times") >= published).groupBy("k").agg(F.max(F.struct("times", "a")).alias("best")) \
         .select(F.col("best.a").alias("a"), F.col("k").alias("b"))
 
 
@@ -357,7 +376,6 @@ class Forest:
 
 def tree_edges(cells: DataFrame, homes: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """Candidate pairs between components, by dual traversal of signature trees."""
-    cells = stored(cells, "cells")
     tasks = max(1, cells.count() // TASK_ROWS)
     bitmaps = fetch(homes, cells.select("k"), size, bitmaps=True)
     pages = F.ceil(F.col("size") / PAGE).cast("int")
@@ -407,24 +425,26 @@ def similar_groups(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100
     spark = docs.sparkSession
     prepare(spark)
     parts = partitions(spark)
-    blocks = write_blocks(docs, shared_folder(spark, "grams"), F.col(doc_id), F.col(text), F.lit(0))
+    blocks = write_blocks(docs, shared_folder(spark, "grams"), F.col(doc_id), F.col(text), F.lit(0),
+                          BLOCK_WORDS)
     summary = stored(summaries(blocks, size), "summaries")
-    level = frequency_classes(summary)
-    rows = summary.filter("slice IS NULL").select("block", "row", "doc_id", "n", "c")
-    full = rows.filter("n > 0")
+    full = summary.filter("n > 0")
     place = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "block", "row")
     classes = stored(full.groupBy("c").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("n"),
                                            F.min(place).alias("rep")), "classes")
     classes = stored(classes.select("c", "m", "n", "rep", "rep.block", "rep.row",
                                     F.monotonically_increasing_id().alias("k")), "classes")
     homes = at_home(classes, blocks)
-    shared = stored(shared_grams(publish(homes, size, num, den, level, parts)), "shared")
+    with temporary(spark, "gram-totals") as folder:
+        totals = stored(gram_totals(gram_counts(homes, size, parts)), "totals", folder)
+        shared = stored(shared_grams(publish(homes, totals, size, num, den, parts), num, den), "shared")
 
-    labels = None
+    labels, cells = None, shared.withColumn("label", F.col("k"))
     for turn in range(STAR_ROUNDS):
-        links = verified(star_edges(open_cells(shared, labels), turn, num, den), homes, size, num, den)
+        links = verified(star_edges(cells, turn, num, den), homes, size, num, den)
         labels = grown(labels, links)
-    links = verified(tree_edges(open_cells(shared, labels), homes, size, num, den), homes, size, num, den)
+        cells = open_cells(cells, labels)
+    links = verified(tree_edges(cells, homes, size, num, den), homes, size, num, den)
     labels = grown(labels, links)
 
     named = classes.select("c", "k", "m", "rep").join(
@@ -435,7 +455,7 @@ def similar_groups(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100
         "doc_id", F.col("n").alias("n_shingles"), F.col("lead.doc_id").alias("component_id"),
         F.col("m").alias("copies"),
         ((F.col("lead.block") == F.col("block")) & (F.col("lead.row") == F.col("row"))).alias("first"))
-    empty = rows.filter("n = 0").select(
+    empty = summary.filter("n = 0").select(
         "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"),
         F.lit(1).cast("long").alias("copies"), F.lit(True).alias("first"))
     return grouped.unionByName(empty)

@@ -37,9 +37,9 @@ def read_block(uri: str) -> dict[str, np.ndarray]:
 
 
 def write_blocks(docs: DataFrame, folder: str, doc_id: Column, text: Column,
-                 tag: Column) -> DataFrame:
-    """Write all documents as blocks; returns the stored list of blocks.  ``tag`` is a
-    small number that goes along with each document."""
+                 tag: Column, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """Write all documents as blocks of about ``block_words``; returns the stored list of
+    blocks.  ``tag`` is a small number that goes along with each document."""
 
     def write(batches):
         import pyarrow as pa
@@ -67,7 +67,7 @@ def write_blocks(docs: DataFrame, folder: str, doc_id: Column, text: Column,
                 to = at + len(counts)
                 held.append((ids[at:to], null[at:to], tags[at:to], counts.astype(np.int64), hashes))
                 count += len(hashes) + len(counts)
-                if count >= BLOCK_WORDS:
+                if count >= block_words:
                     yield flush()
         if held:
             yield flush()
