@@ -1,24 +1,24 @@
 """Line deduplication by an exact set-similarity join (op3); DataFrame functions only.
 
-A line is the set of its lower-cased words.  It goes when an earlier line, by document
-id and line number, has a Jaccard similarity of at least ``NUM / DEN`` with it.  Equal
-lines are reduced to their first occurrence.  The words of each remaining line are
-ordered from rare to frequent, and only its first few words, of which any similar line
-must share one, take part in a self-join on the word.  The join keeps a pair if the
-sizes are close enough (length filter), if enough words can follow the shared one in
-both orders (positional filter), and if the two lines' 64-bit signatures leave enough
-words in common; pairs that remain are verified on their words.
+The tokens of a line are its distinct shingles of five lower-cased words; a line with
+fewer words has one token, its whole sequence.  A line goes when an earlier line, by
+document id and line number, has a Jaccard similarity of at least ``NUM / DEN`` with it.
+Equal lines are reduced to their first occurrence.  The tokens of each remaining line are
+ordered from rare to frequent, and only its first few, of which any similar line must
+share one, take part in a self-join on the token.  The join keeps a pair if the sizes are
+close enough (length filter) and if enough tokens can follow the shared one in both
+orders (positional filter); pairs that remain are verified on all their tokens.
 
 A line that thousands of lines resemble would still meet all of them.  So each line is
-first compared with one line only, the most frequent among those that agree in the
-smallest or in the largest word hash; pairs of lines that are both known to go after
-that need no further comparison.
+first compared with two lines only, the most frequent among those that agree in the
+smallest or in the largest token; pairs of lines that are both known to go after that
+need no further comparison.
 
 Defined results: NULL and empty texts have no line with a word, and such lines are
 neither kept nor removed but passed through; rows that share a doc_id are taken as one
 document, so equal lines at one place do not remove each other; NULL ids come first;
-an empty table gives no row; further columns are ignored.  Words are told apart by
-53-bit hashes in filters and as strings in the verification; lines by 64-bit hashes.
+an empty table gives no row; further columns are ignored.  Lines and tokens are told
+apart by 64-bit hashes (tokens by 58 bits while candidates are sought).
 """
 
 from __future__ import annotations
@@ -26,13 +26,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SEPARATORS, prepare, stored
+from .common import SEPARATORS, prepare, stored, stored_by, temporary
 from .graph import join_stored
 
 NUM, DEN = 8, 10
-#: Buckets of the table of word frequencies; a fixed number, one byte each.
-BUCKETS = 1 << 13
-HASH_BITS = 53
+SHINGLE = 5
+#: Buckets of the table of token frequencies; a fixed number, one byte each.
+BUCKETS = 1 << 16
+HASH_BITS = 58
 FIRST_ID = -(1 << 63)
 
 
@@ -44,22 +45,33 @@ def lines_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         .filter(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
 
 
-def words_of(line: Column) -> Column:
-    return F.array_distinct(F.array_remove(F.split(F.lower(line), SEPARATORS), ""))
+def with_tokens(lines: DataFrame, name: str = "h") -> DataFrame:
+    """Replace ``line`` by its tokens.  Every step is a projection of its own, as its array
+    is used more than once by the next."""
+    keep = [c for c in lines.columns if c != "line"]
+    # a split at one plain character is much faster than one at a pattern
+    cut = F.when(F.col("line").rlike(r"[\x09-\x0D]"), F.split(F.lower("line"), SEPARATORS)) \
+        .otherwise(F.split(F.lower("line"), " "))
+    words = lines.select(*keep, F.transform(F.array_remove(cut, ""), lambda x: F.xxhash64(x)).alias("w"))
+    w = F.col("w")
+    starts = F.sequence(F.lit(0), F.size(w) - F.lit(SHINGLE))
+    shingles = F.transform(starts, lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(SHINGLE)]))
+    return words.select(*keep, F.array_distinct(
+        F.when(F.size(w) >= SHINGLE, shingles).otherwise(F.array(F.xxhash64(w)))).alias(name))
 
 
 def first_lines(lines: DataFrame) -> DataFrame:
-    """One row per different line: id, its first place and the number of copies."""
+    """One row per different line: its hash as id, its first place and the number of copies."""
     return lines.groupBy(F.xxhash64("line").alias("id")).agg(
         F.min(F.struct("doc", "line_no", "line")).alias("f"), F.count(F.lit(1)).alias("copies")) \
         .select("id", "f.doc", "f.line_no", "f.line", "copies")
 
 
-def rarity_table(lines: DataFrame) -> bytes:
-    """Per bucket of word hashes, one byte: 0 for the most frequent words up to the
-    number of times as a power of two (at most 31).  BUCKETS rows reach the driver."""
-    counts = lines.select(F.explode(F.split(F.lower("line"), SEPARATORS)).alias("w")) \
-        .groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("b")) \
+def rarity_table(tokens: DataFrame) -> bytes:
+    """Per bucket of tokens, one byte: the number of times its tokens occur, as a power
+    of two.  At most BUCKETS rows reach the driver."""
+    counts = tokens.select(F.explode_outer("h").alias("x")) \
+        .groupBy(F.pmod("x", F.lit(BUCKETS)).cast("int").alias("b")) \
         .agg(F.floor(F.log2(F.count(F.lit(1)))).cast("int").alias("level")).collect()
     table = bytearray(BUCKETS)
     for r in counts:
@@ -67,39 +79,27 @@ def rarity_table(lines: DataFrame) -> bytes:
     return bytes(table)
 
 
-def described(first: DataFrame, table: bytes) -> DataFrame:
-    """Sizes, the rarest words in order, a signature, and two grouping hashes."""
-    w, h = F.col("w"), F.col("h")
-    hashed = first.select("id", "doc", "line_no", "copies", words_of(F.col("line")).alias("w")) \
-        .select("*", F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
-    def rank(x: Column, i: Column) -> Column:
-        # one number: frequency level, then length (long words are rarer), then hash
+def described(tokens: DataFrame, table: bytes) -> DataFrame:
+    """Number of tokens, the rarest tokens in order, and the smallest and largest token."""
+    h = F.col("h")
+
+    def rank(x: Column) -> Column:
+        # one number: frequency level, then hash
         bucket = F.pmod(x, F.lit(BUCKETS)).cast("int") + 1
-        seen = F.ascii(F.substring(F.lit(bytearray(table)), bucket, F.lit(1)).cast("string"))
-        length = F.lit(31) - F.least(F.length(F.get(w, i)), F.lit(31))
-        low = x.bitwiseAND(F.lit((1 << HASH_BITS) - 1))
-        return F.shiftleft(seen.cast("long") * 32 + length, HASH_BITS).bitwiseOR(low)
-
-    ordered = hashed.select(
-        "id", "doc", "line_no", "copies", F.size("w").alias("n"),
-        F.array_min(h).alias("g1"), F.array_max(h).alias("g2"),
-        F.sort_array(F.transform(h, rank)).alias("o"),
-        F.aggregate(h, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(
-            F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
-        .alias("bits"))
-    n = F.col("n")
+        level = F.ascii(F.substring(F.lit(bytearray(table)), bucket, F.lit(1)).cast("string"))
+        return F.shiftleft(level.cast("long"), HASH_BITS).bitwiseOR(
+            x.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
+
+    n = F.size(h)
     prefix = n - F.ceil(n * NUM / DEN).cast("int") + 1
-    return ordered.select("id", "doc", "line_no", "copies", "n", "bits", "g1", "g2",
-                          F.slice("o", 1, prefix).alias("o"))
+    return tokens.select("id", "doc", "line_no", "copies", n.alias("n"), F.array_min(h).alias("least"),
+                        F.array_max(h).alias("most"),
+                        F.slice(F.sort_array(F.transform(h, rank)), F.lit(1), prefix).alias("rare"))
 
 
-def may_match(x: str, y: str) -> Column:
-    """Size and signature allow the similarity of lines x and y (aliases)."""
+def close_sizes(x: str, y: str) -> Column:
     nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
-    bx, by = F.col(f"{x}.bits"), F.col(f"{y}.bits")
-    most = F.least(nx - F.bit_count(bx.bitwiseAND(F.bitwise_not(by))),
-                   ny - F.bit_count(by.bitwiseAND(F.bitwise_not(bx))))
-    return (DEN * nx >= NUM * ny) & (DEN * ny >= NUM * nx) & ((NUM + DEN) * most >= NUM * (nx + ny))
+    return (DEN * nx >= NUM * ny) & (DEN * ny >= NUM * nx)
 
 
 def earlier(x: str, y: str) -> Column:
@@ -107,58 +107,62 @@ def earlier(x: str, y: str) -> Column:
         (F.col(f"{x}.doc") == F.col(f"{y}.doc")) & (F.col(f"{x}.line_no") < F.col(f"{y}.line_no")))
 
 
-def central_pairs(lines: DataFrame) -> DataFrame:
+def central_pairs(facts: DataFrame) -> DataFrame:
     """(a, b): each line b with the most frequent line a of its group, if a is earlier."""
-    groups = lines.select("id", "doc", "line_no", "copies", "n", "bits",
-                          F.explode(F.array("g1", "g2")).alias("g"))
+    groups = facts.select("id", "doc", "line_no", "copies", "n", F.explode(F.array("least", "most")).alias("g"))
     centre = groups.groupBy("g").agg(
         F.count(F.lit(1)).alias("size"), F.max(F.struct(
-            "copies", F.bitwise_not("doc").alias("x"), "id", "doc", "line_no", "n", "bits")).alias("c")) \
-        .filter("size > 1").select("g", "c.id", "c.doc", "c.line_no", "c.n", "c.bits")
-    packed = centre.select("g", F.struct("id", "doc", "line_no", "n", "bits").alias("x"))
-    met = join_stored(groups.select("g", F.struct("id", "doc", "line_no", "n", "bits").alias("y")),
-                      packed, "g")
-    return met.filter((F.col("x.id") != F.col("y.id")) & earlier("x", "y") & may_match("x", "y")) \
+            "copies", F.bitwise_not("doc").alias("x"), "id", "doc", "line_no", "n")).alias("c")) \
+        .filter("size > 1").select("g", F.struct("c.id", "c.doc", "c.line_no", "c.n").alias("x"))
+    met = join_stored(groups.select("g", F.struct("id", "doc", "line_no", "n").alias("y")), centre, "g")
+    return met.filter((F.col("x.id") != F.col("y.id")) & earlier("x", "y") & close_sizes("x", "y")) \
         .select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
-def prefix_pairs(lines: DataFrame) -> DataFrame:
+def prefix_pairs(facts: DataFrame, gone: DataFrame) -> DataFrame:
     """(a, b) of all pairs that pass the filters and that are not both known to go.  The
-    shorter line of a pair needs fewer of its words to meet the longer one."""
+    shorter line of a pair needs fewer of its tokens to meet the longer one."""
     n = F.col("n")
     short = n - F.ceil(2 * NUM * n / (NUM + DEN)).cast("int") + 1
-    words = lines.select("id", "n", "bits", "gone", short.alias("short"),
-                         F.posexplode("o").alias("place", "word"))
-    x = words.filter("place < short").alias("x")
-    y = words.alias("y")
-    after = F.lit(1) + F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) - 1
-    return x.join(y, (F.col("x.word") == F.col("y.word"))
+    marked = facts.select("id", "n", "rare").join(
+        gone.select("id", F.lit(True).alias("gone")).hint("shuffle_hash"), "id", "left")
+    tokens = marked.select("id", "n", F.coalesce("gone", F.lit(False)).alias("gone"),
+                           F.posexplode("rare").alias("place", "token"))
+    x, y = tokens.filter(F.col("place") < short).alias("x"), tokens.alias("y")
+    after = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
+    return x.join(y, (F.col("x.token") == F.col("y.token"))
                   & ((F.col("x.n") < F.col("y.n"))
                      | ((F.col("x.n") == F.col("y.n")) & (F.col("x.id") < F.col("y.id"))))
                   & ((NUM + DEN) * after >= NUM * (F.col("x.n") + F.col("y.n")))
-                  & ~(F.col("x.gone") & F.col("y.gone")) & may_match("x", "y")) \
+                  & ~(F.col("x.gone") & F.col("y.gone")) & close_sizes("x", "y")) \
         .select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
 def verified(pairs: DataFrame, first: DataFrame) -> DataFrame:
-    """Pairs whose word sets are similar enough, as (later, doc, line_no): the line that
-    goes and the place of the earlier one."""
-    pairs = stored(pairs, "line-pairs")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = stored(first.join(needed, "id").select("id", "doc", "line_no", words_of(F.col("line")).alias("w")),
-                  "line-sets")
+    """Pairs whose token sets are similar enough, as (id, of): the line that goes and the
+    place of the earlier one."""
+    with temporary(first.sparkSession, "line-verification") as folder:
+        pairs = stored(pairs, "pairs", folder)
+        # the needed lines are few: hashing them saves sorting the texts of all
+        needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        sets = stored(with_tokens(first.join(needed.hint("shuffle_hash"), "id").select("id", "doc", "line_no", "line")), "sets", folder)
+        return stored(similar(pairs, sets), "lines-gone")
+
+
+def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(id, of) of the pairs whose sets are similar enough."""
 
     def side(name):
-        return sets.select(F.col("id").alias(name), F.struct("id", "doc", "line_no", "w").alias(f"s{name}"))
+        return sets.select(F.col("id").alias(name), F.struct("id", "doc", "line_no", "h").alias(f"s{name}"))
 
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    common = F.size(F.array_intersect("sa.w", "sb.w"))
-    union = F.size("sa.w") + F.size("sb.w") - common
+    common = F.size(F.array_intersect("sa.h", "sb.h"))
+    union = F.size("sa.h") + F.size("sb.h") - common
+    first_is_early = earlier("sa", "sb")
     return both.filter(DEN * common >= NUM * union).select(
-        F.when(earlier("sa", "sb"), F.col("sb")).otherwise(F.col("sa")).alias("later"),
-        F.when(earlier("sa", "sb"), F.col("sa")).otherwise(F.col("sb")).alias("early")) \
-        .select(F.col("later.id").alias("id"), F.col("early.doc").alias("doc"),
-                F.col("early.line_no").alias("line_no"))
+        F.when(first_is_early, F.col("sb.id")).otherwise(F.col("sa.id")).alias("id"),
+        F.when(first_is_early, F.struct("sa.doc", "sa.line_no")).otherwise(F.struct("sb.doc", "sb.line_no")).alias("of")) \
+        .groupBy("id").agg(F.min("of").alias("of"))
 
 
 def similar_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"):
@@ -166,17 +170,24 @@ def similar_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"):
     (struct doc, line_no) of a first line that goes, else NULL."""
     prepare(docs.sparkSession)
     lines = lines_of(docs, doc_id, text)
-    first = stored(first_lines(lines), "first-lines")
-    table = rarity_table(first)
-    facts = stored(described(first, table), "line-facts")
+    first = stored_by(first_lines(lines), "first-lines", "id")
+    with temporary(docs.sparkSession, "line-tokens") as folder:
+        tokens = stored(with_tokens(first), "tokens", folder)
+        facts = stored_by(described(tokens, rarity_table(tokens)), "line-facts", "id")
     gone = verified(central_pairs(facts), first)
-    known = stored(gone.groupBy("id").agg(F.min(F.struct("doc", "line_no")).alias("of")), "lines-gone")
-    marked = facts.join(known.select("id", F.lit(True).alias("gone")), "id", "left") \
-        .withColumn("gone", F.coalesce("gone", F.lit(False)))
-    more = verified(prefix_pairs(marked), first)
-    every = known.union(more.groupBy("id").agg(F.min(F.struct("doc", "line_no")).alias("of"))) \
-        .groupBy("id").agg(F.min("of").alias("of"))
-    return lines, first.select("id", "doc", "line_no", "copies").join(every, "id", "left")
+    more = verified(prefix_pairs(facts, gone), first)
+    every = gone.union(more).groupBy("id").agg(F.min("of").alias("of"))
+    return lines, first.select("id", "doc", "line_no").join(every.hint("shuffle_hash"), "id", "left")
+
+
+def line_fates(lines: DataFrame, first: DataFrame) -> DataFrame:
+    """Every line with ``like``, the earlier line (struct doc, line_no) that it repeats, or
+    NULL if it stays."""
+    verdict = first.select("id", F.struct("doc", "line_no").alias("place"), "of")
+    joined = join_stored(lines, verdict, "id")
+    is_first = (F.col("place.doc") == F.col("doc")) & (F.col("place.line_no") == F.col("line_no"))
+    return joined.withColumn("like", F.when(is_first, F.col("of")).otherwise(
+        F.least("place", F.coalesce("of", "place")))).drop("place", "of")
 
 
 def line_verdicts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -185,15 +196,11 @@ def line_verdicts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     lines, first = similar_lines(docs, doc_id, text)
     slim = lines.select(F.xxhash64("line").alias("id"), "doc", "line_no",
                         F.length("line").cast("long").alias("n_chars"))
-    verdict = first.select("id", F.struct("doc", "line_no").alias("place"), "of")
-    joined = join_stored(slim, verdict, "id")
-    is_first = (F.col("place.doc") == F.col("doc")) & (F.col("place.line_no") == F.col("line_no"))
-    like = F.when(is_first, F.col("of")).otherwise(F.least("place", F.coalesce("of", "place")))
 
     def shown(c):
         return F.when(c != FIRST_ID, c)
 
-    return joined.withColumn("like", like).select(
+    return line_fates(slim, first).select(
         shown(F.col("doc")).alias("doc_id"), F.col("line_no").cast("long").alias("line_no"), "n_chars",
         F.col("like").isNotNull().alias("removed"), shown(F.col("like.doc")).alias("like_doc_id"),
         F.col("like.line_no").cast("long").alias("like_line_no"))
@@ -204,9 +211,7 @@ def cut_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     some_left (whether any line with a word stays)."""
     lines, first = similar_lines(docs, doc_id, text)
     slim = lines.select(F.xxhash64("line").alias("id"), "doc", "line_no")
-    verdict = first.select("id", F.struct("doc", "line_no").alias("place"), F.col("of").isNotNull().alias("bad"))
-    joined = join_stored(slim, verdict, "id")
-    is_first = (F.col("place.doc") == F.col("doc")) & (F.col("place.line_no") == F.col("line_no"))
-    return joined.withColumn("removed", F.col("bad") | ~is_first).groupBy("doc").agg(
-        F.collect_set(F.when(F.col("removed"), F.col("line_no"))).alias("dropped"),
-        F.max(~F.col("removed")).alias("some_left")).filter(F.size("dropped") > 0)
+    removed = F.col("like").isNotNull()
+    return line_fates(slim, first).groupBy("doc").agg(
+        F.collect_set(F.when(removed, F.col("line_no"))).alias("dropped"),
+        F.max(~removed).alias("some_left")).filter(F.size("dropped") > 0)
