@@ -27,11 +27,11 @@ def point_lookup(t):
 @query("recent_activity", with_views(f"""
 SELECT {MOVE_COLS} FROM container_moves
 WHERE terminal_id = 1 AND event_ts > TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY
-ORDER BY event_ts DESC""", "container_moves"))
+ORDER BY event_ts DESC, move_id""", "container_moves"))
 def recent_activity(t):
     """One terminal's moves in the last 7 days, newest first."""
     m = R.point_lookup(A.container_moves(t), "terminal_id", 1)
-    return R.recent(m, "event_ts", AS_OF, 7).orderBy(F.desc("event_ts"))
+    return R.recent(m, "event_ts", AS_OF, 7).orderBy(F.desc("event_ts"), "move_id")
 
 
 @query("group_count_recent", with_views(f"""

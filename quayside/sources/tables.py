@@ -55,15 +55,18 @@ class Tables:
         return self._cache[name]
 
 
-def spread(df: DataFrame, factor: int = 2) -> DataFrame:
-    """Give CPU-heavy per-row work (chunking, embedding, parsing) at least
-    ``factor`` tasks per core.  A text table stored in few large row groups
-    scans as few partitions; on a cluster reading many files this is a
-    no-op, because the scan already has more splits than cores."""
-    target = df.sparkSession.sparkContext.defaultParallelism * factor
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+SPREAD_CONF = "quayside.spread.tasks"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out before CPU-heavy per-row work (chunking, embedding, parsing) into as
+    many tasks as the setting ``quayside.spread.tasks`` says: a text table stored in few
+    large row groups scans as few partitions.  0 leaves the scan's partitions as they are,
+    which is right for tables of many files; the default is two tasks per core."""
+    tasks = int(df.sparkSession.conf.get(SPREAD_CONF, "-1"))
+    if tasks < 0:
+        tasks = 2 * df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(tasks) if tasks else df
 
 
 MATERIALIZE_CONF = "quayside.materialize"
