@@ -246,3 +246,23 @@ def test_model_without_training_or_rows(spark, empty):
 def test_stored_tables_cut_the_plan(spark, corpus):
     df = stored(corpus.groupBy("source").agg(F.count(F.lit(1)).alias("n")), "probe")
     assert "Aggregate" not in df._jdf.queryExecution().toString()
+
+
+def test_tables_of_a_step_are_gone_after_it(spark, corpus):
+    from quayside.llm.common import open_fs, temporary
+    with temporary(spark, "probe") as folder:
+        assert stored(corpus.select("doc_id"), "ids", folder).count() == corpus.count()
+        fs, path = open_fs(folder)
+        assert fs.get_file_info(f"{path}/ids").is_file is False
+    from pyarrow import fs as pafs
+    assert fs.get_file_info(f"{path}/ids").type == pafs.FileType.NotFound
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark, corpus):
+    from quayside.llm.common import stored_by
+    a = stored_by(corpus.select("doc_id", "text"), "probe-buckets", "doc_id")
+    b = stored_by(corpus.select("doc_id", "lang"), "probe-buckets", "doc_id")
+    joined = a.join(b, "doc_id")
+    assert "Exchange hashpartitioning" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert joined.count() >= corpus.filter("doc_id IS NOT NULL").count()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("probe_buckets")]
