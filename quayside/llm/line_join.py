@@ -6,8 +6,9 @@ document id and line number, has a Jaccard similarity of at least ``NUM / DEN``
 Equal lines are reduced to their first occurrence.  The tokens of each remaining line are
 ordered from rare to frequent, and only its first few, of which any similar line must
 share one, take part in a self-join on the token.  The join keeps a pair if the sizes are
-close enough (length filter) and if enough tokens can follow the shared one in both
-orders (positional filter); pairs that remain are verified on all their tokens.
+close enough (length filter), if enough tokens can follow the shared one in both
+orders (positional filter), and if the lines' 64-bit signatures leave enough in common;
+pairs that remain are verified on all their tokens.
 
 A line that thousands of lines resemble would still meet all of them.  So each line is
 first compared with two lines only, the most frequent among those that agree in the
@@ -79,10 +80,9 @@ def rarity_table(tokens: DataFrame) -> bytes:
     return bytes(table)
 
 
-def described(tokens: DataFrame, table: bytes) -> DataFrame:
-    """Number of tokens, the rarest tokens in order, and the smallest and largest token."""
-    h = F.col("h")
-
+def rarest(tokens: DataFrame, table: bytes) -> DataFrame:
+    """Number of tokens, a 64-bit signature (bit k is set if a token is k modulo 64), and
+    the rarest tokens in order: as many as a similar line must share one of."""
     def rank(x: Column) -> Column:
         # one number: frequency level, then hash
         bucket = F.pmod(x, F.lit(BUCKETS)).cast("int") + 1
@@ -90,11 +90,12 @@ def described(tokens: DataFrame, table: bytes) -> DataFrame:
         return F.shiftleft(level.cast("long"), HASH_BITS).bitwiseOR(
             x.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
 
-    n = F.size(h)
+    n = F.size("h")
     prefix = n - F.ceil(n * NUM / DEN).cast("int") + 1
-    return tokens.select("id", "doc", "line_no", "copies", n.alias("n"), F.array_min(h).alias("least"),
-                        F.array_max(h).alias("most"),
-                        F.slice(F.sort_array(F.transform(h, rank)), F.lit(1), prefix).alias("rare"))
+    bits = F.aggregate("h", F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(F.call_function(
+        "shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
+    return tokens.select("id", n.alias("n"), bits.alias("bits"),
+                         F.slice(F.sort_array(F.transform("h", rank)), F.lit(1), prefix).alias("rare"))
 
 
 def close_sizes(x: str, y: str) -> Column:
@@ -102,14 +103,24 @@ def close_sizes(x: str, y: str) -> Column:
     return (DEN * nx >= NUM * ny) & (DEN * ny >= NUM * nx)
 
 
+def enough_in_common(x: str, y: str) -> Column:
+    """A bit of x that y lacks stands for at least one token that y lacks."""
+    nx, ny, bx, by = (F.col(f"{side}.{c}") for c in ("n", "bits") for side in (x, y))
+    most = F.least(nx - F.bit_count(bx.bitwiseAND(F.bitwise_not(by))),
+                   ny - F.bit_count(by.bitwiseAND(F.bitwise_not(bx))))
+    return (NUM + DEN) * most >= NUM * (nx + ny)
+
+
 def earlier(x: str, y: str) -> Column:
     return (F.col(f"{x}.doc") < F.col(f"{y}.doc")) | (
         (F.col(f"{x}.doc") == F.col(f"{y}.doc")) & (F.col(f"{x}.line_no") < F.col(f"{y}.line_no")))
 
 
-def central_pairs(facts: DataFrame) -> DataFrame:
-    """(a, b): each line b with the most frequent line a of its group, if a is earlier."""
-    groups = facts.select("id", "doc", "line_no", "copies", "n", F.explode(F.array("least", "most")).alias("g"))
+def central_pairs(tokens: DataFrame) -> DataFrame:
+    """(a, b): each line b with the most frequent line a of its group, if a is earlier.
+    Lines with the same smallest or the same largest token are a group."""
+    groups = tokens.select("id", "doc", "line_no", "copies", F.size("h").alias("n"),
+                           F.explode(F.array(F.array_min("h"), F.array_max("h"))).alias("g"))
     centre = groups.groupBy("g").agg(
         F.count(F.lit(1)).alias("size"), F.max(F.struct(
             "copies", F.bitwise_not("doc").alias("x"), "id", "doc", "line_no", "n")).alias("c")) \
@@ -119,22 +130,23 @@ def central_pairs(facts: DataFrame) -> DataFrame:
         .select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
-def prefix_pairs(facts: DataFrame, gone: DataFrame) -> DataFrame:
+def prefix_pairs(rare: DataFrame, gone: DataFrame) -> DataFrame:
     """(a, b) of all pairs that pass the filters and that are not both known to go.  The
     shorter line of a pair needs fewer of its tokens to meet the longer one."""
     n = F.col("n")
     short = n - F.ceil(2 * NUM * n / (NUM + DEN)).cast("int") + 1
-    marked = facts.select("id", "n", "rare").join(
+    marked = rare.join(
         gone.select("id", F.lit(True).alias("gone")).hint("shuffle_hash"), "id", "left")
-    tokens = marked.select("id", "n", F.coalesce("gone", F.lit(False)).alias("gone"),
+    tokens = marked.select("id", "n", "bits", F.coalesce("gone", F.lit(False)).alias("gone"),
                            F.posexplode("rare").alias("place", "token"))
-    x, y = tokens.filter(F.col("place") < short).alias("x"), tokens.alias("y")
+    x, y = tokens.filter(F.col("place") < short).hint("shuffle_hash").alias("x"), tokens.alias("y")
     after = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
     return x.join(y, (F.col("x.token") == F.col("y.token"))
                   & ((F.col("x.n") < F.col("y.n"))
                      | ((F.col("x.n") == F.col("y.n")) & (F.col("x.id") < F.col("y.id"))))
                   & ((NUM + DEN) * after >= NUM * (F.col("x.n") + F.col("y.n")))
-                  & ~(F.col("x.gone") & F.col("y.gone")) & close_sizes("x", "y")) \
+                  & ~(F.col("x.gone") & F.col("y.gone")) & close_sizes("x", "y")
+                  & enough_in_common("x", "y")) \
         .select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
@@ -173,9 +185,9 @@ def similar_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"):
     first = stored_by(first_lines(lines), "first-lines", "id")
     with temporary(docs.sparkSession, "line-tokens") as folder:
         tokens = stored(with_tokens(first), "tokens", folder)
-        facts = stored_by(described(tokens, rarity_table(tokens)), "line-facts", "id")
-    gone = verified(central_pairs(facts), first)
-    more = verified(prefix_pairs(facts, gone), first)
+        rare = stored_by(rarest(tokens, rarity_table(tokens)), "rare-tokens", "id")
+        gone = verified(central_pairs(tokens), first)
+    more = verified(prefix_pairs(rare, gone), first)
     every = gone.union(more).groupBy("id").agg(F.min("of").alias("of"))
     return lines, first.select("id", "doc", "line_no").join(every.hint("shuffle_hash"), "id", "left")
 
