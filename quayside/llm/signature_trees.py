@@ -42,8 +42,10 @@ PAGE = 4096
 #: Rows that a task of the tree search gets, on average.
 TASK_ROWS = 20_000
 STAR_ROUNDS = 2
+#: Hash ranges of n-grams per shuffle partition; a task holds one range at a time.
+HASH_RANGES = 4
 #: Words of a stored block: its sets, sorted, are what a task holds at once.
-BLOCK_WORDS = 1 << 19
+BLOCK_WORDS = 1 << 18
 
 SUMMARY = "block long, row int, doc_id long, n long, c long"
 POSTINGS = "part int, data binary"
@@ -191,7 +193,9 @@ def publish(homes: DataFrame, totals: DataFrame, size: int, num: int, den: int,
                                           "n": n[of[a:b]].astype(np.uint32), "m": m[of[a:b]]}))
                              for part, a, b in hash_ranges(h, parts)], columns=["part", "data"])
 
-    return homes.groupBy("path").cogroup(totals.groupBy("path")).applyInPandas(work, POSTINGS)
+    # small rows, much work: dealt by number, not by bytes
+    home, answer = (x.repartition(parts, "path").groupBy("path") for x in (homes, totals))
+    return home.cogroup(answer).applyInPandas(work, POSTINGS)
 
 
 def shared_grams(postings: DataFrame, num: int, den: int) -> DataFrame:
@@ -424,7 +428,7 @@ def similar_groups(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100
     same set), first (whether the row stands for its component)."""
     spark = docs.sparkSession
     prepare(spark)
-    parts = partitions(spark)
+    parts = HASH_RANGES * partitions(spark)
     blocks = write_blocks(docs, shared_folder(spark, "grams"), F.col(doc_id), F.col(text), F.lit(0),
                           BLOCK_WORDS)
     summary = stored(summaries(blocks, size), "summaries")
