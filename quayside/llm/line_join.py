@@ -1,9 +1,8 @@
 """Line deduplication by an exact set-similarity join (op3); DataFrame functions only.
 
-The tokens of a line are its distinct shingles of five lower-cased words; a line with
-fewer words has one token, its whole sequence.  A line goes when an earlier line, by
-document id and line number, has a Jaccard similarity of at least ``NUM / DEN`` with it.
-Equal lines are reduced to their first occurrence.  The tokens of each remaining line are
+The tokens of a line are its distinct lower-cased words.  A line goes when an earlier
+line, by document id and line number, has a Jaccard similarity of at least ``NUM / DEN``
+with it.  Equal lines are reduced to their first occurrence.  The tokens of each remaining line are
 ordered from rare to frequent, and only its first few, of which any similar line must
 share one, take part in a self-join on the token.  The join keeps a pair if the sizes are
 close enough (length filter), if enough tokens can follow the shared one in both
@@ -31,7 +30,6 @@ from .common import SEPARATORS, prepare, stored, stored_by, temporary
 from .graph import join_stored
 
 NUM, DEN = 8, 10
-SHINGLE = 5
 #: Buckets of the table of token frequencies; a fixed number, one byte each.
 BUCKETS = 1 << 16
 HASH_BITS = 58
@@ -47,18 +45,13 @@ def lines_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def with_tokens(lines: DataFrame, name: str = "h") -> DataFrame:
-    """Replace ``line`` by its tokens.  Every step is a projection of its own, as its array
-    is used more than once by the next."""
+    """Replace ``line`` by its tokens, the hashes of its distinct lower-cased words."""
     keep = [c for c in lines.columns if c != "line"]
     # a split at one plain character is much faster than one at a pattern
     cut = F.when(F.col("line").rlike(r"[\x09-\x0D]"), F.split(F.lower("line"), SEPARATORS)) \
         .otherwise(F.split(F.lower("line"), " "))
-    words = lines.select(*keep, F.transform(F.array_remove(cut, ""), lambda x: F.xxhash64(x)).alias("w"))
-    w = F.col("w")
-    starts = F.sequence(F.lit(0), F.size(w) - F.lit(SHINGLE))
-    shingles = F.transform(starts, lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(SHINGLE)]))
-    return words.select(*keep, F.array_distinct(
-        F.when(F.size(w) >= SHINGLE, shingles).otherwise(F.array(F.xxhash64(w)))).alias(name))
+    return lines.select(*keep, F.array_distinct(
+        F.transform(F.array_remove(cut, ""), lambda x: F.xxhash64(x))).alias(name))
 
 
 def first_lines(lines: DataFrame) -> DataFrame:

@@ -172,3 +172,43 @@ def test_repeated_rows_do_not_remove_each_other(spark):
 def test_plan_of_the_native_operator_has_no_python(corpus):
     plan = line_join.line_verdicts(corpus.select(F.col("doc_id"), "text"))._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "InArrow"))
+
+
+def brute_word_lines(docs):
+    """{(doc, line_no): removed} by comparing the sets of words of all lines."""
+    lines = []
+    for doc, text in docs:
+        for k, line in enumerate((text or "").split("\n")):
+            if words_of(line):
+                lines.append(((doc is not None, doc or 0, k), doc, frozenset(words_of(line.lower()))))
+    lines.sort(key=lambda x: x[0])
+    return {(doc, place[2]): any(10 * len(s & o) >= 8 * len(s | o) for p, _, o in lines[:i] if p < place)
+            for i, (place, doc, s) in enumerate(lines)}
+
+
+def test_short_lines_as_sets_of_words(spark):
+    """Lines of 1 to 25 words: a changed word, another order and repeated words."""
+    rng = random.Random(19)
+    vocabulary = [f"v{i}" for i in range(120)] + ["The", "the", "é"]
+    base = [rng.choices(vocabulary, k=rng.randint(1, 25)) for _ in range(25)]
+    docs = []
+    for d in range(60):
+        lines = [near_copies(rng, rng.choice(base), 1, 3)[0].split(" ") for _ in range(rng.randint(0, 8))]
+        for w in lines[::3]:
+            rng.shuffle(w)
+        docs.append((d * 13 % 67, "\n".join(" ".join(w) for w in lines)))
+    docs += [(203, "one\none\nOne one"), (None, docs[3][1])]
+    got = {(r.doc_id, r.line_no): r.removed
+           for r in line_join.line_verdicts(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute_word_lines(docs)
+
+
+def test_a_dense_group_of_short_lines(spark):
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(30)]
+    texts = near_copies(rng, base, 250, 4) + [" ".join(base)] * 20
+    rng.shuffle(texts)
+    docs = list(enumerate(texts))
+    got = {(r.doc_id, r.line_no): r.removed
+           for r in line_join.line_verdicts(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute_word_lines(docs)
