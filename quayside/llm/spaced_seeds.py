@@ -4,9 +4,8 @@ A mask covers ``SPAN`` token positions and looks at some of them only; two passa
 that differ in ignored positions have the same seed under it.  Benchmark items give
 the seeds of their windows, training documents those of all theirs, and the two are
 joined on the seed.  Around each hit the item and the document are compared token by
-token along the same alignment, and the best segment (one point per equal token,
-``MISMATCH`` per substituted one) counts as contamination if it is long and equal
-enough.  Items shorter than a mask give one seed of all their tokens.
+token along the same alignment, and the longest segment with at least ``EQUAL_SHARE``
+per cent equal tokens counts as contamination if it is long enough.  Items shorter than a mask give one seed of all their tokens.
 
 Before the join a bitmap of fixed size, built from the benchmark, drops nearly all
 document seeds that occur in no item; it lets through every seed that does, so it
@@ -39,8 +38,8 @@ MASKS = (
 STRIDE = 3
 #: Fewest tokens of an item, and of a segment (or the whole item, if shorter).
 LEAST, SEGMENT = 5, 12
-#: Least share of equal tokens in a segment, in hundredths, and points for a mismatch.
-EQUAL_SHARE, MISMATCH = 80, -2
+#: Least share of equal tokens in a segment, in hundredths.
+EQUAL_SHARE = 80
 #: Tokens kept on either side of a hit for the comparison.
 CONTEXT = 64
 #: Bits of the filter, as a power of two, and slots per seed.
@@ -174,15 +173,16 @@ def regions(docs: DataFrame, words: np.ndarray, short: list[int]) -> DataFrame:
 
 
 def best_segment(equal: np.ndarray) -> tuple[int, int]:
-    """(first, last + 1) of the segment with the most points."""
-    sums = np.concatenate([[0], np.cumsum(np.where(equal, 1, MISMATCH))])
-    low = np.minimum.accumulate(sums)
-    last = int(np.argmax(sums - low))
-    return int(np.argmin(sums[:last + 1])), last
+    """(first, last + 1) of the longest segment with a large enough share of equal tokens."""
+    sums = np.concatenate([[0], np.cumsum(100 * equal.astype(np.int64) - EQUAL_SHARE)])
+    # for each end, the first place whose sum is not above that of the end
+    first = np.searchsorted(-np.minimum.accumulate(sums), -sums)
+    last = int(np.argmax(np.arange(len(sums)) - first))
+    return int(first[last]), last
 
 
 def compare(batches):
-    """Best segment of each aligned (region, item) pair; rows that fall short go."""
+    """Longest segment of each aligned (region, item) pair; rows that fall short go."""
     import pyarrow as pa
     names = [x.split()[0] for x in MATCH.split(", ")]
     for batch in batches:

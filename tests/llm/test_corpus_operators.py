@@ -102,6 +102,17 @@ def test_substituted_passages_are_found_and_clean_ones_left(spark):
     assert exact <= found and len(found - exact - {p[0] for p in planted}) <= 3
 
 
+def test_weaker_surroundings_do_not_hide_a_segment():
+    """A segment that passes counts, whatever stands beside it."""
+    worse = np.array([True] * 14 + ([False] * 2 + [True] * 5) * 5)
+    rng = np.random.default_rng(5)
+    for same in [worse, worse[::-1], np.zeros(9, bool), *(rng.random(30) < p for p in (0.3, 0.5, 0.7, 0.9) * 50)]:
+        first, last = spaced_seeds.best_segment(same)
+        longest = max([j - i for j in range(len(same) + 1) for i in range(j) if 100 * same[i:j].sum() >= 80 * (j - i)] or [0])
+        assert last - first == longest and 100 * same[first:last].sum() >= 80 * longest
+    assert spaced_seeds.best_segment(worse)[1] - spaced_seeds.best_segment(worse)[0] >= 14
+
+
 def test_contamination_of_empty_tables(spark, corpus, empty):
     items = spark.createDataFrame([(1, "some words that make up a benchmark passage here")], "item_id long, text string")
     assert spaced_seeds.contaminated(empty, items).count() == 0
