@@ -34,8 +34,9 @@ MASKS = (
     (0, 1, 3, 4, 5, 8, 10, 11),
     (0, 2, 3, 6, 7, 8, 9, 11),
 )
-#: Windows of an item are taken at every STRIDE-th position, and the last one.
-STRIDE = 3
+#: Windows of an item are taken at every STRIDE-th position, and the last one; at 1,
+#: every overlap with SPAN equal tokens in a row has a seed.
+STRIDE = 1
 #: Fewest tokens of an item, and of a segment (or the whole item, if shorter).
 LEAST, SEGMENT = 5, 12
 #: Least share of equal tokens in a segment, in hundredths.

@@ -102,6 +102,59 @@ def test_substituted_passages_are_found_and_clean_ones_left(spark):
     assert exact <= found and len(found - exact - {p[0] for p in planted}) <= 3
 
 
+def overlaps(t, d):
+    """Whether some alignment has a segment of 12 tokens or more with at least 80 % equal,
+    by trying all segments: no strides, masks or seeds."""
+    for shift in range(-len(t) + 1, len(d)):
+        a, b = max(0, -shift), min(len(t), len(d) - shift)
+        sums = [0]
+        for i in range(a, b):
+            sums.append(sums[-1] + (t[i] == d[i + shift]))
+        if sums[-1] >= 10 and any(100 * (sums[j] - sums[i]) >= 80 * (j - i)
+                                  for j in range(12, len(sums)) for i in range(j - 11)):
+            return True
+    return False
+
+
+def damaged_passages():
+    """(items, docs, kinds): every sixth token replaced in each phase, exact parts of 12
+    tokens, and 15 % or 20 % of the tokens replaced at random."""
+    rng = random.Random(31)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    items, docs, kinds = [], [], []
+
+    def plant(item, passage, kind):
+        docs.append((len(docs), rng.choices(vocabulary, k=70) + passage + rng.choices(vocabulary, k=70), item))
+        kinds.append(kind)
+
+    for n in (20, 50, 100):
+        items.append((n, rng.choices(vocabulary, k=n)))
+        for phase in range(6):
+            plant(n, ["changed" if k % 6 == phase else w for k, w in enumerate(items[-1][1])], "sixth")
+    for place in range(9):
+        plant(20, items[0][1][place:place + 12], "part")
+    for k in range(300):
+        items.append((1000 + k, rng.choices(vocabulary, k=20)))
+        lost = rng.sample(range(20), 3 + k % 2)
+        plant(1000 + k, ["changed" if i in lost else w for i, w in enumerate(items[-1][1])], "random")
+    return items, docs, kinds
+
+
+def test_damaged_passages_are_found_wherever_they_begin(spark):
+    """Recall against all segments: all with regular damage and all exact parts, and at
+    least 93 % of those with 15 % to 20 % of 20 tokens replaced."""
+    items, docs, kinds = damaged_passages()
+    got = spaced_seeds.contaminated(
+        spark.createDataFrame([(i, " ".join(w)) for i, w, _ in docs], "doc_id long, text string"),
+        spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")).collect()
+    found, tokens = {(r.doc_id, r.item_id) for r in got}, dict(items)
+    want = {(i, item): kind for (i, d, item), kind in zip(docs, kinds) if overlaps(tokens[item], d)}
+    assert sum(k == "sixth" for k in want.values()) == 18 and sum(k == "part" for k in want.values()) == 9
+    assert not [x for x, kind in want.items() if kind != "random" and x not in found]
+    hard = [x for x, kind in want.items() if kind == "random"]
+    assert len(hard) > 200 and len(found & set(hard)) >= 0.93 * len(hard)
+
+
 def test_weaker_surroundings_do_not_hide_a_segment():
     """A segment that passes counts, whatever stands beside it."""
     worse = np.array([True] * 14 + ([False] * 2 + [True] * 5) * 5)
