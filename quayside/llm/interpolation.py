@@ -30,8 +30,9 @@ FOLDS, HELD_OUT = 7, 2
 #: Training fold whose counts are deleted to learn the weights.
 DELETED = 4
 BUCKETS = 48
-#: Ratios of the components are kept in steps of a quarter octave for the E-step.
-STEPS, LOW, SPAN = 4, -24, 256
+#: Ratios of the components are kept in steps of a quarter octave for the E-step, from
+#: 2 ** -47.75 to 2 ** 79.75: wider than any ratio of counts.
+STEPS, LOW, SPAN = 4, -192, 512
 
 BEGIN, END = np.uint64(0x1F3D5B79A2C4E6F8), np.uint64(0x8E6C4A2F1D3B5979)
 WORD, PAIR = 0, 1

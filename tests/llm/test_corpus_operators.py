@@ -293,6 +293,19 @@ def test_weights_are_those_of_em_on_single_tokens():
     assert np.abs(got - a).max() < 0.02
 
 
+def test_weights_of_words_far_rarer_than_uniform():
+    """60 of 4000 tokens at 2 ** -9 of the uniform part: their ratio is not clipped."""
+    ratio = np.repeat([2.0 ** -9, 8.0], [60, 3940])
+    step = np.clip(np.round(interpolation.STEPS * np.log2(ratio) - interpolation.LOW), 1, interpolation.SPAN - 1)
+    cell, n = np.unique(5 * interpolation.SPAN ** 2 + step.astype(np.int64), return_counts=True)
+    got = interpolation.learn_weights(cell, n.astype(float))[5]
+    full, a = np.column_stack([np.zeros(4000), ratio, np.ones(4000)]), np.array([0.4, 0.4, 0.2])
+    for _ in range(200):
+        share = full * a
+        a = (share / share.sum(1, keepdims=True)).mean(0)
+    assert abs(got[2] / a[2] - 1) < 0.02
+
+
 def test_model_beats_the_base_on_held_out_text(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     r = interpolation.interpolated_scores(docs).filter("held_out").agg(
