@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (factor_quality, host_rules, interpolation, language_codes, line_join, packing,
-               signature_trees, spaced_seeds, token_files, warc)
+from . import (collocations, factor_quality, host_rules, interpolation, language_codes, line_join,
+               packing, prefix_trie, signature_trees, spaced_seeds, token_files, toxic_segments, warc)
 from .common import prepare, table
 
 
@@ -71,6 +71,21 @@ def op10_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
                                          table(spark, sf_dir, "labels"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return prefix_trie.prefix_nodes(table(spark, sf_dir, "conversations"))
+
+
+def op12_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return toxic_segments.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return collocations.top_collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_spaced_seed_decontamination": op1_spaced_seed_decontamination,
     "op2_host_rules": op2_host_rules,
@@ -82,8 +97,13 @@ QUERIES = {
     "op8_signature_tree_join": op8_signature_tree_join,
     "op9_first_fit_packing": op9_first_fit_packing,
     "op10_factorisation_machine": op10_factorisation_machine,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_toxic_segments": op12_toxic_segments,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLES: dict[str, str] = {
     "op2_host_rules": host_rules.ORACLE,
+    "op11_prefix_trie": prefix_trie.ORACLE,
+    "op13_collocations": collocations.ORACLE,
 }

@@ -72,25 +72,35 @@ def chunks(bounds: np.ndarray):
         at = to
 
 
-def hashed_words(data: np.ndarray, bounds: np.ndarray, separator=SEPARATOR, fold=FOLD):
-    """(hash per word, words per row) of the rows ``bounds`` of ``data``."""
+def word_bounds(data: np.ndarray, bounds: np.ndarray, separator=SEPARATOR):
+    """(first byte, last byte + 1) of every word of the rows ``bounds`` of ``data``."""
     n = len(data)
-    rows = len(bounds) - 1
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(rows, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     apart = separator[data]
     before, after = np.empty(n, bool), np.empty(n, bool)
     before[0], after[-1] = True, True
     before[1:], after[:-1] = apart[:-1], apart[1:]
     before[bounds[:-1][bounds[:-1] < n]] = True
     after[bounds[1:][bounds[1:] > 0] - 1] = True
-    starts = np.flatnonzero(~apart & before)
-    ends = np.flatnonzero(~apart & after) + 1
+    return np.flatnonzero(~apart & before), np.flatnonzero(~apart & after) + 1
+
+
+def hashed_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold=FOLD) -> np.ndarray:
+    """Hash of every word."""
+    n = len(data)
     power, inverse = powers(n)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((fold[data].astype(np.uint64) + np.uint64(1)) * power, out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * inverse[starts])
-    return hashes, np.diff(np.searchsorted(starts, bounds))
+    np.cumsum((fold[data].astype(np.uint64) + np.uint64(1)) * power[:n], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * inverse[starts])
+
+
+def hashed_words(data: np.ndarray, bounds: np.ndarray, separator=SEPARATOR, fold=FOLD):
+    """(hash per word, words per row) of the rows ``bounds`` of ``data``."""
+    starts, ends = word_bounds(data, bounds, separator)
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(len(bounds) - 1, np.int64)
+    return hashed_spans(data, starts, ends, fold), np.diff(np.searchsorted(starts, bounds))
 
 
 def rows_of_words(array, separator=SEPARATOR, fold=FOLD):
