@@ -115,19 +115,28 @@ def test_components_of_chains_stars_and_pairs(spark):
 
 
 def brute_lines(docs):
-    """{(doc, line_no): removed} by comparing all lines."""
+    """{(doc, line_no): the earlier lines with a similar set of words}, by comparing all lines."""
     lines = []
     for doc, text in docs:
         for k, line in enumerate((text or "").split("\n")):
-            w = words_of(line.lower())
-            s = frozenset(tuple(w[i:i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)])
-            if w:
-                lines.append(((doc is not None, doc or 0, k), doc, s))
+            if words_of(line):
+                lines.append(((doc is not None, doc or 0, k), doc, frozenset(words_of(line.lower()))))
     lines.sort(key=lambda x: x[0])
-    out = {}
-    for i, (place, doc, s) in enumerate(lines):
-        out[doc, place[2]] = any(10 * len(s & o) >= 8 * len(s | o) for p, _, o in lines[:i] if p < place)
-    return out
+    return {(doc, place[2]): {(q, p[2]) for p, q, o in lines[:i] if p < place and 10 * len(s & o) >= 8 * len(s | o)}
+            for i, (place, doc, s) in enumerate(lines)}
+
+
+def check_lines(spark, docs):
+    """Lines are removed as by brute force, and each for a line that is similar and earlier."""
+    want = brute_lines(docs)
+    got = {(r.doc_id, r.line_no): r
+           for r in line_join.line_verdicts(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert {k: r.removed for k, r in got.items()} == {k: bool(v) for k, v in want.items()}
+    for k, r in got.items():
+        if r.removed:
+            assert (r.like_doc_id, r.like_line_no) in want[k]
+        else:
+            assert r.like_doc_id is None and r.like_line_no is None
 
 
 def test_lines_by_brute_force(spark):
@@ -139,9 +148,7 @@ def test_lines_by_brute_force(spark):
         text = "\n".join(near_copies(rng, rng.choice(base), 1, 3)[0] for _ in range(rng.randint(0, 8)))
         docs.append((d * 13 % 67, text))
     docs += [(200, None), (201, ""), (202, "\n \n\t"), (203, "one\none\nOne one"), (None, docs[3][1])]
-    got = {(r.doc_id, r.line_no): r.removed
-           for r in line_join.line_verdicts(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    assert got == brute_lines(docs)
+    check_lines(spark, docs)
 
 
 def test_a_dense_group_of_lines(spark):
@@ -151,9 +158,7 @@ def test_a_dense_group_of_lines(spark):
     texts = near_copies(rng, base, 250, 4) + [" ".join(base)] * 20
     rng.shuffle(texts)
     docs = list(enumerate(texts))
-    got = {(r.doc_id, r.line_no): r.removed
-           for r in line_join.line_verdicts(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    assert got == brute_lines(docs)
+    check_lines(spark, docs)
 
 
 def test_lines_on_the_odd_corpus(corpus, empty):
@@ -174,18 +179,6 @@ def test_plan_of_the_native_operator_has_no_python(corpus):
     assert not any(x in plan for x in ("Python", "Pandas", "InArrow"))
 
 
-def brute_word_lines(docs):
-    """{(doc, line_no): removed} by comparing the sets of words of all lines."""
-    lines = []
-    for doc, text in docs:
-        for k, line in enumerate((text or "").split("\n")):
-            if words_of(line):
-                lines.append(((doc is not None, doc or 0, k), doc, frozenset(words_of(line.lower()))))
-    lines.sort(key=lambda x: x[0])
-    return {(doc, place[2]): any(10 * len(s & o) >= 8 * len(s | o) for p, _, o in lines[:i] if p < place)
-            for i, (place, doc, s) in enumerate(lines)}
-
-
 def test_short_lines_as_sets_of_words(spark):
     """Lines of 1 to 25 words: a changed word, another order and repeated words."""
     rng = random.Random(19)
@@ -198,9 +191,7 @@ def test_short_lines_as_sets_of_words(spark):
             rng.shuffle(w)
         docs.append((d * 13 % 67, "\n".join(" ".join(w) for w in lines)))
     docs += [(203, "one\none\nOne one"), (None, docs[3][1])]
-    got = {(r.doc_id, r.line_no): r.removed
-           for r in line_join.line_verdicts(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    assert got == brute_word_lines(docs)
+    check_lines(spark, docs)
 
 
 def test_a_dense_group_of_short_lines(spark):
@@ -209,6 +200,4 @@ def test_a_dense_group_of_short_lines(spark):
     texts = near_copies(rng, base, 250, 4) + [" ".join(base)] * 20
     rng.shuffle(texts)
     docs = list(enumerate(texts))
-    got = {(r.doc_id, r.line_no): r.removed
-           for r in line_join.line_verdicts(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    assert got == brute_word_lines(docs)
+    check_lines(spark, docs)
