@@ -5,12 +5,14 @@ ASCII signs, before any merge; so the ids of a text are the ids of such pieces o
 the other.  Pieces recur far more often than they are new: the pieces of many texts are
 found with numpy (as spans and 64-bit hashes), the different ones looked up, and only
 unknown ones go to the library.  Texts with any other white space than the vocabulary's
-rule allows for go to the library whole.
+rule allows for, and texts with one of the vocabulary's added tokens (such as an end
+sign) in any case of letters, go to the library whole.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from array import array
 from itertools import repeat
 
@@ -61,7 +63,8 @@ class PieceTokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        added = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values() if t.content]
+        self.added = re.compile(b"(?=" + b"|".join(map(re.escape, added)) + b")", re.IGNORECASE) if added else None
         self.blanks = blanks
         self.forget()
 
@@ -84,6 +87,8 @@ class PieceTokenizer:
         before |= edge[:-1]
         after |= edge[1:]
         odd = wide_blanks(data)
+        if self.added:
+            odd = np.append(odd, [m.start() for m in self.added.finditer(data.tobytes())]).astype(np.int64)
         if self.blanks:
             wrong = apart & (before | after | ((data != 0x20) & (data != 0x0A)))
             odd = np.concatenate([odd, np.flatnonzero(wrong)])
