@@ -217,7 +217,9 @@ def normalise(records: DataFrame, folder: str) -> DataFrame:
             raise ValueError(f"{uri}: its number of records differs from the list")
         return pd.DataFrame({"file": [target], "n_records": [len(pdf)]})
 
-    return records.groupBy("file").applyInPandas(rewrite, "file string, n_records long")
+    # dealt by number: the list of records is short, the work is that of their payloads
+    n = partitions(records.sparkSession)
+    return records.repartition(n, "file").groupBy("file").applyInPandas(rewrite, "file string, n_records long")
 
 
 def read_records(files: DataFrame) -> DataFrame:
