@@ -2,8 +2,9 @@
 
 Every document is measured and put to a few rules.  Per host the share of documents
 that fail a rule is shrunk towards the corpus by a beta prior whose two parameters
-come from the hosts themselves (method of moments), so that a host with three
-documents is not judged on three documents alone.  The shrunk share sets how the
+come from the hosts themselves (moments of the beta-binomial distribution: the spread of
+the shares less that of drawing few documents), so that a host with three documents is
+not judged on three documents alone, nor a long tail of such hosts taken for a spread.  The shrunk share sets how the
 host's documents are treated: a rejected host loses all, a trusted host's documents
 may fail one rule, any other host's documents must pass all rules.
 
@@ -99,12 +100,18 @@ def host_verdicts(judged: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("host_docs"),
         F.sum(F.when(F.col("base_failed") | (F.col("rules_failed") > 0), 1).otherwise(0))
         .alias("host_failures"))
-    share = F.col("host_failures") / F.col("host_docs")
+    n = F.col("host_docs")
+    share = F.col("host_failures") / n
     low, high = (F.lit(x) for x in PRIOR_STRENGTH)
-    # one row, whatever the number of hosts
-    prior = hosts.agg(F.avg(share).alias("m"), F.coalesce(F.var_samp(share), F.lit(0.0)).alias("v")) \
-        .select("m", F.when(F.col("v") > 0, F.least(high, F.greatest(
-            low, F.col("m") * (1 - F.col("m")) / F.col("v") - 1))).otherwise(high).alias("s"))
+    # one row, whatever the number of hosts.  A host of n documents adds to the variance of
+    # the shares what drawing n documents gives by itself, which is taken off
+    # (beta-binomial moments); hosts of one document say nothing about the spread
+    moments = hosts.agg(F.avg(share).alias("m"), F.coalesce(F.var_samp(share), F.lit(0.0)).alias("v"),
+                        F.avg(1 / n).alias("a"))
+    by_chance = F.col("m") * (1 - F.col("m"))
+    over, room = F.col("v") - by_chance * F.col("a"), by_chance * (1 - F.col("a"))
+    prior = moments.select("m", F.when((over > 0) & (room > 0), F.least(high, F.greatest(low, room / over - 1)))
+                           .otherwise(high).alias("s"))
     shrunk = (F.col("host_failures") + F.col("m") * F.col("s")) / (F.col("host_docs") + F.col("s"))
     return hosts.crossJoin(F.broadcast(prior)).select(
         "host", "host_docs", "host_failures", shrunk.alias("host_share"),
@@ -163,11 +170,13 @@ h AS (
   SELECT x, k, count(*) AS host_docs,
          sum((base_failed OR rules_failed > 0)::BIGINT)::BIGINT AS host_failures
   FROM j GROUP BY x, k),
-p AS (
-  SELECT avg(host_failures / host_docs) AS m, coalesce(var_samp(host_failures / host_docs), 0) AS v
-  FROM h),
-s AS (SELECT m, CASE WHEN v > 0 THEN least(1000.0, greatest(1.0, m * (1 - m) / v - 1))
-                     ELSE 1000.0 END AS s FROM p),
+p AS (SELECT avg(host_failures / host_docs) AS m, avg(1 / host_docs) AS a, count(*) AS n FROM h),
+e AS (
+  SELECT m, coalesce(sum((host_failures / host_docs - m) ** 2) / nullif(any_value(n) - 1, 0), 0) AS v,
+         any_value(m * (1 - m) * a) AS drawn, any_value(m * (1 - m) * (1 - a)) AS room
+  FROM h, p GROUP BY m),
+s AS (SELECT m, CASE WHEN v > drawn AND room > 0 THEN least(1000.0, greatest(1.0, room / (v - drawn) - 1))
+                     ELSE 1000.0 END AS s FROM e),
 g AS (
   SELECT x, k, host_docs, host_failures,
          (host_failures + m * s) / (host_docs + s) AS share FROM h, s),

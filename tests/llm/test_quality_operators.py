@@ -41,10 +41,42 @@ def test_repeated_windows_by_brute_force(spark):
         assert got[i] == len(hit)
 
 
+GOOD, BAD = " ".join(f"word{i}" for i in range(40)), "### $$$ &&& *** %%% <<< >>> | | | " * 6
+#: Fails one rule (symbols) but not the base rule.
+MARKED = " ".join(f"word{i}" + ("#" if i % 5 == 0 else "") for i in range(40))
+
+
+def host_results(spark, rows):
+    """Verdicts by host and rows, from the operator and its SQL twin, which must agree."""
+    import pandas as pd
+    pdf = pd.DataFrame([(i, t, h) for i, (h, t) in enumerate(rows)], columns=["doc_id", "text", "source"])
+    con = duckdb.connect()
+    con.register("documents", pdf)
+    want = con.execute(f"SELECT doc_id, host_verdict, kept FROM ({host_rules.ORACLE})").fetchall()
+    got = host_rules.judge(spark.createDataFrame(pdf)).select("doc_id", "host_verdict", "kept", "host").collect()
+    assert sorted((r.doc_id, r.host_verdict, r.kept) for r in got) == sorted(want)
+    return {r.host: r.host_verdict for r in got}, got
+
+
+def test_a_long_tail_of_hosts_is_no_spread(spark):
+    """Hosts with one document each, a fifth of which fail: none is judged on its one."""
+    verdict, _ = host_results(spark, [(f"one{h}", BAD if h % 5 == 0 else GOOD) for h in range(600)]
+                              + [(f"few{h}", BAD if (h + k) % 5 == 0 else GOOD) for h in range(100) for k in range(3)])
+    assert set(verdict.values()) == {"mixed"}
+
+
+def test_trusted_hosts_may_fail_one_rule(spark):
+    rows = [("clean", MARKED if i == 7 else GOOD) for i in range(400)]
+    rows += [(f"h{h}", MARKED if i < h % 7 else GOOD) for h in range(40) for i in range(10)] + [("worst", BAD)] * 60
+    verdict, got = host_results(spark, rows)
+    assert verdict["clean"] == "trusted" and verdict["worst"] == "rejected" and verdict["h3"] == "mixed"
+    assert next(r.kept for r in got if r.doc_id == 7)
+    assert not any(r.kept for r in got if rows[r.doc_id][1] == MARKED and r.host != "clean")
+
+
 def test_small_hosts_lean_on_the_corpus(spark):
-    good, bad = " ".join(f"word{i}" for i in range(40)), "### $$$ &&& *** %%% <<< >>> | | | " * 6
-    rows = [(f"h{h}", good if i % 10 else bad) for h in range(30) for i in range(10)]
-    rows += [("tiny", bad)] + [("worst", bad)] * 60
+    rows = [(f"h{h}", GOOD if i % 10 else BAD) for h in range(30) for i in range(10)]
+    rows += [("tiny", BAD)] + [("worst", BAD)] * 60
     df = spark.createDataFrame([(i, t, h) for i, (h, t) in enumerate(rows)],
                                "doc_id long, text string, source string")
     verdict = {r.host: r.host_verdict for r in host_rules.judge(df).select("host", "host_verdict").distinct().collect()}
