@@ -4,10 +4,13 @@ P12, P13, G1)."""
 
 from __future__ import annotations
 
+import re
 import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import text as X
 from ..session import ensure_checkpoint_dir
@@ -145,29 +148,60 @@ def activity_trace(log: DataFrame, prefix_col: str, prefix: str, text_col: str,
 # Functions that reach beyond the data, and name spaces beyond the session's views.
 OUTSIDE = r"(?i)\b(reflect|java_method|try_reflect|input_file_name|global_temp|read_files)\b"
 GUARD_CONF = {"spark.sql.runSQLOnFiles": "false", "spark.sql.session.timeZone": "UTC",
-              "spark.sql.ansi.enabled": "true"}
+              "spark.sql.ansi.enabled": "true",
+              # explained plans must show whole locations, however many there are
+              "spark.sql.maxMetadataStringLength": "100000", "spark.sql.maxPlanStringLength": str(1 << 28)}
+#: Leaves of a plan that read nothing but what the statement itself spells out.
+OWN_ROWS = ("Scan OneRowRelation", "LocalTableScan", "Range")
 
 
-def guarded_session(spark: SparkSession, views: dict[str, DataFrame]) -> tuple[SparkSession, set[str]]:
-    """A session of its own in which only ``views`` can be named, with SQL on files off;
-    and the files that the views read.  The views are written to the shared folder with
-    their listed columns only, so the hidden columns are not even in the files read."""
-    own = spark.newSession()
+@dataclass
+class StoredViews:
+    """A snapshot of the views that statements may name: folder and schemas."""
+    folder: str
+    schemas: dict[str, StructType]
+
+
+def store_views(spark: SparkSession, views: dict[str, DataFrame]) -> StoredViews:
+    """Write the views, with their listed columns only, to the shared folder: the hidden
+    columns are not even in the files that statements read.  One snapshot serves any
+    number of runs."""
     folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/views-{uuid.uuid4().hex}"
+    for name, df in views.items():
+        df.write.parquet(f"{folder}/{name}")
+    return StoredViews(folder, {n: df.schema for n, df in views.items()})
+
+
+def guarded_session(spark: SparkSession, views: StoredViews) -> SparkSession:
+    """A session of its own that has only ``views``, with SQL on files off."""
+    own = spark.newSession()
     for k, v in GUARD_CONF.items():
         own.conf.set(k, v)
-    files: set[str] = set()
-    for name, df in views.items():
-        stored = f"{folder}/{name}"
-        df.write.parquet(stored)
-        view = own.read.schema(df.schema).parquet(stored)
-        view.createOrReplaceTempView(name)
-        files |= set(view.inputFiles())
-    return own, files
+    for name, schema in views.schemas.items():
+        own.read.schema(schema).parquet(f"{views.folder}/{name}").createOrReplaceTempView(name)
+    return own
+
+
+def foreign_reads(explained: str, views: StoredViews) -> list[str]:
+    """Leaves of a plan, as ``EXPLAIN FORMATTED`` shows it with all its subqueries, that
+    read anything but files of the views.  A text without any leaf counts as one."""
+    marker = f"/{views.folder.rstrip('/').rpartition('/')[2]}/"
+    leaves, foreign = 0, []
+    for block in re.split(r"\n\s*\n", explained):
+        head = re.match(r"\(\d+\) ([^\n]*)", block.strip())
+        if not head or not re.match(r"\w*Scan\b|\w*Scan |Range\b", head[1]):
+            continue
+        leaves += 1
+        if head[1].startswith(OWN_ROWS):
+            continue
+        place = re.search(r"^Location: \S+ \[([^\],]*)", block, re.M)
+        if not head[1].startswith("Scan parquet") or not place or marker not in place[1]:
+            foreign.append(head[1].strip())
+    return foreign if leaves else ["no plan"]
 
 
 def run_guarded(spark: SparkSession, statements: list[tuple[str, str]],
-                views: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+                views: dict[str, DataFrame] | StoredViews) -> tuple[DataFrame, DataFrame]:
     """For each (question, raw SQL): clean (fence, trailing ';'), guard, and run in a
     session that holds only ``views``.  Returns (results, log).
 
@@ -175,16 +209,21 @@ def run_guarded(spark: SparkSession, statements: list[tuple[str, str]],
     they stay distributed.  log: (question, generated_sql, status, row_count) for every
     statement, refused ones included.  A statement is refused if the guard rejects it, if
     it names a function that reaches beyond the data, if it cannot be resolved against
-    the views, or if its plan would read a file that no view reads.  The loop runs over
-    the statements; only their texts are on the driver."""
+    the views, or if its plan, subqueries included, reads anything but the views.  Each
+    accepted statement runs once, to stored rows, which are counted; one that fails is
+    logged as an error and costs the others nothing.  The loop runs over the statements;
+    only their texts, plans and counts are on the driver."""
     cleaned = spark.createDataFrame(statements, "question string, raw_sql string").select(
         "question", X.clean_sql("raw_sql").alias("sql"),
         X.is_safe_select(X.clean_sql("raw_sql")).alias("safe"),
         X.clean_sql("raw_sql").rlike(OUTSIDE).alias("outside"))
-    own, files = guarded_session(spark, views)
-    notes, parts = [], []
-    for r in cleaned.collect():  # one row per statement
-        status = "ok"
+    views = views if isinstance(views, StoredViews) else store_views(spark, views)
+    own = guarded_session(spark, views)
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/results-{uuid.uuid4().hex}"
+    schema = "question string, row_json string"
+    notes, paths = [], []
+    for k, r in enumerate(cleaned.collect()):  # one row per statement
+        status, count = "ok", None
         if not r["safe"]:
             status = "rejected: not a plain SELECT"
         elif r["outside"]:
@@ -192,20 +231,17 @@ def run_guarded(spark: SparkSession, statements: list[tuple[str, str]],
         else:
             try:
                 res = own.sql(r["sql"])
-                if set(res.inputFiles()) - files:
-                    status = "rejected: reads other files"
-            except Exception as e:  # noqa: BLE001 - analysis errors are logged
+                if foreign_reads(own.sql(f"EXPLAIN FORMATTED {r['sql']}").first()[0], views):
+                    status = "rejected: reads beyond the views"
+                else:
+                    row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in res.columns]), {"ignoreNullFields": "false"})
+                    res.select(F.lit(r["question"]).alias("question"), row.alias("row_json")) \
+                        .write.parquet(f"{folder}/{k}")
+                    count = own.read.schema(schema).parquet(f"{folder}/{k}").count()
+                    paths.append(f"{folder}/{k}")
+            except Exception as e:  # noqa: BLE001 - errors of analysis and of running are logged
                 status = f"error: {type(e).__name__}"
-        notes.append((r["question"], r["sql"], status))
-        if status == "ok":
-            row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in res.columns]), {"ignoreNullFields": "false"})
-            parts.append(res.select(F.lit(r["question"]).alias("question"), row.alias("row_json")))
-    results = spark.createDataFrame([], "question string, row_json string")
-    for p in parts:
-        results = results.unionByName(p)
-    counts = results.groupBy("question").agg(F.count(F.lit(1)).alias("n"))
-    log = spark.createDataFrame(notes, "question string, generated_sql string, status string") \
-        .join(counts, "question", "left").select(
-            "question", "generated_sql", "status",
-            F.when(F.col("status") == "ok", F.coalesce("n", F.lit(0))).alias("row_count"))
-    return results, log
+        notes.append((r["question"], r["sql"], status, count))
+    results = spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+    return results, spark.createDataFrame(
+        notes, "question string, generated_sql string, status string, row_count long")

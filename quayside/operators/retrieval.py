@@ -25,6 +25,9 @@ from ..session import ensure_checkpoint_dir
 
 TILE_QUERIES = 1000                     # query vectors scored at once
 BLOCK_ROWS = 4096                       # corpus rows scored at once
+#: Coarse cells at most, rows a cell that they are trained on, rounds of training, levels of
+#: a residual's code on either side of zero, and queries that set the number of probes.
+MAX_CELLS, SAMPLE_PER_CELL, KMEANS_ROUNDS, LEVELS, SAMPLE_QUERIES = 4096, 50, 10, 127, 200
 HELD_TILES = 16                         # tiles that a task keeps in memory
 # The answer-prompt instruction; retrieved texts are joined
 # with a line holding "---" (see ``rag_prompts``).
@@ -179,66 +182,127 @@ def rag_prompts(questions: DataFrame, hits: DataFrame, chunks: DataFrame,
     return q.select(qid_col, prompt.alias("prompt"))
 
 
-def sign_codes(bits: int, tables: int, dim: int, seed: int) -> np.ndarray:
-    """Random hyperplanes (tables x bits x dim)."""
-    return np.random.default_rng(seed).standard_normal((tables, bits, dim))
-
+def _unit_rows(df: DataFrame, id_col: str, vec_col: str, name: str) -> DataFrame:
+    """(name, v): unit vectors; NULL and zero vectors are left out."""
+    v = F.transform(F.col(vec_col), lambda x: x.cast("double"))
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    return df.filter(F.col(vec_col).isNotNull()).select(F.col(id_col).alias(name), v.alias("v"), norm.alias("n")) \
+        .filter("n > 0").select(name, F.transform("v", lambda x: x / F.col("n")).alias("v"))
+
+
+def train_cells(rows: DataFrame, n: int, seed: int = 7) -> tuple[np.ndarray, float]:
+    """Centres of coarse cells (k-means on the directions of a sample), and the step of the
+    residuals' codes.  There are about sqrt(n) cells, at most MAX_CELLS; the sample has at
+    most SAMPLE_PER_CELL rows a cell, those with the smallest hash of their id."""
+    cells = int(min(MAX_CELLS, max(1, round(np.sqrt(n)))))
+    sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_PER_CELL * cells).select("v").toPandas()["v"]
+    m = np.vstack(sample.to_numpy())
+    rng = np.random.default_rng(seed)
+    centres = m[rng.choice(len(m), min(cells, len(m)), replace=False)]
+    for _ in range(KMEANS_ROUNDS):
+        of = (m @ centres.T).argmax(1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, of, m)
+        norm = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(norm > 0, sums / np.maximum(norm, 1e-12), centres)
+    rest = np.abs(m - centres[(m @ centres.T).argmax(1)])
+    return centres, max(float(np.quantile(rest, 0.999)) / LEVELS, 1e-12)
+
+
+def _encode(centres: np.ndarray, step: float):
+    """(id, cell, code): the nearest centre, and one byte per dimension for the residual."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                m = np.vstack(pdf["v"].to_numpy())
+                cell = (m @ centres.T).argmax(1)
+                code = np.clip(np.round((m - centres[cell]) / step), -LEVELS, LEVELS).astype(np.int8)
+                yield pd.DataFrame({"id": pdf["id"], "cell": cell.astype(np.int32), "code": [c.tobytes() for c in code]})
+    return run
 
-def _bucket_rows(planes: np.ndarray, probes: int):
-    """Rows (id, v, bucket) of each vector: its cell in every table and, with probes, the
-    cells that differ in the bits whose hyperplanes lie nearest."""
-    tables, bits, _ = planes.shape
-    weight = 1 << np.arange(bits, dtype=np.int64)
 
+def _scan_codes(tiles: list[str], centres: np.ndarray, step: float, probes: int, depth: int):
+    """Per task: the ``depth`` rows with the best coded similarity per query, among the
+    rows in the query's ``probes`` nearest cells, kept as a running list over all blocks."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
+        parts = [b for b in batches if len(b)]
+        if not parts:
+            return
+        # one byte a dimension: a partition's codes are an eighth of its vectors
+        ids = np.concatenate([b["id"].to_numpy() for b in parts])
+        cell = np.concatenate([b["cell"].to_numpy() for b in parts])
+        code = np.frombuffer(b"".join(c for b in parts for c in b["code"]), np.int8).reshape(len(ids), -1)
+        for path in tiles:
+            q_ids, _, q = _read_tile(path)
+            if not len(q_ids):
                 continue
-            m = np.vstack(pdf["v"].to_numpy()).astype(np.float64)
-            out = []
-            for t in range(tables):
-                side = m @ planes[t].T
-                code = (side > 0) @ weight
-                out.append((np.arange(len(m)), code + (t << bits)))
-                near = np.argsort(np.abs(side), axis=1)[:, :probes]
-                for p in range(near.shape[1]):
-                    out.append((np.arange(len(m)), (code ^ weight[near[:, p]]) + (t << bits)))
-            row = np.concatenate([r for r, _ in out])
-            yield pdf.iloc[row].assign(bucket=np.concatenate([c for _, c in out]))
+            coarse = q @ centres.T
+            rank = np.argsort(np.argsort(-coarse, axis=1, kind="stable"), axis=1)
+            best, value = np.full((len(q), 0), -1), np.zeros((len(q), 0))
+            for at in range(0, len(ids), BLOCK_ROWS):
+                here = cell[at:at + BLOCK_ROWS]
+                sims = coarse[:, here] + q @ (code[at:at + BLOCK_ROWS].astype(np.float64) * step).T
+                sims[rank[:, here] >= probes] = -np.inf
+                value = np.concatenate([value, sims], axis=1)
+                best = np.concatenate([best, np.broadcast_to(np.arange(at, at + len(here)), sims.shape)], axis=1)
+                if value.shape[1] > depth:
+                    keep = np.argpartition(-value, depth - 1, axis=1)[:, :depth]
+                    value, best = np.take_along_axis(value, keep, 1), np.take_along_axis(best, keep, 1)
+            row, col = np.nonzero(value > -np.inf)
+            if len(row):
+                yield pd.DataFrame({"query_id": q_ids[row], "id": ids[best[row, col]], "coded": value[row, col]})
     return run
 
 
+def _needed_probes(exact: DataFrame, codes: DataFrame, asked: DataFrame, centres: np.ndarray, target: float) -> int:
+    """Fewest cells that hold the share ``target`` of the sample queries' exact hits."""
+    rows = exact.join(codes.select("id", "cell"), "id").join(asked, "query_id").select("cell", "v").toPandas()
+    if not len(rows):
+        return len(centres)
+    coarse = np.vstack(rows["v"].to_numpy()) @ centres.T
+    own = np.take_along_axis(coarse, rows["cell"].to_numpy()[:, None].astype(np.int64), 1)
+    rank = np.sort((coarse > own).sum(1))
+    return int(rank[min(len(rank) - 1, int(np.ceil(target * len(rank))) - 1)]) + 1
+
+
 def topk_approx(corpus: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "id",
                 vec_col: str = "embedding", qid_col: str = "query_id",
-                qvec_col: str = "embedding", bits: int = 8, tables: int = 8,
-                probes: int = 4, dim: int = DIM, seed: int = 7) -> DataFrame:
-    """Approximate top-k over sign codes: (query_id, id, sim, rank, candidates).
-
-    A vector's cell in a table is the side it lies on of ``bits`` random hyperplanes;
-    a query also looks into the cells across its nearest hyperplanes.  Candidates are the
-    rows that share a cell, joined on it, each pair scored once.  A query with fewer than
-    k candidates is answered by the exact search, so none is lost."""
-    planes = sign_codes(bits, tables, dim, seed)
+                qvec_col: str = "embedding", target: float = 0.99, depth: int | None = None) -> DataFrame:
+    """Approximate top-k: (query_id, id, sim, rank, candidates).
+
+    Vectors lie in trained coarse cells, with a byte per dimension for the residual.  A
+    query looks through the codes of its nearest cells, ``depth`` rows go on and are scored
+    exactly (``candidates``: how many).  The number of cells looked through is the fewest
+    that hold the share ``target`` of the exact hits of sample queries, vectors of the
+    corpus that are answered by the exact search.  A query with fewer than k candidates
+    is answered by the exact search, so none is lost."""
+    spark = corpus.sparkSession
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/cells-{uuid.uuid4().hex}"
+    depth = depth or 24 * k
+    rows, asked = _unit_rows(corpus, id_col, vec_col, "id"), _unit_rows(queries, qid_col, qvec_col, "query_id")
+    n = rows.count()
+    id_type, qid_type = dict(rows.dtypes)["id"], dict(asked.dtypes)["query_id"]
+    if not n:
+        return topk(corpus, queries, k, id_col, vec_col, qid_col, qvec_col).withColumn("candidates", F.lit(None).cast("long"))
+    centres, step = train_cells(rows, n)
+    rows.mapInPandas(_encode(centres, step), f"id {id_type}, cell int, code binary").write.parquet(folder)
+    codes = spark.read.parquet(folder)
+    sample = rows.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(SAMPLE_QUERIES) \
+        .select(F.col("id").alias("query_id"), F.col("v").alias("embedding"))
+    # the sample's own vectors are hits at once and say nothing
+    hits = topk(rows, sample, k + 1, "id", "v").filter(F.col("query_id") != F.col("id"))
+    probes = _needed_probes(hits, codes, sample.withColumnRenamed("embedding", "v"), centres, target)
+    tiles = query_tiles(asked, "query_id", "v", None)
+    w = Window.partitionBy("query_id").orderBy(F.desc("coded"), F.asc("id"))
+    picked = codes.mapInPandas(_scan_codes(tiles, centres, step, probes, depth),
+                               f"query_id {qid_type}, id {id_type}, coded double") \
+        .withColumn("place", F.row_number().over(w)).filter(F.col("place") <= depth).select("query_id", "id")
     dot = F.aggregate(F.zip_with("v", "qv", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-    def unit(df, id_, vec, name):
-        v = F.transform(F.col(vec), lambda x: x.cast("double"))
-        norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-        return df.filter(F.col(vec).isNotNull()).select(F.col(id_).alias(name), v.alias("v"), norm.alias("n")) \
-            .filter("n > 0").select(name, F.transform("v", lambda x: x / F.col("n")).alias("v"))
-
-    rows, asked = unit(corpus, id_col, vec_col, "id"), unit(queries, qid_col, qvec_col, "query_id")
-    c = rows.mapInPandas(_bucket_rows(planes, 0), f"id {dict(rows.dtypes)['id']}, v array<double>, bucket long")
-    q = asked.mapInPandas(_bucket_rows(planes, probes),
-                          f"query_id {dict(asked.dtypes)['query_id']}, v array<double>, bucket long") \
-        .withColumnRenamed("v", "qv")
-    pairs = c.select("id", "bucket").join(q.select("query_id", "bucket"), "bucket") \
-        .select("query_id", "id").distinct()
-    scored = pairs.join(rows, "id").join(asked.withColumnRenamed("v", "qv"), "query_id") \
+    scored = picked.join(rows, "id").join(asked.withColumnRenamed("v", "qv"), "query_id") \
         .select("query_id", "id", F.round(dot, 12).alias("sim"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("sim"), F.asc("id"))
-    found = scored.withColumn("rank", F.row_number().over(w)) \
-        .withColumn("candidates", F.count(F.lit(1)).over(Window.partitionBy("query_id")))
+    by = Window.partitionBy("query_id")  # of at most ``depth`` rows
+    found = scored.withColumn("rank", F.row_number().over(by.orderBy(F.desc("sim"), F.asc("id")))) \
+        .withColumn("candidates", F.count(F.lit(1)).over(by))
     enough = found.filter((F.col("rank") <= k) & (F.col("candidates") >= k))
     short = queries.select(F.col(qid_col).alias("query_id"), F.col(qvec_col).alias("embedding")) \
         .join(enough.select("query_id").distinct(), "query_id", "left_anti")

@@ -351,11 +351,22 @@ _STATUS = {"drop it": "rejected: not a plain SELECT", "delete": "rejected: not a
 _GUARD_VIEWS = ("billing_triage", "gate_transactions", "berth_calls", "crane_telemetry")
 
 
+_SNAPSHOTS: dict[tuple[str, str], G.StoredViews] = {}
+
+
+def snapshot(t) -> G.StoredViews:
+    """The views of these tables, stored once per application."""
+    key = (t.spark.sparkContext.applicationId, t.sf_dir)
+    if key not in _SNAPSHOTS:
+        _SNAPSHOTS[key] = G.store_views(t.spark, visible_tables(t))
+    return _SNAPSHOTS[key]
+
+
 @query("guarded_sql", with_views(_RESULTS, *_GUARD_VIEWS, extra=(("triaged", TRIAGED),)))
 def guarded_sql(t):
     """Clean -> guard -> run in a session of restricted views -> one JSON row per
     result row, of any number."""
-    return G.run_guarded(t.spark, GUARDED, visible_tables(t))[0]
+    return G.run_guarded(t.spark, GUARDED, snapshot(t))[0]
 
 
 @query("guarded_log", with_views(
@@ -365,7 +376,7 @@ def guarded_sql(t):
       "ON c.question = s.question", *_GUARD_VIEWS, extra=(("triaged", TRIAGED),)))
 def guarded_log(t):
     """The log of the same run: every statement with its fate and its row count."""
-    return G.run_guarded(t.spark, GUARDED, visible_tables(t))[1].drop("generated_sql")
+    return G.run_guarded(t.spark, GUARDED, snapshot(t))[1].drop("generated_sql")
 
 
 @query("triage_model")

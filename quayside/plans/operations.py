@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators import operations as O
 from ..operators import retrieval as RT
@@ -131,28 +132,32 @@ def drift_levels_frozen(t):
     return O.drift_levels(A.crane_telemetry(t), baseline="frozen", frozen_before="2024-01-08")
 
 
-FAMILIES = 20
-
-
 @query("similar_orders", "WITH " + """
 d_emb AS (""" + EMB_SQL.format(key="doc_id, source", text="text", src="documents") + """),
-q_emb AS (""" + EMB_SQL.format(key="item_id", text="text", src="benchmark") + f"""),
-s AS (SELECT q.item_id AS query_id, d.source AS family, d.doc_id AS id,
+q_emb AS (""" + EMB_SQL.format(key="item_id", text="text", src="benchmark") + """),
+fam AS (SELECT family, row_number() OVER (ORDER BY family) - 1 AS number, count(*) OVER () AS n
+        FROM (SELECT DISTINCT coalesce(source, '') AS family FROM documents) u),
+s AS (SELECT q.item_id AS query_id, f.family, d.doc_id AS id,
              round(list_dot_product(q.embedding, d.embedding)
                    / (sqrt(list_dot_product(q.embedding, q.embedding))
                       * sqrt(list_dot_product(d.embedding, d.embedding))), 12) AS sim
-      FROM q_emb q JOIN d_emb d ON d.source = 'src' || CAST(q.item_id % {FAMILIES} AS VARCHAR)
+      FROM q_emb q JOIN fam f ON f.number = ((q.item_id % f.n) + f.n) % f.n JOIN d_emb d ON coalesce(d.source, '') = f.family
       WHERE q.embedding IS NOT NULL AND d.embedding IS NOT NULL)
 SELECT query_id, id, sim, rank FROM (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS INTEGER) AS rank FROM s) r
 WHERE rank <= 3""")
 def similar_orders(t):
     """For each question, the 3 most similar whole documents of the question's own
-    fault family (documents: their source; questions: dealt over the families by id)."""
-    d = spread(t.documents.select(F.col("doc_id").alias("id"), "text", F.col("source").alias("family")))
+    fault family.  Families are the sources that the documents have (none counts as ''),
+    in order of their names; questions are dealt over all of them by id."""
+    family = F.coalesce(F.col("source"), F.lit(""))
+    d = spread(t.documents.select(F.col("doc_id").alias("id"), "text", family.alias("family")))
     corpus = RT.embed(d, ["id"], "text", keep=["family"])
-    q = t.benchmark.select(
-        F.col("item_id").alias("query_id"), "text",
-        F.concat(F.lit("src"), (F.col("item_id") % FAMILIES).cast("string")).alias("family"))
+    # one row per family
+    names = t.documents.select(family.alias("family")).distinct()
+    numbered = names.select("family", (F.row_number().over(Window.orderBy("family")) - 1).alias("number")) \
+        .crossJoin(F.broadcast(names.agg(F.count(F.lit(1)).alias("n"))))
+    q = t.benchmark.select(F.col("item_id").alias("query_id"), "text") \
+        .join(numbered, F.expr("number = pmod(query_id, n)")).select("query_id", "text", "family")
     return RT.topk(corpus, RT.embed(q, ["query_id"], "text", keep=["family"]), k=3,
                    family=("family", "family"))

@@ -101,8 +101,8 @@ def vector_threshold(t):
 
 @query("vector_topk_approx")
 def vector_topk_approx(t):
-    """Sign-code top-5 for the label centroids, with recall against T10 and the share
-    of the corpus that was scored."""
+    """Top-5 for the label centroids by coarse cells and coded residuals, with recall
+    against T10 and the share of the corpus that was scored exactly."""
     corpus = t.embeddings.select(F.col("vec_id").alias("id"), "embedding")
     q = centroids(t)
     approx = RT.topk_approx(corpus, q, k=5)
@@ -119,7 +119,7 @@ cat AS (SELECT table_name || '.' || column_name AS id,
         FROM information_schema.columns WHERE table_name IN (""" + ", ".join(f"'{n}'" for n in TABLES) + """)),
 c_emb AS (""" + EMB_SQL.format(key="id", text="description", src="cat") + """),
 q_emb AS (""" + EMB_SQL.format(key="conv_id, turn", text="text", src="conversations") + """),
-s AS (SELECT q.conv_id * 100 + q.turn AS query_id, c.id,
+s AS (SELECT q.conv_id || '-' || q.turn AS query_id, c.id,
              round(list_dot_product(q.embedding, c.embedding)
                    / (sqrt(list_dot_product(q.embedding, q.embedding))
                       * sqrt(list_dot_product(c.embedding, c.embedding))), 12) AS sim
@@ -131,6 +131,6 @@ def schema_search(t):
     """The catalog columns that fit each conversation turn (similarity at least 0.3,
     best 8)."""
     catalog = RT.schema_catalog({n: getattr(t, n) for n in TABLES})
-    asked = t.conversations.select((F.col("conv_id") * 100 + F.col("turn")).alias("query_id"),
+    asked = t.conversations.select(F.concat_ws("-", "conv_id", "turn").alias("query_id"),
                                    F.col("text").alias("question"))
     return RT.schema_search(catalog, asked)

@@ -106,6 +106,39 @@ def test_guarded_runner_is_a_boundary(spark, tables, sql):
     assert results.count() == 0 and log["q"].status.startswith(("rejected", "error")) and log["q"].row_count is None
 
 
+@pytest.mark.parametrize("sql", [
+    "SELECT (SELECT max(c_name) FROM default.secret_names) AS m FROM tiny_view",
+    "SELECT id FROM tiny_view WHERE EXISTS(SELECT 1 FROM default.secret_names)",
+    "SELECT id FROM tiny_view t WHERE EXISTS(SELECT 1 FROM default.secret_names s WHERE s.c_name = CAST(t.id AS STRING))",
+    "SELECT id FROM tiny_view WHERE v IN (SELECT length(c_name) FROM default.secret_names)",
+    "SELECT id FROM tiny_view WHERE v > (SELECT min(length(c_name)) FROM spark_catalog.default.secret_names)",
+    "WITH s AS (SELECT c_name FROM default.secret_names) SELECT t.id, (SELECT first(c_name) FROM s) FROM tiny_view t",
+    "SELECT id FROM tiny_view UNION ALL SELECT length(c_name) FROM default.secret_names",
+    "SELECT id, (SELECT (SELECT max(c_name) FROM default.secret_names) FROM tiny_view LIMIT 1) FROM tiny_view",
+    "SELECT t.id, l.c_name FROM tiny_view t, LATERAL (SELECT c_name FROM default.secret_names) l",
+    "SELECT id, CASE WHEN id < 0 THEN (SELECT max(c_name) FROM default.secret_names) END FROM tiny_view",
+    "SELECT c_name FROM default.secret_names", "SELECT max(c_name) FROM secret_names"])
+def test_no_subquery_reads_beyond_the_views(spark, sql):
+    spark.createDataFrame([("Jane Doe",)], "c_name string").write.mode("overwrite").saveAsTable("default.secret_names")
+    try:
+        results, log = _guarded(spark, [("q", sql), ("fine", "SELECT (SELECT max(id) FROM tiny_view) AS m")])
+        assert [r.row_json for r in results.collect()] == ['{"m":2999}']
+        assert log["q"].status.startswith(("rejected", "error")) and log["q"].row_count is None
+        assert (log["fine"].status, log["fine"].row_count) == ("ok", 1)
+    finally:
+        spark.sql("DROP TABLE default.secret_names")
+
+
+def test_a_statement_that_fails_costs_only_itself(spark):
+    results, log = _guarded(spark, [
+        ("bad", "SELECT 1 div (id - id) AS y FROM tiny_view"), ("good", "SELECT count(*) AS n FROM tiny_view"),
+        ("own", "SELECT 1 AS one"), ("range", "SELECT sum(id) AS s FROM range(5)")])
+    assert sorted((r.question, r.row_json) for r in results.collect()) == [
+        ("good", '{"n":3000}'), ("own", '{"one":1}'), ("range", '{"s":10}')]
+    assert log["bad"].status.startswith("error") and log["bad"].row_count is None
+    assert [log[q].row_count for q in ("good", "own", "range")] == [1, 1, 1]
+
+
 def test_triage_keeps_earlier_classes_and_logs_replies(spark):
     import datetime as dt
     import json
