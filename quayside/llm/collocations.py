@@ -6,8 +6,10 @@ over all documents counts the proposals and their negative border exactly: every
 that was not proposed but whose two parts of one word less were, and every single word.
 If a phrase of the border turns out to be frequent, longer phrases may have been missed:
 it joins the proposals, and a further pass counts what this adds to the border, until
-no uncounted phrase is left whose two parts are frequent.  So the counts of all frequent
-phrases are exact and complete, whatever the sample says.
+no uncounted phrase is left whose two parts are frequent.  Such a pass goes on from an
+uncounted phrase to longer ones at once, as if it were frequent, so that it closes the
+border by itself.  The counts of all frequent phrases are exact and complete, whatever
+the sample says.
 
 Documents are tokenised once, into blocks in the shared folder.  A pass sends the counts
 of a block's phrases under 64-bit keys, summed in one shuffle.  Tasks look proposals up
@@ -53,11 +55,21 @@ MARKS[[0x2E, 0x2C, 0x3B, 0x3A, 0x21, 0x3F, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 APART = MARKS.copy()
 APART[[0x20, 0x09]] = True
 
+#: Rows of a batch of counts; bits of a block's number.
+ROWS, BLOCK_MASK = 1 << 16, (1 << 56) - 1
+
 BLOCK = "block long, path string"
 COUNT = "key long, block long, n long"
+#: The low bits of a key hold the number of words.
+SIZE_BITS = 3
 PHRASE = "key long, block long, lang string, size int, phrase string, firsts array<long>, rests array<long>"
 
 
+def sized(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Keys: hashes with the number of words in the low bits."""
+    return hashes >> np.uint64(SIZE_BITS) << np.uint64(SIZE_BITS) | np.uint64(size)
+
+
 def lang_key(lang: str) -> int:
     return int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little")
 
@@ -151,8 +163,9 @@ class Filter:
 
 class Phrases:
     """A block's phrases by size.  Of size s: ``ids`` (phrase at each word, or -1), and per
-    phrase ``keys``, ``counts``, ``first`` (a place) and ``old``, whether ``before`` has both
-    its parts.  Phrases whose two parts ``proposed`` has not both are left out."""
+    phrase ``keys``, ``counts``, ``first`` (a place) and ``old``, whether an earlier pass with
+    the filter ``before`` has counted it.  Phrases are left out unless each of their two
+    parts is in ``proposed`` or has not been counted by an earlier pass."""
 
     def __init__(self, block, proposed: Filter | None, before: Filter | None, keep=None):
         langs = json.loads(block["names"].tobytes())
@@ -162,18 +175,21 @@ class Phrases:
         of = of[keep]
         n, width = len(word), len(block["dictionary"])
         self.langs, self.place = langs, np.flatnonzero(keep)
-        self.lang_keys = np.array([lang_key(x) for x in langs], np.uint64)
+        self.lang_keys = sized(np.array([lang_key(x) for x in langs], np.uint64), 0)
         self.lang_counts = np.bincount(of, minlength=len(langs))
         code, first, ids, counts = np.unique(of * max(width, 1) + word, return_index=True,
                                              return_inverse=True, return_counts=True)
-        keys = mix(mix(self.lang_keys[code // max(width, 1)], 5) + block["dictionary"][code % max(width, 1)], 1) \
+        keys = sized(mix(mix(self.lang_keys[code // max(width, 1)], 5) + block["dictionary"][code % max(width, 1)], 1), 1) \
             if len(code) else np.zeros(0, np.uint64)
         self.sizes = {1: (ids, keys, counts, first, np.full(len(keys), before is not None))}
         single, words = ids, keys
         for size in range(2, LONGEST + 1):
             ids, keys, counts, first, old = self.sizes[size - 1]
             good = proposed.has(keys) if proposed else np.ones(len(keys), bool)
-            known = old & before.has(keys) if before else np.zeros(len(keys), bool)
+            known = np.zeros(len(keys), bool)
+            if before:
+                known = old & before.has(keys)
+                good |= ~old
             a, b = ids[:-1], ids[1:]
             both = (a >= 0) & (b >= 0)
             if size == 2:
@@ -186,7 +202,7 @@ class Phrases:
             here[at] = inverse
             head, tail = code // max(len(keys), 1), code % max(len(keys), 1)
             place = at[place]
-            longer = mix(keys[head] + mix(words[single[place + size - 1]], 7), 3)
+            longer = sized(mix(keys[head] + mix(words[single[place + size - 1]], 7), 3), size)
             self.sizes[size] = (here, longer, counts, place, known[head] & known[tail])
 
 
@@ -206,16 +222,21 @@ def counts_of(blocks: DataFrame, proposed: Filter | None, before: Filter | None,
                     docs = np.arange(len(block["docs"]), dtype=np.uint64) + (np.uint64(number) << np.uint64(24))
                     chosen = mix(docs, 41) % np.uint64(RATE) == 0
                 found = Phrases(block, proposed, before, chosen)
-                rows = [(keys[~old], counts[~old]) for _, keys, counts, _, old in found.sizes.values()]
+                rows = [(keys, counts, ~old) for _, keys, counts, _, old in found.sizes.values()]
                 if before is None and not sample:
-                    rows.append((found.lang_keys, found.lang_counts))
-                keys, counts = (np.concatenate(x) for x in zip(*rows))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), number)), pa.array(counts)],
-                    names=["key", "block", "n"])
+                    rows.append((found.lang_keys, found.lang_counts, np.ones(len(found.langs), bool)))
+                for keys, counts, new in rows:
+                    keys, counts = keys[new].view(np.int64), counts[new]
+                    for at in range(0, len(keys), ROWS):
+                        some = keys[at:at + ROWS]
+                        # the largest of these sums shows one of the blocks, any with like chance
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(some), pa.array(number ^ (some & BLOCK_MASK)), pa.array(counts[at:at + ROWS])],
+                            names=["key", "block", "n"])
 
     return blocks.repartition(partitions(blocks.sparkSession)).mapInArrow(count, COUNT) \
-        .groupBy("key").agg(F.sum("n").alias("n"), F.first("block").alias("block"))
+        .groupBy("key").agg(F.sum("n").alias("n"), F.max("block").alias("block")) \
+        .withColumn("block", F.col("block").bitwiseXOR(F.col("key").bitwiseAND(F.lit(BLOCK_MASK))))
 
 
 def frequent_phrases(blocks: DataFrame, least: int, folder: str) -> tuple[DataFrame, Filter]:
@@ -226,26 +247,21 @@ def frequent_phrases(blocks: DataFrame, least: int, folder: str) -> tuple[DataFr
                        "proposals", folder)
     # room for later finds
     bits = min(MAX_BITS, max(MIN_BITS, int(32 * proposals.count()).bit_length()))
-    proposed, before, parts = Filter(bits).with_keys(proposals), None, []
-    while True:
-        found = stored(counts_of(blocks, proposed, before).filter(F.col("n") >= least),
-                       f"frequent-{len(parts)}", folder)
-        parts.append(found)
-        # what was counted and is frequent, but was not proposed, may have longer ones
-        failed = found.join(proposals, "key", "left_anti").select("key")
-        larger = proposed.with_keys(failed)
-        if (larger.words == proposed.words).all():
-            break
-        proposals = proposals.union(failed)
-        proposed, before = larger, proposed
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return stored(out, "frequent", folder), proposed
+    proposed = Filter(bits).with_keys(proposals)
+    found = stored(counts_of(blocks, proposed, None).filter(F.col("n") >= least), "frequent-0", folder)
+    # of the border, what is frequent: longer phrases with these have not been counted
+    size = F.col("key").bitwiseAND(F.lit((1 << SIZE_BITS) - 1))
+    failed = found.join(proposals, "key", "left_anti").filter(size.between(1, LONGEST - 1))
+    larger = proposed.with_keys(failed)
+    if (larger.words != proposed.words).any():
+        more = counts_of(blocks, larger, proposed).filter(F.col("n") >= least)
+        found = found.union(stored(more, "frequent-1", folder))
+    return found, Filter(bits).with_keys(found)
 
 
 def spelled(frequent: DataFrame, blocks: DataFrame, proposed: Filter) -> DataFrame:
-    """The words of each frequent phrase, and the keys of the parts of each of its cuts."""
+    """The words of each frequent phrase, and the keys of the parts of each of its cuts.
+    ``proposed`` has all frequent phrases."""
     share = blocks.sparkSession.sparkContext.broadcast(proposed)
 
     def spell(key, wanted, where):
@@ -278,8 +294,10 @@ def spelled(frequent: DataFrame, blocks: DataFrame, proposed: Filter) -> DataFra
         frame["block"] = key[0]
         return frame[[c.split()[0] for c in PHRASE.split(", ")]]
 
-    return frequent.select("key", "block").groupBy("block").cogroup(blocks.groupBy("block")) \
-        .applyInPandas(spell, PHRASE)
+    # numbers of partitions of one's own: their rows are few, the work on them is not
+    parts = partitions(blocks.sparkSession)
+    return frequent.select("key", "block").repartition(parts, "block").groupBy("block").cogroup(
+        blocks.repartition(parts, "block").groupBy("block")).applyInPandas(spell, PHRASE)
 
 
 def score() -> Column:
