@@ -49,13 +49,13 @@ def stored(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def stored_by(df: DataFrame, name: str, key: str) -> DataFrame:
+def stored_by(df: DataFrame, name: str, key: str, folder: str | None = None) -> DataFrame:
     """Like ``stored``, in buckets of ``key``: later joins on it do not shuffle this side.
     The catalog's entry is dropped at once; the files stay."""
     spark = df.sparkSession
     entry = f"{name}_{uuid.uuid4().hex}".replace("-", "_")
     df.write.bucketBy(partitions(spark), key).option("compression", "zstd") \
-        .option("path", shared_folder(spark, name)).saveAsTable(entry)
+        .option("path", f"{folder}/{name}" if folder else shared_folder(spark, name)).saveAsTable(entry)
     table_ = spark.table(entry)
     spark.sql(f"DROP TABLE {entry}")
     return table_

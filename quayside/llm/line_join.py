@@ -17,8 +17,11 @@ need no further comparison.
 Defined results: NULL and empty texts have no line with a word, and such lines are
 neither kept nor removed but passed through; rows that share a doc_id are taken as one
 document, so equal lines at one place do not remove each other; NULL ids come first;
-an empty table gives no row; further columns are ignored.  Lines and tokens are told
-apart by 64-bit hashes (tokens by 58 bits while candidates are sought).
+an empty table gives no row; further columns are ignored.  The line that a removed line
+is said to repeat is similar and earlier, the earliest of those that it was compared
+with: all but lines that, like itself, already fell to the most frequent line of their
+group.  Lines and tokens are told apart by 64-bit hashes (tokens by 56 bits while
+candidates are sought).
 """
 
 from __future__ import annotations
@@ -26,13 +29,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SEPARATORS, prepare, stored, stored_by, temporary
+from .common import SEPARATORS, partitions, prepare, stored, stored_by, temporary
 from .graph import join_stored
 
 NUM, DEN = 8, 10
-#: Buckets of the table of token frequencies; a fixed number, one byte each.
-BUCKETS = 1 << 16
-HASH_BITS = 58
+#: Buckets of the table of token frequencies; a fixed number, one byte each.  With fewer
+#: buckets than different words, rare words share their bucket's frequency.
+BUCKETS, SLICE = 1 << 20, 1 << 12
+#: Pairs that are verified in one go, for each shuffle partition.
+SLICE_PAIRS = 10_000
+#: Printable sign of frequency 1; two signs further for each doubling.
+SIGN = 33
+HASH_BITS = 56
 FIRST_ID = -(1 << 63)
 
 
@@ -54,6 +62,12 @@ def with_tokens(lines: DataFrame, name: str = "h") -> DataFrame:
         F.transform(F.array_remove(cut, ""), lambda x: F.xxhash64(x))).alias(name))
 
 
+def signature(h: Column) -> Column:
+    """64 bits of which bit k is set if a token is k modulo 64."""
+    return F.aggregate(h, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(F.call_function(
+        "shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
+
+
 def first_lines(lines: DataFrame) -> DataFrame:
     """One row per different line: its hash as id, its first place and the number of copies."""
     return lines.groupBy(F.xxhash64("line").alias("id")).agg(
@@ -63,31 +77,35 @@ def first_lines(lines: DataFrame) -> DataFrame:
 
 def rarity_table(tokens: DataFrame) -> bytes:
     """Per bucket of tokens, one byte: the number of times its tokens occur, as a power
-    of two.  At most BUCKETS rows reach the driver."""
-    counts = tokens.select(F.explode_outer("h").alias("x")) \
+    of the root of two.  The signs of a slice of buckets are joined on the executors."""
+    counts = tokens.select(F.explode_outer("h").alias("x")).filter("x IS NOT NULL") \
         .groupBy(F.pmod("x", F.lit(BUCKETS)).cast("int").alias("b")) \
-        .agg(F.floor(F.log2(F.count(F.lit(1)))).cast("int").alias("level")).collect()
-    table = bytearray(BUCKETS)
-    for r in counts:
-        table[r["b"]] = min(r["level"], 31)
+        .agg(F.floor(2 * F.log2(F.count(F.lit(1)))).cast("int").alias("level"))
+    used = counts.groupBy(F.floor(F.col("b") / SLICE).alias("s")).agg(
+        F.sort_array(F.collect_list(F.struct((F.col("b") % SLICE).alias("p"), "level"))).alias("x"))
+    gap = lambda i, v: v["p"] - F.when(i > 0, F.get("x", i - 1)["p"]).otherwise(-1) - 1
+    signs = F.array_join(F.transform("x", lambda v, i: F.concat(
+        F.repeat(F.lit(chr(SIGN)), gap(i, v)), F.char(v["level"] + SIGN))), "")
+    table = bytearray([SIGN]) * BUCKETS
+    for r in used.select("s", signs.alias("signs")).collect():
+        at = r["s"] * SLICE
+        table[at:at + len(r["signs"])] = r["signs"].encode("ascii")
     return bytes(table)
 
 
 def rarest(tokens: DataFrame, table: bytes) -> DataFrame:
-    """Number of tokens, a 64-bit signature (bit k is set if a token is k modulo 64), and
-    the rarest tokens in order: as many as a similar line must share one of."""
+    """Number of tokens, the signature, and the rarest tokens in order: as many as a similar
+    line must share one of."""
     def rank(x: Column) -> Column:
         # one number: frequency level, then hash
         bucket = F.pmod(x, F.lit(BUCKETS)).cast("int") + 1
-        level = F.ascii(F.substring(F.lit(bytearray(table)), bucket, F.lit(1)).cast("string"))
+        level = F.ascii(F.substring(F.lit(bytearray(table)), bucket, F.lit(1)).cast("string")) - SIGN
         return F.shiftleft(level.cast("long"), HASH_BITS).bitwiseOR(
             x.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
 
     n = F.size("h")
     prefix = n - F.ceil(n * NUM / DEN).cast("int") + 1
-    bits = F.aggregate("h", F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(F.call_function(
-        "shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
-    return tokens.select("id", n.alias("n"), bits.alias("bits"),
+    return tokens.select("id", n.alias("n"), "bits",
                          F.slice(F.sort_array(F.transform("h", rank)), F.lit(1), prefix).alias("rare"))
 
 
@@ -110,29 +128,31 @@ def earlier(x: str, y: str) -> Column:
 
 
 def central_pairs(tokens: DataFrame) -> DataFrame:
-    """(a, b): each line b with the most frequent line a of its group, if a is earlier.
-    Lines with the same smallest or the same largest token are a group."""
-    groups = tokens.select("id", "doc", "line_no", "copies", F.size("h").alias("n"),
+    """(a, b): each line b with the most frequent line a of its group, if a is earlier and
+    their sizes and signatures are close.  Lines with the same smallest or the same largest
+    token are a group."""
+    groups = tokens.select("id", "doc", "line_no", "copies", F.size("h").alias("n"), "bits",
                            F.explode(F.array(F.array_min("h"), F.array_max("h"))).alias("g"))
     centre = groups.groupBy("g").agg(
         F.count(F.lit(1)).alias("size"), F.max(F.struct(
-            "copies", F.bitwise_not("doc").alias("x"), "id", "doc", "line_no", "n")).alias("c")) \
-        .filter("size > 1").select("g", F.struct("c.id", "c.doc", "c.line_no", "c.n").alias("x"))
-    met = join_stored(groups.select("g", F.struct("id", "doc", "line_no", "n").alias("y")), centre, "g")
-    return met.filter((F.col("x.id") != F.col("y.id")) & earlier("x", "y") & close_sizes("x", "y")) \
+            "copies", F.bitwise_not("doc").alias("x"), "id", "doc", "line_no", "n", "bits")).alias("c")) \
+        .filter("size > 1").select("g", F.struct("c.id", "c.doc", "c.line_no", "c.n", "c.bits").alias("x"))
+    met = join_stored(groups.select("g", F.struct("id", "doc", "line_no", "n", "bits").alias("y")), centre, "g")
+    return met.filter((F.col("x.id") != F.col("y.id")) & earlier("x", "y") & close_sizes("x", "y")
+                      & enough_in_common("x", "y")) \
         .select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
 def prefix_pairs(rare: DataFrame, gone: DataFrame) -> DataFrame:
-    """(a, b) of all pairs that pass the filters and that are not both known to go.  The
-    shorter line of a pair needs fewer of its tokens to meet the longer one."""
-    n = F.col("n")
-    short = n - F.ceil(2 * NUM * n / (NUM + DEN)).cast("int") + 1
+    """(a, b) of all pairs that pass the filters and that are not both known to go.  Both
+    sides of the join are the same rows, dealt once.  A word of one line only (level 0)
+    meets nothing and is left out."""
     marked = rare.join(
         gone.select("id", F.lit(True).alias("gone")).hint("shuffle_hash"), "id", "left")
     tokens = marked.select("id", "n", "bits", F.coalesce("gone", F.lit(False)).alias("gone"),
-                           F.posexplode("rare").alias("place", "token"))
-    x, y = tokens.filter(F.col("place") < short).hint("shuffle_hash").alias("x"), tokens.alias("y")
+                           F.posexplode("rare").alias("place", "token")) \
+        .filter(F.col("token") >= 1 << HASH_BITS)
+    x, y = tokens.hint("shuffle_hash").alias("x"), tokens.alias("y")
     after = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
     return x.join(y, (F.col("x.token") == F.col("y.token"))
                   & ((F.col("x.n") < F.col("y.n"))
@@ -145,13 +165,22 @@ def prefix_pairs(rare: DataFrame, gone: DataFrame) -> DataFrame:
 
 def verified(pairs: DataFrame, first: DataFrame) -> DataFrame:
     """Pairs whose token sets are similar enough, as (id, of): the line that goes and the
-    place of the earlier one."""
-    with temporary(first.sparkSession, "line-verification") as folder:
+    place of the earlier one.  A pair carries one line's tokens to the other's, so pairs
+    are taken in slices of bounded size and each slice's shuffle files go before the next."""
+    spark = first.sparkSession
+    with temporary(spark, "line-verification") as folder:
         pairs = stored(pairs, "pairs", folder)
         # the needed lines are few: hashing them saves sorting the texts of all
         needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        sets = stored(with_tokens(first.join(needed.hint("shuffle_hash"), "id").select("id", "doc", "line_no", "line")), "sets", folder)
-        return stored(similar(pairs, sets), "lines-gone")
+        sets = stored_by(with_tokens(first.join(needed.hint("shuffle_hash"), "id")
+                                     .select("id", "doc", "line_no", "line")), "sets", "id", folder)
+        slices = max(1, -(-pairs.count() // (SLICE_PAIRS * partitions(spark))))
+        number = F.pmod(F.xxhash64("a", "b"), F.lit(slices))
+        found = [stored(similar(pairs.filter(number == k), sets), f"similar-{k}", folder) for k in range(slices)]
+        every = found[0]
+        for part in found[1:]:
+            every = every.union(part)
+        return stored(every.groupBy("id").agg(F.min("of").alias("of")), "lines-gone")
 
 
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -177,7 +206,7 @@ def similar_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"):
     lines = lines_of(docs, doc_id, text)
     first = stored_by(first_lines(lines), "first-lines", "id")
     with temporary(docs.sparkSession, "line-tokens") as folder:
-        tokens = stored(with_tokens(first), "tokens", folder)
+        tokens = stored(with_tokens(first).withColumn("bits", signature(F.col("h"))), "tokens", folder)
         rare = stored_by(rarest(tokens, rarity_table(tokens)), "rare-tokens", "id")
         gone = verified(central_pairs(tokens), first)
     more = verified(prefix_pairs(rare, gone), first)
