@@ -6,12 +6,12 @@ with it.  Equal lines are reduced to their first occurrence.  The tokens of each
 ordered from rare to frequent, and only its first few, of which any similar line must
 share one, take part in a self-join on the token.  The join keeps a pair if the sizes are
 close enough (length filter), if enough tokens can follow the shared one in both
-orders (positional filter), and if the lines' 64-bit signatures leave enough in common;
+orders (positional filter), and if the lines' two 64-bit signatures leave enough in common;
 pairs that remain are verified on all their tokens.
 
 A line that thousands of lines resemble would still meet all of them.  So each line is
-first compared with two lines only, the most frequent among those that agree in the
-smallest or in the largest token; pairs of lines that are both known to go after that
+first compared with four lines only, the most frequent among those that agree in the
+smallest or in the largest token of two orders; pairs of lines that are both known to go after that
 need no further comparison.
 
 Defined results: NULL and empty texts have no line with a word, and such lines are
@@ -41,6 +41,8 @@ SLICE_PAIRS = 10_000
 #: Printable sign of frequency 1; two signs further for each doubling.
 SIGN = 33
 HASH_BITS = 56
+#: Turns the order of tokens into another one.
+OTHER_ORDER = 0x2545F4914F6CDD1D
 FIRST_ID = -(1 << 63)
 
 
@@ -62,10 +64,15 @@ def with_tokens(lines: DataFrame, name: str = "h") -> DataFrame:
         F.transform(F.array_remove(cut, ""), lambda x: F.xxhash64(x))).alias(name))
 
 
-def signature(h: Column) -> Column:
-    """64 bits of which bit k is set if a token is k modulo 64."""
+def signature(h: Column, shift: int) -> Column:
+    """64 bits of which bit k is set if a token, without its ``shift`` low bits, is k modulo 64."""
     return F.aggregate(h, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(F.call_function(
-        "shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
+        "shiftleft", F.lit(1).cast("long"), F.shiftright(x, shift).bitwiseAND(F.lit(63)).cast("int"))))
+
+
+def signed(tokens: DataFrame) -> DataFrame:
+    """Add two signatures, ``bits`` and ``more``."""
+    return tokens.withColumns({"bits": signature(F.col("h"), 0), "more": signature(F.col("h"), 6)})
 
 
 def first_lines(lines: DataFrame) -> DataFrame:
@@ -105,7 +112,7 @@ def rarest(tokens: DataFrame, table: bytes) -> DataFrame:
 
     n = F.size("h")
     prefix = n - F.ceil(n * NUM / DEN).cast("int") + 1
-    return tokens.select("id", n.alias("n"), "bits",
+    return tokens.select("id", n.alias("n"), "bits", "more",
                          F.slice(F.sort_array(F.transform("h", rank)), F.lit(1), prefix).alias("rare"))
 
 
@@ -116,10 +123,10 @@ def close_sizes(x: str, y: str) -> Column:
 
 def enough_in_common(x: str, y: str) -> Column:
     """A bit of x that y lacks stands for at least one token that y lacks."""
-    nx, ny, bx, by = (F.col(f"{side}.{c}") for c in ("n", "bits") for side in (x, y))
-    most = F.least(nx - F.bit_count(bx.bitwiseAND(F.bitwise_not(by))),
-                   ny - F.bit_count(by.bitwiseAND(F.bitwise_not(bx))))
-    return (NUM + DEN) * most >= NUM * (nx + ny)
+    nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
+    lacks = [nx - F.bit_count(F.col(f"{x}.{c}").bitwiseAND(F.bitwise_not(f"{y}.{c}"))) for c in ("bits", "more")]
+    lacks += [ny - F.bit_count(F.col(f"{y}.{c}").bitwiseAND(F.bitwise_not(f"{x}.{c}"))) for c in ("bits", "more")]
+    return (NUM + DEN) * F.least(*lacks) >= NUM * (nx + ny)
 
 
 def earlier(x: str, y: str) -> Column:
@@ -130,14 +137,17 @@ def earlier(x: str, y: str) -> Column:
 def central_pairs(tokens: DataFrame) -> DataFrame:
     """(a, b): each line b with the most frequent line a of its group, if a is earlier and
     their sizes and signatures are close.  Lines with the same smallest or the same largest
-    token are a group."""
-    groups = tokens.select("id", "doc", "line_no", "copies", F.size("h").alias("n"), "bits",
-                           F.explode(F.array(F.array_min("h"), F.array_max("h"))).alias("g"))
+    token are a group, in each of two orders of the tokens: few variants of a line differ
+    from it in all four."""
+    other = F.transform("h", lambda x: x.bitwiseXOR(F.lit(OTHER_ORDER)))
+    groups = tokens.withColumn("o", other).select(
+        "id", "doc", "line_no", "copies", F.size("h").alias("n"), "bits", "more", F.explode(F.array(
+            F.array_min("h"), F.array_max("h"), F.array_min("o"), F.array_max("o"))).alias("g"))
     centre = groups.groupBy("g").agg(
         F.count(F.lit(1)).alias("size"), F.max(F.struct(
-            "copies", F.bitwise_not("doc").alias("x"), "id", "doc", "line_no", "n", "bits")).alias("c")) \
-        .filter("size > 1").select("g", F.struct("c.id", "c.doc", "c.line_no", "c.n", "c.bits").alias("x"))
-    met = join_stored(groups.select("g", F.struct("id", "doc", "line_no", "n", "bits").alias("y")), centre, "g")
+            "copies", F.bitwise_not("doc").alias("x"), "id", "doc", "line_no", "n", "bits", "more")).alias("c")) \
+        .filter("size > 1").select("g", F.struct("c.id", "c.doc", "c.line_no", "c.n", "c.bits", "c.more").alias("x"))
+    met = join_stored(groups.select("g", F.struct("id", "doc", "line_no", "n", "bits", "more").alias("y")), centre, "g")
     return met.filter((F.col("x.id") != F.col("y.id")) & earlier("x", "y") & close_sizes("x", "y")
                       & enough_in_common("x", "y")) \
         .select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
@@ -149,7 +159,7 @@ def prefix_pairs(rare: DataFrame, gone: DataFrame) -> DataFrame:
     meets nothing and is left out."""
     marked = rare.join(
         gone.select("id", F.lit(True).alias("gone")).hint("shuffle_hash"), "id", "left")
-    tokens = marked.select("id", "n", "bits", F.coalesce("gone", F.lit(False)).alias("gone"),
+    tokens = marked.select("id", "n", "bits", "more", F.coalesce("gone", F.lit(False)).alias("gone"),
                            F.posexplode("rare").alias("place", "token")) \
         .filter(F.col("token") >= 1 << HASH_BITS)
     x, y = tokens.hint("shuffle_hash").alias("x"), tokens.alias("y")
@@ -206,7 +216,7 @@ def similar_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"):
     lines = lines_of(docs, doc_id, text)
     first = stored_by(first_lines(lines), "first-lines", "id")
     with temporary(docs.sparkSession, "line-tokens") as folder:
-        tokens = stored(with_tokens(first).withColumn("bits", signature(F.col("h"))), "tokens", folder)
+        tokens = stored(signed(with_tokens(first)), "tokens", folder)
         rare = stored_by(rarest(tokens, rarity_table(tokens)), "rare-tokens", "id")
         gone = verified(central_pairs(tokens), first)
     more = verified(prefix_pairs(rare, gone), first)
