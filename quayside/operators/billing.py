@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.adapters import usd
-from .joins import MICROS_PER_DAY, band_join
+from .joins import MICROS_PER_DAY, band_join, epoch_micros, first_in_window
 
 # Fixed values of the scan rules (reference semantics):
 #   rate deviation when |billed - rate| > greatest(50 USD, 15 % of rate), strict;
@@ -136,14 +136,64 @@ def anomaly_union(billing: DataFrame, tariffs: DataFrame, filed: DataFrame | Non
         "terminal_id", "tariff_code", "customer_name")
 
 
+def findings(billing: DataFrame, tariffs: DataFrame, filed: DataFrame | None,
+             abs_floor_cents: int = ABS_FLOOR_CENTS, rel_pct: int = REL_PCT,
+             within_days: int = DUP_WINDOW_DAYS) -> DataFrame:
+    """The anomalies of both arms, each once: as ``anomalies_wide``, but a duplicate is one
+    row however many earlier twins it has (``twin`` is the smallest), and no pairs are
+    built: an invoice has an earlier twin if the smallest id of its key inside the time
+    window is smaller than its own."""
+    width = within_days * MICROS_PER_DAY
+    new = not_filed(billing.filter(~F.col("dispute_flag")), filed).select(
+        *DUP_KEYS, "invoice_id", "amount_cents", "customer_name", "created_ts")
+    rated = new.join(tariffs.select("terminal_id", "tariff_code", "rate_cents"),
+                     ["terminal_id", "tariff_code"], "left").withColumn("_at", epoch_micros(F.col("created_ts")))
+    firsts = first_in_window(billing, DUP_KEYS, "created_ts", "invoice_id", width)
+    # few instants have a twin that comes first: what is left of them is small
+    met = rated.join(firsts, [*DUP_KEYS, "_at"], "left")
+    arm = "struct<anomaly_type:string,expected_cents:bigint,variance_cents:bigint,twin:" \
+        + dict(billing.dtypes)["invoice_id"] + ">"
+    off = F.abs(F.col("amount_cents") - F.col("rate_cents"))
+    none = F.lit(None).cast(dict(billing.dtypes)["invoice_id"])
+    rate = F.struct(F.lit("rate_deviation"), F.col("rate_cents").cast("bigint"), off.cast("bigint"), none).cast(arm)
+    dup = F.struct(F.lit("duplicate_charge"), F.lit(0).cast("bigint"), F.col("amount_cents").cast("bigint"),
+                   F.col("_first")).cast(arm)
+    arms = F.array_compact(F.array(
+        F.when(deviation_condition(abs_floor_cents=abs_floor_cents, rel_pct=rel_pct), rate),
+        F.when(F.col("_first") < F.col("invoice_id"), dup)))
+    keep = [*DUP_KEYS, "invoice_id", "amount_cents", "rate_cents", "customer_name", "created_ts"]
+    return met.select(*keep, F.explode(arms).alias("a")).select(*keep, "a.*")
+
+
 def billing_anomaly_scan(billing: DataFrame, tariffs: DataFrame, filed: DataFrame,
-                         limit: int = SCAN_LIMIT, **kw) -> DataFrame:
-    """D3: both arms, ranked by variance.  The reference orders by variance
-    only; invoice id and type make the top-k total and deterministic.  Plans as
-    TakeOrderedAndProject (per-partition top-k, then a k x partitions merge)."""
-    u = anomaly_union(billing, tariffs, filed, **kw)
-    return u.orderBy(F.desc("variance_usd"), F.asc("invoice_id"),
-                     F.asc("anomaly_type")).limit(limit)
+                         limit: int = SCAN_LIMIT, within_days: int = DUP_WINDOW_DAYS, **kw) -> DataFrame:
+    """D3: both arms, ranked by variance, one row per deviation and per earlier twin of a
+    duplicate.  The reference orders by variance only; invoice id and type make the top-k
+    total and deterministic.  Rows of one duplicate are equal, so the first ``limit``
+    findings hold all that can be shown: earlier twins are counted for these alone, and
+    each duplicate is repeated as often, at most ``limit`` times.  No pairs are built."""
+    order = [F.desc("variance_cents"), F.asc("invoice_id"), F.asc("anomaly_type")]
+    top = findings(billing, tariffs, filed, within_days=within_days, **kw).orderBy(*order).limit(limit)
+    # at most ``limit`` rows meet the fact: their own invoice, and the earlier twins
+    shown = ["invoice_id", "anomaly_type", "amount_cents", "expected_cents", "variance_cents",
+             "terminal_id", "tariff_code", "customer_name"]
+    fact = billing.select(*[F.col(k).alias(f"_k_{k}") for k in DUP_KEYS],
+                          F.col("invoice_id").alias("_id"), F.col("created_ts").alias("_ts"))
+    same_key = F.lit(True)
+    for k in DUP_KEYS:
+        same_key = same_key & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    apart = F.abs(epoch_micros(F.col("created_ts")) - epoch_micros(F.col("_ts")))
+    is_twin = (F.col("_id") < F.col("invoice_id")) & (apart < within_days * MICROS_PER_DAY)
+    counted = fact.join(F.broadcast(top), same_key & (is_twin | (F.col("_id") == F.col("invoice_id")))) \
+        .groupBy(*shown).agg(F.count_if(is_twin).alias("_twins"))
+    times = F.when(F.col("anomaly_type") == "duplicate_charge",
+                   F.least(F.col("_twins"), F.lit(limit))).otherwise(1).cast("int")
+    rows = counted.select(
+        "invoice_id", "anomaly_type", usd("amount_cents").alias("billed_usd"),
+        usd("expected_cents").alias("expected_usd"), usd("variance_cents").alias("variance_usd"),
+        "terminal_id", "tariff_code", "customer_name",
+        F.explode(F.array_repeat(F.lit(True), times)).alias("_once")).drop("_once")
+    return rows.orderBy(F.desc("variance_usd"), F.asc("invoice_id"), F.asc("anomaly_type")).limit(limit)
 
 
 def earliest_twin(billing: DataFrame, carry: list[str] | None = None) -> DataFrame:
@@ -170,7 +220,7 @@ def diagnose(anomalies: DataFrame, billing: DataFrame, tariffs: DataFrame,
     action sentence follows the sign.  Rows with no tariff keep a NULL
     expected amount and are flagged ``rejected_reason`` (the reference's
     NOT NULL insert would fail on them).  ``keep`` columns of ``anomalies``
-    are passed through; anomalies that carry keys, amount and rate (``anomalies_wide``)
+    are passed through; anomalies that carry keys, amount and rate (``findings``)
     are not looked up in the fact again."""
     keep = keep or []
     facts = [*DUP_KEYS, "amount_cents", "rate_cents"]

@@ -174,7 +174,7 @@ def scan_with_status(t):
 
 def diagnosis_prompts(t):
     be, tr, filed = _base(t)
-    d = B.diagnose(B.anomalies_wide(be, tr, filed), be, tr)
+    d = B.diagnose(B.findings(be, tr, filed), be, tr)
     prompt = F.concat_ws(
         "\n", F.lit("Review this invoice anomaly."),
         F.concat(F.lit("Invoice: "), F.col("invoice_id").cast("string")),

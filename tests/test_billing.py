@@ -157,3 +157,55 @@ def test_band_join_matches_plain_join(spark, tables):
     ).select("first_invoice_id", "invoice_id")
     assert sorted(band.collect()) == sorted(plain.collect())
     assert band.count() > 0
+
+
+def _random_billing(spark, seed, n=300):
+    """Few keys, instants on and around the bounds of bands and of the window, repeated
+    instants, NULL keys and times, times before 1970."""
+    import random
+    rng = random.Random(seed)
+    base = dt.datetime(1969, 12, 20)
+    rows = []
+    for i in range(n):
+        step = dt.timedelta(days=rng.choice([0, 7, 14, 14, 28, rng.randrange(60)]),
+                            microseconds=rng.choice([0, 0, -1, 1, rng.randrange(10 ** 9)]))
+        rows.append((f"I{i:03}", rng.choice(["T", "T", "U", None]), rng.choice(["C", "D"]), "m", "X",
+                     rng.choice([100, 90_000, 50_000]), "n", "e", rng.random() < 0.2,
+                     rng.choice([base + step] * 9 + [None])))
+    rng.shuffle(rows)
+    return rows, spark.createDataFrame(rows, SCHEMA)
+
+
+def _near_earlier(rows, r, days=14):
+    return [x[0] for x in rows if None not in (*r[1:5], r[9], *x[1:5], x[9]) and x[1:5] == r[1:5]
+            and x[0] < r[0] and abs(x[9] - r[9]) < dt.timedelta(days=days)]
+
+
+@pytest.mark.parametrize("seed_no", [1, 2, 3])
+def test_findings_by_brute_force(spark, seed_no):
+    rows, billing = _random_billing(spark, seed_no)
+    tariffs = spark.createDataFrame([("T", "X", 40_000)], "terminal_id string, tariff_code string, rate_cents long")
+    filed = spark.createDataFrame([("I007",), ("I100",)], "invoice_id string")
+    expected, listed = set(), []
+    for r in rows:
+        if r[8] or r[0] in ("I007", "I100"):
+            continue
+        twins = _near_earlier(rows, r)
+        if twins:
+            expected.add((r[0], "duplicate_charge", min(twins)))
+            listed += [(-r[5] / 100, r[0], "duplicate_charge")] * len(twins)
+        if r[1] == "T" and abs(r[5] - 40_000) > 6000:
+            expected.add((r[0], "rate_deviation", None))
+            listed.append((-abs(r[5] - 40_000) / 100, r[0], "rate_deviation"))
+    found = B.findings(billing, tariffs, filed).select("invoice_id", "anomaly_type", "twin").collect()
+    assert len(found) == len(expected) and {tuple(r) for r in found} == expected
+    for limit in (1, 10, 60):
+        top = B.billing_anomaly_scan(billing, tariffs, filed, limit=limit).collect()
+        assert [(-r.variance_usd, r.invoice_id, r.anomaly_type) for r in top] == sorted(listed)[:limit]
+
+
+def test_findings_of_nothing(spark):
+    billing = spark.createDataFrame([], SCHEMA)
+    tariffs = spark.createDataFrame([], "terminal_id string, tariff_code string, rate_cents long")
+    assert B.findings(billing, tariffs, None).collect() == []
+    assert B.billing_anomaly_scan(billing, tariffs, None).collect() == []

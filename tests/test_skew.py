@@ -71,3 +71,31 @@ def test_key_dense_in_one_band(spark):
     got = {r.anomaly_type: r.n for r in B.anomaly_union(be, tariffs, None).groupBy("anomaly_type")
            .agg({"*": "count"}).withColumnRenamed("count(1)", "n").collect()}
     assert got == {"duplicate_charge": n * (n - 1) // 2, "rate_deviation": n}
+
+
+def dense(spark, n):
+    """One key with ``n`` charges of one day, each at an instant of its own, ids in no order of time."""
+    return spark.range(n).select(
+        F.col("id").alias("invoice_id"), F.lit("T").alias("terminal_id"), F.lit("HOT").alias("container_id"),
+        F.lit("load").alias("move_type"), F.lit("STD").alias("tariff_code"),
+        (F.lit(100_000) + F.col("id")).alias("amount_cents"), F.lit("c").alias("customer_name"),
+        F.lit(False).alias("dispute_flag"),
+        F.timestamp_micros(F.lit(1_767_225_600_000_000) + (F.col("id") * 7919 % n) * 800_000)
+        .cast("timestamp_ntz").alias("created_ts"))
+
+
+def test_a_hundred_thousand_twins_of_one_day(spark):
+    """Five billion pairs that are never built: the scan and the diagnosis finish."""
+    n = 100_000
+    be = dense(spark, n)
+    tariffs = spark.createDataFrame([("T", "STD", 20_000)], "terminal_id string, tariff_code string, rate_cents long")
+    filed = spark.createDataFrame([], "invoice_id long")
+    found = B.findings(be, tariffs, None)
+    assert {r["anomaly_type"]: r["count"] for r in found.groupBy("anomaly_type").count().collect()} == {
+        "duplicate_charge": n - 1, "rate_deviation": n}
+    # the dearest invoice has 99,999 earlier twins: its row fills the list
+    top = B.billing_anomaly_scan(be, tariffs, filed).collect()
+    assert [(r.invoice_id, r.anomaly_type) for r in top] == [(n - 1, "duplicate_charge")] * 10
+    diagnosed = B.diagnose(found, be, tariffs).groupBy("anomaly_type", "twin_invoice_id").count().collect()
+    assert {(r.anomaly_type, r.twin_invoice_id, r["count"]) for r in diagnosed} == {
+        ("duplicate_charge", 0, 2 * (n - 1)), ("rate_deviation", None, 1)}
