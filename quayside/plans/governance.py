@@ -189,6 +189,14 @@ FORMS = ["SELECT * FROM invoices WHERE id = #", "WITH b AS (SELECT # AS n)\nSELE
          "create unique index u_# on moves (id);", "EXPLAIN SELECT #", "  no statement for #  "]
 
 
+def raw_statements(t):
+    """(id, raw): one statement of some form per order."""
+    forms = F.array(*[F.lit(f) for f in FORMS])
+    key = F.col("o_orderkey")
+    return t.orders.select(key.alias("id"), F.replace(
+        F.element_at(forms, (key % len(FORMS)).cast("int") + 1), F.lit("#"), key.cast("string")).alias("raw"))
+
+
 @query("statement_checks", rf"""
 WITH s AS (SELECT o_orderkey AS id, replace([{', '.join("'" + f.replace(chr(10), "' || chr(10) || '") + "'" for f in FORMS)}]
              [1 + CAST(o_orderkey % {len(FORMS)} AS INTEGER)], '#', CAST(o_orderkey AS VARCHAR)) AS raw FROM orders),
@@ -203,10 +211,7 @@ FROM d""")
 def statement_checks(t):
     """Cleaning, guard and DDL extraction over statements of
     every form (fenced, stacked, read-only, DDL, none)."""
-    forms = F.array(*[F.lit(f) for f in FORMS])
-    key = F.col("o_orderkey")
-    s = t.orders.select(key.alias("id"), F.replace(
-        F.element_at(forms, (key % len(FORMS)).cast("int") + 1), F.lit("#"), key.cast("string")).alias("raw"))
+    s = raw_statements(t)
     ddl = X.extract_ddl("raw")
     return s.select("id", X.clean_sql("raw").alias("clean"), X.is_safe_select(X.clean_sql("raw")).alias("is_safe"),
                     X.pg_substring("raw", X.DDL_EXTRACT).isNotNull().alias("has_ddl"), ddl.alias("ddl"),

@@ -37,7 +37,7 @@ def set_oracle(name: str, oracle: str) -> None:
 
 
 def load_all() -> dict[str, Query]:
-    from . import (billing, documents, governance, ledger, operations,  # noqa: F401
+    from . import (billing, callable, documents, governance, ledger, operations,  # noqa: F401
                    quality, relational, retrieval, watchlist)
     return REGISTRY
 
