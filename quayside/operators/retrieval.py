@@ -6,8 +6,8 @@
   ``model=`` (any pandas UDF from text to vector) instead.
 * ``topk``: exact cosine top-k per query.  The query vectors are stored as tiles of
   bounded size; each task scores blocks of its corpus rows against one tile at a time
-  (Arrow batches via ``mapInPandas``) and passes on k rows per query and block, never
-  query x corpus pairs.  The path is the same for any number of queries.
+  (Arrow batches via ``mapInPandas``), keeps a running list of the k best rows per query and
+  passes on that, never query x corpus pairs.  The path is the same for any number of queries.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ BLOCK_ROWS = 4096                       # corpus rows scored at once
 #: a residual's code on either side of zero, and queries that set the number of probes.
 MAX_CELLS, SAMPLE_PER_CELL, KMEANS_ROUNDS, LEVELS, SAMPLE_QUERIES = 4096, 50, 10, 127, 200
 HELD_TILES = 16                         # tiles that a task keeps in memory
+HELD_BYTES = 64 << 20                   # corpus vectors that a task scores against every tile at once
+HELD_ROWS = 1 << 21                     # rows in a task's running lists before they are passed on
 # The answer-prompt instruction; retrieved texts are joined
 # with a line holding "---" (see ``rag_prompts``).
 RAG_INSTRUCTION = ("Answer the question using only the context below. If the context does not "
@@ -109,39 +111,76 @@ def _read_tile(path: str):
     return ids, fam, (m[keep] / norm[keep, None] if len(m) else m)
 
 
+def _blocks(batches: Iterator[pd.DataFrame]):
+    """Lists of corpus blocks (unit vectors, ids, families; ordered by id), each list of at most
+    about HELD_BYTES of vectors; NULL and zero vectors are left out."""
+    held, size = [], 0
+    for pdf in batches:
+        pdf = pdf[pdf["v"].notna()]
+        for at in range(0, len(pdf), BLOCK_ROWS):
+            part = pdf.iloc[at:at + BLOCK_ROWS]
+            m = np.vstack(part["v"].to_numpy()).astype(np.float64)
+            norm = np.linalg.norm(m, axis=1)
+            part, m = part[norm > 0], m[norm > 0] / norm[norm > 0, None]
+            if not len(part):
+                continue
+            by_id = np.argsort(part["id"].to_numpy(), kind="stable")
+            held.append((m[by_id], part["id"].to_numpy()[by_id], part["family"].to_numpy()[by_id]))
+            size += m.nbytes
+            if size >= HELD_BYTES:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def _merged(best: tuple | None, ids: np.ndarray, sims: np.ndarray, k: int) -> tuple:
+    """The k best (ids, sims) of a running list and of new rows, per query: by similarity,
+    then by id."""
+    if best is not None:
+        ids, sims = np.concatenate([best[0], ids], axis=1), np.concatenate([best[1], sims], axis=1)
+    by_id = np.argsort(ids, axis=1, kind="stable")
+    sims = np.take_along_axis(sims, by_id, 1)
+    first = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+    return np.take_along_axis(np.take_along_axis(ids, by_id, 1), first, 1), np.take_along_axis(sims, first, 1)
+
+
 def _partial_topk(tiles: list[str], k: int, min_sim: float | None):
-    """Per task: score blocks of corpus rows against one tile of queries at a time, and
-    pass on the k best rows of each block per query (ties at the k-th place by id)."""
+    """Per task: score corpus blocks against one tile of queries at a time, and keep a running
+    list of the k best rows per query (ties at the k-th place by id) over all blocks.  A
+    task passes on k rows per query; lists of more than HELD_ROWS rows together are passed
+    on early, so memory is bounded for any number of queries."""
+
+    def rows_of(lists: dict[str, tuple], ids_of: dict[str, np.ndarray]) -> Iterator[pd.DataFrame]:
+        for path, (ids, sims) in lists.items():
+            row, col = np.nonzero(sims > -np.inf if min_sim is None else sims >= min_sim)
+            if len(row):
+                yield pd.DataFrame({"query_id": ids_of[path][row], "id": ids[row, col], "sim": sims[row, col]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         loaded: dict[str, tuple] = {}
-        for pdf in batches:
-            pdf = pdf[pdf["v"].notna()]
-            for at in range(0, len(pdf), BLOCK_ROWS):
-                part = pdf.iloc[at:at + BLOCK_ROWS]
-                m = np.vstack(part["v"].to_numpy()).astype(np.float64)
-                norm = np.linalg.norm(m, axis=1)
-                part, m = part[norm > 0], m[norm > 0] / norm[norm > 0, None]
-                by_id = np.argsort(part["id"].to_numpy(), kind="stable")
-                m, ids, family = m[by_id], part["id"].to_numpy()[by_id], part["family"].to_numpy()[by_id]
-                for path in tiles:
-                    if path not in loaded:
-                        if len(loaded) >= HELD_TILES:
-                            loaded.clear()
-                        loaded[path] = _read_tile(path)
-                    q_ids, q_family, q = loaded[path]
-                    if not len(ids) or set(family).isdisjoint(q_family):
+        lists: dict[str, tuple] = {}
+        ids_of: dict[str, np.ndarray] = {}
+        for blocks in _blocks(batches):
+            for path in tiles:
+                if path not in loaded:
+                    if len(loaded) >= HELD_TILES:
+                        loaded.clear()
+                    loaded[path] = _read_tile(path)
+                q_ids, q_family, q = loaded[path]
+                for m, ids, family in blocks:
+                    if set(family).isdisjoint(q_family):
                         continue
                     # rounded to 12 places so that equal vectors tie exactly
                     sims = np.round(q @ m.T, 12)
                     sims[q_family[:, None] != family[None, :]] = -np.inf
                     best = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-                    value = np.take_along_axis(sims, best, 1)
-                    keep = value > -np.inf if min_sim is None else value >= min_sim
-                    row, col = np.nonzero(keep)
-                    if len(row):
-                        yield pd.DataFrame({"query_id": q_ids[row], "id": ids[best[row, col]],
-                                            "sim": value[row, col]})
+                    lists[path] = _merged(lists.get(path), ids[best], np.take_along_axis(sims, best, 1), k)
+                    ids_of[path] = q_ids
+                if sum(x[1].size for x in lists.values()) > HELD_ROWS:
+                    yield from rows_of(lists, ids_of)
+                    lists, ids_of = {}, {}
+        yield from rows_of(lists, ids_of)
     return run
 
 
@@ -153,7 +192,7 @@ def topk(corpus: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "id",
     column of the corpus and one of the queries that must be equal.
 
     One path for any number of queries: they are stored as tiles, every task scores its
-    corpus rows tile by tile, and k rows per query and block go to the final ranking."""
+    corpus rows tile by tile, and k rows per query and task go to the final ranking."""
     id_type = dict(corpus.dtypes)[id_col]
     qid_type = dict(queries.dtypes)[qid_col]
     tiles = query_tiles(queries, qid_col, qvec_col, family[1] if family else None)

@@ -80,6 +80,37 @@ def test_topk_with_many_tiles_and_families(spark, tables, monkeypatch):
             assert [got[r.id, k] for k in (1, 2, 3)] == [rows[j].id for j in order]
 
 
+@pytest.mark.parametrize("held_rows,held_bytes", [(1 << 21, 1), (1 << 21, 1 << 26), (10, 1 << 12)])
+def test_running_lists_pass_on_k_rows_per_query_and_task(monkeypatch, held_rows, held_bytes):
+    """One task over many blocks with ties, repeated ids, NULL and zero vectors: k rows per
+    query leave it, unless its lists are passed on early, and the best k are among them."""
+    import pandas as pd
+    monkeypatch.setattr(RT, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(RT, "HELD_ROWS", held_rows)
+    monkeypatch.setattr(RT, "HELD_BYTES", held_bytes)
+    rng = np.random.default_rng(3)
+    vectors = rng.integers(-1, 2, (300, 3)).astype(float)          # few directions: many ties
+    ids = np.array([f"v{i}" for i in rng.permutation(300)], dtype=object)
+    q = rng.integers(-1, 2, (9, 3)).astype(float)
+    q = q[np.linalg.norm(q, axis=1) > 0]
+    unit = q / np.linalg.norm(q, axis=1)[:, None]
+    q_ids = np.arange(len(q))
+    tiles = {"a": slice(0, 3), "b": slice(3, None)}
+    monkeypatch.setattr(RT, "_read_tile", lambda p: (q_ids[tiles[p]], np.full(len(q[tiles[p]]), "", object), unit[tiles[p]]))
+    frame = pd.DataFrame({"id": ids, "v": list(vectors), "family": ""})
+    frame.loc[5, "v"] = None
+    out = pd.concat(RT._partial_topk(["a", "b"], 4, None)(iter([frame[:100], frame[100:107], frame[107:]])))
+    if held_rows > 10:
+        assert out.groupby("query_id").size().max() == 4
+    for i, v in zip(q_ids, unit):
+        norm = np.linalg.norm(vectors, axis=1)
+        alive = [j for j in range(300) if norm[j] > 0 and j != 5]
+        sims = {j: float(np.round((vectors[j] / norm[j]) @ v, 12)) for j in alive}
+        want = [ids[j] for j in sorted(alive, key=lambda j: (-sims[j], ids[j]))[:4]]
+        mine = out[out.query_id == i].sort_values(["sim", "id"], ascending=[False, True], kind="stable")
+        assert list(mine.id[:4]) == want
+
+
 @pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
 def test_cells_prune_and_keep_recall(spark, sf):
     emb = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
