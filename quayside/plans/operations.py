@@ -95,21 +95,21 @@ def berth_productivity(t):
     return O.berth_productivity(A.berth_calls(t))
 
 
-def _drift_sql(base: str) -> str:
+def _drift_sql(base: str, view: str = "crane_telemetry") -> str:
     levels = [(n, f"vibration_g > base * {r}", h) for n, r, h in O.LEVELS]
     levels.append(("Inspect-temperature", f"temperature_c > tbase + {O.TEMP_RISE_C}", O.TEMP_HOURS))
     lv = " UNION ALL ".join(
         f"SELECT crane_id, reading_id, ts, us, '{n}' AS level, coalesce({c}, false) AS hit, {h} AS hours FROM b"
         for n, c, h in levels)
     return with_views(f"""
-WITH t AS (SELECT crane_id, reading_id, ts, vibration_g, temperature_c, epoch_us(ts) AS us FROM crane_telemetry),
+WITH t AS (SELECT crane_id, reading_id, ts, vibration_g, temperature_c, epoch_us(ts) AS us FROM {view}),
 b AS ({base}),
 lv AS ({lv}),
 g AS (SELECT *, row_number() OVER (PARTITION BY crane_id, level ORDER BY us, reading_id)
               - row_number() OVER (PARTITION BY crane_id, level, hit ORDER BY us, reading_id) AS grp FROM lv),
 r AS (SELECT *, min(us) OVER (PARTITION BY crane_id, level, grp) AS start FROM g WHERE hit)
 SELECT crane_id, level, min(ts) AS first_fire_ts FROM r
-WHERE hours = 0 OR us - start > hours * 3600000000 GROUP BY crane_id, level""", "crane_telemetry")
+WHERE hours = 0 OR us - start > hours * 3600000000 GROUP BY crane_id, level""", view)
 
 
 TRAILING = """SELECT *, avg(vibration_g) OVER w AS base, avg(temperature_c) OVER w AS tbase FROM t
@@ -132,6 +132,18 @@ def drift_levels_frozen(t):
     return O.drift_levels(A.crane_telemetry(t), baseline="frozen", frozen_before="2024-01-08")
 
 
+@query("drift_levels_staged", _drift_sql(TRAILING, "drifting_telemetry"))
+def drift_levels_staged(t):
+    """N5 over cranes that drift in different ways: every level fires for some and not for others."""
+    return O.drift_levels(A.drifting_telemetry(t), baseline="trailing", baseline_days=7)
+
+
+@query("drift_levels_staged_frozen", _drift_sql(FROZEN, "drifting_telemetry"))
+def drift_levels_staged_frozen(t):
+    """As ``drift_levels_staged``, against a baseline frozen before 2024-01-08."""
+    return O.drift_levels(A.drifting_telemetry(t), baseline="frozen", frozen_before="2024-01-08")
+
+
 @query("similar_orders", "WITH " + """
 d_emb AS (""" + EMB_SQL.format(key="doc_id, source", text="text", src="documents") + """),
 q_emb AS (""" + EMB_SQL.format(key="item_id", text="text", src="benchmark") + """),

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from ..operators import quality as Q
 from ..operators import relational as R
+from ..sources import adapters as A
 from ..sources.tables import TABLES
 from .registry import query
+from .views_sql import with_views
 
 PKS = {"orders": ["o_orderkey"], "customer": ["c_custkey"], "part": ["p_partkey"],
        "supplier": ["s_suppkey"], "lineitem": ["l_orderkey", "l_linenumber"]}
@@ -106,3 +108,39 @@ def dq_row_counts(t):
     """Q5 + A10: every table's row count against its expectation."""
     counts = R.table_counts({n: getattr(t, n) for n in TABLES})
     return Q.check_counts(counts, BOUNDS)
+
+
+# table, (rule, column, argument), least and most rows.  Some rules are broken on purpose: undisputed
+# invoices have no reason, small charges exist, moves have more types, and there are 25 nations.
+PROFILE = [
+    ("orders", [("null", "o_orderkey", None), ("null", "o_orderdate", None), ("in", "o_orderstatus", ["F", "O", "P"]),
+                ("low", "o_totalprice", 0)], 1, None),
+    ("billing_events", [("null", "invoice_id", None), ("null", "dispute_reason", None),
+                        ("in", "tariff_code", ["1-URGENT", "2-HIGH"]), ("low", "amount_cents", 5000000)], 1, None),
+    ("events", [("null", "ts", None), ("in", "event_type", ["view", "click", "purchase", "signup"]),
+                ("low", "value", 0)], 1, None),
+    ("region", [("null", "r_name", None)], 5, 5),
+    ("nation", [("null", "n_name", None)], 1, 20),
+    ("supplier", [("null", "s_name", None)], 1000000000, None),
+]
+
+
+def _profile_sql(table, rules, low, high):
+    failing = {"null": lambda c, a: f"{c} IS NULL", "in": lambda c, a: f"{c} NOT IN ({', '.join(repr(v) for v in a)})",
+               "low": lambda c, a: f"{c} < {a}"}
+    label = {"null": "{} not null", "in": "{} allowed", "low": "{} at least {}"}
+    rows = [("row count", f"greatest({low} - count(*), " + (f"count(*) - {high}, " if high is not None else "") + "0)")]
+    rows += [(label[r].format(c, a), f"count(*) FILTER (WHERE {failing[r](c, a)})") for r, c, a in rules]
+    return " UNION ALL ".join(
+        f"SELECT '{table}' AS table_name, '{name}' AS check_name, count(*) AS checked_rows, "
+        f"CAST({n} AS BIGINT) AS failed_rows, {n} = 0 AS ok FROM {table}" for name, n in rows)
+
+
+@query("dq_profile", with_views(" UNION ALL ".join(_profile_sql(*p) for p in PROFILE), "billing_events"))
+def dq_profile(t):
+    """Q3-Q5 and A10 with both outcomes: all rules of a table in one pass over it."""
+    rule = {"null": lambda c, a: Q.not_null(c), "in": Q.one_of, "low": Q.at_least}
+    source = {"billing_events": lambda: A.billing_events(t)}
+    return _union([Q.profile(source.get(name, lambda n=name: getattr(t, n))(), name,
+                             [rule[r](c, a) for r, c, a in rules], low, high)
+                   for name, rules, low, high in PROFILE])

@@ -6,8 +6,9 @@ it needs become CTEs in dependency order in front of the body.
 
 from __future__ import annotations
 
-from ..sources.adapters import (BERTHS, CRANES, DISPUTE_TEXT, EARLIER_RATIONALE, ETD_DAYS,
-                                FILED_BEFORE, LOST_REVIEWS, TERMINAL_BUCKET)
+from ..sources.adapters import (BERTHS, CRANES, DISPUTE_TEXT, DRIFT_FROM, DRIFT_HEAT, DRIFT_RISE, DRIFT_SPIKES,
+                                EARLIER_RATIONALE, ETD_DAYS, FILED_BEFORE, LOST_REVIEWS, SPIKE_EVERY,
+                                TERMINAL_BUCKET)
 
 K = "CAST(json_extract_string(props, '$.k') AS INTEGER)"
 DISPUTE = "CASE o.o_orderpriority " + " ".join(
@@ -75,6 +76,15 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     SELECT event_id AS reading_id, 'QC' || CAST(user_id % {CRANES} AS VARCHAR) AS crane_id, ts,
            value AS vibration_g, CAST(40 AS DOUBLE) + CAST({K} AS DOUBLE) / 10 AS temperature_c
     FROM events"""),
+    "drifting_telemetry": ((), f"""
+    SELECT event_id AS reading_id, 'QC' || CAST(user_id % {CRANES} AS VARCHAR) AS crane_id, ts,
+           (0.36 + value / 100000) * CASE
+               WHEN user_id % {CRANES} = {DRIFT_SPIKES} AND event_id % {SPIKE_EVERY} = 0 THEN 5
+               {' '.join(f"WHEN user_id % {CRANES} = {c} AND ts >= TIMESTAMP '{DRIFT_FROM}' THEN {f}"
+                         for c, f in DRIFT_RISE.items())} ELSE 1 END AS vibration_g,
+           50 + value / 1000 + CASE WHEN user_id % {CRANES} = {DRIFT_HEAT} AND ts >= TIMESTAMP '{DRIFT_FROM}'
+                                    THEN 12 ELSE 0 END AS temperature_c
+    FROM events"""),
     "berth_calls": ((), f"""
     SELECT l_orderkey AS call_id, 'B' || CAST(l_orderkey % {BERTHS} AS VARCHAR) AS berth_id,
            min(l_shipdate) AS actual_arrival,

@@ -22,6 +22,9 @@ CRANES = 6                           # events: crane = props.k mod 6
 BERTHS = 8                           # berth calls: berth = orderkey mod 8
 ETD_DAYS = 365                       # berth calls: planned departure = arrival + 365 days
 LOST_REVIEWS = 50                    # review actions: every 50th container also has one on an unknown id
+DRIFT_FROM = "2024-01-15"            # drifting telemetry: when cranes change, by how much, and which
+DRIFT_RISE = {1: 1.7, 2: 4.0}
+DRIFT_HEAT, DRIFT_SPIKES, SPIKE_EVERY = 3, 5, 37
 EARLIER_RATIONALE = "Classified by an earlier run."
 # Dispute text of a disputed invoice, by its tariff (order priority).
 DISPUTE_TEXT = [
@@ -173,6 +176,23 @@ def crane_telemetry(t: Tables) -> DataFrame:
     )
 
 
+def drifting_telemetry(t: Tables) -> DataFrame:
+    """Readings of cranes that drift: steady until DRIFT_FROM, then one crane each with a
+    mild and a strong rise in vibration, one with a rise in temperature, one with single
+    spikes, and two that stay as they are."""
+    e = t.events
+    crane, late = F.col("user_id") % CRANES, F.col("ts") >= F.lit(DRIFT_FROM).cast("timestamp_ntz")
+    rise = F.lit(1.0)
+    for number, factor in DRIFT_RISE.items():
+        rise = F.when(late & (crane == number), F.lit(factor)).otherwise(rise)
+    rise = F.when((crane == DRIFT_SPIKES) & (F.col("event_id") % SPIKE_EVERY == 0), F.lit(5.0)).otherwise(rise)
+    return e.select(
+        F.col("event_id").alias("reading_id"), F.concat(F.lit("QC"), crane.cast("string")).alias("crane_id"), "ts",
+        ((F.lit(0.36) + F.col("value") / F.lit(100000.0)) * rise).alias("vibration_g"),
+        (F.lit(50.0) + F.col("value") / F.lit(1000.0) + F.when(late & (crane == DRIFT_HEAT), F.lit(12.0)).otherwise(0.0))
+        .alias("temperature_c"))
+
+
 def berth_calls(t: Tables) -> DataFrame:
     """One berth call per order, from its line items' ship dates."""
     li = t.lineitem.select("l_orderkey", "l_shipdate", "l_quantity")
