@@ -11,10 +11,12 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -84,6 +86,49 @@ def run_model(df: DataFrame, prompt_col: str = "prompt",
     return df.mapInPandas(call, schema)
 
 
+CACHE_SCHEMA = "digest string, reply string, model_error string"
+
+
+def _replies(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of a folder of replies on any file system; none if there is no such folder."""
+    try:
+        return spark.read.schema(CACHE_SCHEMA).option("recursiveFileLookup", True).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], CACHE_SCHEMA)
+
+
+def run_model_cached(df: DataFrame, cache: str, prompt_col: str = "prompt",
+                     backend: Callable[[], Callable[[pd.Series], pd.Series]] = RuleBackend,
+                     model: str | None = None, out_col: str = "reply") -> DataFrame:
+    """As ``run_model``, but a prompt that ``model`` has answered before is not asked again,
+    and equal prompts are asked once.
+
+    Replies are kept in the folder ``cache`` under the digest of model name and prompt; each
+    run adds a folder of its own when its calls are done, so a run that fails leaves
+    nothing and two runs at a time do no harm (the smaller of two replies to a prompt
+    counts).  Failed calls are stored for this run's rows only and asked again by the
+    next run.  A NULL prompt is not asked: reply and error are NULL.  ``df`` is read twice,
+    once for the different prompts and once for the rows."""
+    spark = df.sparkSession
+    name = model or getattr(backend, "name", "model")
+    digest = F.sha2(F.concat(F.lit(name), F.lit("\n"), F.col(prompt_col)), 256)
+    known = _replies(spark, cache).filter(F.col("model_error").isNull()).select("digest").distinct()
+    prompts = df.filter(F.col(prompt_col).isNotNull()).groupBy(digest.alias("digest")).agg(
+        F.first(prompt_col).alias("prompt"))
+    folder = f"{cache.rstrip('/')}/run-{uuid.uuid4().hex}"
+    # stored before anything reads them: a lost task does not ask again what others were told
+    run_model(prompts.join(known, "digest", "left_anti"), "prompt", backend) \
+        .select("digest", "reply", "model_error").write.parquet(folder)
+    answered = _replies(spark, cache).filter(F.col("model_error").isNull()).groupBy("digest").agg(
+        F.min("reply").alias("reply"), F.lit(None).cast("string").alias("model_error"))
+    failed = _replies(spark, folder).filter(F.col("model_error").isNotNull()).join(
+        answered.select("digest"), "digest", "left_anti")
+    replies = answered.unionByName(failed).withColumnsRenamed({"digest": "_digest", "reply": out_col})
+    return df.join(replies, digest == F.col("_digest"), "left").drop("_digest")
+
+
 def parse_reply(reply_col: str, schema: str) -> F.Column:
     """Strip a code fence and parse JSON; malformed JSON gives NULL
     (the reference raises) - callers keep the raw reply for the audit log."""

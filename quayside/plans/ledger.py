@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import billing as B
@@ -10,7 +12,8 @@ from ..operators import model as M
 from ..operators import relational as R
 from ..sources import adapters as A
 from .billing import DIAG, FIRSTS, _base, dup_arm, rate_arm
-from .registry import query
+from ..session import ensure_checkpoint_dir
+from .registry import REGISTRY, query
 from .relational import BILLING_EXTRA
 from .views_sql import with_views
 
@@ -193,7 +196,10 @@ FROM ({DIAG}) d""", "billing_events", "tariff_rates", "filed_recommendations",
 def model_batch(t):
     """T13 + D5: one batched model stage over every diagnosis prompt, reply
     parsed (fence stripped, JSON), mechanical action as the fallback."""
-    replies = M.run_model(diagnosis_prompts(t), "prompt")
+    return _diagnosed(M.run_model(diagnosis_prompts(t), "prompt"))
+
+
+def _diagnosed(replies):
     parsed = M.parse_reply("reply", "diagnosis string, recommended_action string")
     return replies.select(
         "invoice_id", "anomaly_type", "billed_usd", "expected_usd", "variance_usd",
@@ -203,4 +209,8 @@ def model_batch(t):
         F.lit("pending").alias("status"), "model_error")
 
 
-
+@query("model_batch_cached", REGISTRY["model_batch"].oracle)
+def model_batch_cached(t):
+    """T13 with a store of replies: equal prompts are asked once, known ones not at all."""
+    cache = f"{ensure_checkpoint_dir(t.spark).rstrip('/')}/replies-{uuid.uuid4().hex}"
+    return _diagnosed(M.run_model_cached(diagnosis_prompts(t), cache, "prompt"))
