@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import billing as B
 from ..operators import relational as R
 from ..sources import adapters as A
+from ..session import ensure_checkpoint_dir
 from ..sources.tables import TABLES
+from ..sources.versions import read_versions
 from .billing import dup_arm, rate_arm
 from .registry import query
 from .views_sql import with_views
@@ -257,3 +261,23 @@ def open_queue(t):
     be = R.evolve_schema(A.billing_triage(t), BILLING_EXTRA)
     q = be.filter(F.col("dispute_flag") & F.col("dispute_category").isNull())
     return q.select("invoice_id", A.usd("amount_cents").alias("amount_usd"), "dispute_reason", "corrected_usd")
+
+
+@query("merged_versions", """
+SELECT o_orderkey AS order_id, CAST(round(o_totalprice * 100) AS DOUBLE) / CASE WHEN o_orderkey % 3 = 2 THEN 100 ELSE 1 END AS amount,
+       CASE WHEN o_orderkey % 3 > 0 THEN o_orderstatus END AS status,
+       CASE WHEN o_orderkey % 3 = 2 THEN o_orderpriority END AS priority
+FROM orders""")
+def merged_versions(t):
+    """S13 on files: orders stored in three versions (int, long and decimal amounts; a column
+    more each time) and read back as one table."""
+    folder = f"{ensure_checkpoint_dir(t.spark).rstrip('/')}/versions-{uuid.uuid4().hex}"
+    key, cents = F.col("o_orderkey"), F.round(F.col("o_totalprice") * 100)
+    first = [key.cast("int").alias("order_id"), cents.cast("int").alias("amount")]
+    second = [key.alias("order_id"), cents.cast("bigint").alias("amount"), F.col("o_orderstatus").alias("status")]
+    third = [key.alias("order_id"), (cents.cast("decimal(20,0)") / 100).cast("decimal(12,2)").alias("amount"),
+             F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority")]
+    for version, columns in enumerate((first, second, third)):
+        t.orders.filter(key % 3 == version).select(*columns).write.parquet(f"{folder}/v{version}")
+    return read_versions(t.spark, folder).select(
+        "order_id", F.col("amount").cast("double").alias("amount"), "status", "priority")
