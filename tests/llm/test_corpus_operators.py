@@ -46,7 +46,7 @@ def brute_contamination(docs, items):
 def seeded(t, d, shift):
     span, masks = spaced_seeds.SPAN, spaced_seeds.MASKS
     if len(t) < span:
-        return 0 <= shift <= len(d) - len(t) and d[shift:shift + len(t)] == t
+        return 0 <= shift <= len(d) - len(t)  # every allowed substitution has a seed
     places = {*range(0, len(t) - span + 1, spaced_seeds.STRIDE), len(t) - span}
     return any(0 <= p + shift <= len(d) - span and all(t[p + k] == d[p + shift + k] for k in m)
                for p in places for m in masks)
@@ -166,6 +166,54 @@ def test_weaker_surroundings_do_not_hide_a_segment():
     assert spaced_seeds.best_segment(worse)[1] - spaced_seeds.best_segment(worse)[0] >= 14
 
 
+def test_short_items_with_every_allowed_substitution(spark):
+    """Items of 5 to 11 tokens: each set of replaced tokens that leaves 80 % is found, none
+    with one more is; three tokens are searched for only if asked to."""
+    from itertools import combinations
+    items, docs, want = [], [], set()
+    for n in range(5, 12):
+        passage = [f"i{n}w{k}" for k in range(n)]
+        items.append((n, " ".join(passage)))
+        most = n // 5
+        for size in range(most + 2):
+            for gone in combinations(range(n), size):
+                if size <= most:
+                    want.add((len(docs), n))
+                docs.append((len(docs), " ".join(["before"] + ["other" if k in gone else w for k, w in enumerate(passage)] + ["after"])))
+    got = spaced_seeds.contaminated(spark.createDataFrame(docs, "doc_id long, text string"),
+                                    spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want) > 150
+    three = spark.createDataFrame([(1, "three short words")], "item_id long, text string")
+    held = spark.createDataFrame([(7, "here three short words stand"), (8, "three words short")], "doc_id long, text string")
+    assert spaced_seeds.contaminated(held, three).count() == 0
+    assert [r.doc_id for r in spaced_seeds.contaminated(held, three, least=1).collect()] == [7]
+
+
+def test_scripts_without_blanks_and_their_punctuation(spark):
+    """Characters are tokens there, so a passage is found inside a longer run, with
+    substitutions; other scripts' punctuation separates words."""
+    chinese = "春天的花园里有许多红色和白色的花朵正在开放"
+    thai = "ภาษาไทยเขียนติดกันโดยไม่มีช่องว่าง"
+    french = "« Les enfants jouent » — dans “le jardin” de la vieille maison près du grand moulin"
+    items = spark.createDataFrame([(1, chinese), (2, thai), (3, french)], "item_id long, text string")
+    docs = spark.createDataFrame([
+        (1, "他说" + chinese + "，然后走了"), (2, "他说" + chinese.replace("红", "蓝").replace("朵", "儿") + "吗"),
+        (3, "คือ" + thai + "ครับ"), (4, "les enfants jouent dans le jardin de la vieille maison près du grand moulin"),
+        (5, "完全不同的一句话，没有任何重复的内容在这里出现过"), (6, chinese[:9])], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in spaced_seeds.contaminated(docs, items).collect()}
+    assert got == {(1, 1), (2, 1), (3, 2), (4, 3)}
+
+
+def test_the_filter_grows_with_the_seeds_and_equal_items_are_all_reported(spark):
+    assert spaced_seeds.filter_bits(0) == 24 and spaced_seeds.filter_bits(10 ** 7) == 28
+    assert spaced_seeds.filter_bits(10 ** 12) == 30
+    text = "one passage of enough tokens that stands in two items of the benchmark at once"
+    items = spark.createDataFrame([(1, text), (2, text.upper()), (None, text), (2, text)], "item_id long, text string")
+    docs = spark.createDataFrame([(5, "x " + text)], "doc_id long, text string")
+    got = spaced_seeds.contaminated(docs, items).collect()
+    assert sorted(str(r.item_id) for r in got) == ["1", "2", "None"]
+
+
 def test_contamination_of_empty_tables(spark, corpus, empty):
     items = spark.createDataFrame([(1, "some words that make up a benchmark passage here")], "item_id long, text string")
     assert spaced_seeds.contaminated(empty, items).count() == 0
