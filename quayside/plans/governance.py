@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import billing as B
 from ..operators import governance as G
+from ..operators import names as N
 from ..operators import relational as R
 from ..sources import adapters as A
 from .billing import BASE, DUP_ARM, RATE_ARM, _base
@@ -154,6 +155,72 @@ def redact_names(t):
     return G.redact_names(texts, "text", "names").select("invoice_id", "redacted", "model_error")
 
 
+# Complaints: disputes that name their customer in several ways, or nobody, and the part
+# that the order's number picks; (condition on invoice_id, text) pairs of both engines.
+COMPLAINTS = """
+SELECT b.invoice_id, b.created_ts, CASE b.invoice_id % 4
+    WHEN 0 THEN concat('Complaint of ', b.customer_name, ': ', b.dispute_reason, ', paid $', CAST(b.invoice_id AS STRING), '.')
+    WHEN 1 THEN concat(upper(replace(b.customer_name, '#', ' / ')), ', for a ', p.p_name, ' (', b.dispute_reason, ')')
+    WHEN 2 THEN concat(b.dispute_reason, ' - no name, call +1 555-010-', CAST(1000 + b.invoice_id % 9000 AS STRING))
+    END AS complaint
+FROM billing b JOIN part p ON p.p_partkey = b.container_id WHERE b.dispute_flag"""
+
+_COMPLAINTS = COMPLAINTS.replace("AS STRING", "AS VARCHAR").replace("billing b", "billing_events b")
+# Every window of as many words as some name has, joined with all names; a piece of the text
+# is shown as the mark if a name begins there and none that began earlier reaches it.
+_UNNAMED = """
+WITH known AS (
+  SELECT DISTINCT lower(array_to_string(regexp_extract_all(n, '[\\p{L}\\p{N}]+'), ' ')) AS name
+  FROM (SELECT c_name AS n FROM customer UNION ALL SELECT p_name FROM part) a),
+lens AS (SELECT DISTINCT len(string_split(name, ' ')) AS k FROM known WHERE name <> ''),
+texts AS (SELECT DISTINCT complaint AS t, regexp_extract_all(complaint, '[\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+') AS ps
+          FROM complaints WHERE complaint IS NOT NULL),
+pieces AS (SELECT t, unnest(ps) AS p, unnest(range(1, len(ps) + 1)) AS i FROM texts),
+runs AS (SELECT t, i, k, ps[i:i + 2 * k - 2] AS run FROM texts, lens, unnest(range(1, len(ps) + 1)) u(i)
+         WHERE i + 2 * k - 2 <= len(ps) AND regexp_matches(ps[i], '^[\\p{L}\\p{N}]')),
+spans AS (SELECT t, i AS a, i + 2 * k - 2 AS b FROM runs
+          WHERE lower(array_to_string(regexp_extract_all(array_to_string(run, ''), '[\\p{L}\\p{N}]+'), ' '))
+                IN (SELECT name FROM known)),
+shown AS (SELECT p.t, p.i, any_value(p.p) AS p, coalesce(bool_or(s.a = p.i), false) AS starts,
+                 coalesce(bool_or(s.a < p.i), false) AS inside
+          FROM pieces p LEFT JOIN spans s ON s.t = p.t AND p.i BETWEEN s.a AND s.b GROUP BY p.t, p.i),
+unnamed AS (SELECT t, string_agg(CASE WHEN inside THEN '' WHEN starts THEN '[REDACTED]' ELSE p END, '' ORDER BY i) AS redacted,
+                   CAST(count(*) FILTER (WHERE starts AND NOT inside) AS INTEGER) AS n_names
+            FROM shown GROUP BY t)
+"""
+
+
+def _with_complaints(body):
+    return with_views(body, "billing_events", extra=(("complaints", _COMPLAINTS), ("unnamed", f"{_UNNAMED} SELECT * FROM unnamed")))
+
+
+def complaints(t):
+    return t.spark.sql(COMPLAINTS.replace("billing b", "{billing} b").replace("JOIN part", "JOIN {part}"),
+                       billing=A.billing_events(t), part=t.part)
+
+
+def all_names(t):
+    return t.customer.select(F.col("c_name").alias("name")).union(t.part.select("p_name"))
+
+
+@query("redact_known_names", _with_complaints("""
+SELECT c.invoice_id, u.redacted, u.n_names FROM complaints c LEFT JOIN unnamed u ON u.t = c.complaint"""))
+def redact_known_names(t):
+    """All names of customers and parts, found in complaints that come without a list."""
+    return N.redact_known_names(complaints(t), "complaint", all_names(t), "name") \
+        .select("invoice_id", "redacted", "n_names")
+
+
+@query("redaction_audit", _with_complaints(f"""
+SELECT c.created_ts AS called_at, 'redact_free_text' AS function_name, 'rules' AS model_name,
+       CAST(c.invoice_id AS VARCHAR) AS subject_id, c.complaint AS input_summary,
+       {X.redact_sql('u.redacted')} AS output_summary
+FROM complaints c LEFT JOIN unnamed u ON u.t = c.complaint"""))
+def redaction_audit(t):
+    """An audit row for each redaction call, with whole input and output."""
+    return N.redaction_audit(complaints(t), "complaint", all_names(t), "name", "invoice_id", "created_ts")
+
+
 _FORBID = "|".join(X.FORBIDDEN_WORDS)
 
 
