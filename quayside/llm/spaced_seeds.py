@@ -57,7 +57,7 @@ CONTEXT = 64
 FILTER_BITS, FILTER_MOST, BITS_PER_SEED, PROBES = 24, 30, 16, 2
 #: Scripts whose words are not set apart by blanks, and what separates words in any script.
 NO_BLANKS = "".join(rf"\p{{Is{s}}}" for s in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar", "Tibetan"))
-APART = r"[\p{P}\p{S}\p{Z}&&[^\x00-\x7F]]"
+APART = r"[[^\x00-\x7F]&&[\p{P}\p{S}\p{Z}]]"
 
 REGION = ("region long, doc_id long, first int, tokens array<long>, "
           "seeds array<long>, places array<int>")
@@ -69,7 +69,7 @@ def spaced(text: Column) -> Column:
     """Lower-cased text in which blanks or ASCII punctuation separate all tokens."""
     low = F.lower(F.coalesce(text.cast("string"), F.lit("")))
     return F.when(low.rlike(r"[^\x00-\x7F]"), F.regexp_replace(
-        F.regexp_replace(low, APART, " "), f"([{NO_BLANKS}])", " $1 ")).otherwise(low)
+        F.regexp_replace(low, APART, " "), rf"([[\x{{0E00}}-\x{{3FFFF}}]&&[{NO_BLANKS}]])", " $1 ")).otherwise(low)
 
 
 def masks_of(n: int) -> list[tuple[tuple[int, ...], int]]:
