@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import MICROS_PER_DAY, epoch_micros
@@ -167,33 +167,49 @@ def drift_levels(telemetry: DataFrame, baseline: str = "trailing", baseline_days
               for name, ratio, hours in LEVELS]
     checks.append(("Inspect-temperature",
                    F.col("temperature_c") > F.col("_tbase") + TEMP_RISE_C, TEMP_HOURS))
-    lv = F.explode(F.array(*[F.struct(F.lit(n).alias("level"),
-                                      F.coalesce(c, F.lit(False)).alias("hit"),
-                                      F.lit(h * MICROS_PER_HOUR).alias("span"))
-                             for n, c, h in checks]))
-    x = tm.select("crane_id", "_day", "reading_id", "ts", "_us", lv.alias("_l")).select(
-        "crane_id", "_day", "reading_id", "ts", "_us", "_l.*")
-    key = ["crane_id", "level", "_day"]
-    order = Window.partitionBy(*key).orderBy("_us", "reading_id")
-    # number of misses so far today: the hits between two misses are one run
-    x = x.withColumn("_run", F.sum(F.when(F.col("hit"), 0).otherwise(1)).over(
-        order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    x = x.withColumn("_start", F.min(F.when(F.col("hit"), F.col("_us"))).over(Window.partitionBy(*key, "_run")))
-    end = F.max(F.struct("_us", "reading_id", "hit", "_start"))
-    days = x.groupBy(*key).agg(F.bool_or(~F.col("hit")).alias("_miss"), F.min("_us").alias("_first"), end.alias("_end")) \
-        .withColumn("_tail", F.when(F.col("_end.hit"), F.col("_end._start")))
-    by_day = Window.partitionBy("crane_id", "level").orderBy("_day")                    # rows are days
-    days = days.withColumns({
-        "_prev": F.lag("_tail").over(by_day),
-        "_block": F.coalesce(F.sum(F.when(F.col("_miss"), 1).otherwise(0)).over(
-            by_day.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
-    in_block = Window.partitionBy("crane_id", "level", "_block").orderBy("_day")
-    # a block is the days after one with a miss, up to the next such day
-    carried = days.select(*key, F.when(F.row_number().over(in_block) == 1, F.col("_prev")).otherwise(
-        F.coalesce(F.first("_prev").over(in_block), F.first("_first").over(in_block))).alias("_carry"))
-    j = x.filter("hit").join(carried, key)
-    start = F.when(F.col("_run") == 0, F.coalesce("_carry", "_start")).otherwise(F.col("_start"))
-    # "for more than N hours"; a single reading (N = 0) fires at once
-    fired = j.filter((F.col("span") == 0) | (F.col("_us") - start > F.col("span")))
-    return fired.groupBy("crane_id", "level").agg(F.min("ts").alias("first_fire_ts")) \
-        .select("crane_id", "level", "first_fire_ts")
+    # one bit per level, so a reading stays one narrow row
+    hits = sum((F.when(c, 1 << i).otherwise(0) for i, (_, c, _) in enumerate(checks)), F.lit(0))
+    order = Window.partitionBy("crane_id", "_day").orderBy("_us", "reading_id")
+    sofar = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    x = tm.select("crane_id", "_day", "reading_id", "ts", "_us", hits.alias("_hits"))
+    if baseline == "frozen":
+        # the join with the baseline has put all readings of a crane into one task
+        x = x.repartition("crane_id", "_day")
+    x = x.withColumn("_new", F.col("_hits").bitwiseAND(F.bitwise_not(F.lag("_hits", 1, 0).over(order))))
+
+    def has(bits: str, i: int) -> Column:
+        return F.col(bits).bitwiseAND(1 << i) != 0
+
+    levels = range(len(checks))
+    missed = F.bit_or(F.bitwise_not("_hits"))
+    # a run starts at a hit after a miss, or at the first reading of the day
+    x = x.select("crane_id", "_day", "reading_id", "ts", "_us", "_hits", missed.over(sofar).alias("_missed"), *[
+        F.last(F.when(has("_new", i), F.col("_us")), ignorenulls=True).over(sofar).alias(f"_start{i}") for i in levels])
+    end = F.max(F.struct("_us", "reading_id", "_hits", *[f"_start{i}" for i in levels]))
+    days = x.groupBy("crane_id", "_day").agg(missed.alias("_missed"), F.min("_us").alias("_first"), end.alias("_end")) \
+        .select("crane_id", "_day", "_missed", "_first", *[
+            F.when(F.col("_end._hits").bitwiseAND(1 << i) != 0, F.col(f"_end._start{i}")).alias(f"_tail{i}") for i in levels])
+    by_day = Window.partitionBy("crane_id").orderBy("_day")                             # rows are days
+    # the run that each day leaves open: its own after a miss, that of its first reading
+    # if the day before left none, else the one that it was given (NULL here)
+    after_miss = F.coalesce(F.lag("_missed").over(by_day), F.lit(-1))
+    opened = days.select("crane_id", "_day", *[
+        F.when(has("_missed", i), F.struct(F.col(f"_tail{i}").alias("us")))
+        .when((after_miss.bitwiseAND(1 << i) != 0) & F.lag(f"_tail{i}").over(by_day).isNull(),
+              F.struct(F.col("_first").alias("us"))).alias(f"_open{i}") for i in levels])
+    earlier = by_day.rowsBetween(Window.unboundedPreceding, -1)
+    carried = opened.select("crane_id", "_day", *[
+        F.last(f"_open{i}", ignorenulls=True).over(earlier)["us"].alias(f"_carry{i}") for i in levels])
+    j = x.filter("_hits <> 0").join(carried, ["crane_id", "_day"])
+
+    def fires(i: int) -> Column:
+        # "for more than N hours"; a single reading (N = 0) fires at once
+        own = F.col(f"_start{i}")
+        start = F.when(has("_missed", i), own).otherwise(F.coalesce(F.col(f"_carry{i}"), own))
+        span = checks[i][2] * MICROS_PER_HOUR
+        return has("_hits", i) & ((F.col("_us") - start > span) if span else F.lit(True))
+
+    firsts = j.groupBy("crane_id").agg(*[F.min(F.when(fires(i), F.col("ts"))).alias(f"_ts{i}") for i in levels])
+    return firsts.select("crane_id", F.explode(F.array(*[
+        F.struct(F.lit(checks[i][0]).alias("level"), F.col(f"_ts{i}").alias("first_fire_ts")) for i in levels])).alias("_l")) \
+        .select("crane_id", "_l.*").filter(F.col("first_fire_ts").isNotNull())
