@@ -46,16 +46,21 @@ def dictionary(names: DataFrame, name_col: str) -> DataFrame:
         .select("name", "n_words", F.col("r.word").alias("anchor"), F.col("r.place").alias("place"))
 
 
+def text_key(text: Column) -> Column:
+    """What stands for a text in shuffles: the first 16 bytes of its SHA-256."""
+    return F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
+
+
 def name_spans(texts: DataFrame, names: DataFrame) -> DataFrame:
     """(key, first, last): word numbers of every occurrence of a name.  texts: (key, words);
     names: as ``dictionary`` gives them."""
     shapes = names.select("anchor", "place", "n_words").distinct()
-    places = texts.select("key", F.size("words").alias("n"), F.posexplode("words").alias("at", "anchor")) \
+    # a row per word is what is shuffled most: nothing in it but key, place and word
+    places = texts.select("key", F.posexplode("words").alias("at", "anchor")) \
         .join(shapes, "anchor") \
-        .select("key", (F.col("at") - F.col("place")).alias("first"), "n_words", "n") \
-        .filter((F.col("first") >= 0) & (F.col("first") + F.col("n_words") <= F.col("n"))) \
-        .select("key", "first", "n_words").distinct()
-    there = places.join(texts, "key").select(
+        .select("key", (F.col("at") - F.col("place")).alias("first"), "n_words") \
+        .filter(F.col("first") >= 0).distinct()
+    there = places.join(texts, "key").filter(F.col("first") + F.col("n_words") <= F.size("words")).select(
         "key", "first", (F.col("first") + F.col("n_words") - 1).alias("last"),
         F.array_join(F.slice("words", F.col("first") + 1, F.col("n_words")), " ").alias("name"))
     return there.join(names.select("name"), "name", "left_semi").select("key", "first", "last")
@@ -92,7 +97,7 @@ def redact_known_names(df: DataFrame, text_col: str, names: DataFrame, name_col:
                        out_col: str = "redacted", count_col: str = "n_names") -> DataFrame:
     """``df`` with ``out_col``, its text without any name of ``names``, and ``count_col``,
     the number of marks."""
-    keyed = df.withColumn("_key", F.sha2(F.col(text_col), 256))
+    keyed = df.withColumn("_key", text_key(F.col(text_col)))
     texts = materialize(keyed.filter(F.col("_key").isNotNull()).select(
         F.col("_key").alias("key"), F.col(text_col).alias("text")).dropDuplicates(["key"]))
     spans = merged(name_spans(texts.select("key", words_of(F.col("text")).alias("words")),

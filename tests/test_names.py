@@ -90,3 +90,14 @@ def test_empty_sides_and_audit(spark):
     audit = {r.subject_id: r for r in N.redaction_audit(texts, "text", one, "name", "id", "at").collect()}
     assert audit["1"].output_summary == "[REDACTED] pays [REDACTED] to [REDACTED]"
     assert audit["1"].input_summary.startswith("Ann pays") and audit["2"].output_summary is None
+
+
+def test_narrow_keys_stand_for_texts_in_shuffles(spark, monkeypatch):
+    widths, spans = [], N.name_spans
+
+    def seen(texts, names):
+        widths.extend(r.n for r in texts.select(F.octet_length("key").alias("n")).collect())
+        return spans(texts, names)
+    monkeypatch.setattr(N, "name_spans", seen)
+    check(spark, ["a long text about Ann Lee " * 20, "Bo", None], ["Ann Lee", "Bo"])
+    assert len(widths) == 2 and max(widths) <= 16
