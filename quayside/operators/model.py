@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import strip_fence
+from ..session import ensure_checkpoint_dir
 
 
 class RuleBackend:
@@ -109,14 +110,18 @@ def run_model_cached(df: DataFrame, cache: str, prompt_col: str = "prompt",
     run adds a folder of its own when its calls are done, so a run that fails leaves
     nothing and two runs at a time do no harm (the smaller of two replies to a prompt
     counts).  Failed calls are stored for this run's rows only and asked again by the
-    next run.  A NULL prompt is not asked: reply and error are NULL.  ``df`` is read twice,
-    once for the different prompts and once for the rows."""
+    next run.  A NULL prompt is not asked: reply and error are NULL.  ``df`` is computed
+    once and stored in the shared checkpoint folder, and read from there, once for the
+    different prompts and once for the rows."""
     spark = df.sparkSession
     name = model or getattr(backend, "name", "model")
     digest = F.sha2(F.concat(F.lit(name), F.lit("\n"), F.col(prompt_col)), 256)
+    rows = f"{ensure_checkpoint_dir(spark).rstrip('/')}/prompts-{uuid.uuid4().hex}"
+    df.withColumn("_digest", digest).write.parquet(rows)
+    df = spark.read.parquet(rows)
     known = _replies(spark, cache).filter(F.col("model_error").isNull()).select("digest").distinct()
-    prompts = df.filter(F.col(prompt_col).isNotNull()).groupBy(digest.alias("digest")).agg(
-        F.first(prompt_col).alias("prompt"))
+    prompts = df.filter(F.col(prompt_col).isNotNull()) \
+        .select(F.col("_digest").alias("digest"), F.col(prompt_col).alias("prompt")).distinct()
     folder = f"{cache.rstrip('/')}/run-{uuid.uuid4().hex}"
     # stored before anything reads them: a lost task does not ask again what others were told
     run_model(prompts.join(known, "digest", "left_anti"), "prompt", backend) \
@@ -126,7 +131,7 @@ def run_model_cached(df: DataFrame, cache: str, prompt_col: str = "prompt",
     failed = _replies(spark, folder).filter(F.col("model_error").isNotNull()).join(
         answered.select("digest"), "digest", "left_anti")
     replies = answered.unionByName(failed).withColumnsRenamed({"digest": "_digest", "reply": out_col})
-    return df.join(replies, digest == F.col("_digest"), "left").drop("_digest")
+    return df.join(replies, "_digest", "left").drop("_digest")
 
 
 def parse_reply(reply_col: str, schema: str) -> F.Column:

@@ -5,6 +5,7 @@ import tempfile
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from quayside.operators import model as M
 
@@ -68,3 +69,15 @@ def test_the_same_rows_as_without_a_store(spark, cache):
     assert sorted(map(str, kept.collect())) == sorted(map(str, plain.collect()))
     empty = M.run_model_cached(df.limit(0), cache)
     assert empty.collect() == [] and empty.columns == plain.columns
+
+
+def test_rows_are_computed_once(spark, cache):
+    computed = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def ask(i):
+        computed.add(1)
+        return f"p{i % 5}"
+    df = spark.range(40).select("id", ask.asNondeterministic()("id").alias("prompt"))
+    assert len(rows(M.run_model_cached(df, cache))) == 40
+    assert computed.value == 40
