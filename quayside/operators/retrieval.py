@@ -24,12 +24,12 @@ from ..functions.vectors import DIM, TOKEN_RE
 from ..session import ensure_checkpoint_dir
 
 TILE_QUERIES = 1000                     # query vectors scored at once
-BLOCK_ROWS = 4096                       # corpus rows scored at once
+BLOCK_ROWS = 1024                       # corpus rows scored at once
 #: Coarse cells at most, rows a cell that they are trained on, rounds of training, levels of
 #: a residual's code on either side of zero, and queries that set the number of probes.
 MAX_CELLS, SAMPLE_PER_CELL, KMEANS_ROUNDS, LEVELS, SAMPLE_QUERIES = 4096, 50, 10, 127, 200
 HELD_TILES = 16                         # tiles that a task keeps in memory
-HELD_BYTES = 64 << 20                   # corpus vectors that a task scores against every tile at once
+HELD_BYTES = 16 << 20                   # corpus vectors that a task scores against every tile at once
 HELD_ROWS = 1 << 21                     # rows in a task's running lists before they are passed on
 # The answer-prompt instruction; retrieved texts are joined
 # with a line holding "---" (see ``rag_prompts``).
@@ -119,7 +119,7 @@ def _blocks(batches: Iterator[pd.DataFrame]):
         pdf = pdf[pdf["v"].notna()]
         for at in range(0, len(pdf), BLOCK_ROWS):
             part = pdf.iloc[at:at + BLOCK_ROWS]
-            m = np.vstack(part["v"].to_numpy()).astype(np.float64)
+            m = np.vstack(part["v"].to_numpy()).astype(np.float64, copy=False)
             norm = np.linalg.norm(m, axis=1)
             part, m = part[norm > 0], m[norm > 0] / norm[norm > 0, None]
             if not len(part):

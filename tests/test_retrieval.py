@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -152,3 +153,16 @@ def test_approximate_search_on_tiny_and_empty_tables(spark):
     assert sorted((r.query_id, r.id, r.rank) for r in RT.topk_approx(emb, q, k=5).collect()) == [
         (1, 1, 1), (1, 2, 2), (2, 1, 2), (2, 2, 1)]
     assert RT.topk_approx(emb.limit(0), q, k=5).collect() == []
+
+
+def test_python_memory_of_a_search_is_small_whatever_the_corpus(spark):
+    """Scores of a block, vectors held, and a batch of texts: what a task holds at once."""
+    assert RT.BLOCK_ROWS * RT.TILE_QUERIES * 8 <= 8 << 20
+    assert RT.HELD_BYTES <= 16 << 20
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 8 << 20
+    vectors = np.random.default_rng(1).random((5000, 512))
+    pdf = pd.DataFrame({"id": range(5000), "v": list(vectors), "family": ""})
+    batches = (pdf.iloc[at:at + 700] for at in range(0, 5000, 700))
+    held = [[m for m, _, _ in blocks] for blocks in RT._blocks(batches)]
+    assert sum(len(m) for blocks in held for m in blocks) == 5000
+    assert max(sum(m.nbytes for m in blocks) for blocks in held) <= RT.HELD_BYTES + RT.BLOCK_ROWS * 512 * 8
