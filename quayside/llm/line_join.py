@@ -4,10 +4,11 @@ The tokens of a line are its distinct lower-cased words.  A line goes when an ea
 line, by document id and line number, has a Jaccard similarity of at least ``NUM / DEN``
 with it.  Equal lines are reduced to their first occurrence.  The tokens of each remaining line are
 ordered from rare to frequent, and only its first few, of which any similar line must
-share one, take part in a self-join on the token.  The join keeps a pair if the sizes are
-close enough (length filter), if enough tokens can follow the shared one in both
-orders (positional filter), and if the lines' two 64-bit signatures leave enough in common;
-pairs that remain are verified on all their tokens.
+share one, take part in a self-join on the token and on a class of sizes: similar lines
+are of one class or of neighbouring ones, and the shorter line needs about half of its first
+tokens only.  The join keeps a pair if the sizes are close enough (length filter), if enough
+tokens can follow the shared one in both orders (positional filter), and if the lines'
+signatures of 128 bits leave enough in common; pairs that remain are verified on all their tokens.
 
 A line that thousands of lines resemble would still meet all of them.  So each line is
 first compared with four lines only, the most frequent among those that agree in the
@@ -26,7 +27,9 @@ candidates are sought).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SEPARATORS, partitions, prepare, stored, stored_by, temporary
@@ -41,6 +44,9 @@ SLICE_PAIRS = 10_000
 #: Printable sign of frequency 1; two signs further for each doubling.
 SIGN = 33
 HASH_BITS = 56
+#: Ratio of the sizes at which classes of lines begin: a little over DEN / NUM, so that the
+#: sizes of similar lines are never two classes apart.
+CLASS_RATIO = 1.001 * DEN / NUM
 #: Turns the order of tokens into another one.
 OTHER_ORDER = 0x2545F4914F6CDD1D
 FIRST_ID = -(1 << 63)
@@ -64,15 +70,26 @@ def with_tokens(lines: DataFrame, name: str = "h") -> DataFrame:
         F.transform(F.array_remove(cut, ""), lambda x: F.xxhash64(x))).alias(name))
 
 
-def signature(h: Column, shift: int) -> Column:
-    """64 bits of which bit k is set if a token, without its ``shift`` low bits, is k modulo 64."""
-    return F.aggregate(h, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(F.call_function(
-        "shiftleft", F.lit(1).cast("long"), F.shiftright(x, shift).bitwiseAND(F.lit(63)).cast("int"))))
+def signature(h: Column, half: int) -> Column:
+    """64 of 128 bits, of which bit k is set if a token is k modulo 128: those of one half."""
+    def add(bits: Column, x: Column) -> Column:
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
+        return F.when(x.bitwiseAND(F.lit(64)) == 64 * half, bits.bitwiseOR(bit)).otherwise(bits)
+
+    return F.aggregate(h, F.lit(0).cast("long"), add)
 
 
 def signed(tokens: DataFrame) -> DataFrame:
-    """Add two signatures, ``bits`` and ``more``."""
-    return tokens.withColumns({"bits": signature(F.col("h"), 0), "more": signature(F.col("h"), 6)})
+    """Add the number of tokens, both halves of the signature (``bits`` and ``more``) and
+    ``ends``, the smallest and the largest token in each of two orders."""
+    other = F.transform("h", lambda x: x.bitwiseXOR(F.lit(OTHER_ORDER)))
+    return tokens.withColumns({"n": F.size("h"), "bits": signature(F.col("h"), 0),
+                               "more": signature(F.col("h"), 1), "o": other}) \
+        .withColumn("ends", F.array(F.array_min("h"), F.array_max("h"), F.array_min("o"), F.array_max("o"))).drop("o")
+
+
+def bucket(x: Column) -> Column:
+    return x.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
 
 def first_lines(lines: DataFrame) -> DataFrame:
@@ -86,7 +103,7 @@ def rarity_table(tokens: DataFrame) -> bytes:
     """Per bucket of tokens, one byte: the number of times its tokens occur, as a power
     of the root of two.  The signs of a slice of buckets are joined on the executors."""
     counts = tokens.select(F.explode_outer("h").alias("x")).filter("x IS NOT NULL") \
-        .groupBy(F.pmod("x", F.lit(BUCKETS)).cast("int").alias("b")) \
+        .groupBy(bucket(F.col("x")).alias("b")) \
         .agg(F.floor(2 * F.log2(F.count(F.lit(1)))).cast("int").alias("level"))
     used = counts.groupBy(F.floor(F.col("b") / SLICE).alias("s")).agg(
         F.sort_array(F.collect_list(F.struct((F.col("b") % SLICE).alias("p"), "level"))).alias("x"))
@@ -104,15 +121,14 @@ def rarest(tokens: DataFrame, table: bytes) -> DataFrame:
     """Number of tokens, the signature, and the rarest tokens in order: as many as a similar
     line must share one of."""
     def rank(x: Column) -> Column:
-        # one number: frequency level, then hash
-        bucket = F.pmod(x, F.lit(BUCKETS)).cast("int") + 1
-        level = F.ascii(F.substring(F.lit(bytearray(table)), bucket, F.lit(1)).cast("string")) - SIGN
+        # one number: sign of the frequency level, then hash
+        level = F.ascii(F.substring(F.lit(bytearray(table)), bucket(x) + 1, F.lit(1)).cast("string"))
         return F.shiftleft(level.cast("long"), HASH_BITS).bitwiseOR(
             x.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
 
-    n = F.size("h")
+    n = F.col("n")
     prefix = n - F.ceil(n * NUM / DEN).cast("int") + 1
-    return tokens.select("id", n.alias("n"), "bits", "more",
+    return tokens.select("id", "n", "bits", "more",
                          F.slice(F.sort_array(F.transform("h", rank)), F.lit(1), prefix).alias("rare"))
 
 
@@ -123,10 +139,11 @@ def close_sizes(x: str, y: str) -> Column:
 
 def enough_in_common(x: str, y: str) -> Column:
     """A bit of x that y lacks stands for at least one token that y lacks."""
-    nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
-    lacks = [nx - F.bit_count(F.col(f"{x}.{c}").bitwiseAND(F.bitwise_not(f"{y}.{c}"))) for c in ("bits", "more")]
-    lacks += [ny - F.bit_count(F.col(f"{y}.{c}").bitwiseAND(F.bitwise_not(f"{x}.{c}"))) for c in ("bits", "more")]
-    return (NUM + DEN) * F.least(*lacks) >= NUM * (nx + ny)
+    def common(x: str, y: str) -> Column:
+        lacks = [F.bit_count(F.col(f"{x}.{c}").bitwiseAND(F.bitwise_not(f"{y}.{c}"))) for c in ("bits", "more")]
+        return F.col(f"{x}.n") - lacks[0] - lacks[1]
+
+    return (NUM + DEN) * F.least(common(x, y), common(y, x)) >= NUM * (F.col(f"{x}.n") + F.col(f"{y}.n"))
 
 
 def earlier(x: str, y: str) -> Column:
@@ -139,10 +156,7 @@ def central_pairs(tokens: DataFrame) -> DataFrame:
     their sizes and signatures are close.  Lines with the same smallest or the same largest
     token are a group, in each of two orders of the tokens: few variants of a line differ
     from it in all four."""
-    other = F.transform("h", lambda x: x.bitwiseXOR(F.lit(OTHER_ORDER)))
-    groups = tokens.withColumn("o", other).select(
-        "id", "doc", "line_no", "copies", F.size("h").alias("n"), "bits", "more", F.explode(F.array(
-            F.array_min("h"), F.array_max("h"), F.array_min("o"), F.array_max("o"))).alias("g"))
+    groups = tokens.select("id", "doc", "line_no", "copies", "n", "bits", "more", F.explode("ends").alias("g"))
     centre = groups.groupBy("g").agg(
         F.count(F.lit(1)).alias("size"), F.max(F.struct(
             "copies", F.bitwise_not("doc").alias("x"), "id", "doc", "line_no", "n", "bits", "more")).alias("c")) \
@@ -153,18 +167,39 @@ def central_pairs(tokens: DataFrame) -> DataFrame:
         .select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
+@contextmanager
+def joined_where_dealt(spark: SparkSession):
+    """Rows dealt by one of the keys of a join need not be dealt again by all of them."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "false")
+    yield
+    if before is None:
+        spark.conf.unset(name)
+    else:
+        spark.conf.set(name, before)
+
+
 def prefix_pairs(rare: DataFrame, gone: DataFrame) -> DataFrame:
     """(a, b) of all pairs that pass the filters and that are not both known to go.  Both
-    sides of the join are the same rows, dealt once.  A word of one line only (level 0)
-    meets nothing and is left out."""
+    sides of the join are the same rows, dealt once by token.  A word of one line only
+    (level 0) meets nothing and is left out."""
     marked = rare.join(
         gone.select("id", F.lit(True).alias("gone")).hint("shuffle_hash"), "id", "left")
+    size_class = F.floor(F.log("n") / F.log(F.lit(CLASS_RATIO))).cast("int")
+    # the token may be the shorter line's part of a pair; class and mark are one column that
+    # both sides read, or they would not share their rows
+    leads = DEN * F.col("n") - NUM * F.col("n") >= (NUM + DEN) * F.col("place")
     tokens = marked.select("id", "n", "bits", "more", F.coalesce("gone", F.lit(False)).alias("gone"),
                            F.posexplode("rare").alias("place", "token")) \
-        .filter(F.col("token") >= 1 << HASH_BITS)
-    x, y = tokens.hint("shuffle_hash").alias("x"), tokens.alias("y")
+        .filter(F.col("token") >= SIGN + 1 << HASH_BITS) \
+        .withColumn("kind", F.coalesce(2 * size_class + leads.cast("int"), F.lit(0))) \
+        .repartition(partitions(rare.sparkSession), "token")
+    size_class, leads = F.shiftright("kind", 1), F.col("kind").bitwiseAND(F.lit(1)) == 1
+    x = tokens.withColumn("class", F.when(leads, size_class).otherwise(F.lit(-2))).hint("shuffle_hash").alias("x")
+    y = tokens.withColumn("class", F.explode(F.array(size_class, size_class - 1))).alias("y")
     after = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
-    return x.join(y, (F.col("x.token") == F.col("y.token"))
+    return x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.class") == F.col("y.class"))
                   & ((F.col("x.n") < F.col("y.n"))
                      | ((F.col("x.n") == F.col("y.n")) & (F.col("x.id") < F.col("y.id"))))
                   & ((NUM + DEN) * after >= NUM * (F.col("x.n") + F.col("y.n")))
@@ -219,7 +254,8 @@ def similar_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"):
         tokens = stored(signed(with_tokens(first)), "tokens", folder)
         rare = stored_by(rarest(tokens, rarity_table(tokens)), "rare-tokens", "id")
         gone = verified(central_pairs(tokens), first)
-    more = verified(prefix_pairs(rare, gone), first)
+    with joined_where_dealt(docs.sparkSession):
+        more = verified(prefix_pairs(rare, gone), first)
     every = gone.union(more).groupBy("id").agg(F.min("of").alias("of"))
     return lines, first.select("id", "doc", "line_no").join(every.hint("shuffle_hash"), "id", "left")
 

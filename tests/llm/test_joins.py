@@ -201,3 +201,27 @@ def test_a_dense_group_of_short_lines(spark):
     rng.shuffle(texts)
     docs = list(enumerate(texts))
     check_lines(spark, docs)
+
+
+def test_unlike_lines_are_seldom_candidates(spark):
+    """Lines of a hundred words with nothing but some of them in common."""
+    from quayside.llm.common import prepare
+    rng = random.Random(31)
+    vocabulary = [f"v{i}" for i in range(600)]
+    docs = [(d, " ".join(rng.sample(vocabulary, rng.randint(105, 115)))) for d in range(80)]
+    assert not any(brute_lines(docs).values())
+    prepare(spark)
+    lines = line_join.lines_of(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text")
+    tokens = line_join.signed(line_join.with_tokens(line_join.first_lines(lines)))
+    rare = line_join.rarest(tokens, line_join.rarity_table(tokens))
+    assert line_join.prefix_pairs(rare, rare.filter("id IS NULL")).count() < 10
+
+
+def test_lines_whose_sizes_just_suffice(spark):
+    """Four of five words, eight of ten, and so on to 256 of 320: found; one word less: not."""
+    docs = []
+    for k in range(1, 65):
+        words = [f"k{k}x{i}" for i in range(5 * k)]
+        docs += [(10 * k, " ".join(words)), (10 * k + 1, " ".join(words[:4 * k]))]
+        docs += [(10 * k + 2, " ".join(f"y{w}" for w in words)), (10 * k + 3, " ".join(f"y{w}" for w in words[:4 * k - 1]))]
+    check_lines(spark, docs)
