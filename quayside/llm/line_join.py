@@ -8,7 +8,7 @@ share one, take part in a self-join on the token and on a class of sizes: simila
 are of one class or of neighbouring ones, and the shorter line needs about half of its first
 tokens only.  The join keeps a pair if the sizes are close enough (length filter), if enough
 tokens can follow the shared one in both orders (positional filter), and if the lines'
-signatures of 128 bits leave enough in common; pairs that remain are verified on all their tokens.
+signatures of 128 bits differ in few bits; pairs that remain are verified on all their tokens.
 
 A line that thousands of lines resemble would still meet all of them.  So each line is
 first compared with four lines only, the most frequent among those that agree in the
@@ -71,10 +71,11 @@ def with_tokens(lines: DataFrame, name: str = "h") -> DataFrame:
 
 
 def signature(h: Column, half: int) -> Column:
-    """64 of 128 bits, of which bit k is set if a token is k modulo 128: those of one half."""
+    """64 of 128 bits, of which bit k tells if an odd number of tokens are k modulo 128: those
+    of one half."""
     def add(bits: Column, x: Column) -> Column:
         bit = F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
-        return F.when(x.bitwiseAND(F.lit(64)) == 64 * half, bits.bitwiseOR(bit)).otherwise(bits)
+        return F.when(x.bitwiseAND(F.lit(64)) == 64 * half, bits.bitwiseXOR(bit)).otherwise(bits)
 
     return F.aggregate(h, F.lit(0).cast("long"), add)
 
@@ -137,13 +138,10 @@ def close_sizes(x: str, y: str) -> Column:
     return (DEN * nx >= NUM * ny) & (DEN * ny >= NUM * nx)
 
 
-def enough_in_common(x: str, y: str) -> Column:
-    """A bit of x that y lacks stands for at least one token that y lacks."""
-    def common(x: str, y: str) -> Column:
-        lacks = [F.bit_count(F.col(f"{x}.{c}").bitwiseAND(F.bitwise_not(f"{y}.{c}"))) for c in ("bits", "more")]
-        return F.col(f"{x}.n") - lacks[0] - lacks[1]
-
-    return (NUM + DEN) * F.least(common(x, y), common(y, x)) >= NUM * (F.col(f"{x}.n") + F.col(f"{y}.n"))
+def few_differences(x: str, y: str) -> Column:
+    """A bit in which x and y differ stands for at least one token that only one of them has."""
+    bits = [F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))) for c in ("bits", "more")]
+    return (NUM + DEN) * (bits[0] + bits[1]) <= (DEN - NUM) * (F.col(f"{x}.n") + F.col(f"{y}.n"))
 
 
 def earlier(x: str, y: str) -> Column:
@@ -163,7 +161,7 @@ def central_pairs(tokens: DataFrame) -> DataFrame:
         .filter("size > 1").select("g", F.struct("c.id", "c.doc", "c.line_no", "c.n", "c.bits", "c.more").alias("x"))
     met = join_stored(groups.select("g", F.struct("id", "doc", "line_no", "n", "bits", "more").alias("y")), centre, "g")
     return met.filter((F.col("x.id") != F.col("y.id")) & earlier("x", "y") & close_sizes("x", "y")
-                      & enough_in_common("x", "y")) \
+                      & few_differences("x", "y")) \
         .select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
@@ -204,7 +202,7 @@ def prefix_pairs(rare: DataFrame, gone: DataFrame) -> DataFrame:
                      | ((F.col("x.n") == F.col("y.n")) & (F.col("x.id") < F.col("y.id"))))
                   & ((NUM + DEN) * after >= NUM * (F.col("x.n") + F.col("y.n")))
                   & ~(F.col("x.gone") & F.col("y.gone")) & close_sizes("x", "y")
-                  & enough_in_common("x", "y")) \
+                  & few_differences("x", "y")) \
         .select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
